@@ -20,15 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts lineage through the shared folder of spark.checkpoint.dir.
-
-    Only where the session has none (local tests) is a folder made here.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only where the session has none (local tests) is one made here."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
+    if found := spark.conf.get("spark.checkpoint.dir", ""):
+        return found
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkrank-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cuts lineage through the shared folder, so a lost executor costs no rerun of what is behind."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
