@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bradley_terry, chat, html_extract, minhash, mixing, quality_rules, secrets, warc
+from . import bradley_terry, chat, covertree, html_extract, minhash, mixing, quality_rules, secrets, sp_tokens, warc
 from .common import shared_folder, table
 
 
@@ -49,6 +49,14 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, sf_dir, "documents")).drop("passes")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -58,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
     "op8_source_mixing": op8_source_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 #: The same rows from DuckDB.
@@ -109,4 +119,14 @@ WITH d AS (
     FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
 )
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN 2 * (rest - sofar) > size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o""",
+    "op10_exact_top_k": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
 }
