@@ -1,16 +1,18 @@
 """MinHash near-dedup of weighted shingles: ProbMinHash signatures, banding, verification, components.
 
-A text's five-word shingles weigh as often as they occur. ProbMinHash lets every shingle arrive at the registers
-as a Poisson process of its weight; a register keeps its earliest arrival, and arrivals later than the latest
-register can't matter, so most shingles end after one. Equal registers estimate the probability Jaccard.
+A text's five-word shingles weigh 1 plus the logarithm of how often they occur, so a line that is repeated over and
+over doesn't outweigh the rest. ProbMinHash lets every shingle arrive at the registers as a Poisson process of its
+weight; a register keeps its earliest arrival, and arrivals later than the latest register can't matter, so most
+shingles end after one. Equal registers estimate the probability Jaccard.
 
 1. Texts of equal word sequences are copies: their least doc_id stands for them from here on.
 2. Bands of registers are bucket keys. In a bucket every text is held against two representatives (least and
-   largest id), so a group of n copies gives 2n pairs. The estimate, then exact figures decide a pair: it links at
+   largest id), so a group of n texts gives 2n pairs. The estimate, then exact figures decide a pair: it links at
    a probability or plain Jaccard of `least` or more.
-3. Links are merged to components. A bucket that still holds several components gets every pair between them that
-   was not compared, except among the members of its largest one: no link between different texts is lost
-   to the representatives.
+3. Links are merged to components. In a bucket that still holds several components, the texts outside its largest
+   one are held against all others, so no link between different texts is lost to the representatives: in a
+   bucket of up to `SMALL` texts pair by pair, in a larger one as blocks of texts against blocks of texts, which
+   a task compares as a whole and of which it returns links only.
 
 Each document's class_id is the least doc_id of its component. Null, empty and blank texts link to nothing. A text of
 fewer than five words is one shingle. Rows repeated with the same doc_id count once; rows of a null doc_id take
@@ -36,9 +38,15 @@ BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
 #: Estimates below are far (over 7 standard deviations) from `LEAST` with so many registers.
 SURELY_LESS = 0.6
+#: Texts of a bucket that are compared pair by pair at most, and texts of a block, about, in larger ones.
+SMALL, BLOCK = 64, 128
 _U = np.uint64
 
 
+def weighed(count: np.ndarray) -> np.ndarray:
+    return 1.0 + np.log(count)
+
+
 def _uniform(bits: np.ndarray) -> np.ndarray:
     return ((bits >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -51,7 +59,7 @@ def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int,
     """
     time = np.full(n * registers, np.inf)
     code = np.zeros(n * registers, np.uint64)
-    weight, clock = weight.astype(float), np.zeros(len(owner))
+    clock = np.zeros(len(owner))
     turn = np.zeros(len(owner), np.uint64)
     while len(owner):
         left = np.bincount(owner, minlength=n)
@@ -83,7 +91,7 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = scan(batch.column("text"))
         owner, value, count = shingles(s, WORDS)
-        codes = (mix(signatures(owner, value, count, s.n)) & _U(0xFFFF)).astype(np.uint16)
+        codes = (mix(signatures(owner, value, weighed(count), s.n)) & _U(0xFFFF)).astype(np.uint16)
         c1, c2 = content(s)
         return pa.record_batch(
             [batch.column("doc_id"), pa.array(s.per_text(owner)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array([row.tobytes() for row in codes], pa.binary())],
@@ -100,32 +108,77 @@ def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     union = len(va) + len(vb) - len(common)
     if not len(common):
         return 0.0, 0.0
-    x, y = wa.astype(float), wb.astype(float)
-    only_a, only_b = x.sum() - x[ia].sum(), y.sum() - y[ib].sum()
-    x, y = x[ia], y[ib]
+    x, y = wa[ia], wb[ib]
+    only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
     ratio, where = np.unique(x / y, return_inverse=True)
     # for weights (p, q) the sum over all elements of max(x/p, y/q) is that of max(x, y * p/q), over p
     total = np.array([np.maximum(x, y * r).sum() + only_a + only_b * r for r in ratio])
     return float((x / total[where]).sum()), len(common) / union
 
 
+def _sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingles of each text, and their weights."""
+    owner, value, count = shingles(scan(texts), WORDS)
+    order = np.lexsort((value, owner))
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    value, weight = value[order], weighed(count[order])
+    return [(value[a:b], weight[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _pair_similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             texts = pa.concat_arrays([part.column("text_a").cast(pa.large_utf8()), part.column("text_b").cast(pa.large_utf8())]).dictionary_encode()
-            owner, value, count = shingles(scan(texts.dictionary), WORDS)
-            cuts = np.searchsorted(owner, np.arange(len(texts.dictionary) + 1))
-            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for k in range(len(texts.dictionary)):
-                v, w = value[cuts[k] : cuts[k + 1]], count[cuts[k] : cuts[k + 1]]
-                by = np.argsort(v)
-                sets[k] = v[by], w[by]
-            index, n = texts.indices.to_numpy(), part.num_rows
+            sets, index, n = _sets(texts.dictionary), texts.indices.to_numpy(), part.num_rows
             found = [similarities(sets[index[i]], sets[index[n + i]]) for i in range(n)]
             yield pa.record_batch([part.column("a"), part.column("b"), pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], names=["a", "b", "probability_jaccard", "jaccard"])
 
 
+def block_links(few: list[tuple[np.ndarray, np.ndarray]], many: list[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndarray:
+    """Which of few (rows) link to which of many (columns)."""
+    n, m = len(few), len(many)
+    if not n or not m:
+        return np.zeros((n, m), bool)
+    flat = lambda sets: (np.repeat(np.arange(len(sets)), [len(v) for v, _ in sets]), np.concatenate([v for v, _ in sets]), np.concatenate([w / max(w.sum(), 1e-300) for _, w in sets]))
+    (i, x, p), (j, y, q) = flat(few), flat(many)
+    by = np.argsort(y)
+    j, y, q = j[by], y[by], q[by]
+    low, high = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+    size = high - low
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+    cell = np.repeat(i, size) * m + j[at]
+    count = lambda w: np.bincount(cell, w, n * m).reshape(n, m)
+    common = count(None)
+    union = np.array([len(v) for v, _ in few])[:, None] + np.array([len(v) for v, _ in many])[None] - common
+    links = common >= least * union
+    links &= common > 0
+    # what is common holds at least the probability Jaccard in either text's share of weights
+    bound = np.minimum(count(np.repeat(p, size)), count(q[at])) + 1e-9
+    for a, b in np.argwhere(~links & (bound >= least)):
+        links[a, b] = similarities(few[a], many[b])[0] >= least
+    return links
+
+
+def _block_pairs(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple] = set()
+            for row in range(batch.num_rows):
+                few, many = ([v.as_py() for v in batch.column(c)[row].values] for c in ("few", "many"))
+                links = block_links(_sets(pa.array([v["text"] for v in few])), _sets(pa.array([v["text"] for v in many])), least)
+                for i, x in enumerate(few):
+                    seen = {x["root"]}
+                    for j in np.flatnonzero(links[i]):  # one link to each other component will do
+                        if many[j]["root"] not in seen:
+                            seen.add(many[j]["root"])
+                            found.add(tuple(sorted((x["doc_id"], many[j]["doc_id"]))))
+            a, b = zip(*sorted(found), strict=True) if found else ((), ())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 @F.pandas_udf(T.DoubleType())
 def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
@@ -180,6 +233,20 @@ def _bands(signed_texts: DataFrame) -> DataFrame:
     return keyed.select("doc_id", F.xxhash64(piece, "band").alias("bucket"))
 
 
+def _across_blocks(mixed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links across components in large buckets: texts outside the largest component in blocks, against blocks of all."""
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
+    wanted = mixed.select("doc_id").distinct()
+    held = mixed.join(texts.join(wanted, "doc_id", "left_semi"), "doc_id")
+
+    def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(size) / BLOCK))
+        return rows.withColumn("block", number).groupBy("bucket", "block").agg(F.collect_list(F.struct("doc_id", "root", "text")).alias(name)).drop("block")
+
+    both = blocks(held.where("root <> main"), "outside", "few").join(blocks(held, "all", "many"), "bucket").select("few", "many")
+    return both.mapInArrow(_block_pairs(least), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and class_id of every distinct doc_id that isn't null."""
     base = checkpoint(signed(docs.where("doc_id is not null")))
@@ -201,14 +268,16 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # buckets that still hold several components: what the representatives didn't show
     classed = members.select("bucket", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     sizes = classed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.sum("size").alias("all")).where("roots > 1 and all > 2").select("bucket", F.col("top.root").alias("main"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.sum("size").alias("all")).where("roots > 1 and all > 2").select("bucket", F.col("top.root").alias("main"), "all", (F.col("all") - F.col("top.size")).alias("outside"))
     mixed = checkpoint(classed.join(largest, "bucket"))
-    few = mixed.where("root <> main").select("bucket", F.col("doc_id").alias("x"), F.col("root").alias("root_x"))
-    rest = mixed.select("bucket", F.col("doc_id").alias("y"), F.col("root").alias("root_y"))
+    small = mixed.where(F.col("all") <= SMALL)
+    few = small.where("root <> main").select("bucket", F.col("doc_id").alias("x"), F.col("root").alias("root_x"))
+    rest = small.select("bucket", F.col("doc_id").alias("y"), F.col("root").alias("root_y"))
     across = few.join(rest, "bucket").where("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = checkpoint(verified(across.join(pairs, ["a", "b"], "left_anti"), texts, docs, least))
+    near = verified(across.join(pairs, ["a", "b"], "left_anti"), texts, docs, least).select("a", "b")
+    more = checkpoint(near.unionAll(_across_blocks(mixed.where(F.col("all") > SMALL), docs, least)))
     if more.take(1):
-        roots = components(links.select("a", "b").unionAll(more.select("a", "b")))
+        roots = components(links.select("a", "b").unionAll(more))
 
     joined = copied.select(F.col("doc_id"), F.col("first").alias("node")).join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
     own = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
