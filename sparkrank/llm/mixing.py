@@ -160,7 +160,8 @@ def mix_by_source(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_taken(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all their columns, each as often as the mix takes it."""
-    taken = mix_by_source(docs, **options).groupBy("doc_id").agg(F.max("passes").alias("_passes")).withColumnRenamed("doc_id", "_taken")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]))
-    return rows.where("_passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*[docs[c] for c in docs.columns])
+    """The rows of docs, all their columns, each as often as the mix takes it (a repeated doc_id as its most taken row)."""
+    taken = mix_by_source(docs, **options).groupBy("doc_id").agg(F.max("passes").alias("passes")).where("passes > 0")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]))
+    copies = "".join(docs.columns) + "_copy"  # a name that no column has
+    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["passes"])).alias(copies)).drop(copies)
