@@ -1,10 +1,616 @@
-"""Queries of the engine's operators over the test tables."""
+"""One query for each operator over the derived domain, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import formatting, rounding, scoring, text
+from ..operators import constants, enrich, features, filters, model, panel, search, select, squad, stats, suggest
+from ..operators.constants import DEFAULT_WEIGHTS, PRESETS, STRATEGIES
+from ..sources import readers
+from . import domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL of its rows."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+# SQL of the derived relations
+
+PLAYERS = """players AS (
+    SELECT p_partkey AS id, p_name AS name, CAST(p_partkey % 27 AS INTEGER) AS team, CAST(p_partkey % 4 + 1 AS INTEGER) AS element_type,
+           ['GK', 'DEF', 'MID', 'FWD'][CAST(p_partkey % 4 + 1 AS INTEGER)] AS pos, 40 + 2 * p_size AS now_cost,
+           CAST(p_partkey % 11 AS DOUBLE) / CAST(2 AS DOUBLE) AS form,
+           CASE p_partkey % 7 WHEN 0 THEN 'i' WHEN 1 THEN 'd' WHEN 2 THEN 's' ELSE 'a' END AS status FROM part
+)"""
+FIXTURES = """fixtures AS (
+    SELECT o_orderkey AS ord, CAST(o_orderkey % 38 + 1 AS INTEGER) AS event, CAST(o_custkey % 20 + 1 AS INTEGER) AS team_h,
+           CAST((o_custkey % 20 + 1 + o_orderkey % 19) % 20 + 1 AS INTEGER) AS team_a,
+           CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) % 5 + 1 AS INTEGER) AS team_h_difficulty,
+           CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) % 5 + 1 AS INTEGER) AS team_a_difficulty FROM orders
+), sides AS (
+    SELECT ord, event, team_h AS team, team_a AS opponent, team_h_difficulty AS difficulty, true AS is_home FROM fixtures
+    UNION ALL SELECT ord, event, team_a, team_h, team_a_difficulty, false FROM fixtures
+)"""
+EASE = """ease AS (
+    SELECT team, CAST(sum(difficulty) AS DOUBLE) / count(*) AS next3_ease FROM (
+        SELECT *, row_number() OVER (PARTITION BY team ORDER BY ord) AS nth FROM sides WHERE event >= {gameweek}
+    ) WHERE nth <= 3 GROUP BY team
+)"""
+ADVANCED = """advanced AS (
+    SELECT l_partkey AS id, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) * 8 AS DOUBLE) / (count(*) * CAST(100 AS DOUBLE)) AS xg90,
+           CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) * 8 AS DOUBLE) / (count(*) * CAST(100 AS DOUBLE)) AS xa90,
+           CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS exp_min, CAST(count(*) AS DOUBLE) / 2 AS avg_points,
+           CAST(count(*) AS DOUBLE) / 10 AS value, CAST(sum(CAST(l_quantity AS BIGINT)) % 100 AS DOUBLE) AS ownership FROM lineitem GROUP BY l_partkey
+)"""
+ENRICHED = """enriched AS (
+    SELECT p.id, p.id AS ord, p.name, p.team AS team_id, coalesce(substr(n_name, 1, 3), 'UNK') AS team_short, p.pos, CAST(now_cost AS DOUBLE) / 10 AS price, form, status,
+           coalesce(xg90, 0) AS xg90, coalesce(xa90, 0) AS xa90, coalesce(exp_min, 0) AS exp_min, coalesce(next3_ease, 3) AS next3_ease,
+           coalesce(avg_points, 0) AS avg_points, coalesce(value, 0) AS value, coalesce(ownership, 0) AS ownership
+    FROM players p LEFT JOIN nation ON team = n_nationkey LEFT JOIN ease ON ease.team = p.team LEFT JOIN advanced a ON a.id = p.id
+)"""
+LIVE = """live AS (
+    SELECT player_id, gameweek, CAST(q AS DOUBLE) AS points, CAST(n * 30 AS DOUBLE) AS minutes, CAST(r AS DOUBLE) AS goals_scored, CAST(a AS DOUBLE) AS assists,
+           CAST(q AS DOUBLE) / 10 AS ict_index, CAST(d AS DOUBLE) / 100 AS expected_goals, CAST(t AS DOUBLE) / 100 AS expected_assists,
+           CAST(40 + q % 60 AS DOUBLE) / 10 AS price, CAST(q % 100 AS DOUBLE) AS selected_by_percent
+    FROM (SELECT l_partkey AS player_id, CAST((year(l_shipdate) - 1992) * 4 + quarter(l_shipdate) AS INTEGER) AS gameweek, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) AS n,
+                 count(*) FILTER (WHERE l_returnflag = 'R') AS r, count(*) FILTER (WHERE l_returnflag = 'A') AS a,
+                 CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS d, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS t FROM lineitem GROUP BY 1, 2)
+)"""
+PANEL = """panel AS (
+    SELECT l.*, p.name, p.element_type AS position, p.team, coalesce(f.difficulty, 3) AS fixture_difficulty, coalesce(f.is_home, true) AS is_home
+    FROM live l JOIN players p ON l.player_id = p.id
+    LEFT JOIN (SELECT event, team, arg_max(difficulty, ord) AS difficulty, arg_max(is_home, ord) AS is_home FROM sides GROUP BY event, team) f ON f.event = l.gameweek AND f.team = p.team
+)"""
+PREDICTIONS = """predictions AS (
+    SELECT player_id, max(points) / 10 AS predicted_points, any_value(element_type) AS position, CAST(any_value(now_cost) AS DOUBLE) / 10 AS price, any_value(team) AS team, any_value(pos) AS pos
+    FROM live JOIN players ON player_id = id GROUP BY player_id
+)"""
+SLOTS = """slots AS (
+    SELECT squad_id, section, slot_no, id, pos, price, bank FROM (
+        SELECT CAST(r // per AS BIGINT) AS squad_id, CASE WHEN k < starts THEN 'xi' ELSE 'bench' END AS section,
+               CAST(CASE WHEN k < starts THEN CASE pos WHEN 'GK' THEN 1 WHEN 'DEF' THEN 2 + k WHEN 'MID' THEN 6 + k ELSE 10 + k END
+                    ELSE CASE pos WHEN 'GK' THEN 1 WHEN 'DEF' THEN 2 WHEN 'MID' THEN 3 ELSE 4 END END AS INTEGER) AS slot_no,
+               CASE WHEN r // per = 3 AND k = 1 THEN id - 4 ELSE id END AS id, pos, CAST(now_cost AS DOUBLE) / 20 AS price,
+               CAST(CASE WHEN r // per = 2 THEN 90.0 ELSE 0.5 END AS DOUBLE) AS bank
+        FROM (SELECT *, r % per AS k FROM (
+            SELECT *, row_number() OVER (PARTITION BY pos ORDER BY id) - 1 AS r, CASE pos WHEN 'GK' THEN 2 WHEN 'FWD' THEN 3 ELSE 5 END AS per,
+                   CASE pos WHEN 'GK' THEN 1 WHEN 'FWD' THEN 2 ELSE 4 END AS starts FROM players))
+    ) WHERE squad_id < 12 AND NOT (squad_id = 1 AND pos = 'FWD')
+)"""
+ORDER = "OVER (PARTITION BY player_id ORDER BY gameweek)"
+
+
+def with_(*parts: str, gameweek: int = 1) -> str:
+    return "WITH " + ", ".join(p.replace("{gameweek}", str(gameweek)) for p in parts) + "\n"
+
+
+def enriched_sql(gameweek: int = 1) -> list[str]:
+    return [PLAYERS, FIXTURES, EASE.replace("{gameweek}", str(gameweek)), ADVANCED, ENRICHED]
+
+
+def score_sql(w: dict[str, float] | None = None) -> str:
+    """The score of weights, or of the columns w_<metric>."""
+    parts = {
+        "form": "least(form * 2, 10)", "xg90": "least(xg90 * 20, 10)", "xa90": "least(xa90 * 25, 10)", "exp_min": "exp_min / 90 * 10", "next3_ease": "(6 - next3_ease) * 2",
+        "avg_points": "least(avg_points * CAST(0.5 AS DOUBLE), 10)", "value": "least(value * 2, 10)", "ownership": "ownership / 10",
+    }
+    total = " + ".join(f"{expr} * " + (f"CAST({w.get(m, 0.0)!r} AS DOUBLE)" if w is not None else f"w_{m}") for m, expr in parts.items())
+    return f"floor(({total}) * 100 + CAST(0.5 AS DOUBLE)) / 100"
+
+
+def half_up_sql(x: str, digits: int = 2) -> str:
+    return f"(floor(({x}) * CAST({10**digits} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST({10**digits} AS DOUBLE))"
+
+
+LABEL = "CASE WHEN status IN ('i', 's', 'd') THEN 'not-playing' WHEN score >= 8 THEN 'perfect' WHEN score >= 6 THEN 'good' WHEN score >= 4 THEN 'poor' ELSE 'urgent' END"
+SCORED = f"scored AS (SELECT *, {LABEL} AS label FROM (SELECT *, {score_sql(DEFAULT_WEIGHTS)} AS score FROM enriched))"
+
+
+def sets_sql(sets: dict[str, dict[str, float]], name: str) -> str:
+    rows = ", ".join("('" + k.replace("'", "''") + "', " + ", ".join(f"CAST({w[m]!r} AS DOUBLE)" for m in scoring.METRICS) + ")" for k, w in sets.items())
+    return f"sets({name}, " + ", ".join(f"w_{m}" for m in scoring.METRICS) + f") AS (VALUES {rows})"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen best players by score."""
+    top = stats.scored(domain.enriched(spark, sf_dir)).orderBy(F.desc("score"), "id").limit(15)
+    return top.select("id", "name", "team_short", "pos", "price", "score", "label")
+
+
+@query(with_(*enriched_sql(), SCORED) + "SELECT id, name, team_short, pos, price, score, label FROM scored ORDER BY score DESC, id LIMIT 15")
+def top_scores(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(with_(*enriched_sql()) + "SELECT * FROM enriched")
+def players_enriched(spark, sf_dir):
+    return domain.enriched(spark, sf_dir)
+
+
+@query(with_(*enriched_sql(20)) + "SELECT * FROM enriched")
+def players_enriched_gameweek20(spark, sf_dir):
+    return domain.enriched(spark, sf_dir, 20)
+
+
+@query(with_(*enriched_sql()) + "SELECT count(*) AS count FROM enriched")
+def players_count(spark, sf_dir):
+    return domain.enriched(spark, sf_dir).agg(F.count("*").alias("count"))
+
+
+@query(with_(*enriched_sql()) + "SELECT * FROM enriched WHERE id = 17")
+def player_by_id(spark, sf_dir):
+    return filters.by_id(domain.enriched(spark, sf_dir), "17")
+
+
+@query(with_(*enriched_sql()) + "SELECT * FROM enriched WHERE pos = 'DEF'")
+def players_by_position(spark, sf_dir):
+    return filters.by_position(domain.enriched(spark, sf_dir), "def")
+
+
+@query(with_(*enriched_sql()) + "SELECT * FROM enriched WHERE status = 'a'")
+def players_available(spark, sf_dir):
+    return filters.available(domain.enriched(spark, sf_dir))
+
+
+@query(with_(PLAYERS) + "SELECT p.id, p.name, element_type AS position, team, coalesce(n_name, 'Unknown') AS team_name, CAST(now_cost AS DOUBLE) / 10 AS price, status, CAST(p_size AS INTEGER) AS total_points FROM players p JOIN part ON id = p_partkey LEFT JOIN nation ON team = n_nationkey")
+def current_players(spark, sf_dir):
+    return enrich.current_players(domain.players(spark, sf_dir), domain.teams(spark, sf_dir), ["status", "total_points"])
+
+
+@query(with_(FIXTURES) + "SELECT ord, ord AS id, event, team_h, team_a, team_h_difficulty, team_a_difficulty FROM fixtures")
+def fixtures_all(spark, sf_dir):
+    return domain.fixtures(spark, sf_dir)
+
+
+@query(with_(FIXTURES) + "SELECT ord, ord AS id, event, team_h, team_a, team_h_difficulty, team_a_difficulty FROM fixtures WHERE event = 5")
+def fixtures_by_gameweek(spark, sf_dir):
+    return filters.by_gameweek(domain.fixtures(spark, sf_dir), 5)
+
+
+@query(with_(FIXTURES) + "SELECT ord, ord AS id, event, team_h, team_a, team_h_difficulty, team_a_difficulty FROM fixtures WHERE team_h = 7 OR team_a = 7")
+def fixtures_by_team(spark, sf_dir):
+    return filters.by_team(domain.fixtures(spark, sf_dir), 7)
+
+
+@query(with_(FIXTURES) + "SELECT * FROM sides")
+def fixture_team_view(spark, sf_dir):
+    return enrich.fixture_sides(domain.fixtures(spark, sf_dir))
+
+
+@query(with_(FIXTURES, EASE, gameweek=30) + "SELECT * FROM ease")
+def next3_ease(spark, sf_dir):
+    return enrich.next3_ease(domain.fixtures(spark, sf_dir), 30)
+
+
+@query("SELECT CAST(coalesce(min(o_orderkey) FILTER (WHERE o_orderstatus = 'O'), max(o_orderkey), 1) AS INTEGER) AS gameweek FROM orders")
+def current_gameweek(spark, sf_dir):
+    events = domain.table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey AS int) AS id", "o_orderkey AS ord", "o_orderstatus = 'O' AS is_current")
+    return readers.current_gameweek(events)
+
+
+@query(with_(*enriched_sql(), SCORED) + "SELECT id, score, label FROM scored")
+def player_scores(spark, sf_dir):
+    return stats.scored(domain.enriched(spark, sf_dir)).select("id", "score", "label")
+
+
+@query(with_(*enriched_sql(), sets_sql(STRATEGIES, "strategy")) + f"SELECT id, strategy, {score_sql()} AS score FROM enriched, sets")
+def strategy_scores(spark, sf_dir):
+    return stats.scored_by_sets(domain.enriched(spark, sf_dir), STRATEGIES).select("id", "strategy", "score")
+
+
+@query(with_(*enriched_sql(), sets_sql(PRESETS, "preset")) + f"SELECT id, preset, {score_sql()} AS score FROM enriched, sets")
+def preset_scores(spark, sf_dir):
+    return stats.scored_by_sets(domain.enriched(spark, sf_dir), PRESETS, "preset").select("id", "preset", "score")
+
+
+@query("WITH " + sets_sql(PRESETS, "name") + " SELECT * FROM sets")
+def presets(spark, sf_dir):
+    return constants.weights_frame(spark, PRESETS, "name")
+
+
+@query("WITH " + sets_sql({"default": DEFAULT_WEIGHTS}, "name") + " SELECT * FROM sets")
+def default_weights(spark, sf_dir):
+    return constants.weights_frame(spark, {"default": DEFAULT_WEIGHTS}, "name")
+
+
+@query("WITH " + sets_sql(STRATEGIES, "name") + ", ranked AS (SELECT name, metric, weight, row_number() OVER (PARTITION BY name ORDER BY weight DESC, place) AS rank FROM (" + " UNION ALL ".join(f"SELECT name, '{m}' AS metric, {i} AS place, w_{m} AS weight FROM sets" for i, m in enumerate(scoring.METRICS)) + ")) SELECT name, CAST(rank AS INTEGER) AS rank, metric, weight FROM ranked WHERE rank <= 3")
+def top_weights(spark, sf_dir):
+    sets = constants.weights_frame(spark, STRATEGIES, "name")
+    entries = F.sort_array(F.array(*[F.struct((-F.col(f"w_{m}")).alias("k"), F.lit(i).alias("i"), F.lit(m).alias("metric"), F.col(f"w_{m}").alias("weight")) for i, m in enumerate(scoring.METRICS)]))
+    rows = sets.select("name", F.posexplode(F.slice(entries, 1, 3)).alias("p", "e"))
+    return rows.select("name", (F.col("p") + 1).alias("rank"), "e.metric", "e.weight")
+
+
+@query("SELECT formation, pos, starting, total FROM (VALUES " + ", ".join(f"('{f}', '{constants.POSITIONS[i + 1]}', {n}, {constants.SQUAD_PLACES[i]})" for f, p in constants.FORMATIONS.items() for i, n in enumerate(p)) + ") t(formation, pos, starting, total)")
+def formations(spark, sf_dir):
+    return constants.formations_frame(spark)
+
+
+CUSTOM = dict(zip(scoring.METRICS, (0.6, 0.2, 0.2, 0.4, 0.1, 0.3, 0.1, 0.1), strict=True))
+
+
+@query(with_(*enriched_sql()) + f"SELECT id, {score_sql(scoring.normalised_weights(CUSTOM))} AS score FROM enriched")
+def custom_weights_normalised(spark, sf_dir):
+    return domain.enriched(spark, sf_dir).select("id", scoring.score(scoring.normalised_weights(CUSTOM)).alias("score"))
+
+
+@query(with_(*enriched_sql(), SCORED) + "SELECT pos, floor(coalesce(avg(score), 0) * 1000000 + CAST(0.5 AS DOUBLE)) / 1000000 AS average_score FROM (VALUES ('GK'), ('DEF'), ('MID'), ('FWD')) t(pos) LEFT JOIN scored USING (pos) GROUP BY pos")
+def position_averages(spark, sf_dir):
+    return stats.position_averages(stats.scored(domain.enriched(spark, sf_dir))).select("pos", rounding.half_up(F.col("average_score"), 6).alias("average_score"))
+
+
+@query(with_(*enriched_sql(), SCORED) + "SELECT label, count(id) AS n FROM (VALUES ('perfect'), ('good'), ('poor'), ('urgent'), ('not-playing')) t(label) LEFT JOIN scored USING (label) GROUP BY label")
+def label_counts(spark, sf_dir):
+    return stats.label_counts(stats.scored(domain.enriched(spark, sf_dir)))
+
+
+@query(with_(*enriched_sql(), SCORED) + "SELECT floor(coalesce(sum(score), 0) * 1000 + CAST(0.5 AS DOUBLE)) / 1000 AS total_score, floor(coalesce(avg(score), 0) * 1000000 + CAST(0.5 AS DOUBLE)) / 1000000 AS average_score, count(*) AS n FROM scored")
+def total_average_score(spark, sf_dir):
+    return stats.totals(stats.scored(domain.enriched(spark, sf_dir))).select(rounding.half_up(F.col("total_score"), 3).alias("total_score"), rounding.half_up(F.col("average_score"), 6).alias("average_score"), "n")
+
+
+@query(with_(*enriched_sql(), SCORED) + "SELECT id, score, CASE WHEN score >= 8 THEN 'Excellent' WHEN score >= 6 THEN 'Good' WHEN score >= 4 THEN 'Average' ELSE 'Poor' END AS level FROM scored")
+def score_levels(spark, sf_dir):
+    return stats.scored(domain.enriched(spark, sf_dir)).select("id", "score", scoring.level(F.col("score")).alias("level"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(strip_accents(trim(regexp_replace(lower(substr(text, 1, position(' ' IN text || ' ') - 1)), '\\s+', ' ', 'g'))), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g') AS name FROM documents")
+def name_normalise(spark, sf_dir):
+    docs = domain.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.normalise(F.substring_index("text", " ", 1)).alias("name"))
+
+
+def search_sql(name: str, limit: int = 5) -> str:
+    norm = lambda x: f"regexp_replace(regexp_replace(strip_accents(trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')"
+    return with_(*enriched_sql(), f"q AS (SELECT {norm(repr(name))} AS q)", f"n AS (SELECT e.*, q, {norm('name')} AS n FROM enriched e, q)", "w AS (SELECT *, len(list_filter(string_split(q, ' '), lambda a: len(list_filter(string_split(n, ' '), lambda b: contains(b, a))) > 0)) AS shared, greatest(length(q), length(n)) AS longest FROM n)", "s AS (SELECT *, CAST(CASE WHEN n = q THEN 100 WHEN contains(n, q) THEN 80 WHEN shared > 0 THEN CAST(shared AS DOUBLE) / len(string_split(q, ' ')) * 60 WHEN CAST(longest - levenshtein(q, n) AS DOUBLE) / longest * 40 > 20 THEN CAST(longest - levenshtein(q, n) AS DOUBLE) / longest * 40 ELSE 0 END AS DOUBLE) AS similarity FROM w)") + f"SELECT id, name, similarity FROM s WHERE similarity > 0 ORDER BY similarity DESC, ord, id LIMIT {limit}"
+
+
+def _search(name: str, limit: int = 5):
+    return lambda spark, sf_dir: search.search(domain.enriched(spark, sf_dir), name, limit).select("id", "name", "similarity")
+
+
+SEARCHES = {"search_exact": ("small copper", 5), "search_contains": ("cop", 8), "search_words": ("Red zzz", 5), "search_fuzzy": ("lage stel", 5), "search_accents": ("  CÓPPÈR! ", 5), "search_first": ("large", 1)}
+for _name, (_asked, _limit) in SEARCHES.items():
+    QUERIES[_name], SQL[_name] = _search(_asked, _limit), search_sql(_asked, _limit)
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every player whose id is divisible by 25: own position, up to 2 more than the own price, without the next of the position."""
+    rows = domain.enriched(spark, sf_dir).where("id % 25 = 0")
+    return rows.selectExpr("id AS request_id", "id AS player_id", "pos AS position", "price + 2 AS max_price", "array(id + 4) AS exclude_ids")
+
+
+def suggest_sql(w: dict[str, float], limit: int) -> str:
+    return with_(*enriched_sql(), f"scored AS (SELECT *, {score_sql(w)} AS score FROM enriched)") + f"SELECT request_id, player_id, CAST(rank AS INTEGER) AS rank, id, name, team_short, price, score, {half_up_sql('score - current_score')} AS delta FROM (SELECT c.id AS request_id, c.id AS player_id, s.id, s.name, s.team_short, s.price, s.score, c.score AS current_score, row_number() OVER (PARTITION BY c.id ORDER BY s.score DESC, s.ord, s.id) AS rank FROM scored c JOIN scored s ON s.pos = c.pos AND s.price <= c.price + 2 AND s.id <> c.id AND s.id <> c.id + 4 AND s.status = 'a' WHERE c.id % 25 = 0) WHERE rank <= {limit}"
+
+
+BULK_WEIGHTS = {"form": 0.3, "xg90": 0.2, "xa90": 0.2, "exp_min": 0.2, "next3_ease": 0.1}
+
+
+@query(suggest_sql(DEFAULT_WEIGHTS, 5))
+def suggest_one(spark, sf_dir):
+    return suggest.suggest(domain.enriched(spark, sf_dir), _requests(spark, sf_dir))
+
+
+@query(suggest_sql(BULK_WEIGHTS, 3))
+def suggest_bulk(spark, sf_dir):
+    return suggest.suggest(domain.enriched(spark, sf_dir), _requests(spark, sf_dir), BULK_WEIGHTS, 3)
+
+
+SLOT_SUGGESTIONS = f"""found AS (
+    SELECT squad_id, slot_no, current_id, CAST(rank AS INTEGER) AS rank, id, name, price, {half_up_sql('score - now_score')} AS delta FROM (
+        SELECT l.squad_id, l.slot_no, l.id AS current_id, n.score AS now_score, s.id, s.name, s.price, s.score,
+               row_number() OVER (PARTITION BY l.squad_id, l.slot_no ORDER BY abs(s.score - n.score) DESC, s.ord, s.id) AS rank
+        FROM slots l JOIN scored n ON n.id = l.id JOIN scored s ON s.pos = n.pos AND round(s.price * 10) <= round(l.price * 10) + round(l.bank * 10) AND s.status = 'a' AND s.id <> l.id AND abs(s.score - n.score) <= 1.5
+        WHERE l.section = 'xi' AND NOT EXISTS (SELECT 1 FROM slots x WHERE x.squad_id = l.squad_id AND x.id = s.id)
+    ) WHERE rank <= 5
+)"""
+TOTALS = f"""totals AS (
+    SELECT squad_id, total_score, {half_up_sql('total_score / n')} AS average_score, flagged, bank_left FROM (
+        SELECT squad_id, CAST(sum(CASE WHEN section = 'xi' THEN CAST(round(score * 100) AS BIGINT) ELSE 0 END) AS DOUBLE) / 100 AS total_score,
+               count(*) FILTER (WHERE section = 'xi' AND label <> 'perfect') AS flagged, count(*) AS n, max(bank) AS bank_left
+        FROM slots l JOIN scored s ON s.id = l.id GROUP BY squad_id)
+)"""
+
+
+@query(with_(*enriched_sql(), SCORED, SLOTS, SLOT_SUGGESTIONS) + "SELECT * FROM found")
+def squad_suggestions(spark, sf_dir):
+    return suggest.slot_suggestions(domain.squad_slots(spark, sf_dir), domain.enriched(spark, sf_dir))
+
+
+@query(with_(*enriched_sql(), SCORED, SLOTS, TOTALS) + "SELECT * FROM totals")
+def squad_totals(spark, sf_dir):
+    return squad.totals(domain.squad_slots(spark, sf_dir), domain.enriched(spark, sf_dir))
+
+
+@query(with_(*enriched_sql(), SCORED, SLOTS, SLOT_SUGGESTIONS, TOTALS) + "SELECT squad_id, total_score, average_score, flagged, bank_left, section, slot_no, id, score, label, n_suggestions FROM totals JOIN (SELECT l.squad_id, l.section, l.slot_no, l.id, s.score, s.label, CASE WHEN l.section = 'xi' THEN (SELECT count(*) FROM found f WHERE f.squad_id = l.squad_id AND f.slot_no = l.slot_no) ELSE 0 END AS n_suggestions FROM slots l JOIN scored s ON s.id = l.id) USING (squad_id)")
+def squad_analysis(spark, sf_dir):
+    rows = squad.analyse(domain.squad_slots(spark, sf_dir), domain.enriched(spark, sf_dir))
+    flat = rows.select("squad_id", "total_score", "average_score", "flagged", "bank_left", F.explode("results").alias("r"))
+    return flat.select("squad_id", "total_score", "average_score", "flagged", "bank_left", "r.section", "r.slot_no", "r.id", "r.score", "r.label", F.size("r.suggestions").cast("long").alias("n_suggestions"))
+
+
+COUNTS = """counts AS (
+    SELECT squad_id, count(*) FILTER (WHERE section = 'xi') AS n_xi, count(*) FILTER (WHERE section = 'bench') AS n_bench,
+           count(*) FILTER (WHERE section = 'xi' AND pos = 'GK') AS n_gk, count(*) FILTER (WHERE section = 'xi' AND pos = 'DEF') AS n_def,
+           count(*) FILTER (WHERE section = 'xi' AND pos = 'MID') AS n_mid, count(*) FILTER (WHERE section = 'xi' AND pos = 'FWD') AS n_fwd,
+           sum(round(price * 10)) AS cost, max(round(bank * 10)) AS bank, count(id) AS n_ids, count(DISTINCT id) AS n_distinct FROM slots GROUP BY squad_id
+)"""
+LEGAL = " OR ".join(f"(n_gk = {a} AND n_def = {b} AND n_mid = {c} AND n_fwd = {d})" for a, b, c, d in constants.FORMATIONS.values())
+
+
+@query(with_(PLAYERS, SLOTS, COUNTS) + f"SELECT squad_id, errors = '' AS valid, errors FROM (SELECT squad_id, concat_ws('; ', CASE WHEN n_xi <> 11 THEN 'Starting XI must have exactly 11 players' END, CASE WHEN n_bench <> 4 THEN 'Bench must have exactly 4 players' END, CASE WHEN NOT ({LEGAL}) THEN 'Invalid formation - must have 1 GK and valid DEF/MID/FWD distribution' END, CASE WHEN cost + bank > 1000 THEN 'Total squad value cannot exceed 100.0' END, CASE WHEN n_ids <> n_distinct THEN 'Cannot have duplicate players in squad' END) AS errors FROM counts)")
+def squad_validate(spark, sf_dir):
+    return squad.validate(domain.squad_slots(spark, sf_dir)).select("squad_id", "valid", F.concat_ws("; ", "errors").alias("errors"))
+
+
+@query(with_(PLAYERS, SLOTS, COUNTS) + "SELECT squad_id, n_xi, n_bench, n_gk, n_def, n_mid, n_fwd FROM counts")
+def squad_position_counts(spark, sf_dir):
+    return squad.position_counts(domain.squad_slots(spark, sf_dir))
+
+
+@query(with_(PLAYERS, SLOTS, COUNTS) + "SELECT squad_id, CASE WHEN n_xi = 11 AND n_gk = 1 AND n_def BETWEEN 3 AND 5 AND n_mid BETWEEN 3 AND 5 AND n_fwd BETWEEN 1 AND 3 THEN n_def || '-' || n_mid || '-' || n_fwd ELSE 'Invalid' END AS formation FROM counts")
+def formation_string(spark, sf_dir):
+    return squad.formations(domain.squad_slots(spark, sf_dir))
+
+
+@query(with_(PLAYERS, SLOTS) + "SELECT squad_id, value_ex_bank, round((value_ex_bank + bank) * 10) / 10 AS value_inc_bank, value_ex_bank AS budget_used_percent, 100 - bank AS spent FROM (SELECT squad_id, sum(round(price * 10)) / 10 AS value_ex_bank, max(bank) AS bank FROM slots GROUP BY squad_id)")
+def squad_value(spark, sf_dir):
+    return squad.values(domain.squad_slots(spark, sf_dir))
+
+
+@query(with_(PLAYERS, SLOTS) + "SELECT squad_id, count(DISTINCT team) AS n_teams FROM slots JOIN players USING (id) GROUP BY squad_id")
+def squad_teams(spark, sf_dir):
+    return squad.team_counts(domain.squad_slots(spark, sf_dir), domain.enriched(spark, sf_dir))
+
+
+@query(with_(PLAYERS, SLOTS) + "SELECT * FROM slots WHERE squad_id NOT IN (1, 3)")
+def squad_json(spark, sf_dir):
+    """Slots to nested squads, to JSON, back, and to slots again, without the squads that break rules on slots."""
+    slots = domain.squad_slots(spark, sf_dir).where("squad_id NOT IN (1, 3)")
+    written = readers.squads_to_json(squad.nested(slots)).select("squad_id", "json")
+    return squad.slots_of(readers.parse_squads(written).where("problem IS NULL"))
+
+
+PANEL_SQL = [PLAYERS, FIXTURES, LIVE, PANEL]
+
+
+@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, points, minutes, goals_scored, assists, ict_index, expected_goals, expected_assists, price, selected_by_percent, name, position, team, fixture_difficulty, is_home FROM panel")
+def panel_joined(spark, sf_dir):
+    return domain.panel(spark, sf_dir)
+
+
+@query(with_(*PANEL_SQL) + "SELECT count(*) AS n_rows, min(gameweek) AS first_gameweek, max(gameweek) AS last_gameweek, count(DISTINCT player_id) AS n_players FROM panel")
+def panel_summary(spark, sf_dir):
+    return panel.summary(domain.panel(spark, sf_dir))
+
+
+def rolling_sql() -> str:
+    means = [f"floor(avg({c}) OVER (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) * 1000000 + CAST(0.5 AS DOUBLE)) / 1000000 AS {short}_avg_{n}" for c, short in features.ROLLED.items() for n in features.SPANS]
+    return with_(*PANEL_SQL) + f"SELECT player_id, gameweek, {', '.join(means)} FROM panel"
+
+
+@query(rolling_sql())
+def rolling_means(spark, sf_dir):
+    rows = features.time_features(domain.panel(spark, sf_dir))
+    return rows.select("player_id", "gameweek", *[rounding.half_up(F.col(f"{short}_avg_{n}"), 6).alias(f"{short}_avg_{n}") for short in features.ROLLED.values() for n in features.SPANS])
+
+
+@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, avg(points) OVER (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS form_3gw, avg(points) OVER (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS form_5gw FROM panel")
+def form_columns(spark, sf_dir):
+    return features.time_features(domain.panel(spark, sf_dir)).select("player_id", "gameweek", "form_3gw", "form_5gw")
+
+
+def trend_sql(c: str) -> str:
+    return f"coalesce(({c} - lag({c}, 2) {ORDER}) / 2, {c} - lag({c}, 1) {ORDER}, 0) AS {c}_trend"
+
+
+@query(with_(*PANEL_SQL) + f"SELECT player_id, gameweek, {trend_sql('points')}, {trend_sql('minutes')} FROM panel")
+def trends(spark, sf_dir):
+    return features.time_features(domain.panel(spark, sf_dir)).select("player_id", "gameweek", "points_trend", "minutes_trend")
+
+
+@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, " + ", ".join(f"floor(coalesce(stddev_samp({c}) OVER (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0) * 1000 + CAST(0.5 AS DOUBLE)) / 1000 AS {c}_std_5" for c in ("points", "minutes")) + " FROM panel")
+def rolling_std(spark, sf_dir):
+    rows = features.time_features(domain.panel(spark, sf_dir))
+    return rows.select("player_id", "gameweek", *[rounding.half_up(F.col(f"{c}_std_5"), 3).alias(f"{c}_std_5") for c in ("points", "minutes")])
+
+
+@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, price - first_value(price) OVER w AS price_change_3gw, selected_by_percent - first_value(selected_by_percent) OVER w AS ownership_change_3gw FROM panel WINDOW w AS (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def changes(spark, sf_dir):
+    return features.time_features(domain.panel(spark, sf_dir)).select("player_id", "gameweek", "price_change_3gw", "ownership_change_3gw")
+
+
+@query(with_(*PANEL_SQL) + f"SELECT player_id, gameweek, lead(points, 1) {ORDER} AS next_gameweek_points FROM panel")
+def next_target(spark, sf_dir):
+    return features.target(domain.panel(spark, sf_dir)).select("player_id", "gameweek", "next_gameweek_points")
+
+
+@query(with_(*PANEL_SQL) + f"SELECT player_id, gameweek, lead(points, 3) {ORDER} + lead(points, 1) {ORDER} + lead(points, 2) {ORDER} AS fixed, lead(points, 3) {ORDER} + lead(points, 2) {ORDER} + lead(points, 3) {ORDER} AS compat FROM panel")
+def horizon_target(spark, sf_dir):
+    rows = domain.panel(spark, sf_dir)
+    fixed = features.target(rows, 3).withColumnRenamed("next_gameweek_points", "fixed")
+    return features.target(fixed, 3, compat=True).select("player_id", "gameweek", "fixed", F.col("next_gameweek_points").alias("compat"))
+
+
+@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, CASE WHEN goals_scored = 0 THEN CAST(0 AS DOUBLE) ELSE points / goals_scored END AS a, CAST(0 AS DOUBLE) AS b, CASE WHEN gameweek % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE points END AS c FROM panel")
+def feature_fill(spark, sf_dir):
+    rows = domain.panel(spark, sf_dir).selectExpr("player_id", "gameweek", "CASE WHEN goals_scored = 0 THEN double('inf') ELSE points / goals_scored END AS a", "double('nan') AS b", "CASE WHEN gameweek % 3 <> 0 THEN points END AS c")
+    return features.filled(rows, ["a", "b", "c"])
+
+
+@query(with_(*PANEL_SQL) + "SELECT gameweek, CAST(place AS INTEGER) AS place, place <= floor(n * 0.8) AS train FROM (SELECT gameweek, row_number() OVER (ORDER BY gameweek) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT gameweek FROM panel))")
+def train_test_split(spark, sf_dir):
+    return panel.split_gameweeks(domain.panel(spark, sf_dir))
+
+
+PREDICTION_SQL = [PLAYERS, LIVE, PREDICTIONS]
+CONFIDENCE = "least(greatest(CAST(0.8 AS DOUBLE) - predicted_points * CAST(0.02 AS DOUBLE), CAST(0.3 AS DOUBLE)), CAST(0.95 AS DOUBLE))"
+
+
+@query(with_(*PREDICTION_SQL) + f"SELECT player_id, position, predicted_points, CAST(rank AS INTEGER) AS rank, {CONFIDENCE} AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY predicted_points DESC, player_id) AS rank FROM predictions) WHERE rank <= 5")
+def top_by_position(spark, sf_dir):
+    return select.top_by_position(domain.predictions(spark, sf_dir)).select("player_id", "position", "predicted_points", "rank", "confidence")
+
+
+@query(with_(*PREDICTION_SQL) + "SELECT player_id, position, predicted_points FROM predictions ORDER BY predicted_points DESC, player_id LIMIT 10")
+def top_overall(spark, sf_dir):
+    return select.top_overall(domain.predictions(spark, sf_dir)).select("player_id", "position", "predicted_points")
+
+
+@query(with_(*PREDICTION_SQL) + "SELECT player_id + 1000000 * (player_id % 2) AS player_id, predicted_points, CASE WHEN player_id % 2 = 1 THEN 'Player ' || (player_id + 1000000) ELSE p.name END AS name, CASE WHEN player_id % 2 = 1 THEN 'Unknown' ELSE coalesce(n_name, 'Unknown') END AS team_name FROM predictions r JOIN players p ON p.id = player_id LEFT JOIN nation ON p.team = n_nationkey")
+def predictions_named(spark, sf_dir):
+    rows = domain.predictions(spark, sf_dir).selectExpr("player_id + 1000000 * (player_id % 2) AS player_id", "predicted_points")
+    return select.name_predictions(rows, enrich.current_players(domain.players(spark, sf_dir), domain.teams(spark, sf_dir), []))
+
+
+@query(with_(*PREDICTION_SQL) + "SELECT player_id, price, predicted_points FROM predictions WHERE price <= 9.5 AND player_id NOT IN (3, 5, 8)")
+def predictions_affordable(spark, sf_dir):
+    return filters.affordable(domain.predictions(spark, sf_dir), 9.5, [3, 5, 8]).select("player_id", "price", "predicted_points")
+
+
+def formation_sql(formation: str) -> str:
+    start = dict(zip(constants.POSITIONS.values(), constants.FORMATIONS[formation], strict=True))
+    total = dict(zip(constants.POSITIONS.values(), constants.SQUAD_PLACES, strict=True))
+    case = lambda d: "CASE pos " + " ".join(f"WHEN '{p}' THEN {n}" for p, n in d.items()) + " END"
+    return f"team AS (SELECT player_id, pos, price, predicted_points, CAST(rank AS INTEGER) AS rank, CASE WHEN rank <= {case(start)} THEN 'xi' ELSE 'bench' END AS section FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY predicted_points DESC, player_id) AS rank FROM predictions) WHERE rank <= {case(total)})"
+
+
+for _formation in constants.FORMATIONS:
+    _name = f"formation_select_{_formation.replace('-', '')}"
+    QUERIES[_name] = lambda spark, sf_dir, f=_formation: select.by_formation(domain.predictions(spark, sf_dir), f).select("player_id", "pos", "price", "predicted_points", "rank", "section")
+    SQL[_name] = with_(*PREDICTION_SQL, formation_sql(_formation)) + "SELECT * FROM team"
+
+
+@query(with_(*PREDICTION_SQL, formation_sql("3-4-3")) + "SELECT sum(round(price * 10)) / 10 AS total_cost, floor(sum(predicted_points) * 1000 + CAST(0.5 AS DOUBLE)) / 1000 AS expected_points, count(*) AS n_players FROM team")
+def formation_totals(spark, sf_dir):
+    sums = select.formation_totals(select.by_formation(domain.predictions(spark, sf_dir)))
+    return sums.withColumn("expected_points", rounding.half_up(F.col("expected_points"), 3))
+
+
+@query(with_(*PREDICTION_SQL, formation_sql("3-4-3")) + "SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY predicted_points DESC, player_id) AS INTEGER) AS slot_no, player_id AS id, p.name, coalesce(substr(n_name, 1, 3), 'UNK') AS team_short, t.pos, t.price, 100 - sum(round(t.price * 10)) OVER () / 10 AS bank FROM team t JOIN players p ON p.id = player_id LEFT JOIN nation ON p.team = n_nationkey")
+def ai_squad(spark, sf_dir):
+    return select.ai_squad(select.by_formation(domain.predictions(spark, sf_dir)), domain.enriched(spark, sf_dir))
+
+
+for _strategy in STRATEGIES:
+    # a fold that SQL can't express; tests hold it against a restatement in plain Python
+    QUERIES[f"generate_{_strategy}"] = lambda spark, sf_dir, s=_strategy: select.generate(domain.enriched(spark, sf_dir), 100.0, {s: STRATEGIES[s]})
+
+
+@query()
+def generate_all(spark, sf_dir):
+    return select.generate(domain.enriched(spark, sf_dir), 90.0)
+
+
+@query()
+def generate_without_upgrade(spark, sf_dir):
+    return select.generate(domain.enriched(spark, sf_dir), 100.0, upgrade=False)
+
+
+@query(with_(PLAYERS) + """SELECT id, CASE WHEN r10 = floor(r10) THEN '£' || CAST(CAST(r10 AS BIGINT) AS VARCHAR) || 'm' ELSE '£' || printf('%.1f', r10) || 'm' END AS price, printf('%.1f', form) AS form, printf('%.2f', form / 7) AS xg, CAST(id % 90 AS VARCHAR) || 'min' AS minutes,
+       CASE WHEN d >= 0 THEN '+' ELSE '' END || CASE WHEN d10 = floor(d10) THEN CAST(CAST(d10 AS BIGINT) AS VARCHAR) ELSE printf('%.1f', d10) END AS delta, CASE WHEN id % 5 + 1 <= 2 THEN 'Easy' WHEN id % 5 + 1 <= 3 THEN 'Medium' ELSE 'Hard' END AS difficulty
+FROM (SELECT *, floor(CAST(now_cost AS DOUBLE) / 10 * 10 + CAST(0.5 AS DOUBLE)) / 10 AS r10, form - CAST(2.5 AS DOUBLE) AS d, floor((form - CAST(2.5 AS DOUBLE)) * 10 + CAST(0.5 AS DOUBLE)) / 10 AS d10 FROM players)""")
+def format_values(spark, sf_dir):
+    rows = domain.enriched(spark, sf_dir)
+    form = F.col("form")
+    return rows.select("id", formatting.price(F.col("price")).alias("price"), formatting.fixed(form, 1).alias("form"), formatting.fixed(form / 7, 2).alias("xg"), formatting.minutes(F.col("id") % 90).alias("minutes"), formatting.delta(form - 2.5).alias("delta"), formatting.difficulty(F.col("id") % 5 + 1).alias("difficulty"))
+
+
+@query(with_(*enriched_sql(), SCORED) + "SELECT id, CASE label WHEN 'perfect' THEN 'Perfect' WHEN 'good' THEN 'Good' WHEN 'poor' THEN 'Poor' WHEN 'urgent' THEN 'Urgent' ELSE 'Not Playing' END AS label FROM scored")
+def label_texts(spark, sf_dir):
+    return stats.scored(domain.enriched(spark, sf_dir)).select("id", formatting.label_text(F.col("label")).alias("label"))
+
+
+@query(with_(PLAYERS) + "SELECT id, floor((form - 5) * CAST(12.345 AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) / 100 AS rounded, least(greatest(form - 2, 0), 1) AS clamped, form AS parsed FROM players")
+def rounding_values(spark, sf_dir):
+    rows = domain.players(spark, sf_dir).withColumn("x", rounding.number(F.concat(F.col("form"), F.lit("x"))))
+    return rows.select("id", rounding.half_up((F.col("x") - 5) * 12.345).alias("rounded"), rounding.clamp(F.col("x") - 2).alias("clamped"), F.col("x").alias("parsed"))
+
+
+def _temporary(spark: SparkSession, name: str) -> str:
+    """A folder that all executors share: that of checkpoints, or in tests a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sparkrank-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, points, minutes, name, price, is_home FROM panel")
+def csv_roundtrip(spark, sf_dir):
+    path = _temporary(spark, "panel-csv")
+    rows = domain.panel(spark, sf_dir).select("player_id", "gameweek", "points", "minutes", "name", "price", "is_home")
+    readers.write_panel(rows, path, csv=True)
+    return readers.read_panel_csv(spark, path, "player_id long, gameweek int, points double, minutes double, name string, price double, is_home boolean")
+
+
+@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, points, price FROM panel WHERE gameweek = 9")
+def panel_parquet_pruned(spark, sf_dir):
+    path = _temporary(spark, "panel")
+    readers.write_panel(domain.panel(spark, sf_dir), path)
+    return spark.read.parquet(path).where("gameweek = 9").select("player_id", F.col("gameweek").cast("int").alias("gameweek"), "points", "price")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
+def snapshot_latest(spark, sf_dir):
+    """Of two snapshots of the teams the one whose name sorts last."""
+    path = _temporary(spark, "snapshots")
+    teams = domain.table(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS name")
+    teams.limit(3).coalesce(1).write.parquet(path)
+    teams.coalesce(1).write.mode("append").parquet(path)
+    stamped = spark.read.parquet(path).withColumn("at", F.col("_metadata.file_modification_time"))
+    last = stamped.agg(F.max("at").alias("last"))
+    return stamped.join(F.broadcast(last), F.col("at") == F.col("last")).select("id", "name")
+
+
+@query("SELECT id, name, team FROM (VALUES (1, 'Ann Lee', 2), (2, 'Øre Dahl', 1)) t(id, name, team)")
+def bootstrap_json(spark, sf_dir):
+    """A landed upstream document, read with its schema."""
+    path = _temporary(spark, "bootstrap")
+    document = {"elements": [{"id": 1, "first_name": "Ann", "second_name": "Lee", "team": 2}, {"id": 2, "first_name": "Øre", "second_name": "Dahl", "team": 1}], "teams": [], "events": []}
+    spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.text(path)
+    rows = readers.players(readers.bootstrap(spark, path))
+    return rows.select(F.col("id").cast("int").alias("id"), F.concat_ws(" ", "first_name", "second_name").alias("name"), "team")
+
+
+def _trained(spark: SparkSession, sf_dir: str):
+    return model.train(domain.panel(spark, sf_dir), trees=20, depth=6)
+
+
+@query()
+def rf_predict(spark, sf_dir):
+    fitted, _ = _trained(spark, sf_dir)
+    return model.predict(fitted, domain.panel(spark, sf_dir), 20)
+
+
+@query()
+def rf_metrics(spark, sf_dir):
+    return model.metrics(_trained(spark, sf_dir)[1])
+
+
+@query()
+def rf_importance(spark, sf_dir):
+    fitted, tested = _trained(spark, sf_dir)
+    return model.importance(fitted, features.feature_columns(tested), spark)
+
+
+@query(with_(*PREDICTION_SQL) + "SELECT avg(e * e) AS mse, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM (SELECT CAST(round(predicted_points * 10) AS BIGINT) - CAST(now_cost AS BIGINT) AS e FROM predictions JOIN players ON id = player_id)")
+def metric_formulas(spark, sf_dir):
+    rows = domain.predictions(spark, sf_dir).select(F.round(F.col("predicted_points") * 10).cast("long").alias("y"), F.round(F.col("price") * 10).cast("long").alias("p"))
+    return model.metrics(rows, "y", "p").select("mse", "mae", "rmse")

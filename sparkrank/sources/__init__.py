@@ -1 +1 @@
-
+"""Readers and writers of the upstream documents, the panel and squads."""
