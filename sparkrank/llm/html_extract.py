@@ -39,6 +39,8 @@ BOILERPLATE = re.compile(
     r"(?:nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|topbar|toolbar|footer|footnav|colophon|sidebars?|aside|widgets?|ads?|adv|advert|adverts|advertisement|advertising|adbox|adsense|banner|sponsor|sponsors|sponsored|promo|promos|promotion|cookies?|consent|gdpr|"
     r"notices?|notifications?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|sharebar|related|recommended|recommendations|comments?|commentlist|commentform|respond|discussion|disqus|replies|reply|search|searchbox|forms?|copyright|disclaimer|pagination|pager|skip|hidden)[0-9]*\Z"
 )
+#: The first word that marks one whatever follows it.
+BOILERPLATE_FIRST = re.compile(r"(?:nav|navbar|navigation|menu|breadcrumbs?|footer|sidebars?|ads?|advert[a-z]*|sponsor[a-z]*|promo|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|related|recommended|comments?|disqus)\Z")
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 LANDMARKS = {"article", "main"}
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
@@ -51,7 +53,7 @@ def _boilerplate_name(names: str) -> bool:
             continue
         if parts[-1].isdigit() and len(parts) > 1:
             parts.pop()
-        if BOILERPLATE.match(parts[-1].lower()) or BOILERPLATE.match(name.lower()):
+        if BOILERPLATE.match(parts[-1].lower()) or BOILERPLATE.match(name.lower()) or BOILERPLATE_FIRST.match(parts[0].lower()):
             return True
     return False
 
