@@ -10,9 +10,9 @@ shingles end after one. Equal registers estimate the probability Jaccard.
    largest id), so a group of n texts gives 2n pairs. The estimate, then exact figures decide a pair: it links at
    a probability or plain Jaccard of `least` or more.
 3. Links are merged to components. In a bucket that still holds several components, the texts outside its largest
-   one are held against all others, so no link between different texts is lost to the representatives: in a
-   bucket of up to `SMALL` texts pair by pair, in a larger one as blocks of texts against blocks of texts, which
-   a task compares as a whole and of which it returns links only.
+   one are held against all others, so no link between different texts is lost to the representatives. Buckets with
+   the same largest component are compared together, so bands that hold the same texts cost no more than one: blocks
+   of texts meet blocks of texts, and a task compares two blocks as a whole and returns links only.
 
 Each document's class_id is the least doc_id of its component. Null, empty and blank texts link to nothing. A text of
 fewer than five words is one shingle. Rows repeated with the same doc_id count once; rows of a null doc_id take
@@ -38,8 +38,8 @@ BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
 #: Estimates below are far (over 7 standard deviations) from `LEAST` with so many registers.
 SURELY_LESS = 0.6
-#: Texts of a bucket that are compared pair by pair at most, and texts of a block, about, in larger ones.
-SMALL, BLOCK = 64, 128
+#: Texts of a block, about.
+BLOCK = 128
 _U = np.uint64
 
 
@@ -233,17 +233,23 @@ def _bands(signed_texts: DataFrame) -> DataFrame:
     return keyed.select("doc_id", F.xxhash64(piece, "band").alias("bucket"))
 
 
-def _across_blocks(mixed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Links across components in large buckets: texts outside the largest component in blocks, against blocks of all."""
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
-    wanted = mixed.select("doc_id").distinct()
-    held = mixed.join(texts.join(wanted, "doc_id", "left_semi"), "doc_id")
+def _across(mixed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links across components: of every largest component the texts outside it, in blocks, against blocks of all."""
+    every = checkpoint(mixed.groupBy("main", "doc_id").agg(F.min("root").alias("root")))
+    blocks_of = lambda condition: F.ceil(F.count_if(condition) / BLOCK).cast("int")
+    outside = F.col("root") != F.col("main")
+    sizes = every.groupBy("main").agg(blocks_of(outside).alias("rows"), blocks_of(F.lit(True)).alias("columns"))
+    wanted = every.select("doc_id").distinct()
+    texts = docs.where("text is not null").select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    held = every.join(sizes, "main").join(texts, "doc_id")
 
-    def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
-        number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(size) / BLOCK))
-        return rows.withColumn("block", number).groupBy("bucket", "block").agg(F.collect_list(F.struct("doc_id", "root", "text")).alias(name)).drop("block")
+    def blocks(rows: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        """Each block once for every block that it meets, so that hot components spread over the tasks."""
+        number = F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int")
+        made = rows.withColumn(f"at_{own}", number).groupBy("main", f"at_{own}", other).agg(F.collect_list(F.struct("doc_id", "root", "text")).alias(name))
+        return made.select("main", f"at_{own}", name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"at_{other}"))
 
-    both = blocks(held.where("root <> main"), "outside", "few").join(blocks(held, "all", "many"), "bucket").select("few", "many")
+    both = blocks(held.where(outside), "rows", "columns", "few").join(blocks(held, "columns", "rows", "many"), ["main", "at_rows", "at_columns"]).select("few", "many")
     return both.mapInArrow(_block_pairs(least), "a long, b long").distinct()
 
 
@@ -268,14 +274,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # buckets that still hold several components: what the representatives didn't show
     classed = members.select("bucket", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     sizes = classed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.sum("size").alias("all")).where("roots > 1 and all > 2").select("bucket", F.col("top.root").alias("main"), "all", (F.col("all") - F.col("top.size")).alias("outside"))
-    mixed = checkpoint(classed.join(largest, "bucket"))
-    small = mixed.where(F.col("all") <= SMALL)
-    few = small.where("root <> main").select("bucket", F.col("doc_id").alias("x"), F.col("root").alias("root_x"))
-    rest = small.select("bucket", F.col("doc_id").alias("y"), F.col("root").alias("root_y"))
-    across = few.join(rest, "bucket").where("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    near = verified(across.join(pairs, ["a", "b"], "left_anti"), texts, docs, least).select("a", "b")
-    more = checkpoint(near.unionAll(_across_blocks(mixed.where(F.col("all") > SMALL), docs, least)))
+    # in buckets of up to three texts every pair was compared
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.sum("size").alias("all")).where("roots > 1 and all > 3").select("bucket", F.col("top.root").alias("main"))
+    more = checkpoint(_across(classed.join(largest, "bucket"), docs, least))
     if more.take(1):
         roots = components(links.select("a", "b").unionAll(more))
 
