@@ -4,10 +4,11 @@ The top of the tree is shared: pivots (at most `PIVOTS` distinct vectors of leas
 cells, whose covering radii are their rows' largest distances to the pivot. A cell is dealt out in blocks of about
 `BLOCK` rows, however many rows it has; a block is a subtree and gets a cover tree of its own in its task.
 
-A group of queries first meets the blocks of its own cell. Its worst kth score then prunes whole cells: no inner
-product between balls exceeds <c,d> + |c|s + |d|r + rs for centres c, d and radii r, s. Within a pair of blocks the
-same bound prunes pairs of nodes, best bound first, and pairs of leaves are scored by one matrix product. Scores
-are integers below 2**53 and exact in doubles.
+Queries first meet the blocks of their own cell. Their kth scores then prune whole cells: no inner product between
+balls exceeds <c,d> + |c|s + |d|r + rs for centres c, d and radii r, s. What is left of a cell's queries is dealt out in
+groups that meet the cell's blocks. Within such a pair the same bound prunes pairs of nodes against the query node's
+worst kth score, best bound first, and pairs of leaves are scored by one matrix product. Scores are integers
+below 2**53 and exact in doubles.
 
 Equal vectors are searched once, with their k + 1 least ids: more can't be in any result. Ties go to the smaller id,
 a query never finds its own row, and with fewer candidates all are returned. Vectors that are null or hold null or
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-PIVOTS, BLOCK, GROUP, LEAF = 64, 2048, 512, 48
+PIVOTS, BLOCK, GROUP, LEAF = 64, 2048, 1024, 96
+#: In place of an id: none.
+NONE = np.iinfo(np.int64).max
 HITS = "query long, vec_id long, score long"
 
 
@@ -98,7 +101,7 @@ class Search:
     def __init__(self, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> None:
         self.tree, self.k = CoverTree(queries), k
         self.scores = np.full((len(queries), k), -np.inf)
-        self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.ids = np.full((len(queries), k), NONE)
         self.floors = np.full(len(queries), -np.inf) if floors is None else floors
 
     def worst(self, node: int) -> float:
@@ -133,12 +136,17 @@ class Search:
         rows = self.tree.order[slice(*self.tree.rows[a])]
         columns = data.order[slice(*data.rows[b])]
         found = self.tree.points[rows] @ data.points[columns].T
+        hit = found >= np.maximum(self.scores[rows, -1], self.floors[rows])[:, None]
+        some, these = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+        if not len(some):
+            return
+        rows, columns, found = rows[some], columns[these], np.where(hit, found, -np.inf)[np.ix_(some, these)]
         order = np.lexsort((np.broadcast_to(rank[columns], found.shape), -found), axis=1)[:, : self.k]
         picked = np.take_along_axis(found, order, 1)
-        some = columns[order]
         scores = np.concatenate([self.scores[rows], np.repeat(picked, ids.shape[1], axis=1)], axis=1)
-        known = np.concatenate([self.ids[rows], ids[some].reshape(len(rows), -1)], axis=1)
-        scores[known == np.iinfo(np.int64).max] = -np.inf
+        known = np.concatenate([self.ids[rows], ids[columns[order]].reshape(len(rows), -1)], axis=1)
+        scores[known == NONE] = -np.inf
+        known[scores == -np.inf] = NONE
         best = np.lexsort((known, -scores), axis=1)[:, : self.k]
         self.scores[rows], self.ids[rows] = np.take_along_axis(scores, best, 1), np.take_along_axis(known, best, 1)
 
@@ -150,7 +158,7 @@ def _matrix(structs: pa.StructArray, name: str) -> np.ndarray:
 
 
 def _filled(lists: pa.ListArray, width: int) -> np.ndarray:
-    out = np.full((len(lists), width), np.iinfo(np.int64).max)
+    out = np.full((len(lists), width), NONE)
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
     rows = np.repeat(np.arange(len(lists)), sizes)
     out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
@@ -166,7 +174,7 @@ def _search(k: int):
                 queries, data = (batch.column(c)[row].values for c in ("queries", "data"))
                 search = Search(_matrix(queries, "vec"), k, queries.field("floor").to_numpy(zero_copy_only=False))
                 search.meet(CoverTree(_matrix(data, "vec")), _filled(data.field("ids"), k))
-                real = search.ids != np.iinfo(np.int64).max
+                real = search.ids != NONE
                 reps = np.repeat(queries.field("rep").to_numpy(zero_copy_only=False), k).reshape(-1, k)
                 yield pa.record_batch([pa.array(reps[real]), pa.array(search.ids[real]), pa.array(search.scores[real].astype(np.int64))], names=["query", "vec_id", "score"])
 
@@ -194,6 +202,22 @@ def _cells(rows: DataFrame, pivots: np.ndarray, columns: list[str]) -> DataFrame
     return rows.select(*columns).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", cell int, far double")
 
 
+def _reaching(queries: DataFrame, centres: np.ndarray, reach: np.ndarray) -> DataFrame:
+    """rep, vec, floor and every cell but the own one that may hold a score of floor or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
+            bound = x @ centres.T + np.sqrt((x**2).sum(1))[:, None] * np.maximum(reach, 0)[None]
+            bound[:, reach < 0] = -np.inf  # an empty cell
+            floor = batch.column("floor").to_numpy(zero_copy_only=False)
+            row, cell = np.nonzero((bound + 0.25 >= floor[:, None]) & (np.arange(len(reach))[None] != batch.column("cell").to_numpy()[:, None]) & (reach >= 0)[None])
+            part = batch.take(pa.array(row))
+            yield pa.record_batch([part.column("rep"), part.column("vec"), part.column("floor"), pa.array(cell.astype(np.int32))], names=["rep", "vec", "floor", "cell"])
+
+    return queries.select("rep", "vec", "floor", "cell").mapInArrow(run, "rep long, vec array<long>, floor double, cell int")
+
+
 def _blocks(rows: DataFrame, counts: dict[int, int], size: int, fields: list[str], name: str, n_cells: int) -> DataFrame:
     """Rows gathered as arrays of about `size` structs: cell, block and the array."""
     parts = F.array(*[F.lit(-(-counts.get(c, 0) // size) or 1) for c in range(n_cells)])
@@ -233,17 +257,11 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, column: str = "em
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     kth = seeds.withColumn("n", F.row_number().over(ranked)).where(F.col("n") == k + 1).select(F.col("query").alias("rep"), F.col("score").cast("double").alias("floor"))
 
-    # each group's other cells, by bounds between the group's ball and the cell's
+    # the other cells that each query's kth score leaves
     known = queries.join(kth, "rep", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    gathered = _blocks(known, asks, group, ["rep", "vec", "floor", "far"], "queries", n)
-    inner, norms = (centres @ centres.T).tolist(), np.sqrt((centres**2).sum(1)).tolist()
-    cells = sorted(counts)
-    lookup = lambda values, at: F.element_at(F.array(*[F.lit(float(v)) for v in values]), at + 1)
-    other = gathered.select("queries", F.col("cell").alias("home"), F.array_max("queries.far").alias("r"), F.array_min("queries.floor").alias("worst"), F.explode(F.array(*[F.lit(c) for c in cells])).alias("cell")).where("home <> cell")
-    s = lookup([reach.get(c, 0.0) for c in range(n)], F.col("cell"))
-    products = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inner])
-    bound = F.element_at(F.element_at(products, F.col("home") + 1), F.col("cell") + 1) + lookup(norms, F.col("home")) * s + lookup(norms, F.col("cell")) * F.col("r") + F.col("r") * s
-    more = other.where(bound + 0.25 >= F.col("worst")).select("cell", "queries").join(found, "cell").select("queries", "data").mapInArrow(_search(k + 1), HITS)
+    other = checkpoint(_reaching(known, centres, np.array([reach.get(c, -np.inf) for c in range(n)])))
+    left = {r["cell"]: r["n"] for r in other.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    more = _blocks(other, left, group, ["rep", "vec", "floor"], "queries", n).join(found, "cell").select("queries", "data").mapInArrow(_search(k + 1), HITS)
 
     hits = seeds.unionAll(more).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n")
     pairs = owners.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).join(hits, "query").where("query_id <> vec_id")
