@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import confidence
+from . import filters
 from .constants import FORMATIONS, POSITIONS, SQUAD_PLACES, STRATEGIES
 from .stats import scored_by_sets
 
@@ -23,6 +24,11 @@ def top_by_position(predictions: DataFrame, k: int = 5) -> DataFrame:
     return predictions.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("confidence", confidence(F.col("predicted_points")))
 
 
+def merged(tops: DataFrame) -> DataFrame:
+    """The positions' best, at most a few rows each, in one list by predicted points."""
+    return tops.withColumn("place", F.row_number().over(Window.orderBy(F.desc("predicted_points"), "player_id")))
+
+
 def top_overall(predictions: DataFrame, k: int = 10) -> DataFrame:
     return predictions.orderBy(F.desc("predicted_points"), "player_id").limit(k)
 
@@ -141,3 +147,13 @@ def ai_squad(team: DataFrame, players: DataFrame, budget: float = 100.0) -> Data
     filled = rows.select("section", F.row_number().over(order).alias("slot_no"), "id", F.coalesce("known", F.concat(F.lit("Player "), F.col("id").cast("string"))).alias("name"), F.coalesce("known_team", F.lit("T1")).alias("team_short"), F.coalesce("known_pos", F.lit("MID")).alias("pos"), F.coalesce("known_price", F.lit(5.0)).alias("price"))
     cost = filled.agg((F.sum(F.round(F.col("price") * 10)) / 10).alias("cost"))
     return filled.join(F.broadcast(cost)).select("section", "slot_no", "id", "name", "team_short", "pos", "price", (F.lit(budget) - F.col("cost")).alias("bank"))  # one row
+
+
+def ai_or_balanced(predictions: DataFrame, players: DataFrame, budget: float = 100.0, formation: str = "3-4-3", excluded: list[int] = ()) -> DataFrame:
+    """The predictions' team; if they are too few, the balanced squad, with fallback true."""
+    try:
+        kept = filters.affordable(predictions, budget, excluded)
+    except ValueError:
+        rows = generate(players, budget, {"balanced": STRATEGIES["balanced"]}).join(players.select("id", "name", "team_short"), "id")
+        return rows.select("section", "slot_no", "id", "name", "team_short", "pos", "price", "bank", F.lit(True).alias("fallback"))
+    return ai_squad(by_formation(kept, formation), players).withColumn("fallback", F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formatting, scoring
@@ -51,6 +51,7 @@ def validate(slots: DataFrame, most: float = 100.0) -> DataFrame:
     legal = F.lit(False)
     for gk, d, m, f in FORMATIONS.values():
         legal |= (F.col("n_gk") == gk) & (F.col("n_def") == d) & (F.col("n_mid") == m) & (F.col("n_fwd") == f)
+    # fixed values: the texts of the errors
     rules = [
         (F.col("n_xi") != 11, "Starting XI must have exactly 11 players"),
         (F.col("n_bench") != 4, "Bench must have exactly 4 players"),
@@ -119,7 +120,5 @@ def remove_slot(slots: DataFrame, squad_id: int, id_: int) -> DataFrame:
 
 def in_order(slots: DataFrame) -> DataFrame:
     """Slots numbered anew by position, GK first, then as they were."""
-    from pyspark.sql import Window
-
     place = F.array_position(F.array(*[F.lit(p) for p in ("GK", "DEF", "MID", "FWD")]), F.col("pos"))
     return slots.withColumn("slot_no", F.row_number().over(Window.partitionBy("squad_id", "section").orderBy(place, "slot_no")))

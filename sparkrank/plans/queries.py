@@ -511,6 +511,22 @@ def ai_squad(spark, sf_dir):
     return select.ai_squad(select.by_formation(domain.predictions(spark, sf_dir)), domain.enriched(spark, sf_dir))
 
 
+@query(with_(*PREDICTION_SQL) + "SELECT player_id, position, predicted_points, CAST(row_number() OVER (ORDER BY predicted_points DESC, player_id) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY predicted_points DESC, player_id) AS rank FROM predictions) WHERE rank <= 5")
+def top_all_positions(spark, sf_dir):
+    """The positions' best in one list."""
+    return select.merged(select.top_by_position(domain.predictions(spark, sf_dir))).select("player_id", "position", "predicted_points", "place")
+
+
+@query(with_(*PREDICTION_SQL, formation_sql("3-4-3")) + "SELECT section, player_id AS id, false AS fallback FROM team")
+def ai_or_balanced(spark, sf_dir):
+    return select.ai_or_balanced(domain.predictions(spark, sf_dir), domain.enriched(spark, sf_dir)).select("section", "id", "fallback")
+
+
+@query(with_(*PREDICTION_SQL) + "SELECT squad_id, section, CAST(row_number() OVER (PARTITION BY squad_id, section ORDER BY list_position(['GK', 'DEF', 'MID', 'FWD'], pos), slot_no) AS INTEGER) AS slot_no, id FROM (" + with_(PLAYERS, SLOTS) + "SELECT * FROM slots)")
+def squad_order(spark, sf_dir):
+    return squad.in_order(domain.squad_slots(spark, sf_dir)).select("squad_id", "section", "slot_no", "id")
+
+
 for _strategy in STRATEGIES:
     # a fold that SQL can't express; tests hold it against a restatement in plain Python
     QUERIES[f"generate_{_strategy}"] = lambda spark, sf_dir, s=_strategy: select.generate(domain.enriched(spark, sf_dir), 100.0, {s: STRATEGIES[s]})
@@ -569,14 +585,12 @@ def panel_parquet_pruned(spark, sf_dir):
 
 @query("SELECT n_nationkey AS id, n_name AS name FROM nation")
 def snapshot_latest(spark, sf_dir):
-    """Of two snapshots of the teams the one whose name sorts last."""
+    """Of three snapshots the one of the teams whose name sorts last."""
     path = _temporary(spark, "snapshots")
     teams = domain.table(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS name")
-    teams.limit(3).coalesce(1).write.parquet(path)
-    teams.coalesce(1).write.mode("append").parquet(path)
-    stamped = spark.read.parquet(path).withColumn("at", F.col("_metadata.file_modification_time"))
-    last = stamped.agg(F.max("at").alias("last"))
-    return stamped.join(F.broadcast(last), F.col("at") == F.col("last")).select("id", "name")
+    for name, rows in (("teams_20240101", teams.limit(3)), ("teams_20240301", teams), ("zones_20250101", teams.limit(1))):
+        rows.write.parquet(f"{path}/{name}")
+    return readers.latest_snapshot(spark.read.option("recursiveFileLookup", True).parquet(path), "teams_").select("id", "name")
 
 
 @query("SELECT id, name, team FROM (VALUES (1, 'Ann Lee', 2), (2, 'Øre Dahl', 1)) t(id, name, team)")

@@ -69,10 +69,10 @@ def read_panel_csv(spark: SparkSession, path: str, schema: str = schemas.PANEL)
 
 
 def latest_snapshot(df: DataFrame, prefix: str) -> DataFrame:
-    """The rows of df from the file whose name, of those with the prefix, sorts last."""
-    named = df.withColumn("_file", F.col("_metadata.file_name")).where(F.col("_file").startswith(prefix))
-    last = named.agg(F.max("_file").alias("_last"))
-    return named.join(F.broadcast(last), F.col("_file") == F.col("_last")).drop("_file", "_last")  # one row
+    """The rows of df from the file or folder whose name, of those with the prefix, sorts last."""
+    named = df.withColumn("_snapshot", F.regexp_extract(F.col("_metadata.file_path"), rf"/({prefix}[^/]*)(?:/|$)", 1)).where("_snapshot <> ''")
+    last = named.agg(F.max("_snapshot").alias("_last"))
+    return named.join(F.broadcast(last), F.col("_snapshot") == F.col("_last")).drop("_snapshot", "_last")  # one row
 
 
 def refresh(*frames: DataFrame) -> None:

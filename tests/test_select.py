@@ -97,3 +97,11 @@ def test_formation_equals_the_walk(spark, formation):
 def test_budget_is_checked(spark):
     with pytest.raises(ValueError):
         select.generate(None, 10.0)
+
+
+def test_too_few_predictions_fall_back(spark, sf_dir):
+    from sparkrank.plans import domain
+
+    players = domain.enriched(spark, sf_dir)
+    found = select.ai_or_balanced(domain.predictions(spark, sf_dir).limit(4), players).collect()
+    assert found and all(r["fallback"] for r in found)
