@@ -1,5 +1,8 @@
 """WARC archives: writing with segmented and revisit records, and reassembly.
 
+Record ids hold the page_id and the payload's digest, so only rows that repeat both share one; their segments are
+equal, and reading gives back as many rows as there are first segments.
+
 Writing: a page whose payload equals that of a page with a larger page_id is a revisit of the one with the largest;
 all others are responses (rows that repeat the largest page_id all are). A response's HTTP message has its payload
 in chunked transfer framing and is cut into segments: the first record, then continuation records that name it as
@@ -85,7 +88,7 @@ def _record(headers: list[tuple[str, str | int | None]], block: bytes) -> str:
 
 def records_of(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[str]:
     url = re.sub(r"[\r\n]", "", url).replace("WARC/1.1", "WARC%2F1.1") if url is not None else None
-    name = lambda k, n=1: f"<urn:page:{k}>" if n == 1 else f"<urn:page:{k}:{n}>"
+    name = lambda k, n=1: f"<urn:page:{k}:{digest}>" if n == 1 else f"<urn:page:{k}:{digest}:{n}>"
     shared = [("WARC-Target-URI", url), ("WARC-Date", FIXED_DATE), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -160,8 +163,12 @@ def read_archives(df: DataFrame) -> DataFrame:
     records = read_records(df)
     whole = records.where("type = 'response' and number is null").select("record", "digest", F.lit(None).cast("long").alias("total"), F.array(F.lit(1)).alias("numbers"), F.array("block").alias("block"))
     parts = records.where("number is not null").withColumn("origin", F.coalesce("origin", "record"))
+    # rows that repeat a page have the same segments: each counts once in a block, first ones say how many rows
+    parts = parts.groupBy("origin", "number", "block").agg(F.max("digest").alias("digest"), F.max("total").alias("total"), F.count("*").alias("copies"))
     ordered = F.sort_array(F.collect_list(F.struct("number", "block")))
-    joined = parts.groupBy("origin").agg(F.max("digest").alias("digest"), F.max("total").alias("total"), ordered.alias("s")).select(F.col("origin").alias("record"), "digest", "total", F.col("s.number").alias("numbers"), F.col("s.block").alias("block"))
+    copies = F.coalesce(F.max(F.when(F.col("number") == 1, F.col("copies"))), F.lit(1))
+    joined = parts.groupBy("origin").agg(F.max("digest").alias("digest"), F.max("total").alias("total"), ordered.alias("s"), copies.alias("copies"))
+    joined = joined.select(F.col("origin").alias("record"), "digest", "total", F.col("s.number").alias("numbers"), F.col("s.block").alias("block"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
     decoded = "record string, payload_bytes long, payload_digest string"
     page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)", 1).cast("long")
     responses = whole.mapInArrow(_payload, decoded).unionByName(joined.mapInArrow(_payload, decoded)).select(page("record").alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))

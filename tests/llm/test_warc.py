@@ -37,3 +37,11 @@ def test_a_lost_segment_is_told(spark, tmp_path):
     lines = warc.archive_lines(spark, path)
     with pytest.raises(Exception, match="segments"):
         warc.read_archives(lines.where("value NOT LIKE '%WARC-Segment-Number: 2%'")).collect()
+
+
+def test_repeated_rows_come_back_as_often(spark, tmp_path):
+    rows = [(1, "u", "text " * 2000)] * 3 + [(1, "u", "other " * 2000), (2, "u", "x"), (2, "u", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "r"), 500)
+    found = warc.read_archives(warc.archive_lines(spark, str(tmp_path / "r"))).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in found) == [(1, 10000)] * 3 + [(1, 12000)] + [(2, 1)] * 2
