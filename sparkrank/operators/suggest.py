@@ -17,16 +17,20 @@ REQUEST = "request_id long, player_id long, position string, max_price double, e
 def suggest(players: DataFrame, requests: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS, limit: int = 5) -> DataFrame:
     """For each request its best available candidates of the position within the price, and their gain in score.
 
-    Requests join candidates on the position; a position's candidates are pruned to each request's top `limit`
-    before and after the shuffle. A request for an unknown player has no rows.
+    Of the players of one position and price a request takes at most `limit`, and passes over at most its own and the
+    excluded ones. So only so many of each price meet the requests: a table bounded by prices, however many players
+    there are, which Spark broadcasts by its size. A request for an unknown player has no rows.
     """
     if not 1 <= limit <= 10:
         raise ValueError("a limit is 1 to 10")
     scored = players.withColumn("score", scoring.score(weights))
     current = scored.select(F.col("id").alias("player_id"), F.col("score").alias("current_score"))
-    asked = requests.join(current, "player_id")
-    joined = asked.join(scored.where("status = 'a'"), (asked["position"] == scored["pos"]) & (scored["price"] <= asked["max_price"]) & (scored["id"] != asked["player_id"]))
-    open_ = joined.where(~F.array_contains(F.coalesce("exclude_ids", F.array().cast("array<long>")), F.col("id")))
+    asked = requests.withColumn("exclude_ids", F.coalesce("exclude_ids", F.array().cast("array<long>"))).join(current, "player_id")
+    excluded = requests.agg(F.max(F.size(F.coalesce("exclude_ids", F.array().cast("array<long>"))))).first()[0] or 0
+    in_price = F.row_number().over(Window.partitionBy("pos", "price").orderBy(F.desc("score"), "ord", "id"))
+    best = scored.where("status = 'a'").withColumn("in_price", in_price).where(F.col("in_price") <= limit + excluded + 1)
+    joined = asked.join(best, (asked["position"] == best["pos"]) & (best["price"] <= asked["max_price"]) & (best["id"] != asked["player_id"]))
+    open_ = joined.where(~F.array_contains("exclude_ids", F.col("id")))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "ord", "id"))
     top = open_.withColumn("rank", rank).where(F.col("rank") <= limit)
     return top.select("request_id", "player_id", "rank", "id", "name", "team_short", "price", "score", half_up(F.col("score") - F.col("current_score")).alias("delta"))
@@ -36,16 +40,24 @@ def slot_suggestions(slots: DataFrame, players: DataFrame, weights: Mapping[str,
     """For each starting slot of each squad the available candidates outside the squad that its money buys and whose
     score lies within `band` of the current one, those farthest from it first.
 
-    slots: squad_id, section (xi or bench), slot_no, id, pos, price and bank. Candidates join on the position; the anti
-    join on squad and id runs after the cut of prices and scores.
+    slots: squad_id, section (xi or bench), slot_no, id, pos, price and bank. Of the players of one position, price and
+    score a slot takes at most `limit` and passes over its squad's, so more never meet a slot. Slots meet candidates
+    by position and score interval: three intervals as wide as the band hold all scores within it.
     """
     scored = players.withColumn("score", scoring.score(weights))
     now = scored.select(F.col("id"), F.col("pos").alias("now_pos"), F.col("score").alias("now_score"))
-    starting = slots.where("section = 'xi'").join(now, "id").select("squad_id", "slot_no", F.col("id").alias("current_id"), "now_pos", "now_score", (F.round(F.col("price") * 10) + F.round(F.col("bank") * 10)).alias("tenths"))
-    candidates = scored.where("status = 'a'").select("id", "ord", "name", "pos", "price", "score")
-    fits = (F.col("now_pos") == F.col("pos")) & (F.round(F.col("price") * 10) <= F.col("tenths")) & (F.abs(F.col("score") - F.col("now_score")) <= band) & (F.col("id") != F.col("current_id"))
-    joined = starting.join(candidates, fits)
-    outside = joined.join(slots.select("squad_id", "id").distinct(), ["squad_id", "id"], "left_anti")
+    tenths = F.round(F.col("price") * 10) + F.round(F.col("bank") * 10)
+    starting = slots.where("section = 'xi'").join(now, "id").select("squad_id", "slot_no", F.col("id").alias("current_id"), "now_pos", "now_score", tenths.alias("tenths"))
+    in_band = lambda c: F.floor(F.round(F.col(c) * 100) / round(band * 100))  # noqa: E731  whole hundredths: exact
+    interval = in_band("now_score")
+    spread = starting.withColumn("interval", F.explode(F.array(interval - 1, interval, interval + 1)))
+    most = slots.groupBy("squad_id").count().agg(F.max("count")).first()[0] or 0
+    in_cell = F.row_number().over(Window.partitionBy("pos", "price", "score").orderBy("ord", "id"))
+    few = scored.where("status = 'a'").withColumn("in_cell", in_cell).where(F.col("in_cell") <= limit + most)
+    candidates = few.select("id", "ord", "name", F.col("pos").alias("now_pos"), "price", "score", in_band("score").alias("interval"))
+    joined = spread.join(candidates, ["now_pos", "interval"])
+    fits = (F.round(F.col("price") * 10) <= F.col("tenths")) & (F.abs(F.col("score") - F.col("now_score")) <= band) & (F.col("id") != F.col("current_id"))
+    outside = joined.where(fits).join(slots.select("squad_id", "id").distinct(), ["squad_id", "id"], "left_anti")
     far = F.abs(F.col("score") - F.col("now_score"))
     rank = F.row_number().over(Window.partitionBy("squad_id", "slot_no").orderBy(far.desc(), "ord", "id"))
     return outside.withColumn("rank", rank).where(F.col("rank") <= limit).select("squad_id", "slot_no", "current_id", "rank", "id", "name", "price", half_up(F.col("score") - F.col("now_score")).alias("delta"))
