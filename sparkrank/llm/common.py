@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text that one numpy pass holds; a longer single text is a pass of its own.
-PASS_BYTES = 2 << 20
+#: Bytes of text and rows that one numpy pass holds; a longer single text is a pass of its own.
+PASS_BYTES, PASS_ROWS = 1 << 20, 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,17 +44,17 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 
 
 def passes(batches: Iterable[pa.RecordBatch], text: str, most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about `most` bytes of the text column."""
+    """Cuts batches so that each holds about `most` bytes of the text column and PASS_ROWS rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for row, size in enumerate(sizes.tolist()):
-            if held and held + size > most:
+            if held and (held + size > most or row - start >= PASS_ROWS):
                 yield batch.slice(start, row - start)
                 start, held = row, 0
-            held += size
+            held += max(size, 1)
         yield batch.slice(start)
 
 

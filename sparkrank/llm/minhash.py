@@ -38,8 +38,8 @@ BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
 #: Estimates below are far (over 7 standard deviations) from `LEAST` with so many registers.
 SURELY_LESS = 0.6
-#: Texts of a block, about.
-BLOCK = 128
+#: Texts of a block, about, and equal shingles that a comparison of blocks holds at once.
+BLOCK, MEETS = 128, 500_000
 _U = np.uint64
 
 
@@ -144,19 +144,29 @@ def block_links(few: list[tuple[np.ndarray, np.ndarray]], many: list[tuple[np.nd
     (i, x, p), (j, y, q) = flat(few), flat(many)
     by = np.argsort(y)
     j, y, q = j[by], y[by], q[by]
-    low, high = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
-    size = high - low
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-    cell = np.repeat(i, size) * m + j[at]
-    count = lambda w: np.bincount(cell, w, n * m).reshape(n, m)
-    common = count(None)
-    union = np.array([len(v) for v, _ in few])[:, None] + np.array([len(v) for v, _ in many])[None] - common
-    links = common >= least * union
-    links &= common > 0
-    # what is common holds at least the probability Jaccard in either text's share of weights
-    bound = np.minimum(count(np.repeat(p, size)), count(q[at])) + 1e-9
-    for a, b in np.argwhere(~links & (bound >= least)):
-        links[a, b] = similarities(few[a], many[b])[0] >= least
+    low = np.searchsorted(y, x, "left")
+    size = np.searchsorted(y, x, "right") - low
+    links = np.zeros((n, m), bool)
+    lengths_few, lengths_many = (np.array([len(v) for v, _ in sets]) for sets in (few, many))
+    cuts = np.concatenate([[0], np.cumsum(lengths_few)])
+    meets = np.concatenate([[0], np.cumsum(size)])[cuts]  # how many equal shingles the texts so far have
+    row = 0
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(meets, meets[row] + MEETS, "right")) - 1)
+        part = slice(cuts[row], cuts[end])
+        each, k = size[part], end - row
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low[part], each)
+        cell = np.repeat(i[part] - row, each) * m + j[at]
+        count = lambda w, cell=cell, k=k: np.bincount(cell, w, k * m).reshape(k, m)
+        common = count(None)
+        union = lengths_few[row:end, None] + lengths_many[None] - common
+        found = (common >= least * union) & (common > 0)
+        # what is common holds at least the probability Jaccard in either text's share of weights
+        bound = np.minimum(count(np.repeat(p[part], each)), count(q[at])) + 1e-9
+        for a, b in np.argwhere(~found & (bound >= least)):
+            found[a, b] = similarities(few[row + a], many[b])[0] >= least
+        links[row:end] = found
+        row = end
     return links
 
 
