@@ -72,11 +72,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(rows, "player_id").withColumn("pos", enriching.position("position"))
 
 
-SQUADS = 12
+SQUADS = 10
 
 
 def squad_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squads 0 to 11 from consecutive players of each position; some break the rules (see SQUAD_SLOTS in queries)."""
+    """Squads 0 to 9 from consecutive players of each position; some break the rules (1: no forwards, 2: too dear, 3: a player twice)."""
     rows = players(spark, sf_dir).withColumn("pos", enriching.position("element_type"))
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy("id")) - 1).where(F.col("r") < SQUADS * 5)
     per = F.when(F.col("pos") == "GK", 2).when(F.col("pos") == "FWD", 3).otherwise(5)

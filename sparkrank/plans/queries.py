@@ -93,7 +93,7 @@ SLOTS = """slots AS (
         FROM (SELECT *, r % per AS k FROM (
             SELECT *, row_number() OVER (PARTITION BY pos ORDER BY id) - 1 AS r, CASE pos WHEN 'GK' THEN 2 WHEN 'FWD' THEN 3 ELSE 5 END AS per,
                    CASE pos WHEN 'GK' THEN 1 WHEN 'FWD' THEN 2 ELSE 4 END AS starts FROM players))
-    ) WHERE squad_id < 12 AND NOT (squad_id = 1 AND pos = 'FWD')
+    ) WHERE squad_id < 10 AND NOT (squad_id = 1 AND pos = 'FWD')
 )"""
 ORDER = "OVER (PARTITION BY player_id ORDER BY gameweek)"
 
