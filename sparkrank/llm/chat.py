@@ -7,9 +7,12 @@ and text, null turns first; null roles and texts count as empty. A conversation
 
 For a batch of turns the lengths of all headers, contents and footers give offsets by a cumulative sum, and one
 gather from the source bytes fills one buffer, which becomes the Arrow column as it is. The output has a row for
-each run of a conversation's turns within a batch: conv_id, part, formatted, and where the loss mask starts and
-ends, in bytes. So a conversation of any length is never held whole; its parts follow each other in one
-partition, as a digest of all its text needs its turns in order.
+each run of a conversation's turns within a batch: conv_id, part (increasing in the order of the turns), formatted, and
+where the loss mask starts and ends, in bytes. Turns are dealt out by ranges of conversation, turn, role and text,
+so a conversation of any length spreads over tasks and is never held whole.
+
+Reading back sorts the parts of each conversation and streams them through one reader, as a digest of all its text
+needs its turns in order; the reader holds one part and the digests' states.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +79,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, part = object(), 0
+    part = TaskContext.get().partitionId() << 32  # ranges are in order, so the parts of a conversation are
     for batch in passes(batches, "text"):
         data, turns, segments = assemble(batch.column("role"), batch.column("text"))
         ids = batch.column("conv_id").to_pylist()
@@ -84,10 +88,9 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.append(change, len(ids))
         keys, parts, starts, ends = [], [], [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            part = part + 1 if ids[a] == last else 0
-            last = ids[a]
-            keys.append(last)
+            keys.append(ids[a])
             parts.append(part)
+            part += 1
             taught = np.flatnonzero(learned[a:b]) + a
             starts.append(segments[5 * taught + 3] - turns[a])
             ends.append(segments[5 * taught + 4] - turns[a])
@@ -97,10 +100,11 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """The formatted parts of every conversation, in order within its partition."""
+    """The formatted parts of every conversation."""
     kind = dict(conversations.dtypes)["conv_id"]
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_format, FORMATTED.format(id=kind))
+    order = ["conv_id", "turn", "role", "text"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_format, FORMATTED.format(id=kind))
 
 
 class _Reader:
@@ -134,8 +138,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now: _Reader | None = None
     for batch in batches:
         done = []
-        for conv_id, part, raw, starts, ends in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if part == 0:
+        for conv_id, _, raw, starts, ends in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if now is None or now.conv_id != conv_id:
                 if now:
                     done.append(now.row())
                 now = _Reader(conv_id)
@@ -153,4 +157,5 @@ def _rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, from the formatted bytes and their loss mask alone."""
-    return formatted.mapInArrow(_read, DIGESTS.format(id=dict(formatted.dtypes)["conv_id"]))
+    ordered = formatted.select("conv_id", "part", "formatted", "loss_starts", "loss_ends").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return ordered.mapInArrow(_read, DIGESTS.format(id=dict(formatted.dtypes)["conv_id"]))
