@@ -38,6 +38,8 @@ BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
 #: Estimates below are far (over 7 standard deviations) from `LEAST` with so many registers.
 SURELY_LESS = 0.6
+#: Tasks over which the copies of one text are dealt out.
+SALTS = 16
 #: Texts of a block, about, and equal shingles that a comparison of blocks holds at once.
 BLOCK, MEETS = 128, 500_000
 _U = np.uint64
@@ -243,6 +245,15 @@ def _bands(signed_texts: DataFrame) -> DataFrame:
     return keyed.select("doc_id", F.xxhash64(piece, "band").alias("bucket"))
 
 
+def _salted(rows: DataFrame, groups: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
+    """rows joined to their groups, of which many rows may have the same one: its rows are dealt out over `salts` tasks.
+
+    rows have a doc_id. groups have a row for each key and are few against rows, so `salts` times as many do no harm.
+    """
+    dealt = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts))).join(dealt, [*keys, "salt"]).drop("salt")
+
+
 def _across(mixed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Links across components: of every largest component the texts outside it, in blocks, against blocks of all."""
     every = checkpoint(mixed.groupBy("main", "doc_id").agg(F.min("root").alias("root")))
@@ -268,7 +279,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     base = checkpoint(signed(docs.where("doc_id is not null")))
     solid = base.where("n_shingles > 0")
     copies = solid.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
-    copied = checkpoint(solid.select("doc_id", "c1", "c2").join(copies, ["c1", "c2"]).where("doc_id <> first").groupBy("doc_id").agg(F.min("first").alias("first")))
+    copied = checkpoint(_salted(solid.select("doc_id", "c1", "c2"), copies, ["c1", "c2"]).where("doc_id <> first").groupBy("doc_id").agg(F.min("first").alias("first")))
     texts = solid.select("doc_id", "signature").join(copied, "doc_id", "left_anti").dropDuplicates(["doc_id"])
 
     # buckets of more than one text, and their members
@@ -290,7 +301,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     if more.take(1):
         roots = components(links.select("a", "b").unionAll(more))
 
-    joined = copied.select(F.col("doc_id"), F.col("first").alias("node")).join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
+    firsts = copied.select(F.col("first").alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class_id"))
+    joined = _salted(copied.select("doc_id", F.col("first").alias("node")), firsts, ["node"]).select("doc_id", "class_id")
     own = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
     classes = joined.unionAll(own)
     return base.select("doc_id").distinct().join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
