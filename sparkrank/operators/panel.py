@@ -20,6 +20,12 @@ def panel(live: DataFrame, static: DataFrame, fixtures: DataFrame) -> DataFrame:
     return joined.select(*[c for c in rows.columns], F.coalesce("f.difficulty", F.lit(3)).alias("fixture_difficulty"), F.coalesce("f.is_home", F.lit(True)).alias("is_home"))
 
 
+def between(panel_: DataFrame, start: int = 1, end: int | None = None) -> DataFrame:
+    """The gameweeks from start to end (the last by default); on a panel stored by gameweek only their folders are read."""
+    rows = panel_.where(F.col("gameweek") >= start)
+    return rows if end is None else rows.where(F.col("gameweek") <= end)
+
+
 def summary(panel_: DataFrame) -> DataFrame:
     return panel_.agg(F.count("*").alias("n_rows"), F.min("gameweek").alias("first_gameweek"), F.max("gameweek").alias("last_gameweek"), F.countDistinct("player_id").alias("n_players"))
 

@@ -33,6 +33,13 @@ def top_overall(predictions: DataFrame, k: int = 10) -> DataFrame:
     return predictions.orderBy(F.desc("predicted_points"), "player_id").limit(k)
 
 
+def report(predictions: DataFrame) -> DataFrame:
+    """Lines of a report: the best five of each position, then the best ten of all."""
+    line = lambda df, section, rank: df.select(section.alias("section"), rank.alias("rank"), F.format_string("%d. player %d, %.2f points", rank, F.col("player_id"), F.col("predicted_points")).alias("line"))
+    tops = top_by_position(predictions)
+    return line(tops, F.concat(F.lit("position "), F.col("position").cast("string")), F.col("rank")).unionByName(line(merged(top_overall(predictions)), F.lit("all"), F.col("place")))
+
+
 def name_predictions(predictions: DataFrame, players: DataFrame) -> DataFrame:
     """Predictions with name and team_name of the current players; unknown ones get a made-up name."""
     known = players.select(F.col("id").alias("player_id"), F.col("name").alias("known_name"), F.col("team_name").alias("known_team"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import formatting, rounding, scoring, text
 from ..operators import constants, enrich, features, filters, model, panel, search, select, squad, stats, suggest
 from ..operators.constants import DEFAULT_WEIGHTS, PRESETS, STRATEGIES
-from ..sources import readers
+from ..sources import mock, readers
 from . import domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -398,6 +398,20 @@ def panel_joined(spark, sf_dir):
     return domain.panel(spark, sf_dir)
 
 
+@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, points FROM panel WHERE gameweek BETWEEN 14 AND 17")
+def panel_range(spark, sf_dir):
+    return panel.between(domain.panel(spark, sf_dir), 14, 17).select("player_id", "gameweek", "points")
+
+
+def uniform_sql(salt: str) -> str:
+    return f"(CAST(CAST('0x' || substr(md5(id || ':{salt}'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296)"
+
+
+@query(with_(PLAYERS) + f"SELECT id, {uniform_sql('xg90')} * CAST(0.8 AS DOUBLE) AS xg90, {uniform_sql('xa90')} * CAST(0.6 AS DOUBLE) AS xa90, CAST(floor({uniform_sql('exp_min')} * 90) AS DOUBLE) AS exp_min, {uniform_sql('avg_points')} * 15 + 2 AS avg_points, ({uniform_sql('avg_points')} * 15 + 2) / ({uniform_sql('price')} * 10 + 4) AS value, {uniform_sql('ownership')} * 100 AS ownership FROM players")
+def mock_advanced(spark, sf_dir):
+    return mock.advanced(domain.players(spark, sf_dir))
+
+
 @query(with_(*PANEL_SQL) + "SELECT count(*) AS n_rows, min(gameweek) AS first_gameweek, max(gameweek) AS last_gameweek, count(DISTINCT player_id) AS n_players FROM panel")
 def panel_summary(spark, sf_dir):
     return panel.summary(domain.panel(spark, sf_dir))
@@ -476,6 +490,15 @@ def top_overall(spark, sf_dir):
     return select.top_overall(domain.predictions(spark, sf_dir)).select("player_id", "position", "predicted_points")
 
 
+@query(with_(*PREDICTION_SQL) + """, tops AS (
+    SELECT *, row_number() OVER (PARTITION BY position ORDER BY predicted_points DESC, player_id) AS rank, row_number() OVER (ORDER BY predicted_points DESC, player_id) AS place FROM predictions
+)
+SELECT section, CAST(n AS INTEGER) AS rank, n || '. player ' || player_id || ', ' || printf('%.2f', predicted_points) || ' points' AS line
+FROM (SELECT 'position ' || position AS section, rank AS n, * FROM tops WHERE rank <= 5 UNION ALL SELECT 'all' AS section, place AS n, * FROM tops WHERE place <= 10)""")
+def prediction_report(spark, sf_dir):
+    return select.report(domain.predictions(spark, sf_dir))
+
+
 @query(with_(*PREDICTION_SQL) + "SELECT player_id + 1000000 * (player_id % 2) AS player_id, predicted_points, CASE WHEN player_id % 2 = 1 THEN 'Player ' || (player_id + 1000000) ELSE p.name END AS name, CASE WHEN player_id % 2 = 1 THEN 'Unknown' ELSE coalesce(n_name, 'Unknown') END AS team_name FROM predictions r JOIN players p ON p.id = player_id LEFT JOIN nation ON p.team = n_nationkey")
 def predictions_named(spark, sf_dir):
     rows = domain.predictions(spark, sf_dir).selectExpr("player_id + 1000000 * (player_id % 2) AS player_id", "predicted_points")
@@ -576,11 +599,11 @@ def csv_roundtrip(spark, sf_dir):
     return readers.read_panel_csv(spark, path, "player_id long, gameweek int, points double, minutes double, name string, price double, is_home boolean")
 
 
-@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, points, price FROM panel WHERE gameweek = 9")
+@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, points, price FROM panel WHERE gameweek = 20")
 def panel_parquet_pruned(spark, sf_dir):
     path = _temporary(spark, "panel")
     readers.write_panel(domain.panel(spark, sf_dir), path)
-    return spark.read.parquet(path).where("gameweek = 9").select("player_id", F.col("gameweek").cast("int").alias("gameweek"), "points", "price")
+    return spark.read.parquet(path).where("gameweek = 20").select("player_id", F.col("gameweek").cast("int").alias("gameweek"), "points", "price")
 
 
 @query("SELECT n_nationkey AS id, n_name AS name FROM nation")

@@ -136,3 +136,18 @@ def test_model_round_trip(spark, sf_dir, tmp_path):
     key = lambda df: sorted((r["player_id"], r["predicted_points"]) for r in df.collect())
     assert key(model.predict(fitted, panel, 20)) == key(model.predict(again, panel, 20))
     assert model.metrics(tested).first()["rmse"] > 0
+
+
+def test_requests_are_checked():
+    from sparkrank.operators import requests
+
+    slot = {"id": 1, "pos": "GK", "price": 5.0}
+    good = {"startingXI": [slot] * 11, "bench": [slot] * 4, "bank": 0}
+    assert requests.squad(good) == good and requests.weights({"form": 1})["value"] == 0
+    requests.suggestion("MID", 15, 10)
+    requests.generation("ai", 80)
+    wrong = [lambda: requests.squad(good | {"bank": 101}), lambda: requests.squad(good | {"bench": []}), lambda: requests.squad(good | {"bench": [slot | {"price": 0}] * 4}), lambda: requests.squad(good | {"bench": [slot | {"pos": "X"}] * 4})]
+    wrong += [lambda: requests.weights({"form": 1.1}), lambda: requests.weights({"x": 0}), lambda: requests.suggestion("X", 5), lambda: requests.suggestion("GK", 16), lambda: requests.suggestion("GK", 5, 11), lambda: requests.generation("x"), lambda: requests.generation("form", 79)]
+    for call in wrong:
+        with pytest.raises(ValueError):
+            call()
