@@ -287,7 +287,7 @@ def _search(name: str, limit: int = 5):
     return lambda spark, sf_dir: search.search(domain.enriched(spark, sf_dir), name, limit).select("id", "name", "similarity")
 
 
-SEARCHES = {"search_exact": ("small copper", 5), "search_contains": ("cop", 8), "search_words": ("Red zzz", 5), "search_fuzzy": ("lage stel", 5), "search_accents": ("  CÓPPÈR! ", 5), "search_first": ("large", 1)}
+SEARCHES = {"search_exact": ("small gear", 5), "search_contains": ("giz", 8), "search_words": ("Red zzz", 5), "search_fuzzy": ("lrage bolk", 5), "search_accents": ("  SMÁLL  GÉÄR! ", 5), "search_first": ("large", 1)}
 for _name, (_asked, _limit) in SEARCHES.items():
     QUERIES[_name], SQL[_name] = _search(_asked, _limit), search_sql(_asked, _limit)
 
