@@ -4,8 +4,10 @@ A page becomes a tree in arrays. Parts that are never article text go first: scr
 hidden elements, forms, menus, headers, footers, sidebars, notices, adverts and reader comments, told by
 element, role or class. On the rest every node gets a density: characters per tag, adjusted for the share of
 characters and tags in links and scaled by the body's own share of links. A node's density sum adds its
-children's densities. The node of the largest sum is the core; the least density on the path from the body to it is
-the threshold that off-path subtrees must reach. Landmarks (article, main) on the path count whole.
+children's densities. The node of the largest sum is the core. The least number of characters outside links per tag on
+the path from the body to the core is the threshold that off-path subtrees must reach (the composite density would
+do for that too, but its logarithm grows with a node's size), and those that aren't paragraphs, headings, lists, tables
+or the like must also have a quarter of the core's sum. Landmarks (article, main) on the path count whole.
 
 The text is that of the chosen subtrees in page order: character references decoded, white space within a block one
 space, blocks joined by one space. Null or empty pages, and pages without text, give an empty text. Tags may be
@@ -43,6 +45,8 @@ BOILERPLATE = re.compile(
 BOILERPLATE_FIRST = re.compile(r"(?:nav|navbar|navigation|menu|breadcrumbs?|footer|sidebars?|ads?|advert[a-z]*|sponsor[a-z]*|promo|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|related|recommended|comments?|disqus)\Z")
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 LANDMARKS = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+FLOW = {"p", "ul", "ol", "dl", "table", "figure", "blockquote", "pre", *INLINE}
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 
@@ -199,7 +203,8 @@ def chosen(tree: Tree) -> np.ndarray:
     path = [core]
     while path[-1] != body:
         path.append(parent[path[-1]])
-    threshold = float(density[path].min())
+    plain = (c - lc) / np.maximum(t - lt, 1)
+    threshold = float(plain[path].min())
     on_path, whole = set(path), core
     for node in path:
         if tree.name[node] in LANDMARKS:
@@ -212,7 +217,7 @@ def chosen(tree: Tree) -> np.ndarray:
             continue
         up = parent[i]
         if up in above and i not in on_path:
-            keep[i] = density[i] >= threshold or re.fullmatch(r"h[1-6]", tree.name[i]) is not None
+            keep[i] = tree.name[i] in HEADINGS or (plain[i] >= threshold and (tree.name[i] in FLOW or sums[i] >= 0.25 * sums[core]))
         else:
             keep[i] = keep[up]
     return keep

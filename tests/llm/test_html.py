@@ -23,6 +23,8 @@ def page(body, head="<title>T</title>"):
         (f"<header><p>{P}</p></header><aside>{P}</aside><div class=cookie-notice>{P}</div><form><p>{P}</p></form><div class='post-body'><p>only this</p></div><section id=comments><p>{P}{P}</p></section>", "only this"),
         (f"<div class='sidebar'><p>{P}</p></div><article>in<i>li</i>ne <a href='a>b'>link</a></article><div class=ad>{P}</div>", "inline link"),
         (f"<article><header><h1>Title</h1></header><p>{P}</p><script>var a='<p>no</p>';</script><style>p{{}}</style><!-- <p>no</p> --></article>", f"Title {P}"),
+        (f"<div><a href=x>One</a> <a href=y>Two</a></div><div>We use small files to remember you. That is fine.</div><div><h1>Head</h1>{f'<p>{P}</p>' * 4}</div><div><p>Buy one, get one.</p></div>", f"Head {P} {P} {P} {P}"),
+        (f"<div><h1>Head</h1><div>{f'<p>{P}</p>' * 4}</div><p>{P}</p><div>{f'<p>{P}</p>' * 3}</div></div>", " ".join(["Head"] + [P] * 8)),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
         ("", ""),
         ("<nav>menu</nav>", ""),
