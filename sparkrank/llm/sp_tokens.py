@@ -8,9 +8,9 @@ marker after another character, no merge crosses from a word to a following mark
 which changes nothing but time.
 
 Batches are encoded by several threads. Round trip is checked for every text: decoding the ids must give the text
-that the normaliser made of it. Parity with the sentencepiece library is checked for the texts in `parity_share`, by a
-hash of the text, at once; a text that fails either takes the ids of that library, and `parity` says so (true: equal,
-false: was not, null: not compared). Null texts have null ids, empty ones no ids. Special strings in a text are
+that the normaliser made of it. Parity with the sentencepiece library is checked for every text too, at once; a text that
+fails either takes the ids of that library, and `parity` says so (true: equal, false: was not). Callers may have fewer
+texts compared by `parity_share`, by a hash of the text; the others' parity is null. Null texts have null ids and checks, empty ones no ids. Special strings in a text are
 plain text.
 """
 
@@ -221,10 +221,10 @@ def loaded(raw: bytes, threads: int) -> Encoder:
 
 
 def compared(text: str, share: float) -> bool:
-    return zlib.crc32(text.encode()) < share * 2**32
+    return share >= 1 or zlib.crc32(text.encode()) < share * 2**32
 
 
-def encode_texts(texts: list[str | None], raw: bytes, threads: int = 2, parity_share: float = 1 / 16) -> tuple[pa.Array, list[bool | None], list[bool | None]]:
+def encode_texts(texts: list[str | None], raw: bytes, threads: int = 2, parity_share: float = 1) -> tuple[pa.Array, list[bool | None], list[bool | None]]:
     """ids, parity and round trip of each text."""
     encoder = loaded(raw, threads)
     known = [x or "" for x in texts]
@@ -245,7 +245,7 @@ def encode_texts(texts: list[str | None], raw: bytes, threads: int = 2, parity_s
     return ids, [parity.get(k) for k in range(len(texts))], [None if x is None else bool(whole[k]) for k, x in enumerate(texts)]
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2, parity_share: float = 1 / 16, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2, parity_share: float = 1, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (doc_id by default), n_tokens, ids, parity and round_trip, a row per row of docs.
 
     The model's bytes are read here and broadcast: half a megabyte, whatever the data.

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -65,3 +66,22 @@ def test_whole_table_and_back(spark, sf_dir):
     rows = found.collect()
     assert all(r["round_trip"] for r in rows) and not any(r["parity"] is False for r in rows)
     assert all(r["ids"] == LIBRARY.encode(texts[r["doc_id"]]) for r in rows)
+
+
+def test_every_text_is_compared(spark, sf_dir):
+    rows = queries.op9_sentencepiece(spark, sf_dir).select("parity", "ids").collect()
+    assert rows and all(r["parity"] is (None if r["ids"] is None else True) for r in rows)
+
+
+def test_ids_that_decode_but_differ_are_replaced_in_every_text(monkeypatch):
+    texts = [f"the river ran past mill {k}" for k in range(64)]
+
+    def by_character(self, known):
+        """Another segmentation of the same texts."""
+        found = [[LIBRARY.piece_to_id(c) for c in "▁" + x.replace(" ", "▁")] for x in known]
+        return np.array([i for x in found for i in x], np.int32), np.cumsum([0, *map(len, found)])
+
+    monkeypatch.setattr(sp_tokens.Encoder, "ids", by_character)
+    ids, parity, whole = sp_tokens.encode_texts(texts, RAW, 1)
+    assert ids.to_pylist() == [LIBRARY.encode(x) for x in texts]
+    assert parity == [False] * 64 and all(whole)
