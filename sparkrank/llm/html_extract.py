@@ -4,10 +4,11 @@ A page becomes a tree in arrays. Parts that are never article text go first: scr
 hidden elements, forms, menus, headers, footers, sidebars, notices, adverts and reader comments, told by
 element, role or class. On the rest every node gets a density: characters per tag, adjusted for the share of
 characters and tags in links and scaled by the body's own share of links. A node's density sum adds its
-children's densities. The node of the largest sum is the core. The least number of characters outside links per tag on
-the path from the body to the core is the threshold that off-path subtrees must reach (the composite density would
-do for that too, but its logarithm grows with a node's size), and those that aren't paragraphs, headings, lists, tables
-or the like must also have a quarter of the core's sum. Landmarks (article, main) on the path count whole.
+children's densities. The node of the largest sum is the core. Landmarks (article, main) on the path from the body to the
+core count whole. Without one, the nearest div or section around the core counts whole but for blocks that are mostly
+links. Farther out, blocks that aren't mostly links count if they are headings, paragraphs, lists, tables or the like, if
+they hold a heading, or if they have as many characters outside links per tag as the core; beside a landmark they must
+also reach the least such number on the path, unless they are landmarks themselves.
 
 The text is that of the chosen subtrees in page order: character references decoded, white space within a block one
 space, blocks joined by one space. Null or empty pages, and pages without text, give an empty text. Tags may be
@@ -47,6 +48,10 @@ BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "se
 LANDMARKS = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 FLOW = {"p", "ul", "ol", "dl", "table", "figure", "blockquote", "pre", *INLINE}
+ROWS = {"li", "dt", "dd", "tr", "thead", "tbody", "tfoot", "caption"}
+CONTAINERS = {"div", "section"}
+#: The share of link characters beyond which a block is mostly links.
+LINKS = 0.5
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 
@@ -174,8 +179,14 @@ def chosen(tree: Tree) -> np.ndarray:
         if not gone[i]:
             tags[i] += 1
             link_tags[i] += linked[i]
+    loose, loose_links = list(chars), list(link_chars)  # a node's own text and its inline parts
+    holds_heading = [name in HEADINGS and not g for name, g in zip(tree.name, gone, strict=True)]
     for i in range(n - 1, 0, -1):
         up = parent[i]
+        if tree.name[i] in INLINE:
+            loose[up] += chars[i]
+            loose_links[up] += link_chars[i]
+        holds_heading[up] = holds_heading[up] or holds_heading[i]
         chars[up] += chars[i]
         link_chars[up] += link_chars[i]
         tags[up] += tags[i]
@@ -205,21 +216,34 @@ def chosen(tree: Tree) -> np.ndarray:
         path.append(parent[path[-1]])
     plain = (c - lc) / np.maximum(t - lt, 1)
     threshold = float(plain[path].min())
-    on_path, whole = set(path), core
+    whole = core
     for node in path:
         if tree.name[node] in LANDMARKS:
             whole = node
-    above = set(path[path.index(whole) + 1 :])
-    keep[list(above)] = True
+    landmark = tree.name[whole] in LANDMARKS
+    outer = path[path.index(whole) + 1 :]
+    above = set(outer)
+    container = None if landmark else next((node for node in outer if tree.name[node] in CONTAINERS), None)
+    around = set() if container is None else set(outer[: outer.index(container) + 1])
+    keep[outer] = True
     keep[whole] = True
+
+    def belongs(i: int) -> bool:
+        """Whether a block beside the path is text of the article."""
+        name, up = tree.name[i], parent[i]
+        if name in HEADINGS:
+            return True
+        if loose_links[up] > LINKS * loose[up] if name in INLINE else link_chars[i] > LINKS * chars[i]:
+            return False
+        if up in around or name in LANDMARKS:
+            return True
+        if landmark and plain[i] < threshold:
+            return False
+        return name in FLOW or name in ROWS or holds_heading[i] or plain[i] >= plain[core]
+
     for i in range(body + 1, n):
-        if not inside[i] or keep[i]:
-            continue
-        up = parent[i]
-        if up in above and i not in on_path:
-            keep[i] = tree.name[i] in HEADINGS or (plain[i] >= threshold and (tree.name[i] in FLOW or sums[i] >= 0.25 * sums[core]))
-        else:
-            keep[i] = keep[up]
+        if inside[i] and not keep[i]:
+            keep[i] = belongs(i) if parent[i] in above else keep[parent[i]]
     return keep
 
 

@@ -39,6 +39,28 @@ def test_class_names_on_containers_do_no_harm():
     assert main_text(f'<html><body class="with-sidebar has-comments"><main class="no-header"><p>{P}</p></main>') == P
 
 
+SHORT = "The end is short."
+
+
+@pytest.mark.parametrize("n", [3, 8, 60])
+@pytest.mark.parametrize(
+    "before,after,expected",
+    [
+        ("", f"<div><h2>Conclusion</h2><p>{SHORT}</p></div>", f"{{}} Conclusion {SHORT}"),
+        ("", f"<div><p>{SHORT}</p></div><section>{SHORT}</section>", f"{{}} {SHORT} {SHORT}"),
+        (f"<p>{SHORT}</p>", "", f"{SHORT} {{}}"),
+        ("See <a href=x>this</a> or <i>that</i> first. ", "<div><a href=x>One of the links</a> <a href=y>Two</a></div>", "See this or that first. {}"),
+    ],
+)
+def test_short_parts_beside_a_long_one_stay(n, before, after, expected):
+    long = f"<div>{f'<p>{P}</p>' * n}</div>"
+    assert main_text(page(f"<div id=content>{before}{long}{after}</div>")) == expected.format(" ".join([P] * n))
+
+
+def test_short_parts_beside_a_long_one_stay_without_a_container():
+    assert main_text(page(f"<p>{SHORT}</p><div>{f'<p>{P}</p>' * 8}</div><div><h2>Conclusion</h2><p>{SHORT}</p></div>")) == " ".join([SHORT, *[P] * 8, "Conclusion", SHORT])
+
+
 @pytest.mark.parametrize("text", ["<div>" * 20000 + "x", "<p><b>x" * 20000, '<a "' * 20000, "<" * 100000, "<!--" * 20000, "</div>" * 20000, "<li>" * 20000])
 def test_hostile_pages_end(text):
     main_text(text)
