@@ -2,7 +2,8 @@
 
 A page becomes a tree in arrays. Parts that are never article text go first: scripts, styles and other raw or
 hidden elements, forms, menus, headers, footers, sidebars, notices, adverts and reader comments, told by
-element, role or class. On the rest every node gets a density: characters per tag, adjusted for the share of
+element, role or class. Class and id say nothing about headings, outer articles and elements that hold the page's
+landmarks or most of its text, and ids within landmarks are anchors. On the rest every node gets a density: characters per tag, adjusted for the share of
 characters and tags in links and scaled by the body's own share of links. A node's density sum adds its
 children's densities. The node of the largest sum is the core. Landmarks (article, main) on the path from the body to the
 core count whole. Without one, the nearest div or section around the core counts whole but for blocks that are mostly
@@ -44,6 +45,15 @@ BOILERPLATE = re.compile(
 )
 #: The first word that marks one whatever follows it.
 BOILERPLATE_FIRST = re.compile(r"(?:nav|navbar|navigation|menu|breadcrumbs?|footer|sidebars?|ads?|advert[a-z]*|sponsor[a-z]*|promo|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|related|recommended|comments?|disqus)\Z")
+#: Words after such a first word that tell of the layout: of a state, then nothing is marked, or of a side.
+STATES = {"open", "opened", "closed", "enabled", "disabled", "layout", "on", "off", "active", "inactive"}
+SIDES = {"left", "right", "top", "bottom"}
+#: Marks of readers' comments, which may well be longer than the article.
+READERS = re.compile(r"(?:comment|discussion|disqus|repl|respond)", re.I)
+#: What names can say of a node: nothing, layout or boilerplate, boilerplate, readers' comments.
+NOT_NAMED, SIDE, NAMED, READER = range(4)
+#: Shares of the body's characters outside links that an element with the page's h1, or any, needs to be no boilerplate.
+HALF, MOST = 0.5, 0.9
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 LANDMARKS = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -55,23 +65,27 @@ LINKS = 0.5
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 
-def _boilerplate_name(names: str) -> bool:
+def _boilerplate_name(names: str) -> int:
+    found = NOT_NAMED
     for name in names.split():
         parts = [p for p in NAME_PART.findall(name)]
         if not parts or parts[0].lower() in ("with", "has", "no", "without"):
             continue
         if parts[-1].isdigit() and len(parts) > 1:
             parts.pop()
-        if BOILERPLATE.match(parts[-1].lower()) or BOILERPLATE.match(name.lower()) or BOILERPLATE_FIRST.match(parts[0].lower()):
-            return True
-    return False
+        first, last = parts[0].lower(), parts[-1].lower()
+        if BOILERPLATE.match(last) or BOILERPLATE.match(name.lower()):
+            found = max(found, READER if READERS.match(last) or READERS.match(name) else NAMED)
+        elif BOILERPLATE_FIRST.match(first) and last not in STATES:
+            found = max(found, READER if READERS.match(first) else SIDE if last in SIDES else NAMED)
+    return found
 
 
 class Tree:
-    """Nodes in page order: parent, name, whether dropped; texts as (node, decoded text), breaks as (node, None)."""
+    """Nodes in page order: parent, name, whether dropped, what class and id say; texts as (node, decoded text), breaks as (node, None)."""
 
     def __init__(self, page: str) -> None:
-        self.parent, self.name, self.dropped = [-1], ["#root"], [False]
+        self.parent, self.name, self.dropped, self.named = [-1], ["#root"], [False], [NOT_NAMED]
         self.pieces: list[tuple[int, str | None]] = []
         self._stack, self._open = [0], {}
         self._read(page)
@@ -80,26 +94,32 @@ class Tree:
         up = self._stack[-1]
         self.parent.append(up)
         self.name.append(name)
-        self.dropped.append(self._drops(name, attributes, up))
+        drops, named = self._marks(name, attributes)
+        self.dropped.append(drops)
+        self.named.append(named)
         if name not in INLINE:
             self.pieces.append((up, None))
         if name not in VOID:
             self._stack.append(len(self.name) - 1)
             self._open[name] = self._open.get(name, 0) + 1
 
-    def _drops(self, name: str, attributes: str, up: int) -> bool:
+    def _marks(self, name: str, attributes: str) -> tuple[bool, int]:
+        """Whether the element drops whatever it holds, and what its class and id say."""
         if name in DROPPED:
-            return True
+            return True, NOT_NAMED
+        within = any(self._open.get(x) for x in LANDMARKS)
         if name == "header":
-            return not any(self._open.get(x) for x in LANDMARKS)
+            return not within, NOT_NAMED
         if name in ("html", "body", "main") or not attributes or attributes.isspace():
-            return False
+            return False, NOT_NAMED
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-            return True
+            return True, NOT_NAMED
         if found.get("role", "").lower() in BOILERPLATE_ROLES:
-            return True
-        return any(_boilerplate_name(found[k]) for k in ("class", "id") if k in found)
+            return True, NOT_NAMED
+        if name in HEADINGS:
+            return False, NOT_NAMED
+        return False, max(_boilerplate_name(found[k]) if k in found else NOT_NAMED for k in (("class",) if within else ("class", "id")))
 
     def _pop_to(self, names: set[str], stops: set[str]) -> None:
         """Closes the nearest open element of these names, unless a stop is nearer."""
@@ -160,11 +180,51 @@ class Tree:
             self.pieces.append((self._stack[-1], html.unescape(rest)))
 
 
+def _dropped(tree: Tree) -> list[bool]:
+    """Which nodes drop what they hold, names included."""
+    if not any(tree.named):
+        return tree.dropped
+    n, parent = len(tree.parent), tree.parent
+    gone, linked, within, nested = list(tree.dropped), [name == "a" for name in tree.name], [False] * n, [False] * n
+    for i in range(1, n):
+        up = parent[i]
+        gone[i] = gone[i] or gone[up]
+        linked[i] = linked[i] or linked[up]
+        within[i] = within[up] or tree.name[up] in LANDMARKS
+        nested[i] = nested[up] or tree.name[up] == "article"  # as readers' comments are
+    plain, h1, articles, mains = ([0] * n for _ in range(4))
+    for node, text in tree.pieces:
+        if text and not gone[node] and not linked[node]:
+            plain[node] += len("".join(text.split()))
+    for i in range(n - 1, 0, -1):
+        up = parent[i]
+        if not gone[i]:
+            h1[i] += tree.name[i] == "h1"
+            articles[i] += tree.name[i] == "article" and not nested[i] and not tree.named[i]
+            mains[i] += tree.name[i] == "main"
+        for sums in (plain, h1, articles, mains):
+            sums[up] += sums[i]
+    landmarks = articles if articles[0] else mains
+
+    def excused(i: int) -> bool:
+        if tree.name[i] == "article" and not nested[i]:
+            return True
+        share, reader = plain[i] / max(plain[0], 1), tree.named[i] == READER
+        holds = 0 < landmarks[0] == landmarks[i]
+        if holds and (not reader or share > HALF):
+            return True
+        if landmarks[0] and not holds and not within[i]:
+            return False
+        return share > HALF and (h1[i] > 0 or tree.named[i] == SIDE) or share > MOST and (not reader or share == 1)
+
+    return [dropped or named and not excused(i) for i, (dropped, named) in enumerate(zip(tree.dropped, tree.named, strict=True))]
+
+
 def chosen(tree: Tree) -> np.ndarray:
     """Which nodes' own texts belong to the main text."""
     n = len(tree.parent)
     parent = tree.parent
-    gone, linked = list(tree.dropped), [name == "a" for name in tree.name]
+    gone, linked = [bool(d) for d in _dropped(tree)], [name == "a" for name in tree.name]
     for i in range(1, n):
         gone[i] = gone[i] or gone[parent[i]]
         linked[i] = linked[i] or linked[parent[i]]

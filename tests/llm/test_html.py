@@ -61,6 +61,36 @@ def test_short_parts_beside_a_long_one_stay_without_a_container():
     assert main_text(page(f"<p>{SHORT}</p><div>{f'<p>{P}</p>' * 8}</div><div><h2>Conclusion</h2><p>{SHORT}</p></div>")) == " ".join([SHORT, *[P] * 8, "Conclusion", SHORT])
 
 
+@pytest.mark.parametrize(
+    "body,expected",
+    [
+        (f"<div id=content class='sidebar-right'><p>{P}</p><p>{P}</p></div>", f"{P} {P}"),
+        (f"<article class='post comments-open'><p>{P}</p></article>", P),
+        (f"<article class='related'><p>{P}</p></article>", P),
+        (f"<article><section id=discussion><h2 id=related-work>Work</h2><p>{P}</p></section><h2 id=cookies>Sweet</h2><p>{P}</p><h2 id=search class=search>Find</h2></article>", f"Work {P} Sweet {P} Find"),
+        (f"<div class='search'><main><p>{P}</p></main></div>", P),
+        (f"<div class='elementor-widget'><h1>Head</h1><p>{P}</p><p>{P}</p></div><div>{P}</div>", f"Head {P} {P} {P}"),
+    ],
+)
+def test_names_do_not_drop_the_text_of_a_page(body, expected):
+    assert main_text(page(body)) == expected
+
+
+@pytest.mark.parametrize(
+    "other",
+    [
+        f"<div class=sidebar-right><p>{P}</p></div>",
+        f"<div class=comments-area><ol class=comment-list><li class=comment><article class=comment-body><p>{P}</p><p>{P}</p></article></li></ol></div>",
+        f"<div id=comments><article><p>{P}</p></article></div>",
+        f"<div class=cookie-notice><p>{P}</p><p>{P}</p></div>",
+    ],
+)
+def test_names_still_drop_other_parts(other):
+    for kind in ("article", "main"):
+        assert main_text(page(f"<{kind}><p>{P}</p></{kind}>{other}")) == P
+    assert main_text(page(f"<div class=post><p>{P}</p><p>{P}</p></div>{other}")) == f"{P} {P}"
+
+
 @pytest.mark.parametrize("text", ["<div>" * 20000 + "x", "<p><b>x" * 20000, '<a "' * 20000, "<" * 100000, "<!--" * 20000, "</div>" * 20000, "<li>" * 20000])
 def test_hostile_pages_end(text):
     main_text(text)
