@@ -13,7 +13,7 @@ also reach the least such number on the path, unless they are landmarks themselv
 
 The text is that of the chosen subtrees in page order: character references decoded, white space within a block one
 space, blocks joined by one space. Null or empty pages, and pages without text, give an empty text. Tags may be
-unclosed, misnested or cut off at the end; every step is linear in the page.
+unclosed, misnested or cut off at the end, those of head and body left out; what follows the body belongs to it. Every step is linear in the page.
 """
 
 from __future__ import annotations
@@ -59,6 +59,8 @@ LANDMARKS = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 FLOW = {"p", "ul", "ol", "dl", "table", "figure", "blockquote", "pre", *INLINE}
 ROWS = {"li", "dt", "dd", "tr", "thead", "tbody", "tfoot", "caption"}
+#: What doesn't end the head or begin the body.
+HEAD = {"html", "head", "body", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 CONTAINERS = {"div", "section"}
 #: The share of link characters beyond which a block is mostly links.
 LINKS = 0.5
@@ -141,11 +143,23 @@ class Tree:
         if any(self.name[n] not in INLINE for n in closed):
             self.pieces.append((self._stack[-1], None))
 
+    def _content(self) -> None:
+        """Ends an open head and begins the body where content stands outside of both."""
+        if self.name[self._stack[-1]] == "head":
+            self._close(len(self._stack) - 1)
+        if self.name[self._stack[-1]] in ("#root", "html") and not self._open.get("body"):
+            self._push("body", "")
+
+    def _text(self, text: str) -> None:
+        if text and not text.isspace():
+            self._content()
+        self.pieces.append((self._stack[-1], html.unescape(text)))
+
     def _read(self, page: str) -> None:
         at, last = 0, page.rfind(">") + 1  # no tag ends after it, so none is looked for
         while m := TAG.search(page, at, last):
             if m.start() > at:
-                self.pieces.append((self._stack[-1], html.unescape(page[at : m.start()])))
+                self._text(page[at : m.start()])
             at = m.end()
             closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if not name:
@@ -155,7 +169,11 @@ class Tree:
                 continue
             name = name.lower()
             if closing:
-                if self._open.get(name):
+                if name in ("body", "html") and self._open.get("body"):  # what follows is put into the body
+                    k = next(k for k, node in enumerate(self._stack) if self.name[node] == "body")
+                    self._close(k + 1)
+                    self.pieces.append((self._stack[-1], None))
+                elif self._open.get(name):
                     k = len(self._stack) - 1
                     while self.name[self._stack[k]] != name:
                         k -= 1
@@ -169,6 +187,10 @@ class Tree:
                 self._pop_to(*SIBLINGS[name])
             if name == "body" or (name == "article" and self._open.get("head")):
                 self._pop_to({"head"}, set())
+            if name == "body" and self._open.get("body"):
+                continue
+            if name not in HEAD:
+                self._content()
             self._push(name, attributes)
             if name in RAW and not attributes.endswith("/"):
                 end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
@@ -177,7 +199,7 @@ class Tree:
             rest = page[at:]
             if cut := re.search(r"<[/!a-zA-Z][^>]*\Z", rest):  # a tag that the page's end cuts off
                 rest = rest[: cut.start()]
-            self.pieces.append((self._stack[-1], html.unescape(rest)))
+            self._text(rest)
 
 
 def _dropped(tree: Tree) -> list[bool]:

@@ -91,6 +91,23 @@ def test_names_still_drop_other_parts(other):
     assert main_text(page(f"<div class=post><p>{P}</p><p>{P}</p></div>{other}")) == f"{P} {P}"
 
 
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        (f"<html><head><title>T</title><p>{P}", P),
+        (f"<html><head><title>T</title><style>p{{}}</style><noscript><img src=x></noscript><main><p>{P}</p></main>", P),
+        (f"<html><head><meta charset=utf-8><div><p>{P}</p></div><body><p>more</p></body></html>", f"{P} more"),
+        (f"<head><title>T</title>bare text<p>{P}", f"bare text {P}"),
+        (f"<title>T</title><p>{P}<body><p>more", f"{P} more"),
+        (f"<html><head></head><body><div><p>{P}</p></body><p>late</p></html><p>later</p>", f"{P} late later"),
+        (f"<html><body><p>{P}<nav>menu</body>late", f"{P} late"),
+        (f"<html><head><title>T</title></head> <p>{P}</p></html>", P),
+    ],
+)
+def test_head_and_body_may_be_left_out_or_end_early(text, expected):
+    assert main_text(text) == expected
+
+
 @pytest.mark.parametrize("text", ["<div>" * 20000 + "x", "<p><b>x" * 20000, '<a "' * 20000, "<" * 100000, "<!--" * 20000, "</div>" * 20000, "<li>" * 20000])
 def test_hostile_pages_end(text):
     main_text(text)
