@@ -6,8 +6,10 @@ weight; a register keeps its earliest arrival, and arrivals later than the lates
 shingles end after one. Equal registers estimate the probability Jaccard.
 
 1. Texts of equal word sequences are copies: their least doc_id stands for them from here on.
-2. Bands of registers are bucket keys. In a bucket every text is held against two representatives (least and
-   largest id), so a group of n texts gives 2n pairs. The estimate, then exact figures decide a pair: it links at
+2. Bands of registers are bucket keys. A text that repeats shingles has a second signature, of weights that are all 1,
+   whose equal registers estimate the plain Jaccard, and bands of both; without repeats the two are the same, so
+   one set of buckets has candidates by either similarity. In a bucket every text is held against two representatives (least and
+   largest id), so a group of n texts gives 2n pairs. The larger estimate, then exact figures decide a pair: it links at
    a probability or plain Jaccard of `least` or more.
 3. Links are merged to components. In a bucket that still holds several components, the texts outside its largest
    one are held against all others, so no link between different texts is lost to the representatives. Buckets with
@@ -36,7 +38,7 @@ from .textscan import content, mix, scan, shingles
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
-#: Estimates below are far (over 7 standard deviations) from `LEAST` with so many registers.
+#: Larger estimates below are far (over 7 standard deviations) from `LEAST` with so many registers.
 SURELY_LESS = 0.6
 #: Tasks over which the copies of one text are dealt out.
 SALTS = 16
@@ -87,20 +89,31 @@ def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int,
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, content hashes c1, c2 and the signature's low 16 bits, a row per row of docs."""
+    """doc_id, n_shingles, content hashes c1, c2 and the low 16 bits of the signature and the plain one, a row per row of docs.
+
+    The plain signature is null where the text repeats no shingle: it is the other one then.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = scan(batch.column("text"))
         owner, value, count = shingles(s, WORDS)
-        codes = (mix(signatures(owner, value, weighed(count), s.n)) & _U(0xFFFF)).astype(np.uint16)
+        short = lambda codes: [row.tobytes() for row in (mix(codes) & _U(0xFFFF)).astype(np.uint16)]
+        repeats = np.zeros(s.n, bool)
+        repeats[owner[count > 1]] = True
+        plain: list[bytes | None] = [None] * s.n
+        if repeats.any():
+            own = repeats[owner]
+            place = np.cumsum(repeats) - 1
+            for k, code in zip(np.flatnonzero(repeats), short(signatures(place[owner[own]], value[own], np.ones(int(own.sum())), int(repeats.sum()))), strict=True):
+                plain[k] = code
         c1, c2 = content(s)
         return pa.record_batch(
-            [batch.column("doc_id"), pa.array(s.per_text(owner)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array([row.tobytes() for row in codes], pa.binary())],
-            names=["doc_id", "n_shingles", "c1", "c2", "signature"],
+            [batch.column("doc_id"), pa.array(s.per_text(owner)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(short(signatures(owner, value, weighed(count), s.n)), pa.binary()), pa.array(plain, pa.binary())],
+            names=["doc_id", "n_shingles", "c1", "c2", "signature", "plain"],
         )
 
-    return map_texts(docs, ["doc_id", "text"], "text", run, f"doc_id {kind}, n_shingles long, c1 long, c2 long, signature binary")
+    return map_texts(docs, ["doc_id", "text"], "text", run, f"doc_id {kind}, n_shingles long, c1 long, c2 long, signature binary, plain binary")
 
 
 def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -192,18 +205,24 @@ def _block_pairs(least: float):
 
 
 @F.pandas_udf(T.DoubleType())
-def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
+def _estimate(a: pd.Series, plain_a: pd.Series, b: pd.Series, plain_b: pd.Series) -> pd.Series:
+    """The larger of the estimates of probability and plain Jaccard."""
     if not len(a):
         return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(map(bytes, s)), np.uint16).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).mean(axis=1))
+    codes = lambda s: np.frombuffer(b"".join(map(bytes, s)), np.uint16).reshape(len(s), -1)
+    found = (codes(a) == codes(b)).mean(axis=1)
+    differ = (plain_a.notna() | plain_b.notna()).to_numpy()
+    if differ.any():
+        x, y = (codes(p.where(p.notna(), w)[differ]) for p, w in ((plain_a, a), (plain_b, b)))
+        found[differ] = np.maximum(found[differ], (x == y).mean(axis=1))
+    return pd.Series(found)
 
 
 def verified(pairs: DataFrame, signed_texts: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Of the pairs (a, b) those that link, by estimate, then exactly: a, b, probability_jaccard, jaccard."""
-    side = lambda df, id_, value: df.select(F.col("doc_id").alias(id_), F.col(value).alias(f"{value}_{id_}"))
-    near = pairs.join(side(signed_texts, "a", "signature"), "a").join(side(signed_texts, "b", "signature"), "b")
-    near = near.where(_estimate("signature_a", "signature_b") >= SURELY_LESS).select("a", "b")
+    side = lambda df, id_, *values: df.select(F.col("doc_id").alias(id_), *[F.col(v).alias(f"{v}_{id_}") for v in values])
+    near = pairs.join(side(signed_texts, "a", "signature", "plain"), "a").join(side(signed_texts, "b", "signature", "plain"), "b")
+    near = near.where(_estimate("signature_a", "plain_a", "signature_b", "plain_b") >= SURELY_LESS).select("a", "b")
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     both = near.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
     kind = dict(pairs.dtypes)["a"]
@@ -240,9 +259,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _bands(signed_texts: DataFrame) -> DataFrame:
     size = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    keyed = signed_texts.select("doc_id", "signature", band)
-    piece: Column = F.expr(f"substring(signature, band * {size} + 1, {size})")
-    return keyed.select("doc_id", F.xxhash64(piece, "band").alias("bucket"))
+    keyed = signed_texts.select("doc_id", "signature", "plain", band)
+    pieces: list[Column] = [F.xxhash64(F.expr(f"substring({c}, band * {size} + 1, {size})"), "band") for c in ("signature", "plain")]
+    both = F.when(F.col("plain").isNull(), F.array(pieces[0])).otherwise(F.array_distinct(F.array(*pieces)))
+    return keyed.select("doc_id", F.explode(both).alias("bucket"))
 
 
 def _salted(rows: DataFrame, groups: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
@@ -280,7 +300,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     solid = base.where("n_shingles > 0")
     copies = solid.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
     copied = checkpoint(_salted(solid.select("doc_id", "c1", "c2"), copies, ["c1", "c2"]).where("doc_id <> first").groupBy("doc_id").agg(F.min("first").alias("first")))
-    texts = solid.select("doc_id", "signature").join(copied, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    texts = solid.select("doc_id", "signature", "plain").join(copied, "doc_id", "left_anti").dropDuplicates(["doc_id"])
 
     # buckets of more than one text, and their members
     bands = _bands(texts)

@@ -93,3 +93,27 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     found = {r["node"]: r["root"] for r in minhash.components(edges).collect()}
     assert found == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+
+
+def test_a_line_repeated_often_hides_no_near_copy(spark):
+    texts = {}
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(60)]
+        texts[k] = " ".join(words)
+        texts[100 + k] = " ".join(words + words[-12:] * 300)
+        texts[200 + k] = " ".join(words + words[-12:] * 40)
+    expected = brute.near_classes(texts)
+    assert all(expected[100 + k] == k for k in range(30))
+    sets = minhash._sets(pa.array([texts[0], texts[100]]))
+    assert minhash.similarities(*sets)[0] < minhash.SURELY_LESS
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(rows).collect()} == expected
+
+
+def test_plain_signatures_stand_for_texts_that_repeat_shingles(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words * 3)), (2, "")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in minhash.signed(rows).collect()}
+    assert found[0]["plain"] is None and found[2]["plain"] is None
+    codes = [np.frombuffer(bytes(x), np.uint16) for x in (found[0]["signature"], found[1]["plain"])]
+    assert abs((codes[0] == codes[1]).mean() - 56 / 60) < 0.08
