@@ -627,7 +627,7 @@ def bootstrap_json(spark, sf_dir):
 
 
 def _trained(spark: SparkSession, sf_dir: str):
-    return model.train(domain.panel(spark, sf_dir), trees=20, depth=6)
+    return model.train(domain.panel(spark, sf_dir))
 
 
 @query()

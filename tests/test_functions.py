@@ -151,3 +151,14 @@ def test_requests_are_checked():
     for call in wrong:
         with pytest.raises(ValueError):
             call()
+
+
+@pytest.mark.parametrize("name", ["rf_predict", "rf_metrics", "rf_importance"])
+def test_registered_forests_have_the_full_size(spark, sf_dir, monkeypatch, name):
+    from sparkrank.operators import model
+    from sparkrank.plans import queries
+
+    asked, own = [], model.pipeline
+    monkeypatch.setattr(model, "pipeline", lambda columns, trees, depth: asked.append((trees, depth)) or own(columns, 2, 2))
+    queries.QUERIES[name](spark, sf_dir)
+    assert asked == [(200, 10)]
