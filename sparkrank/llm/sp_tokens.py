@@ -7,11 +7,10 @@ White space becomes the marker U+2581, with one in front of the text where the m
 marker after another character, no merge crosses from a word to a following marker, so texts are cut there before merging,
 which changes nothing but time.
 
-Batches are encoded by several threads. Round trip is checked for every text: decoding the ids must give the text
-that the normaliser made of it. Parity with the sentencepiece library is checked for every text too, at once; a text that
-fails either takes the ids of that library, and `parity` says so (true: equal, false: was not). Callers may have fewer
-texts compared by `parity_share`, by a hash of the text; the others' parity is null. Null texts have null ids and checks, empty ones no ids. Special strings in a text are
-plain text.
+Batches are encoded by several threads. Every text is checked twice: decoding its ids must give the text that the
+normaliser made of it (`round_trip`), and its ids must be those that the sentencepiece library finds for the whole text
+(`parity`). Where `parity` is false the ids are that library's. Null texts have null ids and checks, empty ones no
+ids. Special strings in a text are plain text.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -29,7 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import passes
+from .common import passes, texts_of
+from .textscan import Scan, bytes_of, prefixes
 
 MARK = "▁"
 #: Piece types and model types of the model format.
@@ -37,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words whose ids a worker keeps; beyond, it begins anew.
-MOST_WORDS = 300_000
+MOST_WORDS = 1_000_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -106,7 +105,8 @@ class Model:
         return [(self.pieces[a], self.pieces[b]) for _, _, a, b in sorted(found)]
 
     def splits_at_marks(self) -> bool:
-        return not any(MARK in p.lstrip(MARK) for p in self.pieces)
+        """Whether no merge and no run of unknown characters can cross from a word to a following marker."""
+        return MARK in self.pieces and not any(MARK in p.lstrip(MARK) for p in self.pieces)
 
 
 def backend(m: Model):
@@ -145,8 +145,9 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Encoder:
     """The backend and the reference library's processor, once for each worker process.
 
-    Where a text needs no other normalising than markers and can be cut at them, only words that aren't known yet go
-    to the backend, all of a pass at once; a word's ids are the same wherever it stands.
+    Where a text needs no other normalising than markers and can be cut at them, the words of a pass are told apart by
+    hashes, and only those that aren't known yet go to the backend, all at once; a word's ids are the same wherever it
+    stands. A wrong id, were two words to share a hash, would fail the round trip.
     """
 
     def __init__(self, raw: bytes, threads: int) -> None:
@@ -171,48 +172,70 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        """Known words: sorted hashes, and for each the place of its ids in `flat`, which grows by doubling."""
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        texts = [w.decode().replace(" ", MARK) for w in words]
+        ids = [e.ids for e in self.words.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.array([len(x) for x in ids], np.int64)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))])
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the bounds of each text's."""
-        if not self.by_word:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-            return np.fromiter((i for x in found for i in x), np.int32, int(bounds[-1])), bounds
-        if len(self.known) > MOST_WORDS:
+        end = self.used + int(sizes.sum())
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * end - self.used, np.int32)])
+        self.flat[self.used : end] = np.fromiter((i for x in ids for i in x), np.int32, end - self.used)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.used = end
+
+    def normalised(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and bounds of the texts as the normaliser leaves them, with spaces in place of markers."""
+        spaced = pc.replace_substring(texts_of(texts), MARK, " ")
+        if self.model.dummy_prefix:
+            none, space = (pa.scalar(x, pa.large_utf8()) for x in ("", " "))
+            spaced = pc.if_else(pc.equal(spaced, none), none, pc.binary_join_element_wise(none, spaced, space))
+        return bytes_of(spaced)
+
+    def _by_word(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A word begins where a text does and at a space that follows none."""
+        if len(self.hashes) > MOST_WORDS:
             self._forget()
-        front = MARK if self.model.dummy_prefix else ""
-        split = [WORD.findall(front + x.replace(" ", MARK)) if x else [] for x in texts]
-        words = [w for x in split for w in x]
-        if new := list(dict.fromkeys(w for w in words if w not in self.known)):
-            self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        flat = self.flat[ragged(self.starts[which], self.sizes[which])]
-        ends = np.concatenate([[0], np.cumsum(self.sizes[which])])
-        return flat, ends[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)]
-
-    def returns(self, texts: list[str], flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Whether each text's ids decode to the text (as the model's normaliser leaves it)."""
+        begins = data == 32
+        begins[1:] &= data[:-1] != 32
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        words = Scan(data, bounds, starts, ends, np.zeros(0, np.int64), prefixes(data)).hashes(starts, ends)
+        distinct, first, which = np.unique(words, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        if new.any():
+            self._learn(distinct[new], [data[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, distinct)
+        sizes = self.sizes[at][which]
+        flat = self.flat[ragged(self.starts[at][which], sizes)]
+        return flat, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, bounds)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the bounds of each text's, and whether they decode to the text as the normaliser leaves it."""
         if not self.by_word:
-            back = self.tokenizer.decode_batch([flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], skip_special_tokens=False)
-            return np.array([b == self.library.decode(self.library.encode(x)) for b, x in zip(back, texts, strict=True)], bool)
+            plain = texts_of(texts).to_pylist()
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+            back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+            whole = [b == self.library.decode(self.library.encode(x)) for b, x in zip(back, plain, strict=True)]
+            return np.fromiter((i for x in found for i in x), np.int32, int(bounds[-1])), bounds, np.array(whole, bool)
+        data, cuts = self.normalised(texts)
+        flat, bounds = self._by_word(data, cuts)
         sizes = self.piece_sizes[flat]
-        decoded = self.piece_bytes[ragged(self.piece_starts[flat], sizes)].tobytes()
-        front = " " if self.model.dummy_prefix else ""
-        expected = [(front + x).encode() if x else b"" for x in texts]
-        if decoded == b"".join(expected) and np.array_equal(np.concatenate([[0], np.cumsum(sizes)])[bounds[1:]], np.cumsum([len(e) for e in expected])):
-            return np.ones(len(texts), bool)
+        decoded = self.piece_bytes[ragged(self.piece_starts[flat], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
-        return np.array([decoded[ends[k] : ends[k + 1]] == e for k, e in enumerate(expected)], bool)
+        if np.array_equal(ends, cuts) and np.array_equal(decoded, data):
+            return flat, bounds, np.ones(len(texts), bool)
+        return flat, bounds, np.array([np.array_equal(decoded[ends[k] : ends[k + 1]], data[cuts[k] : cuts[k + 1]]) for k in range(len(texts))], bool)
 
 
 @lru_cache(maxsize=2)
@@ -220,32 +243,26 @@ def loaded(raw: bytes, threads: int) -> Encoder:
     return Encoder(raw, threads)
 
 
-def compared(text: str, share: float) -> bool:
-    return share >= 1 or zlib.crc32(text.encode()) < share * 2**32
-
-
-def encode_texts(texts: list[str | None], raw: bytes, threads: int = 2, parity_share: float = 1) -> tuple[pa.Array, list[bool | None], list[bool | None]]:
+def encode_texts(texts: pa.Array, raw: bytes, threads: int = 2) -> tuple[pa.Array, pa.Array, pa.Array]:
     """ids, parity and round trip of each text."""
     encoder = loaded(raw, threads)
-    known = [x or "" for x in texts]
-    flat, bounds = encoder.ids(known)
-    whole = encoder.returns(known, flat, bounds)
-    checked = [k for k, x in enumerate(known) if texts[k] is not None and (not whole[k] or compared(x, parity_share))]
-    parity: dict[int, bool] = {}
-    other: dict[int, list[int]] = {}
-    for k, expected in zip(checked, encoder.library.encode([known[k] for k in checked], num_threads=threads) if checked else [], strict=True):
-        parity[k] = expected == flat[bounds[k] : bounds[k + 1]].tolist()
-        if not parity[k]:
-            other[k] = expected
-            whole[k] = encoder.library.decode(expected) == known[k]
+    flat, bounds, whole = encoder.encode(texts)
+    plain = texts_of(texts).to_pylist()
+    parity, other = np.ones(len(plain), bool), {}
+    for k, expected in enumerate(encoder.library.encode(plain, num_threads=threads) if plain else []):
+        if expected != flat[bounds[k] : bounds[k + 1]].tolist():
+            parity[k], other[k] = False, expected
+            whole[k] = encoder.library.decode(expected) == plain[k]
     if other:
-        runs = [np.array(other[k], np.int32) if k in other else flat[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+        runs = [np.array(other[k], np.int32) if k in other else flat[bounds[k] : bounds[k + 1]] for k in range(len(plain))]
         flat, bounds = np.concatenate(runs), np.concatenate([[0], np.cumsum([len(r) for r in runs])])
-    ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat), mask=pa.array([x is None for x in texts]))
-    return ids, [parity.get(k) for k in range(len(texts))], [None if x is None else bool(whole[k]) for k, x in enumerate(texts)]
+    missing = texts.is_null()
+    ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)), mask=missing)
+    null = missing.to_numpy(zero_copy_only=False)
+    return ids, pa.array(parity, mask=null), pa.array(whole, mask=null)
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2, parity_share: float = 1, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (doc_id by default), n_tokens, ids, parity and round_trip, a row per row of docs.
 
     The model's bytes are read here and broadcast: half a megabyte, whatever the data.
@@ -257,8 +274,8 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches, "text"):
-            ids, parity, whole = encode_texts(batch.column("text").to_pylist(), model.value, threads, parity_share)
-            yield pa.record_batch([*[batch.column(c) for c in keep], pc.list_value_length(ids).cast(pa.int64()), ids, pa.array(parity, pa.bool_()), pa.array(whole, pa.bool_())], names=[*keep, "n_tokens", "ids", "parity", "round_trip"])
+            ids, parity, whole = encode_texts(batch.column("text"), model.value, threads)
+            yield pa.record_batch([*[batch.column(c) for c in keep], pc.list_value_length(ids).cast(pa.int64()), ids, parity, whole], names=[*keep, "n_tokens", "ids", "parity", "round_trip"])
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n_tokens long, ids array<int>, parity boolean, round_trip boolean"])
     return docs.select(*keep, "text").mapInArrow(run, schema)

@@ -76,13 +76,26 @@ class Scan:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
-def scan(texts: pa.Array) -> Scan:
+def prefixes(data: np.ndarray) -> np.ndarray:
+    """Prefix sums that give the hash of any run of bytes: see Scan.hashes."""
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    if len(data):
+        np.cumsum(_CODES[data] * _powers_to(len(data))[0][: len(data)], dtype=np.uint64, out=prefix[1:])
+    return prefix
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, one after the other, and where each starts, and the end."""
     texts = texts_of(texts)
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     first, last = (int(bounds[0]), int(bounds[-1])) if len(bounds) else (0, 0)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[first:last] if raw is not None and last > first else np.zeros(0, np.uint8)
-    bounds = (bounds - first).astype(np.int64)
+    return data, (bounds - first).astype(np.int64)
+
+
+def scan(texts: pa.Array) -> Scan:
+    data, bounds = bytes_of(texts)
     solid = ~_BLANK[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = solid[:-1], solid[1:]
@@ -91,10 +104,7 @@ def scan(texts: pa.Array) -> Scan:
     after[inner - 1] = False
     starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
     owner = np.searchsorted(bounds, starts, "right") - 1
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    if len(data):
-        np.cumsum(_CODES[data] * _powers_to(len(data))[0][: len(data)], dtype=np.uint64, out=prefix[1:])
-    return Scan(data, bounds, starts, ends, owner, prefix)
+    return Scan(data, bounds, starts, ends, owner, prefixes(data))
 
 
 def windows(s: Scan, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

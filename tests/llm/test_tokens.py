@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -13,12 +14,21 @@ LIBRARY = sentencepiece.SentencePieceProcessor(model_proto=RAW)
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.lists(st.sampled_from(["the", " ", "  ", "▁", "\n", "é", "<s>", "<0x41>", "😀", "ing", "\x00", "x"]), max_size=20).map("".join))
 def test_parity_with_the_library(text):
-    ids, _, whole = sp_tokens.encode_texts([text], RAW, 1, 0)
-    encoder = sp_tokens.loaded(RAW, 1)
-    flat, _ = encoder.ids([text])
-    assert flat.tolist() == LIBRARY.encode(text)
-    assert ids.to_pylist() == [LIBRARY.encode(text)]
-    assert whole == [LIBRARY.decode(LIBRARY.encode(text)) == text]
+    texts = pa.array(["before", text, None, "after it"])
+    ids, parity, whole = sp_tokens.encode_texts(texts, RAW, 1)
+    flat, bounds, _ = sp_tokens.loaded(RAW, 1).encode(texts)
+    assert flat[bounds[1] : bounds[2]].tolist() == LIBRARY.encode(text)
+    assert ids.to_pylist() == [LIBRARY.encode("before"), LIBRARY.encode(text), None, LIBRARY.encode("after it")]
+    assert parity.to_pylist() == [True, True, None, True]
+    assert whole[1].as_py() == (LIBRARY.decode(LIBRARY.encode(text)).replace("▁", " ") == text.replace("▁", " "))
+
+
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    monkeypatch.setattr(sp_tokens, "MOST_WORDS", 5)
+    encoder = sp_tokens.Encoder(RAW, 1)
+    for texts in (["one two three four"], ["five six seven", "", "eight  nine"], ["one two", "ten"]) * 2:
+        flat, bounds, whole = encoder.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [LIBRARY.encode(t) for t in texts] and whole.all()
 
 
 def test_backend_alone_has_parity():
@@ -54,8 +64,8 @@ def test_unigram_models_work_too():
     library = sentencepiece.SentencePieceProcessor(model_proto=raw)
     assert math.isclose(library.get_score(4), -1.5)
     for text in ("ab", "abb ab", "aab bba", "b"):
-        ids, _, _ = sp_tokens.encode_texts([text], raw, 1, 0)
-        assert ids.to_pylist()[0] == library.encode(text)
+        ids, parity, _ = sp_tokens.encode_texts(pa.array([text]), raw, 1)
+        assert ids.to_pylist()[0] == library.encode(text) and parity.to_pylist() == [True]
 
 
 def test_whole_table_and_back(spark, sf_dir):
@@ -78,10 +88,10 @@ def test_ids_that_decode_but_differ_are_replaced_in_every_text(monkeypatch):
 
     def by_character(self, known):
         """Another segmentation of the same texts."""
-        found = [[LIBRARY.piece_to_id(c) for c in "▁" + x.replace(" ", "▁")] for x in known]
-        return np.array([i for x in found for i in x], np.int32), np.cumsum([0, *map(len, found)])
+        found = [[LIBRARY.piece_to_id(c) for c in "▁" + x.replace(" ", "▁")] for x in known.to_pylist()]
+        return np.array([i for x in found for i in x], np.int32), np.cumsum([0, *map(len, found)]), np.ones(len(found), bool)
 
-    monkeypatch.setattr(sp_tokens.Encoder, "ids", by_character)
-    ids, parity, whole = sp_tokens.encode_texts(texts, RAW, 1)
+    monkeypatch.setattr(sp_tokens.Encoder, "encode", by_character)
+    ids, parity, whole = sp_tokens.encode_texts(pa.array(texts), RAW, 1)
     assert ids.to_pylist() == [LIBRARY.encode(x) for x in texts]
-    assert parity == [False] * 64 and all(whole)
+    assert parity.to_pylist() == [False] * 64 and all(whole.to_pylist())
