@@ -3,10 +3,10 @@ r"""Chat formatting by columnar byte assembly.
 Every turn becomes ``<|im_start|>role\ntext<|im_end|>\n``. Inside roles and texts the reader must never see a
 control string, so each ``<`` that backslashes (or none) and a ``|`` follow gets one more backslash; taking one away
 gives the text back. A role's line breaks are escaped as well. Turns are sorted by conversation, turn, role
-and text, null turns first; null roles and texts count as empty. A conversation with no rows doesn't exist.
+and text, null turns first; null roles and texts count as empty. A null conv_id is a conversation of its own. A conversation with no rows doesn't exist.
 
-For a batch of turns the lengths of all headers, contents and footers give offsets by a cumulative sum, and one
-gather from the source bytes fills one buffer, which becomes the Arrow column as it is. The output has a row for
+For a batch of turns the lengths of all headers, contents and footers give offsets by a cumulative sum; the source
+bytes are scattered to them in one buffer allocated beforehand, which becomes the Arrow column as it is. The output has a row for
 each run of a conversation's turns within a batch: conv_id, part (increasing in the order of the turns), formatted, and
 where the loss mask starts and ends, in bytes. Turns are dealt out by ranges of conversation, turn, role and text,
 so a conversation of any length spreads over tasks and is never held whole.
@@ -34,6 +34,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
 FORMATTED = "conv_id {id}, part long, formatted binary, loss_starts array<long>, loss_ends array<long>"
 DIGESTS = "conv_id {id}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+#: Texts of so many bytes are copied as slices, so that their positions take no memory.
+SLICED = 1 << 16
 TURN = re.compile(re.escape(START.encode()) + rb"([^\n]*)\n(.*?)" + re.escape(END.encode()) + rb"\n", re.S)
 
 
@@ -62,20 +64,34 @@ def _source(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8), bounds[:-1], np.diff(bounds)
 
 
-def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all turns one after the other, the bounds of the turns, and the bounds of headers and contents."""
-    fixed = [np.frombuffer(x.encode(), np.uint8) for x in (START, "\n", END + "\n")]
-    sources = [_source(escaped_role(texts_of(roles))), _source(escaped(texts_of(texts)))]
-    n, pool = len(roles), [*fixed, sources[0][0], sources[1][0]]
-    base = np.concatenate([[0], np.cumsum([len(x) for x in pool])])
-    begin, length = np.empty((n, 5), np.int64), np.empty((n, 5), np.int64)
-    for column, (where, size) in enumerate([(base[0], len(fixed[0])), (base[3] + sources[0][1], sources[0][2]), (base[1], len(fixed[1])), (base[4] + sources[1][1], sources[1][2]), (base[2], len(fixed[2]))]):
-        begin[:, column], length[:, column] = where, size
-    ends = np.cumsum(length.ravel())
-    total = int(ends[-1]) if n else 0
-    gather = np.repeat(begin.ravel() - (ends - length.ravel()), length.ravel()) + np.arange(total)
-    segments = np.concatenate([[0], ends]).astype(np.int64)
-    return np.concatenate(pool)[gather], segments[::5], segments.reshape(-1)[: 5 * n + 1]
+def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, np.ndarray]:
+    """The buffer of all turns one after the other, the bounds of the turns, and the bounds of headers and contents.
+
+    Every turn has five segments: opening mark, role, line end, text, closing mark. The cumulative sum of their lengths
+    says where each goes; roles and texts are scattered there, marks by one position for each of their bytes.
+    """
+    marks = [np.frombuffer(x.encode(), np.uint8) for x in (START, "\n", END + "\n")]
+    filled = {1: _source(escaped_role(texts_of(roles))), 3: _source(escaped(texts_of(texts)))}
+    n = len(roles)
+    lengths = np.empty((n, 5), np.int64)
+    for k in range(5):
+        lengths[:, k] = filled[k][2] if k in filled else len(marks[k // 2])
+    segments = np.concatenate([[0], np.cumsum(lengths.ravel())]).astype(np.int64)
+    buffer = pa.allocate_buffer(int(segments[-1]))
+    out, begins = np.frombuffer(buffer, np.uint8), segments[:-1].reshape(n, 5)
+    for k in range(5):
+        if k in filled:
+            raw, starts, sizes = filled[k]
+            target = begins[:, k]
+            long = sizes >= SLICED
+            for at, start, size in zip(target[long].tolist(), starts[long].tolist(), sizes[long].tolist(), strict=True):
+                out[at : at + size] = raw[start : start + size]
+            target, starts, sizes = target[~long], starts[~long], sizes[~long]
+            step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out[np.repeat(target, sizes) + step] = raw[np.repeat(starts, sizes) + step]
+        else:
+            out[begins[:, k, None] + np.arange(len(marks[k // 2]))] = marks[k // 2]
+    return buffer, segments[::5], segments
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +111,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts.append(segments[5 * taught + 3] - turns[a])
             ends.append(segments[5 * taught + 4] - turns[a])
         offsets = pa.py_buffer(turns[cuts].astype(np.int32).tobytes())
-        formatted = pa.Array.from_buffers(pa.binary(), len(keys), [None, offsets, pa.py_buffer(data)])
+        formatted = pa.Array.from_buffers(pa.binary(), len(keys), [None, offsets, data])
         yield pa.record_batch([pa.array(keys, batch.column("conv_id").type), pa.array(parts, pa.int64()), formatted, pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=["conv_id", "part", "formatted", "loss_starts", "loss_ends"])
 
 
@@ -136,17 +152,18 @@ class _Reader:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now: _Reader | None = None
+    kind = pa.null()
     for batch in batches:
-        done = []
+        done, kind = [], batch.column("conv_id").type
         for conv_id, _, raw, starts, ends in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if now is None or now.conv_id != conv_id:
                 if now:
                     done.append(now.row())
                 now = _Reader(conv_id)
             now.read(raw, starts, ends)
-        yield _rows(done, batch.column("conv_id").type)
+        yield _rows(done, kind)
     if now:
-        yield _rows([now.row()], pa.int64() if isinstance(now.conv_id, int) else pa.array([now.conv_id]).type)
+        yield _rows([now.row()], kind)
 
 
 def _rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
