@@ -4,7 +4,9 @@ Texts are scanned whole (null: empty) as their UTF-8 bytes, so only ASCII letter
 code points, ends exclusive. Base kinds, leftmost and non-overlapping within their kind: assign, access and hex;
 a match that fails its length rule is dropped but has used up its text. Further kinds need more than a
 pattern: github, npm and similar tokens carry a CRC-32 in base 62, jwt a header that decodes to JSON with an
-algorithm, and pem a closed private key block. Rows are scanned one by one: repeated rows give equal results.
+algorithm, and pem a closed private key block. Keywords can't announce hex runs, so their pattern reads the whole
+text. No part of a text is walked more than a few times, whatever it holds. Rows are scanned one by one: repeated
+rows give equal results.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import hashlib
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -47,8 +51,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-JWT = re.compile(r"(eyJ[0-9A-Za-z_-]+)\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----[0-9A-Za-z+/=\s:,-]*?-----END \1-----")
+JWT = re.compile(r"(eyJ[0-9A-Za-z_-]++)\.eyJ[0-9A-Za-z_-]++\.[0-9A-Za-z_-]++")
+JWT_PART = re.compile(r"[0-9A-Za-z_-]++")
+PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z]++ )*?PRIVATE KEY)-----")
+PEM_END = re.compile(r"-----END ((?:[A-Z]++ )*?PRIVATE KEY)-----")
+PEM_BODY = re.compile(r"[0-9A-Za-z+/=\s:,-]*+")
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 KINDS = ["assign", "access", "hex", "github", "npm", "jwt", "pem"]
 BASE = KINDS[:3]
@@ -79,10 +86,31 @@ RULES: dict[str, tuple[re.Pattern, Callable[[re.Match], bool]]] = {
     "github": (GITHUB, _checksum),
     "npm": (NPM, _checksum),
     "jwt": (JWT, _header),
-    "pem": (PEM, lambda m: True),
 }
 
 
+class _Blocks:
+    """Private key blocks of a text: a begin mark, characters of a body only, and the first end mark of the same kind."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.ends, self.body = text, None, 0
+
+    def end(self, start: int) -> int | None:
+        """Where the block that begins at `start` ends. Starts come in order, so each body is walked once."""
+        m = PEM_BEGIN.match(self.text, start)
+        if not m:
+            return None
+        if self.ends is None:
+            self.ends = defaultdict(list)
+            for e in PEM_END.finditer(self.text):
+                self.ends[e[1]].append(e.start())
+        if m.end() > self.body:
+            self.body = PEM_BODY.match(self.text, m.end()).end()
+        ends = self.ends.get(m[1], [])
+        k = bisect_left(ends, m.end())
+        return ends[k] + len(m[0]) - 2 if k < len(ends) and ends[k] <= self.body else None
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for word, kind in KEYWORDS.items():
@@ -94,15 +122,23 @@ def automaton() -> ahocorasick.Automaton:
 def find(raw: bytes, words: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """Spans in bytes, by start, then kind as listed in KINDS."""
     text = raw.decode("latin-1")
-    spans, free = [], dict.fromkeys(RULES, 0)
+    spans, free, blocks = [], dict.fromkeys(KINDS, 0), _Blocks(text)
     hits = sorted((end + 1 - size, kind) for end, (size, kind) in words.iter(raw.lower().decode("latin-1")))
     for start, kind in hits:
-        if start >= free[kind]:
-            pattern, holds = RULES[kind]
-            if m := pattern.match(text, start):
-                free[kind] = m.end()
-                if holds(m):
-                    spans.append((start, m.end(), kind))
+        if start < free[kind]:
+            continue
+        if kind == "pem":
+            if end := blocks.end(start):
+                free[kind] = end
+                spans.append((start, end, kind))
+            continue
+        pattern, holds = RULES[kind]
+        if m := pattern.match(text, start):
+            free[kind] = m.end()
+            if holds(m):
+                spans.append((start, m.end(), kind))
+        elif kind == "jwt" and (m := JWT_PART.match(text, start)):
+            free[kind] = m.end()  # no part of this run is followed by what a token needs
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 

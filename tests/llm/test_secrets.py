@@ -1,7 +1,10 @@
+import hashlib
 import json
+import time
 from base64 import urlsafe_b64encode
 
 import brute
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -37,7 +40,10 @@ def test_whole_table_by_brute_force(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op6_secret_scan(spark, sf_dir).collect():
         expected = brute.secrets(texts[r["doc_id"]])
-        assert r["spans"].split(",") if r["spans"] else [] == expected
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in spans if x.split(":")[0] in secrets.BASE] == expected
+        assert spans == brute.all_secrets(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(expected).encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x.startswith(k) for x in expected) for k in secrets.BASE)
 
 
@@ -53,3 +59,33 @@ def test_redaction_leaves_no_secret(spark, sf_dir):
             assert r == old
         else:
             assert r["n_chars"] == len(r["text"]) and "[REDACTED]" in r["text"]
+
+
+BODY = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
+HEAD = urlsafe_b64encode(json.dumps({"alg": "none"}).encode()).decode().rstrip("=")
+MARKS = ["-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "MIIB\n", "é", "!", " ", "-", "A ", "-----BEGIN ", "-----"]
+TOKENS = [f"ghp_{BODY}{secrets.base62_crc32(BODY)}", f"npm_{BODY}{secrets.base62_crc32(BODY)}", f"gho_{BODY}000000", HEAD, ".eyJ9", ".sig", "eyJ", ".", "x", "_", "eyJub3Q", " "]
+
+
+@settings(max_examples=500, deadline=None)
+@given((st.lists(st.sampled_from(MARKS), max_size=20) | st.lists(st.sampled_from(TOKENS), max_size=12)).map("".join))
+def test_added_kinds_by_brute_force(text):
+    raw = text.encode()
+    found = secrets.code_points(raw, secrets.find(raw, secrets.automaton()))
+    assert [f"{k}:{a}:{b}" for a, b, k in found] == brute.all_secrets(text)
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN A ", "eyJa.", "eyJa.eyJb", "password ", "token=", "AKIA", "ghp_", "deadbeef" * 3 + " ", "A " * 20 + "-----BEGIN "])
+def test_hostile_texts_end(unit):
+    raw = (unit * (1_000_000 // len(unit))).encode()
+    began = time.perf_counter()
+    secrets.find(raw, secrets.automaton())
+    assert time.perf_counter() - began < 10
+
+
+def test_hostile_blocks_of_many_kinds_end():
+    names = ["".join(chr(65 + k // 26**i % 26) for i in range(4)) for k in range(20_000)]
+    raw = "".join(f"-----BEGIN {n} PRIVATE KEY-----\n" for n in names).encode()
+    began = time.perf_counter()
+    assert not secrets.find(raw, secrets.automaton())
+    assert time.perf_counter() - began < 10
