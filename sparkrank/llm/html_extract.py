@@ -89,7 +89,8 @@ class Tree:
     def __init__(self, page: str) -> None:
         self.parent, self.name, self.dropped, self.named = [-1], ["#root"], [False], [NOT_NAMED]
         self.pieces: list[tuple[int, str | None]] = []
-        self._stack, self._open = [0], {}
+        self._stack: list[int] = [0]
+        self._open: dict[str, list[int]] = {}  # places in the stack of the open elements of a name
         self._read(page)
 
     def _push(self, name: str, attributes: str) -> None:
@@ -103,7 +104,7 @@ class Tree:
             self.pieces.append((up, None))
         if name not in VOID:
             self._stack.append(len(self.name) - 1)
-            self._open[name] = self._open.get(name, 0) + 1
+            self._open.setdefault(name, []).append(len(self._stack) - 1)
 
     def _marks(self, name: str, attributes: str) -> tuple[bool, int]:
         """Whether the element drops whatever it holds, and what its class and id say."""
@@ -123,21 +124,19 @@ class Tree:
             return False, NOT_NAMED
         return False, max(_boilerplate_name(found[k]) if k in found else NOT_NAMED for k in (("class",) if within else ("class", "id")))
 
+    def _nearest(self, names: set[str]) -> int:
+        """The place in the stack of the nearest open element of these names, or 0."""
+        return max((self._open[n][-1] for n in names if self._open.get(n)), default=0)
+
     def _pop_to(self, names: set[str], stops: set[str]) -> None:
         """Closes the nearest open element of these names, unless a stop is nearer."""
-        if not any(self._open.get(n) for n in names):
-            return
-        for k in range(len(self._stack) - 1, 0, -1):
-            here = self.name[self._stack[k]]
-            if here in names:
-                self._close(k)
-                return
-            if here in stops:
-                return
+        k = self._nearest(names)
+        if k > self._nearest(stops):
+            self._close(k)
 
     def _close(self, k: int) -> None:
         for node in self._stack[k:]:
-            self._open[self.name[node]] -= 1
+            self._open[self.name[node]].pop()
         closed = self._stack[k:]
         del self._stack[k:]
         if any(self.name[n] not in INLINE for n in closed):
@@ -170,14 +169,10 @@ class Tree:
             name = name.lower()
             if closing:
                 if name in ("body", "html") and self._open.get("body"):  # what follows is put into the body
-                    k = next(k for k, node in enumerate(self._stack) if self.name[node] == "body")
-                    self._close(k + 1)
+                    self._close(self._open["body"][0] + 1)
                     self.pieces.append((self._stack[-1], None))
                 elif self._open.get(name):
-                    k = len(self._stack) - 1
-                    while self.name[self._stack[k]] != name:
-                        k -= 1
-                    self._close(k)
+                    self._close(self._open[name][-1])
                 elif name in ("p", "br"):
                     self.pieces.append((self._stack[-1], None))
                 continue
