@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where the session has none (local tests) is one made here."""
+    """The folder of spark.checkpoint.dir. Only a local session that has none (as in tests) gets one made here."""
     context = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", ""):
         return found
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkrank-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -36,6 +39,53 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+class Scratch:
+    """Tables written to a folder of their own under the shared one; they cut lineage and go one by one, or at the end all."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            remove(self.spark, self.paths[id(table)])
+
+    def close(self) -> None:
+        remove(self.spark, self.folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of whatever store it is in."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A key's rows are dealt out in parts of about this share of all rows.
+PARTS = 1024
+
+
+def dealt(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, by: str) -> DataFrame:
+    """rows joined to the one group of their keys, hot groups in parts, so that no task gets most of one.
+
+    groups: a row for each key, with `n`, how many rows have it; total: the sum of n. Groups of over a 1024th of all
+    rows are hot: there are fewer than 1024, which bounds what is broadcast, and each is repeated once for
+    each of its parts. A row's part follows from its column `by`.
+    """
+    parts = F.ceil(F.col("n") * PARTS / F.lit(max(total, 1))).cast("int")
+    hot = groups.where(F.col("n") * PARTS > total).select(*keys, parts.alias("_parts"))
+    dealt_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    number = F.when(F.col("n") * PARTS > total, parts).otherwise(1)
+    dealt_groups = groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), number.cast("long") - 1))).drop("n")
+    return dealt_rows.join(dealt_groups, [*keys, "_part"]).drop("_part")
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column without nulls (null: empty), in one array with 64-bit offsets."""
     if isinstance(column, pa.ChunkedArray):

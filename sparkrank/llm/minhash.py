@@ -9,8 +9,8 @@ shingles end after one. Equal registers estimate the probability Jaccard.
 2. Bands of registers are bucket keys. A text that repeats shingles has a second signature, of weights that are all 1,
    whose equal registers estimate the plain Jaccard, and bands of both; without repeats the two are the same, so
    one set of buckets has candidates by either similarity. In a bucket every text is held against two representatives (least and
-   largest id), so a group of n texts gives 2n pairs. The larger estimate, then exact figures decide a pair: it links at
-   a probability or plain Jaccard of `least` or more.
+   largest id), so a group of n texts gives 2n pairs. Exact figures decide each pair: it links at a probability or
+   plain Jaccard of `least` or more. A representative's text is dealt out where many pairs need it.
 3. Links are merged to components. In a bucket that still holds several components, the texts outside its largest
    one are held against all others, so no link between different texts is lost to the representatives. Buckets with
    the same largest component are compared together, so bands that hold the same texts cost no more than one: blocks
@@ -26,22 +26,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import checkpoint, map_texts
+from .common import Scratch, dealt, map_texts
 from .textscan import content, mix, scan, shingles
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
-#: Larger estimates below are far (over 7 standard deviations) from `LEAST` with so many registers.
-SURELY_LESS = 0.6
-#: Tasks over which the copies of one text are dealt out.
-SALTS = 16
 #: Texts of a block, about, and equal shingles that a comparison of blocks holds at once.
 BLOCK, MEETS = 128, 500_000
 _U = np.uint64
@@ -88,32 +82,38 @@ def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int,
     return code.reshape(n, registers)
 
 
+def buckets(codes: np.ndarray) -> np.ndarray:
+    """A row of BANDS bucket keys for each signature."""
+    steps = mix(np.arange(1, ROWS + 1, dtype=np.uint64))
+    bands = (mix(codes).reshape(len(codes), BANDS, ROWS) * (steps | _U(1))).sum(axis=2, dtype=np.uint64)
+    return mix(bands + mix(np.arange(1000, 1000 + BANDS, dtype=np.uint64))).view(np.int64)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, content hashes c1, c2 and the low 16 bits of the signature and the plain one, a row per row of docs.
+    """doc_id, n_shingles, content hashes c1 and c2, and the bucket keys of its signatures, a row per row of docs.
 
-    The plain signature is null where the text repeats no shingle: it is the other one then.
+    A text that repeats shingles has twice as many buckets: those of its weighted and of its plain signature.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = scan(batch.column("text"))
         owner, value, count = shingles(s, WORDS)
-        short = lambda codes: [row.tobytes() for row in (mix(codes) & _U(0xFFFF)).astype(np.uint16)]
         repeats = np.zeros(s.n, bool)
         repeats[owner[count > 1]] = True
-        plain: list[bytes | None] = [None] * s.n
+        keys = np.zeros((s.n, 2, BANDS), np.int64)
+        keys[:, 0] = buckets(signatures(owner, value, weighed(count), s.n))
         if repeats.any():
-            own = repeats[owner]
-            place = np.cumsum(repeats) - 1
-            for k, code in zip(np.flatnonzero(repeats), short(signatures(place[owner[own]], value[own], np.ones(int(own.sum())), int(repeats.sum()))), strict=True):
-                plain[k] = code
+            own, place = repeats[owner], np.cumsum(repeats) - 1
+            keys[repeats, 1] = buckets(signatures(place[owner[own]], value[own], np.ones(int(own.sum())), int(repeats.sum())))
+        has = np.ones((s.n, 2), bool)
+        has[:, 1] = repeats
+        bounds = np.concatenate([[0], np.cumsum(has.sum(1) * BANDS)]).astype(np.int32)
         c1, c2 = content(s)
-        return pa.record_batch(
-            [batch.column("doc_id"), pa.array(s.per_text(owner)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(short(signatures(owner, value, weighed(count), s.n)), pa.binary()), pa.array(plain, pa.binary())],
-            names=["doc_id", "n_shingles", "c1", "c2", "signature", "plain"],
-        )
+        columns = [batch.column("doc_id"), pa.array(s.per_text(owner)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[has].ravel()))]
+        return pa.record_batch(columns, names=["doc_id", "n_shingles", "c1", "c2", "buckets"])
 
-    return map_texts(docs, ["doc_id", "text"], "text", run, f"doc_id {kind}, n_shingles long, c1 long, c2 long, signature binary, plain binary")
+    return map_texts(docs, ["doc_id", "text"], "text", run, f"doc_id {kind}, n_shingles long, c1 long, c2 long, buckets array<long>")
 
 
 def similarities(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -204,38 +204,34 @@ def _block_pairs(least: float):
     return run
 
 
-@F.pandas_udf(T.DoubleType())
-def _estimate(a: pd.Series, plain_a: pd.Series, b: pd.Series, plain_b: pd.Series) -> pd.Series:
-    """The larger of the estimates of probability and plain Jaccard."""
-    if not len(a):
-        return pd.Series([], dtype=float)
-    codes = lambda s: np.frombuffer(b"".join(map(bytes, s)), np.uint16).reshape(len(s), -1)
-    found = (codes(a) == codes(b)).mean(axis=1)
-    differ = (plain_a.notna() | plain_b.notna()).to_numpy()
-    if differ.any():
-        x, y = (codes(p.where(p.notna(), w)[differ]) for p, w in ((plain_a, a), (plain_b, b)))
-        found[differ] = np.maximum(found[differ], (x == y).mean(axis=1))
-    return pd.Series(found)
-
-
-def verified(pairs: DataFrame, signed_texts: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Of the pairs (a, b) those that link, by estimate, then exactly: a, b, probability_jaccard, jaccard."""
-    side = lambda df, id_, *values: df.select(F.col("doc_id").alias(id_), *[F.col(v).alias(f"{v}_{id_}") for v in values])
-    near = pairs.join(side(signed_texts, "a", "signature", "plain"), "a").join(side(signed_texts, "b", "signature", "plain"), "b")
-    near = near.where(_estimate("signature_a", "plain_a", "signature_b", "plain_b") >= SURELY_LESS).select("a", "b")
+def texts_of_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in pairs; of rows repeated with the same doc_id the least text counts."""
+    wanted = pairs.select(F.explode(F.array("member", "rep")).alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    both = near.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
-    kind = dict(pairs.dtypes)["a"]
-    found = both.select("a", "b", "text_a", "text_b").mapInArrow(_pair_similarity, f"a {kind}, b {kind}, probability_jaccard double, jaccard double")
+    return texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """Of the pairs (member, rep) those that link: a, b, probability_jaccard, jaccard.
+
+    A member is in few pairs (at most two for each of its buckets), a rep may be in any number: its text is dealt out.
+    """
+    of = lambda id_: texts.select(F.col("doc_id").alias(id_), F.col("text").alias(f"text_{id_}"))
+    many = pairs.groupBy("rep").agg(F.count("*").alias("n"))
+    total = pairs.count()
+    both = dealt(pairs.join(of("member"), "member"), many.join(of("rep"), "rep"), ["rep"], total, "member")
+    both = both.select(F.col("member").alias("a"), F.col("rep").alias("b"), F.col("text_member").alias("text_a"), F.col("text_rep").alias("text_b"))
+    kind = dict(pairs.dtypes)["member"]
+    found = both.mapInArrow(_pair_similarity, f"a {kind}, b {kind}, probability_jaccard double, jaccard double")
     return found.where((F.col("probability_jaccard") >= least) | (F.col("jaccard") >= least))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """node and root (its component's least node) for every node of the links, by large-star and small-star rounds.
 
-    Every round groups and joins on nodes; sums of a round's edges show when nothing changes any more.
+    Every round groups and joins on nodes, hot ones in parts; sums of a round's edges show when nothing changes any more.
     """
-    edges = checkpoint(links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u < v").distinct())
+    edges = scratch.save(links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u < v").distinct())
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -244,45 +240,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while now[0]:
         # large star: all larger neighbours point to the least neighbour
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = scratch.save(dealt(both, least, ["u"], 2 * now[0], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: a node and its smaller neighbours point to the least of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("v"), F.col("m").alias("u")).unionAll(least.select(F.col("u").alias("v"), F.col("m").alias("u")))
-        edges = checkpoint(small.where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = dealt(large, least, ["u"], large.count(), "v").where("v <> m").select(F.col("v"), F.col("m").alias("u")).unionAll(least.select(F.col("u").alias("v"), F.col("m").alias("u")))
+        edges, old = scratch.save(small.where("u <> v").distinct()), edges
         now, before = state(edges), now
+        scratch.drop(old, large)
         if now == before:
             break
     return edges.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node").unionAll(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def _bands(signed_texts: DataFrame) -> DataFrame:
-    size = 2 * ROWS
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    keyed = signed_texts.select("doc_id", "signature", "plain", band)
-    pieces: list[Column] = [F.xxhash64(F.expr(f"substring({c}, band * {size} + 1, {size})"), "band") for c in ("signature", "plain")]
-    both = F.when(F.col("plain").isNull(), F.array(pieces[0])).otherwise(F.array_distinct(F.array(*pieces)))
-    return keyed.select("doc_id", F.explode(both).alias("bucket"))
-
-
-def _salted(rows: DataFrame, groups: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
-    """rows joined to their groups, of which many rows may have the same one: its rows are dealt out over `salts` tasks.
-
-    rows have a doc_id. groups have a row for each key and are few against rows, so `salts` times as many do no harm.
-    """
-    dealt = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts))).join(dealt, [*keys, "salt"]).drop("salt")
-
-
-def _across(mixed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _across(mixed: DataFrame, docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """Links across components: of every largest component the texts outside it, in blocks, against blocks of all."""
-    every = checkpoint(mixed.groupBy("main", "doc_id").agg(F.min("root").alias("root")))
+    every = scratch.save(mixed.groupBy("main", "doc_id").agg(F.min("root").alias("root")))
     blocks_of = lambda condition: F.ceil(F.count_if(condition) / BLOCK).cast("int")
     outside = F.col("root") != F.col("main")
-    sizes = every.groupBy("main").agg(blocks_of(outside).alias("rows"), blocks_of(F.lit(True)).alias("columns"))
-    wanted = every.select("doc_id").distinct()
-    texts = docs.where("text is not null").select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    held = every.join(sizes, "main").join(texts, "doc_id")
+    sizes = scratch.save(every.groupBy("main").agg(blocks_of(outside).alias("rows"), blocks_of(F.lit(True)).alias("columns"), F.count("*").alias("n")))
+    texts = texts_of_pairs(every.select(F.col("doc_id").alias("member"), F.col("doc_id").alias("rep")), docs)
+    held = dealt(every, sizes, ["main"], every.count(), "doc_id").join(texts, "doc_id")
 
     def blocks(rows: DataFrame, own: str, other: str, name: str) -> DataFrame:
         """Each block once for every block that it meets, so that hot components spread over the tasks."""
@@ -295,37 +273,48 @@ def _across(mixed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id and class_id of every distinct doc_id that isn't null."""
-    base = checkpoint(signed(docs.where("doc_id is not null")))
+    """doc_id and class_id of every distinct doc_id that isn't null.
+
+    All that lies between is written to a folder of its own under the shared one, which is left with the result alone.
+    """
+    scratch, kept = Scratch(docs.sparkSession, "minhash"), Scratch(docs.sparkSession, "classes")
+    base = scratch.save(signed(docs.where("doc_id is not null")))
     solid = base.where("n_shingles > 0")
-    copies = solid.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
-    copied = checkpoint(_salted(solid.select("doc_id", "c1", "c2"), copies, ["c1", "c2"]).where("doc_id <> first").groupBy("doc_id").agg(F.min("first").alias("first")))
-    texts = solid.select("doc_id", "signature", "plain").join(copied, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-
-    # buckets of more than one text, and their members
-    bands = _bands(texts)
-    shared = bands.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    members = checkpoint(bands.join(shared, "bucket"))
-    to_low = members.where("doc_id <> low").select(F.col("doc_id").alias("b"), F.col("low").alias("a"))
-    to_high = members.where("doc_id <> high").select(F.col("doc_id").alias("a"), F.col("high").alias("b"))
-    pairs = checkpoint(to_low.unionAll(to_high).distinct())
-    links = checkpoint(verified(pairs, texts, docs, least))
-    roots = checkpoint(components(links))
+    copies = scratch.save(solid.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last"))
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    copied = scratch.save(dealt(solid.select("doc_id", "c1", "c2"), copies, ["c1", "c2"], total, "doc_id").where("doc_id <> first").groupBy("doc_id").agg(F.min("first").alias("first")))
+    texts = solid.select("doc_id", "buckets").join(copied, "doc_id", "left_anti")
+
+    # buckets of more than one text, their members, and these against two of them
+    bands = texts.select("doc_id", F.explode("buckets").alias("bucket"))
+    shared = scratch.save(bands.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low <> high"))
+    held = shared.agg(F.sum("n")).first()[0] or 0
+    members = scratch.save(dealt(bands, shared, ["bucket"], held, "doc_id"))
+    pair = lambda rep: members.where(F.col("doc_id") != F.col(rep)).select(F.col("doc_id").alias("member"), F.col(rep).alias("rep"))
+    pairs = pair("low").unionAll(pair("high")).groupBy(F.least("member", "rep").alias("a"), F.greatest("member", "rep").alias("b")).agg(F.max("rep").alias("rep"))
+    pairs = scratch.save(pairs.select(F.when(F.col("rep") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"), "rep"))
+    needed = scratch.save(texts_of_pairs(pairs, docs))
+    links = scratch.save(verified(pairs, needed, least))
+    scratch.drop(needed, pairs)
+    roots = scratch.save(components(links, scratch))
 
     # buckets that still hold several components: what the representatives didn't show
     classed = members.select("bucket", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     sizes = classed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
     # in buckets of up to three texts every pair was compared
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.sum("size").alias("all")).where("roots > 1 and all > 3").select("bucket", F.col("top.root").alias("main"))
-    more = checkpoint(_across(classed.join(largest, "bucket"), docs, least))
-    if more.take(1):
-        roots = components(links.select("a", "b").unionAll(more))
-
-    firsts = copied.select(F.col("first").alias("node")).distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class_id"))
-    joined = _salted(copied.select("doc_id", F.col("first").alias("node")), firsts, ["node"]).select("doc_id", "class_id")
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.sum("size").alias("n")).where("roots > 1 and n > 3").select("bucket", F.col("top.root").alias("main"), "n")
+    largest = scratch.save(largest)
+    if largest.take(1):
+        more = scratch.save(_across(dealt(classed, largest, ["bucket"], largest.agg(F.sum("n")).first()[0], "doc_id"), docs, least, scratch))
+        if more.take(1):
+            roots = scratch.save(components(links.select("a", "b").unionAll(more), scratch))
+
+    firsts = copied.groupBy(F.col("first").alias("node")).agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class_id"), "n")
+    joined = dealt(copied.select("doc_id", F.col("first").alias("node")), firsts, ["node"], total, "doc_id").select("doc_id", "class_id")
     own = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
-    classes = joined.unionAll(own)
-    return base.select("doc_id").distinct().join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    found = kept.save(base.select("doc_id").distinct().join(joined.unionAll(own), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    scratch.close()
+    return found
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
