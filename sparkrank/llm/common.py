@@ -43,18 +43,19 @@ class Scratch:
     """Tables written to a folder of their own under the shared one; they cut lineage and go one by one, or at the end all."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.saved: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self.paths)}"
+        path = f"{self.folder}/{len(self.saved)}"
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(table)] = path
+        self.saved.append((table, path))
         return table
 
     def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            remove(self.spark, self.paths[id(table)])
+        for path in [path for table, path in self.saved if any(table is t for t in tables)]:
+            remove(self.spark, path)
 
     def close(self) -> None:
         remove(self.spark, self.folder)
