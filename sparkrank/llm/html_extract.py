@@ -8,8 +8,8 @@ characters and tags in links and scaled by the body's own share of links. A node
 children's densities. The node of the largest sum is the core. Landmarks (article, main) on the path from the body to the
 core count whole. Without one, the nearest div or section around the core counts whole but for blocks that are mostly
 links. Farther out, blocks that aren't mostly links count if they are headings, paragraphs, lists, tables or the like, if
-they hold a heading, or if they have as many characters outside links per tag as the core; beside a landmark they must
-also reach the least such number on the path, unless they are landmarks themselves.
+they hold a heading, or if they are as dense as the core; beside a landmark they must also reach the least density on
+the path, unless they are landmarks themselves.
 
 The text is that of the chosen subtrees in page order: character references decoded, white space within a block one
 space, blocks joined by one space. Null or empty pages, and pages without text, give an empty text. Tags may be
@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -237,8 +238,24 @@ def _dropped(tree: Tree) -> list[bool]:
     return [dropped or named and not excused(i) for i, (dropped, named) in enumerate(zip(tree.dropped, tree.named, strict=True))]
 
 
-def chosen(tree: Tree) -> np.ndarray:
-    """Which nodes' own texts belong to the main text."""
+@dataclass
+class Measures:
+    """Per node: whether it is dropped, its characters and those in links, loose ones (its own text and inline parts), whether it holds a heading, density and density sum."""
+
+    gone: list[bool]
+    chars: list[int]
+    link_chars: list[int]
+    loose: list[int]
+    loose_links: list[int]
+    holds_heading: list[bool]
+    body: int
+    density: np.ndarray
+    sums: np.ndarray
+
+
+def measures(tree: Tree) -> Measures:
+    """Composite text density of every node: characters per tag, by the logarithm of characters per link character and tags
+    per link tag, whose base grows where links outweigh plain text, by the body's own share of links. White space doesn't count."""
     n = len(tree.parent)
     parent = tree.parent
     gone, linked = [bool(d) for d in _dropped(tree)], [name == "a" for name in tree.name]
@@ -256,7 +273,7 @@ def chosen(tree: Tree) -> np.ndarray:
         if not gone[i]:
             tags[i] += 1
             link_tags[i] += linked[i]
-    loose, loose_links = list(chars), list(link_chars)  # a node's own text and its inline parts
+    loose, loose_links = list(chars), list(link_chars)
     holds_heading = [name in HEADINGS and not g for name, g in zip(tree.name, gone, strict=True)]
     for i in range(n - 1, 0, -1):
         up = parent[i]
@@ -271,12 +288,19 @@ def chosen(tree: Tree) -> np.ndarray:
     body = next((i for i in range(n) if tree.name[i] == "body" and not gone[i]), 0)
     c, lc, t, lt = (np.array(x, float) for x in (chars, link_chars, tags, link_tags))
     t1, lc1, lt1 = np.maximum(t, 1), np.maximum(lc, 1), np.maximum(lt, 1)
-    # the logarithm's base grows where links outweigh plain text, by the body's own share of links
     base = np.log(c / np.maximum(c - lc, 1) * lc + lc[body] / max(c[body], 1) * c + np.e)
     density = np.where(c > 0, c / t1 * np.log(np.maximum(c / lc1 * t1 / lt1, 1)) / base, 0.0)
     density[np.array(gone)] = 0
     sums = np.zeros(n)
     np.add.at(sums, np.array(parent[1:], int), density[1:])
+    return Measures(gone, chars, link_chars, loose, loose_links, holds_heading, body, density, sums)
+
+
+def chosen(tree: Tree) -> np.ndarray:
+    """Which nodes' own texts belong to the main text."""
+    n, parent = len(tree.parent), tree.parent
+    found = measures(tree)
+    gone, chars, link_chars, body, density, sums = found.gone, found.chars, found.link_chars, found.body, found.density, found.sums
     keep = np.zeros(n, bool)
     inside = [False] * n
     inside[body] = True
@@ -291,8 +315,7 @@ def chosen(tree: Tree) -> np.ndarray:
     path = [core]
     while path[-1] != body:
         path.append(parent[path[-1]])
-    plain = (c - lc) / np.maximum(t - lt, 1)
-    threshold = float(plain[path].min())
+    threshold = float(density[path].min())
     whole = core
     for node in path:
         if tree.name[node] in LANDMARKS:
@@ -310,13 +333,13 @@ def chosen(tree: Tree) -> np.ndarray:
         name, up = tree.name[i], parent[i]
         if name in HEADINGS:
             return True
-        if loose_links[up] > LINKS * loose[up] if name in INLINE else link_chars[i] > LINKS * chars[i]:
+        if found.loose_links[up] > LINKS * found.loose[up] if name in INLINE else link_chars[i] > LINKS * chars[i]:
             return False
         if up in around or name in LANDMARKS:
             return True
-        if landmark and plain[i] < threshold:
+        if landmark and density[i] < threshold:
             return False
-        return name in FLOW or name in ROWS or holds_heading[i] or plain[i] >= plain[core]
+        return name in FLOW or name in ROWS or found.holds_heading[i] or density[i] >= density[core]
 
     for i in range(body + 1, n):
         if inside[i] and not keep[i]:

@@ -1,10 +1,13 @@
 import html
+import math
+import random
 import re
 import time
+from xml.etree import ElementTree
 
 import pytest
 
-from sparkrank.llm.html_extract import main_text
+from sparkrank.llm.html_extract import Tree, main_text, measures
 from sparkrank.llm.queries import op1_html_extraction
 
 P = "A paragraph with enough words to look like the text of an article, and then some more."
@@ -116,6 +119,62 @@ def test_hostile_pages_end(text):
     assert time.perf_counter() - began < 10
 
 
+def well_formed(seed):
+    """A random page without anything that is dropped."""
+    r = random.Random(seed)
+
+    def node(depth):
+        inner = "".join(r.choice(["", "some words ", "x", node(depth + 1) if depth < 5 else ""]) for _ in range(r.randrange(1, 6)))
+        name = r.choice(["div", "section", "a", "b", "blockquote", "span"]) if depth else "body"
+        return f"<{name}>{inner}</{name}>"
+
+    return f"<html>{node(0)}</html>"
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_densities_and_sums_by_definition(seed):
+    page_ = well_formed(seed)
+    root = ElementTree.fromstring(page_)
+    size = lambda text: len("".join((text or "").split()))
+
+    def count(e, linked=False):
+        """Characters, link characters, tags and link tags of an element, itself included."""
+        linked = linked or e.tag == "a"
+        own = size(e.text) + sum(size(x.tail) for x in e)
+        below = [count(x, linked) for x in e]
+        return [sum(v) for v in zip([own, own * linked, 1, int(linked)], *below, strict=True)]
+
+    def densities(e, body, linked=False):
+        c, lc, t, lt = count(e, linked)
+        share = body[1] / max(body[0], 1)
+        own = 0.0 if not c else c / t * math.log(max(c * t / max(lc, 1) / max(lt, 1), 1)) / math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        below = [densities(x, body, linked or e.tag == "a") for x in e]
+        return [(e.tag, own, sum(b[0][1] for b in below)), *[d for b in below for d in b]]
+
+    expected = densities(root, count(root[0]))
+    tree = Tree(page_)
+    found = measures(tree)
+    assert tree.name[1:] == [x[0] for x in expected]
+    assert found.density[1:] == pytest.approx([x[1] for x in expected])
+    assert found.sums[1:] == pytest.approx([x[2] for x in expected])
+
+
+def test_the_core_is_the_node_of_the_largest_sum():
+    page_ = page(f"<div><p>One line.</p></div><div id=core><p>{P}</p><p>{P}</p><p>{P}</p></div><div><a href=x>{P}</a><a href=y>{P}</a></div>")
+    found, tree = measures(Tree(page_)), Tree(page_)
+    core = int(found.sums[1:].argmax()) + 1
+    assert [tree.name[i] for i in range(len(tree.name)) if tree.parent[i] == core] == ["p", "p", "p"]
+
+
+@pytest.mark.parametrize("landmark", ["div", "section"])
+def test_tables_pages_need_no_landmark(spark, sf_dir, landmark):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        plain = r["html"]
+        for name in ("article", "main"):
+            plain = plain.replace(f"<{name}>", f"<{landmark}>").replace(f"</{name}>", f"</{landmark}>")
+        assert main_text(plain) == main_text(r["html"])
+
+
 def test_whole_table_equals_article(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in op1_html_extraction(spark, sf_dir).collect():
