@@ -50,3 +50,13 @@ def formation(n: Column, gk: Column, defenders: Column, mids: Column, forwards:
     """D-M-F of a valid eleven, else Invalid."""
     valid = (n == 11) & (gk == 1) & defenders.between(3, 5) & mids.between(3, 5) & forwards.between(1, 3)
     return F.when(valid, F.format_string("%d-%d-%d", defenders, mids, forwards)).otherwise("Invalid")
+
+
+def iso_time(moment: Column) -> Column:
+    """A moment of UTC as 2024-01-31T12:00:00.000Z."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def stamped_name(prefix: str, moment: Column, suffix: str = ".csv") -> Column:
+    """A file name that sorts by time: <prefix>_20240131_120000.csv."""
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(moment, "yyyyMMdd_HHmmss"), F.lit(suffix))

@@ -21,6 +21,13 @@ PRESETS = {
     "Form & Fixtures": _weights(0.25, 0.15, 0.10, 0.15, 0.25, 0.05, 0.03, 0.02),
     "Set & Forget": _weights(0.05, 0.15, 0.15, 0.30, 0.05, 0.25, 0.03, 0.02),
 }
+PRESET_TEXTS = {
+    "Balanced Approach": "Well-rounded team focusing on consistent performers across all positions",
+    "Premium Heavy": "Invest heavily in proven premium players with guaranteed minutes",
+    "Value Optimized": "Maximum points per million - focus on budget enablers and differentials",
+    "Form & Fixtures": "Players in hot form with favorable upcoming fixture runs",
+    "Set & Forget": "Stable team with minimal transfers - focus on season-long consistency",
+}
 STRATEGIES = {
     "balanced": _weights(0.15, 0.15, 0.15, 0.20, 0.15, 0.15, 0.05, 0.00),
     "premium": _weights(0.15, 0.25, 0.25, 0.20, 0.05, 0.05, 0.00, 0.05),
@@ -44,6 +51,12 @@ def weights_frame(spark: SparkSession, sets: dict[str, dict[str, float]], name:
     return spark.createDataFrame([(k, *[w[m] for m in METRICS]) for k, w in sets.items()], schema)
 
 
+def presets_frame(spark: SparkSession) -> DataFrame:
+    """The presets with their descriptions."""
+    texts = spark.createDataFrame(list(PRESET_TEXTS.items()), "name string, description string")
+    return weights_frame(spark, PRESETS, "name").join(texts, "name")
+
+
 def formations_frame(spark: SparkSession) -> DataFrame:
     rows = [(f, POSITIONS[i + 1], n, SQUAD_PLACES[i]) for f, places in FORMATIONS.items() for i, n in enumerate(places)]
     return spark.createDataFrame(rows, "formation string, pos string, starting int, total int")

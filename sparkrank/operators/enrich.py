@@ -50,8 +50,30 @@ def enrich(players: DataFrame, teams: DataFrame, fixtures: DataFrame, advanced:
     )
 
 
-def current_players(players: DataFrame, teams: DataFrame, columns: list[str]) -> DataFrame:
-    """The current-player view: id, name, position, team, team_name, price, then the named columns."""
+#: The statistics of the current-player view in their order, those that may be missing, and the static attributes.
+STATISTICS = [
+    "form", "total_points", "points_per_game", "selected_by_percent", "transfers_in", "transfers_out", "value_form", "value_season",
+    "influence", "creativity", "threat", "ict_index", "starts", "expected_goals", "expected_assists", "expected_goal_involvements", "expected_goals_conceded",
+    "goals_scored", "assists", "clean_sheets", "goals_conceded", "own_goals", "penalties_saved", "penalties_missed", "yellow_cards", "red_cards",
+    "saves", "bonus", "bps", "influence_rank", "creativity_rank", "threat_rank", "ict_index_rank",
+]
+SET_PIECES = ["corners_and_indirect_freekicks_order", "direct_freekicks_order", "penalties_order"]
+STATIC = ["selected_by_percent", "transfers_in", "transfers_out", "value_form", "value_season"]
+
+
+def static_attributes(players: DataFrame) -> DataFrame:
+    """What a player's panel rows share: player_id, name, position, team, price and the five figures of the whole season."""
+    return players.select(F.col("id").alias("player_id"), F.concat_ws(" ", "first_name", "second_name").alias("name"), F.col("element_type").alias("position"), "team", (F.col("now_cost") / 10).alias("price"), *STATIC)
+
+
+def current_players(players: DataFrame, teams: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The current-player view: id, name, position, team, team_name, price, then the named columns (all statistics by default).
+
+    Set-piece orders that players haven't are null.
+    """
+    if columns is None:
+        players = players.select("*", *[F.lit(None).cast("int").alias(c) for c in SET_PIECES if c not in players.columns])
+        columns = [*STATISTICS, *SET_PIECES]
     t = teams.select(F.col("id").alias("team"), F.col("name").alias("team_name"))
     rows = players.join(t, "team", "left")
     return rows.select("id", F.concat_ws(" ", "first_name", "second_name").alias("name"), F.col("element_type").alias("position"), "team", F.coalesce("team_name", F.lit("Unknown")).alias("team_name"), (F.col("now_cost") / 10).alias("price"), *columns)

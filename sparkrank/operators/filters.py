@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .constants import POSITIONS
 
 
+def whole_number(value: int | str) -> int | None:
+    """The whole number that a string begins with, after white space; None where it begins with none."""
+    found = re.match(r"\s*([+-]?[0-9]+)", str(value))
+    return int(found[1]) if found else None
+
+
 def by_id(players: DataFrame, id_: int | str) -> DataFrame:
-    try:
-        wanted = int(id_)
-    except (TypeError, ValueError):
-        raise ValueError(f"{id_!r} is no player id") from None
+    wanted = whole_number(id_)
+    if wanted is None:
+        raise ValueError(f"{id_!r} is no player id")
     return players.where(F.col("id") == wanted)
 
 

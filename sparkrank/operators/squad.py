@@ -118,6 +118,28 @@ def remove_slot(slots: DataFrame, squad_id: int, id_: int) -> DataFrame:
     return slots.where(~((F.col("squad_id") == squad_id) & (F.col("id") == id_)))
 
 
+def move_slots(slots: DataFrame, moves: DataFrame) -> DataFrame:
+    """slots after one move for each squad: the player goes to the end of the other section, then slots are put in order.
+
+    moves: squad_id, id, from_starting. A squad stays as it is where the player isn't in the section it should leave or the
+    other one is full.
+    """
+    state = slots.groupBy("squad_id").agg(_count("xi").alias("n_xi"), _count("bench").alias("n_bench"))
+    source, target = F.when(F.col("from_starting"), "xi").otherwise("bench"), F.when(F.col("from_starting"), "bench").otherwise("xi")
+    room = F.when(F.col("from_starting"), F.col("n_bench") < 4).otherwise(F.col("n_xi") < 11)
+    wanted = moves.join(state, "squad_id").where(room).select("squad_id", "id", source.alias("section"), target.alias("_to"))
+    moved = slots.join(wanted, ["squad_id", "id", "section"], "left")
+    changed = moved.withColumn("section", F.coalesce("_to", "section")).withColumn("slot_no", F.when(F.col("_to").isNotNull(), 100).otherwise(F.col("slot_no")))
+    return in_order(changed.select(*slots.columns))
+
+
+def split_by_index(picks: DataFrame, starting: int = 11) -> DataFrame:
+    """Slots of squads given as lists: squad_id and picks (array<struct<id, pos, price>>); the first `starting` ones start."""
+    rows = picks.select("squad_id", F.posexplode("picks").alias("k", "pick"))
+    xi = F.col("k") < starting
+    return rows.select("squad_id", F.when(xi, "xi").otherwise("bench").alias("section"), (F.when(xi, F.col("k")).otherwise(F.col("k") - starting) + 1).cast("int").alias("slot_no"), "pick.*")
+
+
 def in_order(slots: DataFrame) -> DataFrame:
     """Slots numbered anew by position, GK first, then as they were."""
     place = F.array_position(F.array(*[F.lit(p) for p in ("GK", "DEF", "MID", "FWD")]), F.col("pos"))

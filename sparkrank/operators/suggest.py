@@ -11,8 +11,8 @@ from ..functions import scoring
 from ..functions.rounding import half_up
 from .constants import DEFAULT_WEIGHTS
 
-#: Candidates of one position and price up to which their table, a few hundred prices, goes to all tasks.
-BROADCAST_PER_PRICE = 100
+#: Candidates up to which their table goes to all tasks; beyond, each position's requests are dealt out over SALTS parts.
+BROADCAST_ROWS, SALTS = 50_000, 64
 REQUEST = "request_id long, player_id long, position string, max_price double, exclude_ids array<long>"
 
 
@@ -21,7 +21,7 @@ def suggest(players: DataFrame, requests: DataFrame, weights: Mapping[str, float
 
     Of the players of one position and price a request takes at most `limit`, and passes over at most its own and the
     excluded ones. So only so many of each price meet the requests: a table bounded by prices, however many players
-    there are, which is broadcast unless a request excludes very many. A request for an unknown player has no rows.
+    there are. It is counted, and broadcast while it is small. A request for an unknown player has no rows.
     """
     if not 1 <= limit <= 10:
         raise ValueError("a limit is 1 to 10")
@@ -31,9 +31,13 @@ def suggest(players: DataFrame, requests: DataFrame, weights: Mapping[str, float
     excluded = requests.agg(F.max(F.size(F.coalesce("exclude_ids", F.array().cast("array<long>"))))).first()[0] or 0
     in_price = F.row_number().over(Window.partitionBy("pos", "price").orderBy(F.desc("score"), "ord", "id"))
     best = scored.where("status = 'a'").withColumn("in_price", in_price).where(F.col("in_price") <= limit + excluded + 1)
-    if limit + excluded + 1 <= BROADCAST_PER_PRICE:  # then a few rows for each position and tenth of a price at most
-        best = F.broadcast(best)
-    joined = asked.join(best, (asked["position"] == best["pos"]) & (best["price"] <= asked["max_price"]) & (best["id"] != asked["player_id"]))
+    fits = (F.col("position") == F.col("pos")) & (F.col("price") <= F.col("max_price")) & (F.col("id") != F.col("player_id"))
+    if best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = asked.join(F.broadcast(best), fits)
+    else:  # a request meets its position's candidates in one of many parts, each of which has them all
+        dealt = asked.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(SALTS)))
+        parts = best.withColumn("position", F.col("pos")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = dealt.join(parts, ["position", "part"]).where(fits)
     open_ = joined.where(~F.array_contains("exclude_ids", F.col("id")))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "ord", "id"))
     top = open_.withColumn("rank", rank).where(F.col("rank") <= limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich as enriching
@@ -72,18 +72,29 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(rows, "player_id").withColumn("pos", enriching.position("position"))
 
 
-SQUADS = 10
-
-
 def squad_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squads 0 to 9 from consecutive players of each position; some break the rules (1: no forwards, 2: too dear, 3: a player twice)."""
+    """A squad for every twenty consecutive players, who are five of each position: the first 2, 5, 5 and 3 of them.
+
+    Every tenth squad breaks a rule of its own: those that end in 1 have no forwards, in 2 are too dear, in 3 a player twice.
+    """
     rows = players(spark, sf_dir).withColumn("pos", enriching.position("element_type"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy("id")) - 1).where(F.col("r") < SQUADS * 5)
+    squad = F.expr("id div 20")
     per = F.when(F.col("pos") == "GK", 2).when(F.col("pos") == "FWD", 3).otherwise(5)
-    placed = ranked.withColumn("squad_id", F.floor(F.col("r") / per).cast("long")).withColumn("k", (F.col("r") % per).cast("int")).where(F.col("squad_id") < SQUADS)
+    placed = rows.withColumn("squad_id", squad.cast("long")).withColumn("k", F.expr("cast(id div 4 % 5 as int)")).where(F.col("k") < per)
+    kind = F.col("squad_id") % 10
     starts = F.when(F.col("pos") == "GK", 1).when(F.col("pos") == "FWD", 2).otherwise(4)
     xi = F.col("k") < starts
     slot = F.when(F.col("pos") == "GK", 1).when(F.col("pos") == "DEF", 1 + F.col("k") + 1).when(F.col("pos") == "MID", 5 + F.col("k") + 1).otherwise(9 + F.col("k") + 1)
     bench = F.when(F.col("pos") == "GK", 1).when(F.col("pos") == "DEF", 2).when(F.col("pos") == "MID", 3).otherwise(4)
-    shown = placed.select("squad_id", F.when(xi, "xi").otherwise("bench").alias("section"), F.when(xi, slot).otherwise(bench).cast("int").alias("slot_no"), F.when((F.col("squad_id") == 3) & (F.col("k") == 1), F.col("id") - 4).otherwise(F.col("id")).alias("id"), "pos", (F.col("now_cost") / 20).alias("price"), F.when(F.col("squad_id") == 2, 90.0).otherwise(0.5).alias("bank"))
-    return shown.where(~((F.col("squad_id") == 1) & (F.col("pos") == "FWD")))
+    shown = placed.where(~((kind == 1) & (F.col("pos") == "FWD"))).select(
+        "squad_id", F.when(xi, "xi").otherwise("bench").alias("section"), F.when(xi, slot).otherwise(bench).cast("int").alias("slot_no"),
+        F.when((kind == 3) & (F.col("k") == 1), F.col("id") - 4).otherwise(F.col("id")).alias("id"), "pos", (F.col("now_cost") / 20).alias("price"), F.when(kind == 2, 90.0).otherwise(0.5).alias("bank"),
+    )
+    return shown
+
+
+def player_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players with all the statistics of the current-player view, whole numbers from the key; the set-piece orders are null for most."""
+    numbers = [f"cast(id * {k} % 97 AS int) AS {c}" for k, c in enumerate(enriching.STATISTICS, 1) if c not in ("form", "total_points")]
+    orders = [f"CASE WHEN id % {k} = 0 THEN cast(id % 3 AS int) END AS {c}" for k, c in enumerate(enriching.SET_PIECES, 5)]
+    return players(spark, sf_dir).selectExpr("*", *numbers, *orders)

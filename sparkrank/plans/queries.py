@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -84,16 +83,14 @@ PREDICTIONS = """predictions AS (
     FROM live JOIN players ON player_id = id GROUP BY player_id
 )"""
 SLOTS = """slots AS (
-    SELECT squad_id, section, slot_no, id, pos, price, bank FROM (
-        SELECT CAST(r // per AS BIGINT) AS squad_id, CASE WHEN k < starts THEN 'xi' ELSE 'bench' END AS section,
-               CAST(CASE WHEN k < starts THEN CASE pos WHEN 'GK' THEN 1 WHEN 'DEF' THEN 2 + k WHEN 'MID' THEN 6 + k ELSE 10 + k END
-                    ELSE CASE pos WHEN 'GK' THEN 1 WHEN 'DEF' THEN 2 WHEN 'MID' THEN 3 ELSE 4 END END AS INTEGER) AS slot_no,
-               CASE WHEN r // per = 3 AND k = 1 THEN id - 4 ELSE id END AS id, pos, CAST(now_cost AS DOUBLE) / 20 AS price,
-               CAST(CASE WHEN r // per = 2 THEN 90.0 ELSE 0.5 END AS DOUBLE) AS bank
-        FROM (SELECT *, r % per AS k FROM (
-            SELECT *, row_number() OVER (PARTITION BY pos ORDER BY id) - 1 AS r, CASE pos WHEN 'GK' THEN 2 WHEN 'FWD' THEN 3 ELSE 5 END AS per,
-                   CASE pos WHEN 'GK' THEN 1 WHEN 'FWD' THEN 2 ELSE 4 END AS starts FROM players))
-    ) WHERE squad_id < 10 AND NOT (squad_id = 1 AND pos = 'FWD')
+    SELECT squad_id, CASE WHEN k < starts THEN 'xi' ELSE 'bench' END AS section,
+           CAST(CASE WHEN k < starts THEN CASE pos WHEN 'GK' THEN 1 WHEN 'DEF' THEN 2 + k WHEN 'MID' THEN 6 + k ELSE 10 + k END
+                ELSE CASE pos WHEN 'GK' THEN 1 WHEN 'DEF' THEN 2 WHEN 'MID' THEN 3 ELSE 4 END END AS INTEGER) AS slot_no,
+           CASE WHEN squad_id % 10 = 3 AND k = 1 THEN id - 4 ELSE id END AS id, pos, CAST(now_cost AS DOUBLE) / 20 AS price,
+           CAST(CASE WHEN squad_id % 10 = 2 THEN 90.0 ELSE 0.5 END AS DOUBLE) AS bank
+    FROM (SELECT *, id // 20 AS squad_id, id // 4 % 5 AS k, CASE pos WHEN 'GK' THEN 2 WHEN 'FWD' THEN 3 ELSE 5 END AS per,
+                 CASE pos WHEN 'GK' THEN 1 WHEN 'FWD' THEN 2 ELSE 4 END AS starts FROM players)
+    WHERE k < per AND NOT (squad_id % 10 = 1 AND pos = 'FWD')
 )"""
 ORDER = "OVER (PARTITION BY player_id ORDER BY gameweek)"
 
@@ -129,6 +126,21 @@ def sets_sql(sets: dict[str, dict[str, float]], name: str) -> str:
     return f"sets({name}, " + ", ".join(f"w_{m}" for m in scoring.METRICS) + f") AS (VALUES {rows})"
 
 
+W_COLUMNS = ", ".join(f"w_{m}" for m in scoring.METRICS)
+
+
+def literal_sql(rows: str, name: str = "name", more: str = "") -> str:
+    """Sets of weights as written here, in hundredths."""
+    weights = ", ".join(f"CAST(w_{m} AS DOUBLE) / 100 AS w_{m}" for m in scoring.METRICS)
+    return f"SELECT {name}{more}, {weights} FROM (VALUES {rows}) t({name}{more}, {W_COLUMNS})"
+
+
+STRATEGY_ROWS = """
+    ('balanced', 15, 15, 15, 20, 15, 15, 5, 0), ('premium', 15, 25, 25, 20, 5, 5, 0, 5), ('value', 15, 15, 15, 15, 10, 10, 20, 0), ('differential', 20, 20, 15, 15, 15, 10, 3, 2),
+    ('form', 25, 15, 10, 15, 25, 5, 3, 2), ('template', 10, 10, 10, 25, 10, 20, 5, 10), ('setforget', 5, 15, 15, 30, 5, 25, 3, 2), ('wildcard', 30, 20, 15, 10, 20, 2, 2, 1)"""
+STRATEGY_SETS = f"sets(strategy, {W_COLUMNS}) AS ({literal_sql(STRATEGY_ROWS, 'strategy')})"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifteen best players by score."""
     top = stats.scored(domain.enriched(spark, sf_dir)).orderBy(F.desc("score"), "id").limit(15)
@@ -157,7 +169,7 @@ def players_count(spark, sf_dir):
 
 @query(with_(*enriched_sql()) + "SELECT * FROM enriched WHERE id = 17")
 def player_by_id(spark, sf_dir):
-    return filters.by_id(domain.enriched(spark, sf_dir), "17")
+    return filters.by_id(domain.enriched(spark, sf_dir), " 17th")
 
 
 @query(with_(*enriched_sql()) + "SELECT * FROM enriched WHERE pos = 'DEF'")
@@ -170,9 +182,28 @@ def players_available(spark, sf_dir):
     return filters.available(domain.enriched(spark, sf_dir))
 
 
-@query(with_(PLAYERS) + "SELECT p.id, p.name, element_type AS position, team, coalesce(n_name, 'Unknown') AS team_name, CAST(now_cost AS DOUBLE) / 10 AS price, status, CAST(p_size AS INTEGER) AS total_points FROM players p JOIN part ON id = p_partkey LEFT JOIN nation ON team = n_nationkey")
+# the statistics that the whole-number columns of the view are derived from, in its order
+VIEW_NUMBERS = [
+    "points_per_game", "selected_by_percent", "transfers_in", "transfers_out", "value_form", "value_season", "influence", "creativity", "threat", "ict_index", "starts",
+    "expected_goals", "expected_assists", "expected_goal_involvements", "expected_goals_conceded", "goals_scored", "assists", "clean_sheets", "goals_conceded", "own_goals",
+    "penalties_saved", "penalties_missed", "yellow_cards", "red_cards", "saves", "bonus", "bps", "influence_rank", "creativity_rank", "threat_rank", "ict_index_rank",
+]
+VIEW = """stats AS (
+    SELECT p.*, CAST(p_size AS INTEGER) AS total_points, {numbers},
+           CASE WHEN id % 5 = 0 THEN CAST(id % 3 AS INTEGER) END AS corners_and_indirect_freekicks_order, CASE WHEN id % 6 = 0 THEN CAST(id % 3 AS INTEGER) END AS direct_freekicks_order,
+           CASE WHEN id % 7 = 0 THEN CAST(id % 3 AS INTEGER) END AS penalties_order
+    FROM players p JOIN part ON id = p_partkey
+)""".replace("{numbers}", ", ".join(f"CAST(id * {k} % 97 AS INTEGER) AS {c}" for k, c in enumerate(VIEW_NUMBERS, 3)))
+
+
+@query(with_(PLAYERS, VIEW) + f"SELECT id, name, element_type AS position, team, coalesce(n_name, 'Unknown') AS team_name, CAST(now_cost AS DOUBLE) / 10 AS price, printf('%.1f', form) AS form, total_points, {', '.join(VIEW_NUMBERS)}, corners_and_indirect_freekicks_order, direct_freekicks_order, penalties_order FROM stats LEFT JOIN nation ON team = n_nationkey")
 def current_players(spark, sf_dir):
-    return enrich.current_players(domain.players(spark, sf_dir), domain.teams(spark, sf_dir), ["status", "total_points"])
+    return enrich.current_players(domain.player_statistics(spark, sf_dir), domain.teams(spark, sf_dir))
+
+
+@query(with_(PLAYERS, VIEW) + "SELECT id AS player_id, name, element_type AS position, team, CAST(now_cost AS DOUBLE) / 10 AS price, selected_by_percent, transfers_in, transfers_out, value_form, value_season FROM stats")
+def static_attributes(spark, sf_dir):
+    return enrich.static_attributes(domain.player_statistics(spark, sf_dir))
 
 
 @query(with_(FIXTURES) + "SELECT ord, ord AS id, event, team_h, team_a, team_h_difficulty, team_a_difficulty FROM fixtures")
@@ -211,7 +242,7 @@ def player_scores(spark, sf_dir):
     return stats.scored(domain.enriched(spark, sf_dir)).select("id", "score", "label")
 
 
-@query(with_(*enriched_sql(), sets_sql(STRATEGIES, "strategy")) + f"SELECT id, strategy, {score_sql()} AS score FROM enriched, sets")
+@query(with_(*enriched_sql(), STRATEGY_SETS) + f"SELECT id, strategy, {score_sql()} AS score FROM enriched, sets")
 def strategy_scores(spark, sf_dir):
     return stats.scored_by_sets(domain.enriched(spark, sf_dir), STRATEGIES).select("id", "strategy", "score")
 
@@ -221,17 +252,22 @@ def preset_scores(spark, sf_dir):
     return stats.scored_by_sets(domain.enriched(spark, sf_dir), PRESETS, "preset").select("id", "preset", "score")
 
 
-@query("WITH " + sets_sql(PRESETS, "name") + " SELECT * FROM sets")
+@query(literal_sql("""
+    ('Balanced Approach', 'Well-rounded team focusing on consistent performers across all positions', 15, 15, 15, 20, 15, 15, 5, 0),
+    ('Premium Heavy', 'Invest heavily in proven premium players with guaranteed minutes', 10, 20, 20, 25, 10, 10, 2, 3),
+    ('Value Optimized', 'Maximum points per million - focus on budget enablers and differentials', 15, 15, 15, 15, 10, 10, 20, 0),
+    ('Form & Fixtures', 'Players in hot form with favorable upcoming fixture runs', 25, 15, 10, 15, 25, 5, 3, 2),
+    ('Set & Forget', 'Stable team with minimal transfers - focus on season-long consistency', 5, 15, 15, 30, 5, 25, 3, 2)""", more=", description"))
 def presets(spark, sf_dir):
-    return constants.weights_frame(spark, PRESETS, "name")
+    return constants.presets_frame(spark)
 
 
-@query("WITH " + sets_sql({"default": DEFAULT_WEIGHTS}, "name") + " SELECT * FROM sets")
+@query(literal_sql("('default', 20, 15, 15, 15, 10, 15, 5, 5), ('ai', 25, 20, 20, 15, 10, 5, 3, 2)"))
 def default_weights(spark, sf_dir):
-    return constants.weights_frame(spark, {"default": DEFAULT_WEIGHTS}, "name")
+    return constants.weights_frame(spark, {"default": DEFAULT_WEIGHTS, "ai": constants.AI_WEIGHTS}, "name")
 
 
-@query("WITH " + sets_sql(STRATEGIES, "name") + ", ranked AS (SELECT name, metric, weight, row_number() OVER (PARTITION BY name ORDER BY weight DESC, place) AS rank FROM (" + " UNION ALL ".join(f"SELECT name, '{m}' AS metric, {i} AS place, w_{m} AS weight FROM sets" for i, m in enumerate(scoring.METRICS)) + ")) SELECT name, CAST(rank AS INTEGER) AS rank, metric, weight FROM ranked WHERE rank <= 3")
+@query("WITH " + "sets AS (" + literal_sql(STRATEGY_ROWS) + "), ranked AS (SELECT name, metric, weight, row_number() OVER (PARTITION BY name ORDER BY weight DESC, place) AS rank FROM (" + " UNION ALL ".join(f"SELECT name, '{m}' AS metric, {i} AS place, w_{m} AS weight FROM sets" for i, m in enumerate(scoring.METRICS)) + ")) SELECT name, CAST(rank AS INTEGER) AS rank, metric, weight FROM ranked WHERE rank <= 3")
 def top_weights(spark, sf_dir):
     sets = constants.weights_frame(spark, STRATEGIES, "name")
     entries = F.sort_array(F.array(*[F.struct((-F.col(f"w_{m}")).alias("k"), F.lit(i).alias("i"), F.lit(m).alias("metric"), F.col(f"w_{m}").alias("weight")) for i, m in enumerate(scoring.METRICS)]))
@@ -239,7 +275,9 @@ def top_weights(spark, sf_dir):
     return rows.select("name", (F.col("p") + 1).alias("rank"), "e.metric", "e.weight")
 
 
-@query("SELECT formation, pos, starting, total FROM (VALUES " + ", ".join(f"('{f}', '{constants.POSITIONS[i + 1]}', {n}, {constants.SQUAD_PLACES[i]})" for f, p in constants.FORMATIONS.items() for i, n in enumerate(p)) + ") t(formation, pos, starting, total)")
+@query("""SELECT formation, pos, CAST(substr(places, i, 1) AS INTEGER) AS starting, [2, 5, 5, 3][i] AS total
+FROM (VALUES ('3-4-3', '1343'), ('3-5-2', '1352'), ('4-3-3', '1433'), ('4-4-2', '1442'), ('4-5-1', '1451'), ('5-3-2', '1532'), ('5-4-1', '1541')) f(formation, places),
+     (VALUES (1, 'GK'), (2, 'DEF'), (3, 'MID'), (4, 'FWD')) p(i, pos)""")
 def formations(spark, sf_dir):
     return constants.formations_frame(spark)
 
@@ -272,10 +310,9 @@ def score_levels(spark, sf_dir):
     return stats.scored(domain.enriched(spark, sf_dir)).select("id", "score", scoring.level(F.col("score")).alias("level"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(strip_accents(trim(regexp_replace(lower(substr(text, 1, position(' ' IN text || ' ') - 1)), '\\s+', ' ', 'g'))), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g') AS name FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(strip_accents(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g') AS name FROM documents")
 def name_normalise(spark, sf_dir):
-    docs = domain.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.normalise(F.substring_index("text", " ", 1)).alias("name"))
+    return domain.table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text")).alias("name"))
 
 
 def search_sql(name: str, limit: int = 5) -> str:
@@ -293,13 +330,13 @@ for _name, (_asked, _limit) in SEARCHES.items():
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request for every player whose id is divisible by 25: own position, up to 2 more than the own price, without the next of the position."""
-    rows = domain.enriched(spark, sf_dir).where("id % 25 = 0")
+    """A request for every player: own position, up to 2 more than the own price, without the next of the position."""
+    rows = domain.enriched(spark, sf_dir)
     return rows.selectExpr("id AS request_id", "id AS player_id", "pos AS position", "price + 2 AS max_price", "array(id + 4) AS exclude_ids")
 
 
 def suggest_sql(w: dict[str, float], limit: int) -> str:
-    return with_(*enriched_sql(), f"scored AS (SELECT *, {score_sql(w)} AS score FROM enriched)") + f"SELECT request_id, player_id, CAST(rank AS INTEGER) AS rank, id, name, team_short, price, score, {half_up_sql('score - current_score')} AS delta FROM (SELECT c.id AS request_id, c.id AS player_id, s.id, s.name, s.team_short, s.price, s.score, c.score AS current_score, row_number() OVER (PARTITION BY c.id ORDER BY s.score DESC, s.ord, s.id) AS rank FROM scored c JOIN scored s ON s.pos = c.pos AND s.price <= c.price + 2 AND s.id <> c.id AND s.id <> c.id + 4 AND s.status = 'a' WHERE c.id % 25 = 0) WHERE rank <= {limit}"
+    return with_(*enriched_sql(), f"scored AS (SELECT *, {score_sql(w)} AS score FROM enriched)") + f"SELECT request_id, player_id, CAST(rank AS INTEGER) AS rank, id, name, team_short, price, score, {half_up_sql('score - current_score')} AS delta FROM (SELECT c.id AS request_id, c.id AS player_id, s.id, s.name, s.team_short, s.price, s.score, c.score AS current_score, row_number() OVER (PARTITION BY c.id ORDER BY s.score DESC, s.ord, s.id) AS rank FROM scored c JOIN scored s ON s.pos = c.pos AND s.price <= c.price + 2 AND s.id <> c.id AND s.id <> c.id + 4 AND s.status = 'a') WHERE rank <= {limit}"
 
 
 BULK_WEIGHTS = {"form": 0.3, "xg90": 0.2, "xa90": 0.2, "exp_min": 0.2, "next3_ease": 0.1}
@@ -382,10 +419,10 @@ def squad_teams(spark, sf_dir):
     return squad.team_counts(domain.squad_slots(spark, sf_dir), domain.enriched(spark, sf_dir))
 
 
-@query(with_(PLAYERS, SLOTS) + "SELECT * FROM slots WHERE squad_id NOT IN (1, 3)")
+@query(with_(PLAYERS, SLOTS) + "SELECT * FROM slots WHERE squad_id % 10 NOT IN (1, 3)")
 def squad_json(spark, sf_dir):
     """Slots to nested squads, to JSON, back, and to slots again, without the squads that break rules on slots."""
-    slots = domain.squad_slots(spark, sf_dir).where("squad_id NOT IN (1, 3)")
+    slots = domain.squad_slots(spark, sf_dir).where("squad_id % 10 NOT IN (1, 3)")
     written = readers.squads_to_json(squad.nested(slots)).select("squad_id", "json")
     return squad.slots_of(readers.parse_squads(written).where("problem IS NULL"))
 
@@ -550,17 +587,88 @@ def squad_order(spark, sf_dir):
     return squad.in_order(domain.squad_slots(spark, sf_dir)).select("squad_id", "section", "slot_no", "id")
 
 
+MOVES = """open_ AS (SELECT * FROM slots WHERE NOT (section = 'bench' AND slot_no = 4 AND squad_id % 3 > 0)),
+n AS (SELECT squad_id, count(*) FILTER (WHERE section = 'xi') AS n_xi, count(*) FILTER (WHERE section = 'bench') AS n_bench FROM open_ GROUP BY squad_id),
+moved AS (
+    SELECT o.squad_id, id, pos, price, bank,
+           CASE WHEN section = 'xi' AND slot_no = o.squad_id % 11 + 1 AND n_bench < 4 THEN 'bench' ELSE section END AS section,
+           CASE WHEN section = 'xi' AND slot_no = o.squad_id % 11 + 1 AND n_bench < 4 THEN 100 ELSE slot_no END AS slot_no FROM open_ o JOIN n ON n.squad_id = o.squad_id
+)"""
+
+
+@query(with_(PLAYERS, SLOTS, MOVES) + "SELECT squad_id, section, CAST(row_number() OVER (PARTITION BY squad_id, section ORDER BY list_position(['GK', 'DEF', 'MID', 'FWD'], pos), slot_no) AS INTEGER) AS slot_no, id FROM moved")
+def squad_moves(spark, sf_dir):
+    """Of every squad one starting player goes to the bench; every third bench is full, so nothing moves there."""
+    slots = domain.squad_slots(spark, sf_dir).where("NOT (section = 'bench' AND slot_no = 4 AND squad_id % 3 > 0)")
+    moves = slots.where("section = 'xi' AND slot_no = squad_id % 11 + 1").select("squad_id", "id", F.lit(True).alias("from_starting"))
+    return squad.move_slots(slots, moves).select("squad_id", "section", "slot_no", "id")
+
+
+@query(with_(PLAYERS, SLOTS) + "SELECT squad_id, CASE WHEN k < 11 THEN 'xi' ELSE 'bench' END AS section, CAST(CASE WHEN k < 11 THEN k + 1 ELSE k - 10 END AS INTEGER) AS slot_no, id FROM (SELECT *, row_number() OVER (PARTITION BY squad_id ORDER BY price DESC, id, section, slot_no) - 1 AS k FROM slots)")
+def squad_split(spark, sf_dir):
+    """Squads as lists by falling price: the first eleven start."""
+    dearest = F.sort_array(F.collect_list(F.struct((-F.col("price")).alias("k"), "id", "section", "slot_no", "pos", "price")))
+    picks = domain.squad_slots(spark, sf_dir).groupBy("squad_id").agg(F.transform(dearest, lambda x: F.struct(x["id"], x["pos"], x["price"])).alias("picks"))
+    return squad.split_by_index(picks).select("squad_id", "section", "slot_no", "id")
+
+
+PLACES = """places(step, section, positions, free) AS (VALUES
+    (0, 'xi', ['GK'], -1), (1, 'xi', ['DEF'], -1), (2, 'xi', ['DEF'], -1), (3, 'xi', ['DEF'], -1), (4, 'xi', ['MID'], -1), (5, 'xi', ['MID'], -1), (6, 'xi', ['MID'], -1), (7, 'xi', ['FWD'], -1),
+    {free},
+    (19, 'bench', ['GK'], -1), (20, 'bench', ['DEF'], -1), (21, 'bench', ['MID'], -1), (22, 'bench', ['FWD'], -1)
+)""".replace("{free}", ", ".join(f"({8 + k}, 'xi', ['DEF', 'MID', 'FWD'], {k})" for k in range(11)))
+POOL = """pool AS (
+    SELECT *, CASE strategy WHEN 'premium' THEN premium WHEN 'value' THEN score / price ELSE score END AS key, CASE strategy WHEN 'premium' THEN premium ELSE score END AS raw_key
+    FROM (SELECT *, score * (1 + price * CAST(0.1 AS DOUBLE)) AS premium FROM (SELECT *, CAST(tenths AS DOUBLE) / 10 AS price FROM (
+        SELECT strategy, id, ord, pos, CAST(round(price * 10) AS INTEGER) AS tenths, {score} AS score FROM enriched, sets WHERE status = 'a' AND strategy IN ({strategies}))))
+)"""
+# one place a turn: the best affordable unused candidate of each of its positions, of these the one with the highest score
+WALK = """walk AS (
+    SELECT DISTINCT strategy, 0 AS step, {budget} AS bank, CAST([] AS BIGINT[]) AS used, 0 AS required,
+           CAST([] AS STRUCT(section VARCHAR, slot_no INTEGER, id BIGINT, pos VARCHAR, tenths INTEGER, score DOUBLE)[]) AS picks FROM pool
+    UNION ALL
+    SELECT strategy, step + 1, CASE WHEN id IS NULL THEN bank ELSE bank - tenths END, CASE WHEN id IS NULL THEN used ELSE list_append(used, id) END,
+           CASE WHEN id IS NOT NULL AND free < 0 AND section = 'xi' THEN required + 1 ELSE required END,
+           CASE WHEN id IS NULL THEN picks ELSE list_append(picks, struct_pack(section := section, slot_no := CAST(len(list_filter(picks, lambda x: x.section = section)) + 1 AS INTEGER), id := id, pos := pos, tenths := tenths, score := score)) END
+    FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY score DESC NULLS LAST, list_position(positions, pos)) AS n FROM (
+        SELECT w.*, p.section, p.positions, p.free, c.id, c.pos, c.tenths, c.score, row_number() OVER (PARTITION BY w.strategy, c.pos ORDER BY c.key DESC, c.score DESC, c.ord, c.id) AS m
+        FROM walk w JOIN places p ON p.step = w.step
+        LEFT JOIN pool c ON c.strategy = w.strategy AND list_contains(p.positions, c.pos) AND c.tenths <= w.bank AND NOT list_contains(w.used, c.id) AND (p.free < 0 OR p.free < 11 - w.required)
+    ) WHERE m = 1) WHERE n = 1
+), team AS (SELECT * FROM walk WHERE step = 23)"""
+# one starting player a turn: a dearer unused one of the position with a better score takes the place, while over 2.0 are left at first
+UPGRADE = """better AS (
+    SELECT strategy, 1 AS step, bank, used, picks, picks[1:0] AS done FROM team WHERE bank > 20
+    UNION ALL
+    SELECT strategy, step + 1, CASE WHEN up THEN bank + old.tenths - tenths ELSE bank END, CASE WHEN up THEN list_append(list_filter(used, lambda u: u <> old.id), id) ELSE used END, picks,
+           list_append(done, CASE WHEN up THEN struct_pack(section := old.section, slot_no := old.slot_no, id := id, pos := pos, tenths := tenths, score := score) ELSE old END)
+    FROM (SELECT b.*, b.picks[b.step] AS old, c.id, c.pos, c.tenths, c.score, b.picks[b.step].section = 'xi' AND coalesce(c.score > b.picks[b.step].score, false) AS up,
+                 row_number() OVER (PARTITION BY b.strategy ORDER BY c.raw_key DESC NULLS LAST, c.score DESC, c.ord, c.id) AS n
+          FROM better b LEFT JOIN pool c ON c.strategy = b.strategy AND c.pos = b.picks[b.step].pos AND c.tenths <= b.bank + b.picks[b.step].tenths AND c.tenths > b.picks[b.step].tenths AND NOT list_contains(b.used, c.id)
+          WHERE b.step <= len(b.picks)) WHERE n = 1
+)"""
+
+
+def generate_sql(strategies: list[str], tenths: int, upgrade: bool = True) -> str:
+    pool = POOL.replace("{score}", score_sql()).replace("{strategies}", ", ".join(f"'{s}'" for s in strategies))
+    parts = with_(*enriched_sql(), STRATEGY_SETS, pool, PLACES, WALK.replace("{budget}", str(tenths)), *([UPGRADE] if upgrade else []))
+    done = "SELECT strategy, bank, picks FROM team" + (" WHERE bank <= 20 UNION ALL SELECT strategy, bank, done FROM better WHERE step = len(picks) + 1" if upgrade else "")
+    return parts.replace("WITH ", "WITH RECURSIVE ", 1) + (
+        f"SELECT strategy, p.section AS section, p.slot_no AS slot_no, p.id AS id, p.pos AS pos, CAST(p.tenths AS DOUBLE) / 10 AS price, p.score AS score, CAST(bank AS DOUBLE) / 10 AS bank FROM (SELECT strategy, bank, unnest(picks) AS p FROM ({done}))"
+    )
+
+
 for _strategy in STRATEGIES:
-    # a fold that SQL can't express; tests hold it against a restatement in plain Python
     QUERIES[f"generate_{_strategy}"] = lambda spark, sf_dir, s=_strategy: select.generate(domain.enriched(spark, sf_dir), 100.0, {s: STRATEGIES[s]})
+    SQL[f"generate_{_strategy}"] = generate_sql([_strategy], 1000)
 
 
-@query()
+@query(generate_sql(list(STRATEGIES), 900))
 def generate_all(spark, sf_dir):
     return select.generate(domain.enriched(spark, sf_dir), 90.0)
 
 
-@query()
+@query(generate_sql(list(STRATEGIES), 1000, upgrade=False))
 def generate_without_upgrade(spark, sf_dir):
     return select.generate(domain.enriched(spark, sf_dir), 100.0, upgrade=False)
 
@@ -585,17 +693,25 @@ def rounding_values(spark, sf_dir):
     return rows.select("id", rounding.half_up((F.col("x") - 5) * 12.345).alias("rounded"), rounding.clamp(F.col("x") - 2).alias("clamped"), F.col("x").alias("parsed"))
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS time, 'panel_' || strftime(ts, '%Y%m%d_%H%M%S') || '.csv' AS name FROM events")
+def event_times(spark, sf_dir):
+    """Moments in ISO form, and names of files written then."""
+    ts = F.col("ts")
+    return domain.table(spark, sf_dir, "events").select("event_id", formatting.iso_time(ts).alias("time"), formatting.stamped_name("panel", ts).alias("name"))
+
+
 def _temporary(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share: that of checkpoints, or in tests a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sparkrank-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the one that all executors share; only a local session that has none gets one here."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='sparkrank-')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, points, minutes, name, price, is_home FROM panel")
 def csv_roundtrip(spark, sf_dir):
-    path = _temporary(spark, "panel-csv")
     rows = domain.panel(spark, sf_dir).select("player_id", "gameweek", "points", "minutes", "name", "price", "is_home")
-    readers.write_panel(rows, path, csv=True)
+    path = readers.save_panel(rows, _temporary(spark, "panels"))
     return readers.read_panel_csv(spark, path, "player_id long, gameweek int, points double, minutes double, name string, price double, is_home boolean")
 
 
@@ -616,38 +732,60 @@ def snapshot_latest(spark, sf_dir):
     return readers.latest_snapshot(spark.read.option("recursiveFileLookup", True).parquet(path), "teams_").select("id", "name")
 
 
-@query("SELECT id, name, team FROM (VALUES (1, 'Ann Lee', 2), (2, 'Øre Dahl', 1)) t(id, name, team)")
+@query("SELECT CAST(s_suppkey AS INTEGER) AS id, s_name || ' of ' || s_nationkey AS name, s_nationkey AS team, n_name AS team_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def bootstrap_json(spark, sf_dir):
-    """A landed upstream document, read with its schema."""
+    """An upstream document of suppliers as players and nations as teams, landed, read with its schema and joined again."""
     path = _temporary(spark, "bootstrap")
-    document = {"elements": [{"id": 1, "first_name": "Ann", "second_name": "Lee", "team": 2}, {"id": 2, "first_name": "Øre", "second_name": "Dahl", "team": 1}], "teams": [], "events": []}
-    spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.text(path)
-    rows = readers.players(readers.bootstrap(spark, path))
-    return rows.select(F.col("id").cast("int").alias("id"), F.concat_ws(" ", "first_name", "second_name").alias("name"), "team")
+    elements = domain.table(spark, sf_dir, "supplier").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("first_name"), F.concat(F.lit("of "), F.col("s_nationkey").cast("string")).alias("second_name"), F.col("s_nationkey").alias("team"))).alias("elements"))
+    names = domain.teams(spark, sf_dir).agg(F.collect_list(F.struct("id", "name", "short_name")).alias("teams"))
+    elements.join(names).coalesce(1).write.json(path)  # the source has one document
+    document = readers.bootstrap(spark, path)
+    rows = readers.players(document).join(readers.teams(document).select(F.col("id").alias("team"), F.col("name").alias("team_name")), "team")
+    return rows.select(F.col("id").cast("int").alias("id"), F.concat_ws(" ", "first_name", "second_name").alias("name"), "team", "team_name")
+
+
+@query(with_(FIXTURES) + "SELECT ord AS id, event, team_h, team_a, team_h_difficulty, team_a_difficulty FROM fixtures")
+def fixtures_json(spark, sf_dir):
+    """A landed array of fixtures for each gameweek, read back."""
+    path = _temporary(spark, "fixtures")
+    rows = domain.fixtures(spark, sf_dir)
+    arrays = rows.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("id", "team_h", "team_a", "team_h_difficulty", "team_a_difficulty", "event"))).alias("rows"))
+    arrays.repartition(38, "event").select("event", F.to_json("rows").alias("value")).write.partitionBy("event").text(path)
+    found = readers.fixtures(spark, path)
+    return found.select("id", "event", "team_h", "team_a", "team_h_difficulty", "team_a_difficulty")
+
+
+#: Where the forest of a session and folder is kept: one fit serves all three queries.
+_FORESTS: dict[tuple[str, str], str] = {}
 
 
-def _trained(spark: SparkSession, sf_dir: str):
-    return model.train(domain.panel(spark, sf_dir))
+def _forest(spark: SparkSession, sf_dir: str):
+    """The full forest, fitted and saved on first use, then loaded."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FORESTS:
+        path = _temporary(spark, "forest")
+        model.save(model.train(domain.panel(spark, sf_dir))[0], path)
+        _FORESTS[key] = path
+    return model.load(_FORESTS[key])
 
 
 @query()
 def rf_predict(spark, sf_dir):
-    fitted, _ = _trained(spark, sf_dir)
-    return model.predict(fitted, domain.panel(spark, sf_dir), 20)
+    return model.predict(_forest(spark, sf_dir), domain.panel(spark, sf_dir), 20)
 
 
 @query()
 def rf_metrics(spark, sf_dir):
-    return model.metrics(_trained(spark, sf_dir)[1])
+    return model.metrics(_forest(spark, sf_dir).transform(model.training_rows(domain.panel(spark, sf_dir)).where("NOT train")))
 
 
 @query()
 def rf_importance(spark, sf_dir):
-    fitted, tested = _trained(spark, sf_dir)
-    return model.importance(fitted, features.feature_columns(tested), spark)
+    columns = features.feature_columns(model.training_rows(domain.panel(spark, sf_dir)))
+    return model.importance(_forest(spark, sf_dir), columns, spark)
 
 
-@query(with_(*PREDICTION_SQL) + "SELECT avg(e * e) AS mse, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM (SELECT CAST(round(predicted_points * 10) AS BIGINT) - CAST(now_cost AS BIGINT) AS e FROM predictions JOIN players ON id = player_id)")
+@query(with_(*PREDICTION_SQL) + f"SELECT avg(e * e) AS mse, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, {half_up_sql('1 - avg(e * e) / var_pop(y)', 6)} AS r2 FROM (SELECT y, y - CAST(now_cost AS BIGINT) AS e FROM (SELECT *, CAST(round(predicted_points * 10) AS BIGINT) AS y FROM predictions) JOIN players ON id = player_id)")
 def metric_formulas(spark, sf_dir):
     rows = domain.predictions(spark, sf_dir).select(F.round(F.col("predicted_points") * 10).cast("long").alias("y"), F.round(F.col("price") * 10).cast("long").alias("p"))
-    return model.metrics(rows, "y", "p").select("mse", "mae", "rmse")
+    return model.metrics(rows, "y", "p").select("mse", "mae", "rmse", rounding.half_up(F.col("r2"), 6).alias("r2"))

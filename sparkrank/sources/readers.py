@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,13 @@ def write_panel(panel: DataFrame, path: str, csv: bool = False) -> None:
         panel.write.mode("overwrite").partitionBy("gameweek").parquet(path)
 
 
+def save_panel(panel: DataFrame, folder: str, prefix: str = "panel", when: datetime | None = None) -> str:
+    """Writes CSV with a header under a name that sorts by time, the present by default; returns the path."""
+    path = f"{folder}/{prefix}_{when or datetime.now():%Y%m%d_%H%M%S}.csv"
+    write_panel(panel, path, csv=True)
+    return path
+
+
 def read_panel_csv(spark: SparkSession, path: str, schema: str = schemas.PANEL) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 

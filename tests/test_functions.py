@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkrank.functions import formatting, rounding, scoring, text
-from sparkrank.operators import features, filters, search, squad
+from sparkrank.operators import features, filters, model, search, squad, suggest
 from sparkrank.operators.constants import DEFAULT_WEIGHTS, PRESETS, STRATEGIES
+from sparkrank.plans import domain, queries
 from sparkrank.sources import readers
 
 
@@ -126,9 +127,6 @@ def test_squad_json_problems(spark):
 
 
 def test_model_round_trip(spark, sf_dir, tmp_path):
-    from sparkrank.operators import model
-    from sparkrank.plans import domain
-
     panel = domain.panel(spark, sf_dir)
     fitted, tested = model.train(panel, trees=5, depth=4)
     model.save(fitted, str(tmp_path / "m"))
@@ -155,10 +153,63 @@ def test_requests_are_checked():
 
 @pytest.mark.parametrize("name", ["rf_predict", "rf_metrics", "rf_importance"])
 def test_registered_forests_have_the_full_size(spark, sf_dir, monkeypatch, name):
-    from sparkrank.operators import model
-    from sparkrank.plans import queries
-
     asked, own = [], model.pipeline
     monkeypatch.setattr(model, "pipeline", lambda columns, trees, depth: asked.append((trees, depth)) or own(columns, 2, 2))
+    monkeypatch.setattr(queries, "_FORESTS", {})
     queries.QUERIES[name](spark, sf_dir)
+    queries.QUERIES[name](spark, sf_dir)  # trained once
     assert asked == [(200, 10)]
+
+
+def test_entry_without_a_library_keeps_the_other_queries():
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None\nimport __spark_entry__ as e\nfrom sparkrank.plans import queries as q\nassert set(e.queries()) == set(q.QUERIES) and set(e.oracle_sql()) == set(q.SQL)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_ids_are_read_as_far_as_they_are_numbers(spark):
+    rows = spark.createDataFrame([(12,), (3,)], "id long")
+    assert [r.id for r in filters.by_id(rows, " 12abc").collect()] == [12]
+    assert [filters.whole_number(x) for x in ("7", "-7.9", "+3x", "", "x1", None)] == [7, -7, 3, None, None, None]
+
+
+def test_an_empty_gameweek_is_an_error(spark, sf_dir):
+    with pytest.raises(ValueError):
+        model.predict(None, domain.panel(spark, sf_dir), 999)
+
+
+def test_adding_removing_and_moving(spark):
+    def squad_of(n_xi, n_bench):
+        rows = [(1, "xi", k + 1, 100 + k, "MID", 5.0, 1.0) for k in range(n_xi)] + [(1, "bench", k + 1, 200 + k, "GK", 5.0, 1.0) for k in range(n_bench)]
+        return spark.createDataFrame(rows, "squad_id long, section string, slot_no int, id long, pos string, price double, bank double")
+
+    ids = lambda df, section: [r.id for r in df.where(f"section = '{section}'").orderBy("slot_no").collect()]
+    slots = squad_of(10, 3)
+    assert ids(squad.add_slot(slots, 1, "xi", 7, "FWD", 6.0), "xi")[-1] == 7
+    assert squad.add_slot(slots, 1, "bench", 100, "MID", 5.0).count() == 13  # in already
+    assert squad.add_slot(squad_of(11, 4), 1, "xi", 7, "FWD", 6.0).count() == 15  # full
+    assert ids(squad.remove_slot(slots, 1, 201), "bench") == [200, 202]
+    move = lambda id_, start: spark.createDataFrame([(1, id_, start)], "squad_id long, id long, from_starting boolean")
+    moved = squad.move_slots(slots, move(104, True))
+    assert 104 not in ids(moved, "xi") and ids(moved, "bench") == [200, 201, 202, 104]
+    assert ids(squad.move_slots(slots, move(200, False)), "xi")[0] == 200  # goalkeepers first
+    assert ids(squad.move_slots(squad_of(11, 4), move(104, True)), "bench") == [200, 201, 202, 203]
+    assert ids(squad.move_slots(slots, move(104, False)), "bench") == [200, 201, 202]
+
+
+def test_panels_are_saved_under_names_that_sort_by_time(spark, tmp_path):
+    from datetime import datetime
+
+    path = readers.save_panel(spark.range(3), str(tmp_path), when=datetime(2024, 1, 31, 12, 5))
+    assert path.endswith("panel_20240131_120500.csv") and spark.read.option("header", True).csv(path).count() == 3
+
+
+def test_many_candidates_give_the_same_suggestions(spark, sf_dir, monkeypatch):
+    rows = domain.enriched(spark, sf_dir)
+    asked = rows.selectExpr("id AS request_id", "id AS player_id", "pos AS position", "price + 2 AS max_price", "array(id + 4) AS exclude_ids")
+    few = sorted(map(tuple, suggest.suggest(rows, asked).collect()))
+    monkeypatch.setattr(suggest, "BROADCAST_ROWS", 10)
+    assert sorted(map(tuple, suggest.suggest(rows, asked).collect())) == few
