@@ -37,7 +37,9 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
 #: Texts of a block, about, and equal shingles that a comparison of blocks holds at once.
-BLOCK, MEETS = 128, 500_000
+BLOCK, MEETS = 256, 500_000
+#: Pairs of two blocks that share a shingle from which on it is a column of a matrix, and columns of a matrix.
+OFTEN, COLUMNS = 128, 1024
 _U = np.uint64
 
 
@@ -151,40 +153,64 @@ def _pair_similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def block_links(few: list[tuple[np.ndarray, np.ndarray]], many: list[tuple[np.ndarray, np.ndarray]], least: float) -> np.ndarray:
-    """Which of few (rows) link to which of many (columns)."""
+    """Which of few (rows) link to which of many (columns).
+
+    Shingles that many pairs share are counted by matrix products, the others pair by pair.
+    """
     n, m = len(few), len(many)
     if not n or not m:
         return np.zeros((n, m), bool)
     flat = lambda sets: (np.repeat(np.arange(len(sets)), [len(v) for v, _ in sets]), np.concatenate([v for v, _ in sets]), np.concatenate([w / max(w.sum(), 1e-300) for _, w in sets]))
     (i, x, p), (j, y, q) = flat(few), flat(many)
-    by = np.argsort(y)
-    j, y, q = j[by], y[by], q[by]
-    low = np.searchsorted(y, x, "left")
-    size = np.searchsorted(y, x, "right") - low
-    links = np.zeros((n, m), bool)
+    keys, x = np.unique(x, return_inverse=True)
+    at = np.searchsorted(keys, y)
+    both = np.flatnonzero(at < len(keys))
+    both = both[keys[at[both]] == y[both]]
+    j, y, q = j[both], at[both], q[both]
+    meets = np.bincount(x, minlength=len(keys)) * np.bincount(y, minlength=len(keys))
+    common, share_few, share_many = np.zeros((3, n, m))
+    often = np.flatnonzero(meets >= OFTEN)
+    for start in range(0, len(often), COLUMNS):
+        column = np.full(len(keys), -1)
+        column[often[start : start + COLUMNS]] = np.arange(len(often[start : start + COLUMNS]))
+        a, b = np.flatnonzero(column[x] >= 0), np.flatnonzero(column[y] >= 0)
+        filled = lambda rows, columns, values, size: _filled((size, min(COLUMNS, len(often) - start)), rows, columns, values)  # noqa: B023, E731
+        holds_few, holds_many = filled(i[a], column[x[a]], 1.0, n), filled(j[b], column[y[b]], 1.0, m)
+        common += holds_few @ holds_many.T
+        share_few += filled(i[a], column[x[a]], p[a], n) @ holds_many.T
+        share_many += holds_few @ filled(j[b], column[y[b]], q[b], m).T
+    rest_x, rest_y = np.flatnonzero(meets[x] < OFTEN), np.flatnonzero(meets[y] < OFTEN)
+    rest_y = rest_y[np.argsort(y[rest_y], kind="stable")]
+    low = np.searchsorted(y[rest_y], x[rest_x], "left")
+    size = np.searchsorted(y[rest_y], x[rest_x], "right") - low
+    ends = np.cumsum(size)
+    start = 0
+    while start < len(rest_x):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + MEETS, "right")))
+        each, own = size[start:end], rest_x[start:end]
+        other = rest_y[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low[start:end], each)]
+        own = np.repeat(own, each)
+        cell = i[own] * m + j[other]
+        for total, weight in ((common, None), (share_few, p[own]), (share_many, q[other])):
+            total += np.bincount(cell, weight, n * m).reshape(n, m)
+        start = end
     lengths_few, lengths_many = (np.array([len(v) for v, _ in sets]) for sets in (few, many))
-    cuts = np.concatenate([[0], np.cumsum(lengths_few)])
-    meets = np.concatenate([[0], np.cumsum(size)])[cuts]  # how many equal shingles the texts so far have
-    row = 0
-    while row < n:
-        end = max(row + 1, int(np.searchsorted(meets, meets[row] + MEETS, "right")) - 1)
-        part = slice(cuts[row], cuts[end])
-        each, k = size[part], end - row
-        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low[part], each)
-        cell = np.repeat(i[part] - row, each) * m + j[at]
-        count = lambda w, cell=cell, k=k: np.bincount(cell, w, k * m).reshape(k, m)
-        common = count(None)
-        union = lengths_few[row:end, None] + lengths_many[None] - common
-        found = (common >= least * union) & (common > 0)
-        # what is common holds at least the probability Jaccard in either text's share of weights
-        bound = np.minimum(count(np.repeat(p[part], each)), count(q[at])) + 1e-9
-        for a, b in np.argwhere(~found & (bound >= least)):
-            found[a, b] = similarities(few[row + a], many[b])[0] >= least
-        links[row:end] = found
-        row = end
+    links = (common >= least * (lengths_few[:, None] + lengths_many[None] - common)) & (common > 0)
+    # for shares s, t of weight that is common, the probability Jaccard is at most 1 / (1/s + 1/t - 1): the term of a common
+    # shingle is a concave function, homogeneous of degree 1, of its two weights
+    shares = share_few * share_many
+    bound = shares / np.maximum(share_few + share_many - shares, 1e-300)
+    for a, b in np.argwhere(~links & (bound + 1e-9 >= least)):
+        links[a, b] = similarities(few[a], many[b])[0] >= least
     return links
 
 
+def _filled(shape: tuple[int, int], rows: np.ndarray, columns: np.ndarray, values: np.ndarray | float) -> np.ndarray:
+    out = np.zeros(shape)
+    out[rows, columns] = values
+    return out
+
+
 def _block_pairs(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +234,8 @@ def texts_of_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id and text of the documents in pairs; of rows repeated with the same doc_id the least text counts."""
     wanted = pairs.select(F.explode(F.array("member", "rep")).alias("doc_id")).distinct()
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # the one join that shuffles all texts: it does so at every size
+    return texts.hint("merge").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
@@ -312,7 +339,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     firsts = copied.groupBy(F.col("first").alias("node")).agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class_id"), "n")
     joined = dealt(copied.select("doc_id", F.col("first").alias("node")), firsts, ["node"], total, "doc_id").select("doc_id", "class_id")
     own = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
-    found = kept.save(base.select("doc_id").distinct().join(joined.unionAll(own), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    alone = base.select("doc_id", F.col("doc_id").alias("class_id"))
+    found = kept.save(alone.unionAll(joined).unionAll(own).groupBy("doc_id").agg(F.min("class_id").alias("class_id")))  # a class's id is its least
     scratch.close()
     return found
 

@@ -90,6 +90,20 @@ def test_blocks_find_what_pairs_find():
             assert links[i, j] == (max(minhash.similarities(sets[i], sets[j])) >= 0.8)
 
 
+def test_blocks_of_repeating_texts_find_what_pairs_find(monkeypatch):
+    monkeypatch.setattr(minhash, "OFTEN", 6)
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    monkeypatch.setattr(minhash, "MEETS", 50)
+    r = random.Random(8)
+    hot = story(9, 40)
+    texts = [" ".join([changed(hot, k % 5, k)] + [" ".join(hot.split(" ")[3:12])] * r.randrange(6)) for k in range(40)]
+    sets = minhash._sets(pa.array(texts))
+    links = minhash.block_links(sets[:15], sets, 0.8)
+    expected = [[max(minhash.similarities(a, b)) >= 0.8 for b in sets] for a in sets[:15]]
+    assert 0.05 < np.mean(expected) < 0.9
+    assert np.array_equal(links, expected)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     found = {r["node"]: r["root"] for r in minhash.components(edges, Scratch(spark, "test")).collect()}
