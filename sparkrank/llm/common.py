@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
@@ -72,19 +72,19 @@ def remove(spark: SparkSession, path: str) -> None:
 PARTS = 1024
 
 
-def dealt(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, by: str) -> DataFrame:
+def dealt(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, by: str | Column, how: str = "inner") -> DataFrame:
     """rows joined to the one group of their keys, hot groups in parts, so that no task gets most of one.
 
     groups: a row for each key, with `n`, how many rows have it; total: the sum of n. Groups of over a 1024th of all
     rows are hot: there are fewer than 1024, which bounds what is broadcast, and each is repeated once for
-    each of its parts. A row's part follows from its column `by`.
+    each of its parts. A row's part follows from its column or hash `by`.
     """
     parts = F.ceil(F.col("n") * PARTS / F.lit(max(total, 1))).cast("int")
     hot = groups.where(F.col("n") * PARTS > total).select(*keys, parts.alias("_parts"))
     dealt_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
     number = F.when(F.col("n") * PARTS > total, parts).otherwise(1)
     dealt_groups = groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), number.cast("long") - 1))).drop("n")
-    return dealt_rows.join(dealt_groups, [*keys, "_part"]).drop("_part")
+    return dealt_rows.join(dealt_groups, [*keys, "_part"], how).drop("_part")
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:

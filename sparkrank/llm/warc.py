@@ -4,7 +4,7 @@ Record ids hold the page_id and the payload's digest, so only rows that repeat b
 equal, and reading gives back as many rows as there are first segments.
 
 Writing: a page whose payload equals that of a page with a larger page_id is a revisit of the one with the largest;
-all others are responses (rows that repeat the largest page_id all are). A response's HTTP message has its payload
+all others are responses (rows that repeat the largest page_id all are, and all where no page_id is known). A response's HTTP message has its payload
 in chunked transfer framing and is cut into segments: the first record, then continuation records that name it as
 origin, number themselves, and the last of which says the total length. Records are rows of text that Spark's text
 writer puts into files, so they reach whatever store the path is in.
@@ -12,7 +12,8 @@ writer puts into files, so they reach whatever store the path is in.
 Reading: a record begins at the version line, which the writer never lets appear in a block. Continuations are
 grouped by origin and ordered by number, the total length is verified, the framing decoded, and length and
 digest of the payload compared with the header's. Only segmented responses are shuffled, and a group is one page.
-Null html is an empty payload; null urls are left out.
+Null html is an empty payload; null urls are left out. A null page_id is an empty field of the record's id, comes back as null, and is
+never the one that others refer to.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes
+from .common import checkpoint, dealt, passes
 
 VERSION = "WARC/1.1\r\n"
 #: Bytes of an HTTP message that one record holds, and of a payload that one chunk holds, about.
@@ -46,9 +47,12 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html, payload_digest and refers_to (null: a response)."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    again = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("kept"), F.min("page_id").alias("other")).where("kept <> other").select("sha1", "kept")
-    found = rows.join(again, "sha1", "left")
-    return found.select("page_id", "url", "html", "sha1", F.when(F.col("page_id") != F.col("kept"), F.col("kept")).alias("refers_to"))
+    groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("kept"), F.min("page_id").alias("other"), F.count("page_id").alias("named"), F.count("*").alias("n"))
+    again = checkpoint(groups.where("kept <> other or named < n").select("sha1", "kept", "n"))
+    total = again.agg(F.sum("n")).first()[0] or 0
+    # a common payload's rows are dealt out; its group is an id
+    found = dealt(rows, again, ["sha1"], total, F.xxhash64("page_id", "url"), "left")
+    return found.select("page_id", "url", "html", "sha1", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
 
 
 def framed(payload: bytes, most: int = CHUNK_BYTES) -> bytes:
@@ -86,9 +90,11 @@ def _record(headers: list[tuple[str, str | int | None]], block: bytes) -> str:
     return VERSION + "\r\n".join(lines) + "\r\n\r\n" + block.decode() + RECORD_TAIL
 
 
-def records_of(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[str]:
+def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[str]:
     url = re.sub(r"[\r\n]", "", url).replace("WARC/1.1", "WARC%2F1.1") if url is not None else None
-    name = lambda k, n=1: f"<urn:page:{k}:{digest}>" if n == 1 else f"<urn:page:{k}:{digest}:{n}>"
+    def name(k: int | None, n: int = 1) -> str:
+        return f"<urn:page:{'' if k is None else k}:{digest}{f':{n}' if n > 1 else ''}>"
+
     shared = [("WARC-Target-URI", url), ("WARC-Date", FIXED_DATE), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -111,7 +117,7 @@ def records_of(page_id: int, url: str | None, payload: bytes, digest: str, refer
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Writes gzipped WARC files to a folder that all executors share. Rows of a null page_id have no name and are left out."""
+    """Writes gzipped WARC files to a folder that all executors share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches, "html"):
@@ -122,7 +128,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                 out += [r[:-1] for r in records_of(page_id, url, page.encode(), digest, refers_to, segment_bytes)]
             yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
 
-    rows = with_roles(pages.where("page_id is not null")).select("page_id", "url", "html", "sha1", "refers_to")
+    rows = with_roles(pages).select("page_id", "url", "html", "sha1", "refers_to")
     rows.mapInArrow(run, "value string").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
@@ -170,7 +176,7 @@ def read_archives(df: DataFrame) -> DataFrame:
     joined = parts.groupBy("origin").agg(F.max("digest").alias("digest"), F.max("total").alias("total"), ordered.alias("s"), copies.alias("copies"))
     joined = joined.select(F.col("origin").alias("record"), "digest", "total", F.col("s.number").alias("numbers"), F.col("s.block").alias("block"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
     decoded = "record string, payload_bytes long, payload_digest string"
-    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)", 1).cast("long")
+    page = lambda c: F.nullif(F.regexp_extract(c, r"<urn:page:(-?\d*):", 1), F.lit("")).cast("long")
     responses = whole.mapInArrow(_payload, decoded).unionByName(joined.mapInArrow(_payload, decoded)).select(page("record").alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     length = F.regexp_extract(F.decode("block", "UTF-8"), r"Content-Length: (\d+)", 1).cast("long")
     revisits = records.where("type = 'revisit'").select(page("record").alias("page_id"), length.alias("payload_bytes"), F.substring("digest", 6, 32).alias("payload_digest"), F.lit("revisit").alias("record_type"), page("refers").alias("refers_to"))

@@ -70,7 +70,8 @@ def test_op4_to_op6(spark, odd_dir, odd):
 
 def test_op7(odd):
     found = rows(odd["op7_warc"], "page_id")
-    assert set(found) == {1, 2, 3, 4, 5, 6} and len(found[2]) == 2  # a null page_id has no record
+    assert set(found) == {None, 1, 2, 3, 4, 5, 6} and len(found[2]) == 2
+    assert found[None][0]["record_type"] == "response" and found[None][0]["payload_bytes"] == 8
     assert found[1][0]["record_type"] == "revisit" and found[1][0]["refers_to"] == 2
     assert {r["record_type"] for r in found[2]} == {"response"}
     assert found[3][0]["refers_to"] == 4 and found[4][0]["payload_bytes"] == 0

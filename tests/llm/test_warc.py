@@ -45,3 +45,16 @@ def test_repeated_rows_come_back_as_often(spark, tmp_path):
     warc.write_archives(pages, str(tmp_path / "r"), 500)
     found = warc.read_archives(warc.archive_lines(spark, str(tmp_path / "r"))).collect()
     assert sorted((r["page_id"], r["payload_bytes"]) for r in found) == [(1, 10000)] * 3 + [(1, 12000)] + [(2, 1)] * 2
+
+
+def test_a_common_payload_and_null_ids_come_back_whole(spark, tmp_path):
+    rows = [(k if k % 5 else None, f"u{k}", "same") for k in range(300)] + [(None, "a", "alone"), (None, "b", "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archives(pages, path)
+    found = warc.read_archives(warc.archive_lines(spark, path)).collect()
+    assert len(found) == len(rows)
+    same = [r for r in found if r["payload_bytes"] == 4]
+    assert [r["page_id"] for r in same if r["record_type"] == "response"] == [299]
+    assert all(r["refers_to"] == 299 for r in same if r["page_id"] != 299)
+    assert [(r["page_id"], r["record_type"], r["refers_to"]) for r in found if r["payload_bytes"] == 5] == [(None, "response", None)] * 2
