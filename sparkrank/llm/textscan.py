@@ -22,7 +22,26 @@ _STEPS = _rng.integers(1, 2**63, 5, dtype=np.uint64) | _U(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _HEAD = (np.arange(256) & 0xC0) != 0x80
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Powers of the base and its inverse are products of a near table's entry and a far one's, so a text of any length needs little.
+_NEAR = 1 << 16
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    table = np.full(n, base, np.uint64)
+    table[:1] = 1
+    return np.cumprod(table, dtype=np.uint64)
+
+
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = _powers(_BASE, _NEAR), _powers(_INVERSE, _NEAR)
+_FAR_UP, _FAR_DOWN = (pow(b, _NEAR, 1 << 64) for b in (_BASE, _INVERSE))
+
+
+def _power_at(near: np.ndarray, far: int, at: np.ndarray, most: int) -> np.ndarray:
+    """Powers for places below `most`."""
+    if most <= _NEAR:
+        return near[at]
+    return near[at & (_NEAR - 1)] * _powers(far, most // _NEAR + 1)[at >> 16]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,19 +53,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        made = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size <= 8 << 20:  # a very long text's table isn't kept
-            _powers = made
-        return made
-    return _powers
-
-
 @dataclass
 class Scan:
     """data: all bytes; bounds: where each text starts, and the end; words by start, end and text."""
@@ -63,24 +69,28 @@ class Scan:
         return len(self.bounds) - 1
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        down = _powers_to(len(self.data))[1]
-        length = (ends - starts).astype(np.uint64)
-        return mix((self.prefix[ends] - self.prefix[starts]) * down[starts] + length)
+        down = _power_at(_DOWN, _FAR_DOWN, starts, len(self.data))
+        return mix((self.prefix[ends] - self.prefix[starts]) * down + (ends - starts).astype(np.uint64))
 
     def per_text(self, owner: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(owner, weights, self.n).astype(np.int64)
 
     def sums(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each text are flagged."""
-        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return total[self.bounds[1:]] - total[self.bounds[:-1]]
+        out, filled = np.zeros(self.n, np.int64), np.diff(self.bounds) > 0
+        if filled.any():
+            out[filled] = np.add.reduceat(flags, self.bounds[:-1][filled], dtype=np.int64)
+        return out
 
 
 def prefixes(data: np.ndarray) -> np.ndarray:
     """Prefix sums that give the hash of any run of bytes: see Scan.hashes."""
     prefix = np.zeros(len(data) + 1, np.uint64)
-    if len(data):
-        np.cumsum(_CODES[data] * _powers_to(len(data))[0][: len(data)], dtype=np.uint64, out=prefix[1:])
+    far = _powers(_FAR_UP, len(data) // _NEAR + 1)
+    for k, at in enumerate(range(0, len(data), _NEAR)):
+        part = _CODES[data[at : at + _NEAR]] * _UP[: len(data) - at] * far[k]
+        part[:1] += prefix[at : at + 1]
+        np.cumsum(part, dtype=np.uint64, out=prefix[at + 1 : at + 1 + len(part)])
     return prefix
 
 
@@ -159,10 +169,10 @@ def content(s: Scan) -> tuple[np.ndarray, np.ndarray]:
     words = s.hashes(s.starts, s.ends)
     firsts = np.searchsorted(s.owner, np.arange(s.n), "left")
     rank = np.arange(len(words)) - firsts[s.owner] if len(words) else np.zeros(0, np.int64)
-    up = _powers_to(len(words))[0]
+    up = _power_at(_UP, _FAR_UP, rank, len(words))
     out = []
     for salt in (0x1234567, 0x89ABCDEF01):
-        part = mix(words + _U(salt)) * up[rank]
+        part = mix(words + _U(salt)) * up
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
         lasts = np.searchsorted(s.owner, np.arange(s.n), "right")
         out.append(mix(total[lasts] - total[firsts] + (lasts - firsts).astype(np.uint64)))
@@ -174,8 +184,8 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     s = scan(texts)
     words = s.hashes(s.starts, s.ends)
     heads = _HEAD[s.data]
-    solid = heads & ~_BLANK[s.data]
-    out = {"n_words": s.per_text(s.owner), "word_chars": s.sums(solid), "n_chars": s.sums(heads)}
+    out = {"n_words": s.per_text(s.owner), "word_chars": s.sums(heads & ~_BLANK[s.data]), "n_chars": s.sums(heads)}
+    del heads
     out["n_symbols"] = s.sums(np.isin(s.data, np.frombuffer(b"#*$%&|<>", np.uint8)))
     out["n_upper"] = s.sums((s.data >= 65) & (s.data <= 90))
     out["n_lower"] = s.sums((s.data >= 97) & (s.data <= 122))
@@ -188,8 +198,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     owner = np.searchsorted(s.bounds, starts, "right") - 1
     at = np.searchsorted(breaks, starts)
     ends = np.minimum(np.append(breaks, len(s.data))[at], s.bounds[owner + 1])
-    filled = np.concatenate([[0], np.cumsum(~_BLANK[s.data], dtype=np.int64)])
-    real = filled[ends] > filled[starts]
+    real = np.searchsorted(s.starts, ends) > np.searchsorted(s.starts, starts)
     starts, ends, owner = starts[real], ends[real], owner[real]
     order, first = grouped(owner, s.hashes(starts, ends))
     out["n_lines"] = s.per_text(owner)
@@ -207,3 +216,18 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     order, first = grouped(s.owner, words)
     out["n_distinct_words"] = s.per_text(s.owner[order[first]])
     return out
+
+
+def grams(texts: pa.Array, buckets: int) -> np.ndarray:
+    """Shares of a text's lower-case character triples (bytes) and of its words in as many hashed buckets each."""
+    s = scan(texts)
+    out = np.zeros((s.n, 2, buckets))
+    lower = np.where((s.data >= 65) & (s.data <= 90), s.data + 32, s.data).astype(np.uint32)
+    sizes = np.maximum(np.diff(s.bounds) - 2, 0)
+    firsts = np.repeat(s.bounds[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    code = (lower[firsts] << np.uint32(16)) | (lower[firsts + 1] << np.uint32(8)) | lower[firsts + 2]
+    code = (code * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    for k, (owner, key) in enumerate(((np.repeat(np.arange(s.n), sizes), code), (s.owner, s.hashes(s.starts, s.ends)))):
+        counts = np.bincount(owner * buckets + (key % key.dtype.type(buckets)).astype(np.int64), minlength=s.n * buckets).reshape(s.n, buckets)
+        out[:, k] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    return out.reshape(s.n, 2 * buckets)
