@@ -587,7 +587,7 @@ def squad_order(spark, sf_dir):
     return squad.in_order(domain.squad_slots(spark, sf_dir)).select("squad_id", "section", "slot_no", "id")
 
 
-MOVES = """open_ AS (SELECT * FROM slots WHERE NOT (section = 'bench' AND slot_no = 4 AND squad_id % 3 > 0)),
+MOVES = """open_ AS (SELECT * FROM slots WHERE squad_id % 10 <> 3 AND NOT (section = 'bench' AND slot_no = 4 AND squad_id % 3 > 0)),
 n AS (SELECT squad_id, count(*) FILTER (WHERE section = 'xi') AS n_xi, count(*) FILTER (WHERE section = 'bench') AS n_bench FROM open_ GROUP BY squad_id),
 moved AS (
     SELECT o.squad_id, id, pos, price, bank,
@@ -598,8 +598,8 @@ moved AS (
 
 @query(with_(PLAYERS, SLOTS, MOVES) + "SELECT squad_id, section, CAST(row_number() OVER (PARTITION BY squad_id, section ORDER BY list_position(['GK', 'DEF', 'MID', 'FWD'], pos), slot_no) AS INTEGER) AS slot_no, id FROM moved")
 def squad_moves(spark, sf_dir):
-    """Of every squad one starting player goes to the bench; every third bench is full, so nothing moves there."""
-    slots = domain.squad_slots(spark, sf_dir).where("NOT (section = 'bench' AND slot_no = 4 AND squad_id % 3 > 0)")
+    """Of every squad that holds no player twice one starting player goes to the bench; every third bench is full, so nothing moves there."""
+    slots = domain.squad_slots(spark, sf_dir).where("squad_id % 10 <> 3 AND NOT (section = 'bench' AND slot_no = 4 AND squad_id % 3 > 0)")
     moves = slots.where("section = 'xi' AND slot_no = squad_id % 11 + 1").select("squad_id", "id", F.lit(True).alias("from_starting"))
     return squad.move_slots(slots, moves).select("squad_id", "section", "slot_no", "id")
 
