@@ -8,7 +8,8 @@ takes. A pattern's whole passes go to all its documents; of the rest, documents
 seeded hash until their sizes reach it, the one at the border where that brings the sum nearer.
 
 Patterns are collected to the driver: there are as many as there are sets of sources in use, whatever the number
-of documents. The order of a pattern's documents is never sorted in one task: hash slices are summed first, and
+of documents. The plan is for sources that can be listed, MOST_PATTERNS sets at most; more (a source for each host, say) are
+refused, not cut: group them first. The order of a pattern's documents is never sorted in one task: hash slices are summed first, and
 only the slice at the border is ordered row by row.
 
 Sizes count words of the text; a null text has size 0, is never taken and makes no source. A null source is a source of
@@ -28,6 +29,8 @@ from .common import WORD, checkpoint
 
 #: A document is taken so often at most.
 MOST_PASSES = 3
+#: Sets of sources that one plan holds at most.
+MOST_PATTERNS = 200_000
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 PLAN = "pattern int, memberships array<string>, whole long, rest long, targets array<double>, source_sizes array<long>"
@@ -118,7 +121,9 @@ def mix(documents: DataFrame, total: float | None = None, weights: Sequence[floa
     documents: doc_id, size and memberships, a non-empty array of sources, of which null may be one.
     """
     rows = checkpoint(documents.select("doc_id", "size", F.sort_array(F.array_distinct("memberships")).alias("memberships")))
-    found = rows.groupBy("memberships").agg(F.sum("size").alias("size")).collect()  # a row for each set of sources
+    found = rows.groupBy("memberships").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()  # a row for each set of sources
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"there are over {MOST_PATTERNS} sets of sources, more than one plan holds")
     found = sorted(found, key=lambda r: [(s is None, s or "") for s in r["memberships"]])
     names = sorted({s for r in found for s in r["memberships"]}, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(names)}

@@ -75,3 +75,10 @@ def test_kept_rows_are_repeated(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "a" if i < 4 else "b", 20) for i in range(40)], "doc_id long, text string, source string, n_chars long")
     counts = mixing.keep_taken(docs).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
     assert (counts[counts.index < 4] == 3).all()
+
+
+def test_too_many_patterns_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 3)
+    rows = spark.range(8).selectExpr("id AS doc_id", "5L AS size", "array(cast(id % 4 AS string)) AS memberships")
+    with pytest.raises(ValueError):
+        mixing.mix(rows)
