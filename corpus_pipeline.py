@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkrank.llm import bradley_terry, minhash, mixing, secrets, sp_tokens
-from sparkrank.llm.common import shared_folder, table
+from sparkrank.llm.common import remove, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage. Each stage's table goes when the next one is written; the last stage reads the one that is left."""
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
