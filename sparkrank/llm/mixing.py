@@ -5,7 +5,8 @@ only the total size of each pattern matters for the plan. Tokens flow from patte
 each source's quota; a pattern's first pass costs nothing, each further one more than the last (repetition is
 convexly priced), so nothing repeats while anything is unused. The flow says how much of each pattern each source
 takes. A pattern's whole passes go to all its documents; of the rest, documents are selected in the order of a
-seeded hash until their sizes reach it, the one at the border where that brings the sum nearer.
+seeded hash until their sizes reach it, the one at the border where that brings the sum nearer. So a pattern's plan is its whole
+passes and a place in that order, which every document can be held against where it is.
 
 Patterns are collected to the driver: there are as many as there are sets of sources in use, whatever the number
 of documents. The plan is for sources that can be listed, MOST_PATTERNS sets at most; more (a source for each host, say) are
@@ -22,7 +23,7 @@ import heapq
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint
@@ -115,12 +116,12 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def mix(documents: DataFrame, total: float | None = None, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, seed: int = 0) -> DataFrame:
-    """doc_id, size, memberships, passes (how often the row is taken), and its sources' targets and sizes.
+def planned(documents: DataFrame, total: float | None = None, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, seed: int = 0) -> DataFrame:
+    """A row for each set of sources: memberships, whole passes, the border of one more (slice and key, see `passes`), targets and source_sizes.
 
-    documents: doc_id, size and memberships, a non-empty array of sources, of which null may be one.
+    documents: doc_id, size and memberships, a sorted array of distinct sources, of which null may be one.
     """
-    rows = checkpoint(documents.select("doc_id", "size", F.sort_array(F.array_distinct("memberships")).alias("memberships")))
+    rows = checkpoint(documents.select("doc_id", "size", "memberships"))
     found = rows.groupBy("memberships").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()  # a row for each set of sources
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"there are over {MOST_PATTERNS} sets of sources, more than one plan holds")
@@ -135,26 +136,56 @@ def mix(documents: DataFrame, total: float | None = None, weights: Sequence[floa
     wanted = quotas(held, [weights[i % len(weights)] for i in range(len(names))], sum(sizes) if total is None else total, most)
     flow = route(patterns, sizes, [math.floor(t + 0.5) for t in wanted], most)
     taken = [sum(f.values()) for f in flow]
-    plan = [(k, r["memberships"], *(divmod(taken[k], sizes[k]) if sizes[k] else (0, 0)), [wanted[s] for s in patterns[k]], [held[s] for s in patterns[k]]) for k, r in enumerate(found)]
-    return _select(rows, documents.sparkSession.createDataFrame(plan, PLAN), seed)
+    rows_of_plan = [(k, r["memberships"], *(divmod(taken[k], sizes[k]) if sizes[k] else (0, 0)), [wanted[s] for s in patterns[k]], [held[s] for s in patterns[k]]) for k, r in enumerate(found)]
+    plan = documents.sparkSession.createDataFrame(rows_of_plan, PLAN)
 
-
-def _select(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """Adds passes: the whole ones of the row's pattern, and one more where the seeded order selects the row."""
-    planned = rows.join(plan, rows["memberships"].eqNullSafe(plan["memberships"])).drop(plan["memberships"])
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    planned = planned.withColumn("_order", order).withColumn("_slice", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
-    slices = planned.groupBy("pattern", "_slice", "rest").agg(F.sum("size").alias("_sum"))
+    # where in the seeded order each pattern's further pass ends: slices of the order are summed, only the slice at the border is ordered
+    keyed = _with_plan(rows, plan).withColumn("_slice", _slice(seed))
+    slices = keyed.groupBy("pattern", "_slice", "rest").agg(F.sum("size").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("pattern").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    side = F.when(F.col("_before") + F.col("_sum") <= F.col("rest"), 1).when(F.col("_before") >= F.col("rest"), -1).otherwise(0)
-    slices = slices.withColumn("_before", before).select("pattern", "_slice", "_before", side.alias("_side"))
-    joined = planned.join(slices, ["pattern", "_slice"])
-    clear = joined.where("_side <> 0").withColumn("_more", (F.col("_side") > 0).cast("int"))
-    running = F.sum("size").over(Window.partitionBy("pattern", "_slice").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    border = joined.where("_side = 0").withColumn("_sofar", F.col("_before") + F.coalesce(running, F.lit(0)))
-    border = border.withColumn("_more", (2 * (F.col("rest") - F.col("_sofar")) > F.col("size")).cast("int")).drop("_sofar")
-    passes = (F.col("whole") + F.col("_more")).cast("int")
-    return clear.unionByName(border).select("doc_id", "size", "memberships", passes.alias("passes"), "targets", "source_sizes")
+    slices = checkpoint(slices.withColumn("_before", before))
+    clear = slices.where(F.col("_before") + F.col("_sum") <= F.col("rest")).groupBy("pattern").agg(F.max("_slice").alias("border"))
+    split = slices.where((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_sum") > F.col("rest"))).select("pattern", "_slice", "_before")  # one for each pattern at most
+    running = F.sum("size").over(Window.partitionBy("pattern").orderBy(_order(seed), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    inner = keyed.join(F.broadcast(split), ["pattern", "_slice"]).withColumn("_sofar", F.col("_before") + F.coalesce(running, F.lit(0)))
+    # the document at the border is taken where that brings the sum nearer; none after one that isn't can be
+    last = inner.where(2 * (F.col("rest") - F.col("_sofar")) > F.col("size")).groupBy("pattern").agg(F.max(_key(seed)).alias("last"))
+    return plan.join(clear, "pattern", "left").join(last, "pattern", "left").select("memberships", "whole", "border", "last", "targets", "source_sizes")
+
+
+def _order(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def _slice(seed: int) -> Column:
+    return F.conv(F.substring(_order(seed), 1, 3), 16, 10).cast("int")
+
+
+def _key(seed: int) -> Column:
+    return F.struct(_order(seed).alias("order"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with what the plan says of their memberships; the plan has MOST_PATTERNS rows at most."""
+    return rows.join(F.broadcast(plan), rows["memberships"].eqNullSafe(plan["memberships"])).drop(plan["memberships"])
+
+
+def with_passes(rows: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
+    """rows (doc_id, size, memberships and any others) with passes, how often each is taken, targets and source_sizes.
+
+    A row's place in the seeded order says whether it is before the border, so rows stay where they are.
+    """
+    more = F.coalesce(_slice(seed) <= F.col("border"), F.lit(False)) | F.coalesce(_key(seed) <= F.col("last"), F.lit(False))
+    return _with_plan(rows, plan).withColumn("passes", (F.col("whole") + more.cast("int")).cast("int")).drop("whole", "border", "last")
+
+
+def mix(documents: DataFrame, total: float | None = None, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, seed: int = 0) -> DataFrame:
+    """doc_id, size, memberships, passes (how often the row is taken), and its sources' targets and sizes.
+
+    documents: doc_id, size and memberships, a non-empty array of sources, of which null may be one.
+    """
+    rows = checkpoint(documents.select("doc_id", "size", F.sort_array(F.array_distinct("memberships")).alias("memberships")))
+    return with_passes(rows, planned(rows, total, weights, most, seed), seed).select("doc_id", "size", "memberships", "passes", "targets", "source_sizes")
 
 
 def mix_by_source(docs: DataFrame, **options) -> DataFrame:
@@ -164,9 +195,11 @@ def mix_by_source(docs: DataFrame, **options) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), (F.col("passes") * F.col("size")).cast("long").alias("taken"), "passes")
 
 
-def keep_taken(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all their columns, each as often as the mix takes it (a repeated doc_id as its most taken row)."""
-    taken = mix_by_source(docs, **options).groupBy("doc_id").agg(F.max("passes").alias("passes")).where("passes > 0")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]))
-    copies = "".join(docs.columns) + "_copy"  # a name that no column has
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["passes"])).alias(copies)).drop(copies)
+def keep_taken(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
+    """The rows of docs, all their columns, each as often as the mix takes it. Texts aren't shuffled."""
+    narrow = lambda df: sized(df).select("doc_id", F.col("_size").alias("size"), F.array("source").alias("memberships"))
+    plan = planned(narrow(docs.select("doc_id", "text", "source")), seed=seed, **options)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = sized(docs.select("doc_id", "text", "source", whole)).select("doc_id", F.col("_size").alias("size"), F.array("source").alias("memberships"), "row")
+    taken = with_passes(rows, plan, seed).where("passes > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "passes")).alias("copy")).select("row.*")
