@@ -663,6 +663,13 @@ for _strategy in STRATEGIES:
     SQL[f"generate_{_strategy}"] = generate_sql([_strategy], 1000)
 
 
+@query("SELECT section, slot_no, id, price, bank, true AS fallback FROM (" + generate_sql(["balanced"], 1000) + ")")
+def ai_fallback(spark, sf_dir):
+    """A model that predicts nothing: the balanced squad takes its place."""
+    none = domain.predictions(spark, sf_dir).where("predicted_points < 0")
+    return select.ai_or_balanced(none, domain.enriched(spark, sf_dir)).select("section", "slot_no", "id", "price", "bank", "fallback")
+
+
 @query(generate_sql(list(STRATEGIES), 900))
 def generate_all(spark, sf_dir):
     return select.generate(domain.enriched(spark, sf_dir), 90.0)
@@ -729,7 +736,7 @@ def snapshot_latest(spark, sf_dir):
     teams = domain.table(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS name")
     for name, rows in (("teams_20240101", teams.limit(3)), ("teams_20240301", teams), ("zones_20250101", teams.limit(1))):
         rows.write.parquet(f"{path}/{name}")
-    return readers.latest_snapshot(spark.read.option("recursiveFileLookup", True).parquet(path), "teams_").select("id", "name")
+    return spark.read.parquet(readers.latest_snapshot(spark, path, "teams_")).select("id", "name")
 
 
 @query("SELECT CAST(s_suppkey AS INTEGER) AS id, s_name || ' of ' || s_nationkey AS name, s_nationkey AS team, n_name AS team_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -77,11 +77,15 @@ def read_panel_csv(spark: SparkSession, path: str, schema: str = schemas.PANEL)
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def latest_snapshot(df: DataFrame, prefix: str) -> DataFrame:
-    """The rows of df from the file or folder whose name, of those with the prefix, sorts last."""
-    named = df.withColumn("_snapshot", F.regexp_extract(F.col("_metadata.file_path"), rf"/({prefix}[^/]*)(?:/|$)", 1)).where("_snapshot <> ''")
-    last = named.agg(F.max("_snapshot").alias("_last"))
-    return named.join(F.broadcast(last), F.col("_snapshot") == F.col("_last")).drop("_snapshot", "_last")  # one row
+def latest_snapshot(spark: SparkSession, folder: str, prefix: str) -> str:
+    """The path of the file or folder whose name, of those with the prefix, sorts last; only names are listed."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [x.getPath().getName() for x in at.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(at)]
+    found = sorted(n for n in names if n.startswith(prefix))
+    if not found:
+        raise FileNotFoundError(f"{folder} has no snapshot {prefix}")
+    return f"{folder}/{found[-1]}"
 
 
 def refresh(*frames: DataFrame) -> None:

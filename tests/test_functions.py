@@ -213,3 +213,8 @@ def test_many_candidates_give_the_same_suggestions(spark, sf_dir, monkeypatch):
     few = sorted(map(tuple, suggest.suggest(rows, asked).collect()))
     monkeypatch.setattr(suggest, "BROADCAST_ROWS", 10)
     assert sorted(map(tuple, suggest.suggest(rows, asked).collect())) == few
+
+
+def test_no_snapshot_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        readers.latest_snapshot(spark, str(tmp_path), "teams_")
