@@ -280,13 +280,12 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     return edges.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node").unionAll(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def _across(mixed: DataFrame, docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+def _across(mixed: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """Links across components: of every largest component the texts outside it, in blocks, against blocks of all."""
     every = scratch.save(mixed.groupBy("main", "doc_id").agg(F.min("root").alias("root")))
     blocks_of = lambda condition: F.ceil(F.count_if(condition) / BLOCK).cast("int")
     outside = F.col("root") != F.col("main")
     sizes = scratch.save(every.groupBy("main").agg(blocks_of(outside).alias("rows"), blocks_of(F.lit(True)).alias("columns"), F.count("*").alias("n")))
-    texts = texts_of_pairs(every.select(F.col("doc_id").alias("member"), F.col("doc_id").alias("rep")), docs)
     held = dealt(every, sizes, ["main"], every.count(), "doc_id").join(texts, "doc_id")
 
     def blocks(rows: DataFrame, own: str, other: str, name: str) -> DataFrame:
@@ -322,7 +321,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     pairs = scratch.save(pairs.select(F.when(F.col("rep") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"), "rep"))
     needed = scratch.save(texts_of_pairs(pairs, docs))
     links = scratch.save(verified(pairs, needed, least))
-    scratch.drop(needed, pairs)
+    scratch.drop(pairs)
     roots = scratch.save(components(links, scratch))
 
     # buckets that still hold several components: what the representatives didn't show
@@ -332,7 +331,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"), F.sum("size").alias("n")).where("roots > 1 and n > 3").select("bucket", F.col("top.root").alias("main"), "n")
     largest = scratch.save(largest)
     if largest.take(1):
-        more = scratch.save(_across(dealt(classed, largest, ["bucket"], largest.agg(F.sum("n")).first()[0], "doc_id"), docs, least, scratch))
+        more = scratch.save(_across(dealt(classed, largest, ["bucket"], largest.agg(F.sum("n")).first()[0], "doc_id"), needed, least, scratch))
         if more.take(1):
             roots = scratch.save(components(links.select("a", "b").unionAll(more), scratch))
 
