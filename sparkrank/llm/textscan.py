@@ -24,6 +24,8 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _HEAD = (np.arange(256) & 0xC0) != 0x80
 #: Powers of the base and its inverse are products of a near table's entry and a far one's, so a text of any length needs little.
 _NEAR = 1 << 16
+#: Bytes whose triples are counted at a time.
+_SLICE = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -221,13 +223,18 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 def grams(texts: pa.Array, buckets: int) -> np.ndarray:
     """Shares of a text's lower-case character triples (bytes) and of its words in as many hashed buckets each."""
     s = scan(texts)
-    out = np.zeros((s.n, 2, buckets))
-    lower = np.where((s.data >= 65) & (s.data <= 90), s.data + 32, s.data).astype(np.uint32)
-    sizes = np.maximum(np.diff(s.bounds) - 2, 0)
-    firsts = np.repeat(s.bounds[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    code = (lower[firsts] << np.uint32(16)) | (lower[firsts + 1] << np.uint32(8)) | lower[firsts + 2]
-    code = (code * np.uint32(0x9E3779B1)) >> np.uint32(16)
-    for k, (owner, key) in enumerate(((np.repeat(np.arange(s.n), sizes), code), (s.owner, s.hashes(s.starts, s.ends)))):
-        counts = np.bincount(owner * buckets + (key % key.dtype.type(buckets)).astype(np.int64), minlength=s.n * buckets).reshape(s.n, buckets)
-        out[:, k] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    return out.reshape(s.n, 2 * buckets)
+    counts = np.zeros((2, s.n * buckets), np.int64)
+    for a in range(0, len(s.data) - 2, _SLICE):  # so that a long text's triples take little memory
+        b = min(a + _SLICE, len(s.data) - 2)
+        first, last = np.searchsorted(s.bounds, [a, b - 1], "right") - 1
+        owner = np.repeat(np.arange(first, last + 1), np.diff(np.clip(s.bounds[first : last + 2], a, b)))
+        raw = s.data[a : b + 2]
+        lower = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw).astype(np.uint32)
+        code = (lower[:-2] << np.uint32(16)) | (lower[1:-1] << np.uint32(8)) | lower[2:]
+        code = ((code * np.uint32(0x9E3779B1)) >> np.uint32(16)) % np.uint32(buckets)
+        whole = np.arange(a + 2, b + 2) < s.bounds[owner + 1]
+        counts[0] += np.bincount((owner * buckets + code)[whole], minlength=s.n * buckets)
+    words = s.hashes(s.starts, s.ends) % _U(buckets)
+    counts[1] = np.bincount(s.owner * buckets + words.astype(np.int64), minlength=s.n * buckets)
+    shares = counts.reshape(2, s.n, buckets).transpose(1, 0, 2)
+    return (shares / np.maximum(shares.sum(2, keepdims=True), 1)).reshape(s.n, 2 * buckets)
