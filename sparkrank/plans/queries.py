@@ -331,8 +331,8 @@ for _name, (_asked, _limit) in SEARCHES.items():
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for every player: own position, up to 2 more than the own price, without the next of the position."""
-    rows = domain.enriched(spark, sf_dir)
-    return rows.selectExpr("id AS request_id", "id AS player_id", "pos AS position", "price + 2 AS max_price", "array(id + 4) AS exclude_ids")
+    rows = domain.players(spark, sf_dir).withColumn("position", enrich.position("element_type"))
+    return rows.selectExpr("id AS request_id", "id AS player_id", "position", "now_cost / 10 + 2 AS max_price", "array(id + 4) AS exclude_ids")
 
 
 def suggest_sql(w: dict[str, float], limit: int) -> str:
