@@ -32,6 +32,8 @@ SAMPLE_ROWS = 20_000
 SIZES = (3, 4, 5, 6)
 #: Buckets that grams are counted in first, how many of them are looked into, and how many grams become features.
 BUCKETS, LOOKED_INTO, FEATURES = 1 << 20, 4096, 768
+#: Rows of the fit's matrix that are floats at a time.
+BLOCK = 4096
 #: Characters that one numpy pass hashes; a longer text goes by slices that overlap by a gram less one.
 SLICE = 1 << 19
 
@@ -73,12 +75,7 @@ def grams(codes: np.ndarray, bounds: np.ndarray, wanted: np.ndarray):
 def distinct_grams(texts: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of each text's distinct grams in wanted buckets, by text."""
     codes, bounds = characters(texts)
-    found, held = [], 0
-    for text, hashed in grams(codes, bounds, wanted):
-        found.append(np.stack([text.astype(np.uint64), hashed]))
-        held += len(text)
-        if held > 8 * SLICE:  # what one pass holds stays small beside its texts
-            found, held = [np.unique(np.concatenate(found, 1), axis=1)], 0
+    found = [np.stack([text.astype(np.uint64), hashed]) for text, hashed in grams(codes, bounds, wanted)]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     both = np.concatenate(found, 1)
@@ -115,21 +112,23 @@ class Classifier:
         best = np.sort(np.lexsort((known, -np.abs(apart)))[:features])
         slot = np.full(len(known), -1)
         slot[best] = np.arange(len(best))
-        x = np.zeros((len(rows), len(best)), np.float32)
+        holds = np.zeros((len(rows), len(best)), np.uint8)
         used = slot[index] >= 0
-        x[owner[used], slot[index[used]]] = ratio[index[used]]
+        holds[owner[used], slot[index[used]]] = 1
+        scale, y = ratio[best].astype(np.float32), toxic.astype(np.float32)
         w, b = np.zeros(len(best)), float(np.log(toxic.mean() / (1 - toxic.mean())))
-        for _ in range(25):  # Newton steps on weights and intercept
-            p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-            s = np.maximum(p * (1 - p), 1e-6)
-            gradient = np.append(x.T @ (toxic - p) - ridge * w, (toxic - p).sum())
-            curved = x * np.sqrt(s)[:, None].astype(np.float32)
-            edge = (x.T @ s)[:, None]
-            hessian = np.block([[(curved.T @ curved).astype(float) + ridge * np.eye(len(w)), edge], [edge.T, np.array([[s.sum()]])]])
+        for _ in range(25):  # Newton steps on weights and intercept, in blocks of rows
+            gradient, hessian = np.append(-ridge * w, 0.0), np.diag(np.append(np.full(len(w), ridge), 1e-9))
+            for at in range(0, len(rows), BLOCK):
+                x = np.column_stack([holds[at : at + BLOCK] * scale, np.ones(len(y[at : at + BLOCK]), np.float32)])
+                p = 1 / (1 + np.exp(-np.clip(x @ np.append(w, b).astype(np.float32), -30, 30)))
+                gradient += x.T @ (y[at : at + BLOCK] - p)
+                x *= np.sqrt(np.maximum(p * (1 - p), 1e-6))[:, None]
+                hessian += x.T @ x
             change = np.linalg.solve(hessian, gradient)
             change *= min(1.0, 2.0 / max(float(np.abs(change).max()), 1e-12))
             w, b = w + change[:-1], b + float(change[-1])
-            if np.abs(change).max() < 1e-4:
+            if np.abs(change).max() < 1e-3:
                 break
         return cls(known[best], w * ratio[best], b)
 
@@ -158,23 +157,25 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS,
 
     def bucket_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         """How many toxic and other rows of a pass hold a gram of each bucket."""
-        text, hashed = distinct_grams(batch.column("text"), np.ones(BUCKETS, bool))
-        both = np.unique(text * BUCKETS + (hashed & np.uint64(BUCKETS - 1)).astype(np.int64))
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[both // BUCKETS] == 1
-        many, ours = np.bincount(both % BUCKETS), np.bincount(both[toxic] % BUCKETS, minlength=1)
-        held = np.flatnonzero(many)
-        ours = np.pad(ours, (0, len(many) - len(ours)))
-        return pa.record_batch([pa.array(held), pa.array(ours[held]), pa.array((many - ours)[held])], names=["bucket", "toxic", "other"])
+        codes, bounds = characters(batch.column("text"))
+        every, counts = np.ones(BUCKETS, bool), np.zeros((2, BUCKETS), np.int64)
+        for start, end, toxic in zip(bounds[:-1], bounds[1:], batch.column("toxic").to_pylist(), strict=True):
+            own = np.concatenate([hashed & np.uint64(BUCKETS - 1) for _, hashed in grams(codes[start:end], np.array([0, end - start]), every)] or [np.zeros(0, np.uint64)])
+            counts[toxic, np.unique(own.astype(np.int32))] += 1
+        held = np.flatnonzero(counts.any(0))
+        return pa.record_batch([pa.array(held), pa.array(counts[1, held]), pa.array(counts[0, held])], names=["bucket", "toxic", "other"])
 
     kinds = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(kinds) < 2:
         return None
     counted = map_texts(rows, ["toxic", "text"], "text", bucket_counts, "bucket long, toxic long, other long")
-    counted = counted.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas().sort_values("bucket", ignore_index=True)  # BUCKETS rows at most
-    _, apart = ratios(counted["toxic"].to_numpy(float), counted["other"].to_numpy(float), kinds[1], kinds[0])
-    best = np.lexsort((counted["bucket"].to_numpy(), -np.abs(apart)))[:LOOKED_INTO]
+    counted = counted.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    a, b, n = F.col("toxic"), F.col("other"), {k: float(v) for k, v in kinds.items()}
+    pooled = (a + b + 1) / (n[0] + n[1] + 2)
+    apart = F.abs(a / n[1] - b / n[0]) / F.sqrt(pooled * (1 - pooled))
+    best = [r["bucket"] for r in counted.orderBy(apart.desc(), "bucket").select("bucket").limit(LOOKED_INTO).collect()]
     wanted = np.zeros(BUCKETS, bool)
-    wanted[counted["bucket"].to_numpy()[best]] = True
+    wanted[best] = True
 
     def candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
         text, hashed = distinct_grams(batch.column("text"), wanted)
