@@ -104,6 +104,31 @@ def test_op10(odd):
     assert found == sorted(brute.top_k(vectors, [0, 50, 250]))
 
 
+def test_op11(spark, odd_dir, odd):
+    from test_repair import counts, damaged, flags
+
+    chats = [tuple(r) for r in spark.read.parquet(f"{odd_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    found = {r["conv_id"]: r for r in odd["op11_structure_repair"]}
+    assert len(odd["op11_structure_repair"]) == len(found) and set(found) == {c for c, *_ in chats}
+    for conv, row in found.items():
+        turns = [t for c, *t in damaged(chats) if c == conv]
+        assert {k: row[k] for k in ("blank", "duplicate", "truncated", "gaps", "illegal")} == counts(turns, flags(turns))
+
+
+def test_op12(spark, odd_dir, odd):
+    assert len(odd["op12_toxicity"]) == spark.read.parquet(f"{odd_dir}/documents.parquet").count()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in odd["op12_toxicity"])
+
+
+def test_op13(spark, odd_dir, odd):
+    from test_filter_audit import walked
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{odd_dir}/documents.parquet").select("doc_id", "text", "source").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{odd_dir}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    found = {(r["part"], r["filter_order"], r["step"]): tuple(r[c] for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")) for r in odd["op13_filter_audit"]}
+    assert found == walked(docs, labels)
+
+
 @pytest.mark.parametrize("which", ["odd", "empty"])
 def test_pipeline_stages(spark, odd_dir, empty_dir, tmp_path, which):
     import corpus_pipeline
