@@ -53,12 +53,23 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of_live(sums)
 
 
+#: The other statistics of a gameweek, from its sums.
+MORE_LIVE = [
+    "(q % 2) * 1.0D AS clean_sheets", "(n % 3) * 1.0D AS goals_conceded", "(q % 11 div 10) * 1.0D AS own_goals", "(q % 13 div 12) * 1.0D AS penalties_saved", "(q % 17 div 16) * 1.0D AS penalties_missed",
+    "(d % 3) * 1.0D AS yellow_cards", "(d % 7 div 6) * 1.0D AS red_cards", "(t % 6) * 1.0D AS saves", "(q % 4) * 1.0D AS bonus", "(q + d) * 1.0D AS bps",
+    "d * 3 / 10.0D AS influence", "t * 7 / 10.0D AS creativity", "(q % 50) / 2.0D AS threat", "least(n, 1) * 1.0D AS starts", "(d + t) / 100.0D AS expected_goal_involvements", "(n * 5 + d) / 100.0D AS expected_goals_conceded",
+]
+
+
 def rows_of_live(sums: DataFrame) -> DataFrame:
-    return sums.selectExpr("player_id", "gameweek", "cast(q AS double) AS points", "n * 30.0D AS minutes", "cast(r AS double) AS goals_scored", "cast(a AS double) AS assists", "q / 10.0D AS ict_index", "d / 100.0D AS expected_goals", "t / 100.0D AS expected_assists", "(40 + q % 60) / 10.0D AS price", "(q % 100) / 1.0D AS selected_by_percent")
+    return sums.selectExpr(
+        "player_id", "gameweek", "cast(q AS double) AS points", "n * 30.0D AS minutes", "cast(r AS double) AS goals_scored", "cast(a AS double) AS assists", "q / 10.0D AS ict_index", "d / 100.0D AS expected_goals",
+        "t / 100.0D AS expected_assists", *MORE_LIVE, "(40 + q % 60) / 10.0D AS price", "(q % 100) / 1.0D AS selected_by_percent",
+    )
 
 
 def static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return players(spark, sf_dir).selectExpr("id AS player_id", "concat_ws(' ', first_name, second_name) AS name", "element_type AS position", "team")
+    return players(spark, sf_dir).selectExpr("id AS player_id", "concat_ws(' ', first_name, second_name) AS name", "element_type AS position", "team", "(id % 90) / 10.0D AS value_form", "(id % 70) / 7.0D AS value_season")
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

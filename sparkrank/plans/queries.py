@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formatting, rounding, scoring, text
-from ..operators import constants, enrich, features, filters, model, panel, search, select, squad, stats, suggest
+from ..operators import constants, enrich, features, filters, incremental, model, panel, search, select, squad, stats, suggest
 from ..operators.constants import DEFAULT_WEIGHTS, PRESETS, STRATEGIES
-from ..sources import mock, readers
+from ..sources import gameweeks, landed, mock, readers
 from . import domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,13 +68,17 @@ ENRICHED = """enriched AS (
 LIVE = """live AS (
     SELECT player_id, gameweek, CAST(q AS DOUBLE) AS points, CAST(n * 30 AS DOUBLE) AS minutes, CAST(r AS DOUBLE) AS goals_scored, CAST(a AS DOUBLE) AS assists,
            CAST(q AS DOUBLE) / 10 AS ict_index, CAST(d AS DOUBLE) / 100 AS expected_goals, CAST(t AS DOUBLE) / 100 AS expected_assists,
+           CAST(q % 2 AS DOUBLE) AS clean_sheets, CAST(n % 3 AS DOUBLE) AS goals_conceded, CAST(q % 11 // 10 AS DOUBLE) AS own_goals, CAST(q % 13 // 12 AS DOUBLE) AS penalties_saved,
+           CAST(q % 17 // 16 AS DOUBLE) AS penalties_missed, CAST(d % 3 AS DOUBLE) AS yellow_cards, CAST(d % 7 // 6 AS DOUBLE) AS red_cards, CAST(t % 6 AS DOUBLE) AS saves,
+           CAST(q % 4 AS DOUBLE) AS bonus, CAST(q + d AS DOUBLE) AS bps, CAST(3 * d AS DOUBLE) / 10 AS influence, CAST(7 * t AS DOUBLE) / 10 AS creativity, CAST(q % 50 AS DOUBLE) / 2 AS threat,
+           CAST(1 AS DOUBLE) AS starts, CAST(d + t AS DOUBLE) / 100 AS expected_goal_involvements, CAST(5 * n + d AS DOUBLE) / 100 AS expected_goals_conceded,
            CAST(40 + q % 60 AS DOUBLE) / 10 AS price, CAST(q % 100 AS DOUBLE) AS selected_by_percent
     FROM (SELECT l_partkey AS player_id, CAST((year(l_shipdate) - 1992) * 4 + quarter(l_shipdate) AS INTEGER) AS gameweek, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) AS n,
                  count(*) FILTER (WHERE l_returnflag = 'R') AS r, count(*) FILTER (WHERE l_returnflag = 'A') AS a,
                  CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS d, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS t FROM lineitem GROUP BY 1, 2)
 )"""
 PANEL = """panel AS (
-    SELECT l.*, p.name, p.element_type AS position, p.team, coalesce(f.difficulty, 3) AS fixture_difficulty, coalesce(f.is_home, true) AS is_home
+    SELECT l.*, p.name, p.element_type AS position, p.team, CAST(p.id % 90 AS DOUBLE) / 10 AS value_form, CAST(p.id % 70 AS DOUBLE) / 7 AS value_season, coalesce(f.difficulty, 3) AS fixture_difficulty, coalesce(f.is_home, true) AS is_home
     FROM live l JOIN players p ON l.player_id = p.id
     LEFT JOIN (SELECT event, team, arg_max(difficulty, ord) AS difficulty, arg_max(is_home, ord) AS is_home FROM sides GROUP BY event, team) f ON f.event = l.gameweek AND f.team = p.team
 )"""
@@ -430,7 +434,7 @@ def squad_json(spark, sf_dir):
 PANEL_SQL = [PLAYERS, FIXTURES, LIVE, PANEL]
 
 
-@query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, points, minutes, goals_scored, assists, ict_index, expected_goals, expected_assists, price, selected_by_percent, name, position, team, fixture_difficulty, is_home FROM panel")
+@query(with_(*PANEL_SQL) + "SELECT * FROM panel")
 def panel_joined(spark, sf_dir):
     return domain.panel(spark, sf_dir)
 
@@ -741,25 +745,83 @@ def snapshot_latest(spark, sf_dir):
 
 @query("SELECT CAST(s_suppkey AS INTEGER) AS id, s_name || ' of ' || s_nationkey AS name, s_nationkey AS team, n_name AS team_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def bootstrap_json(spark, sf_dir):
-    """An upstream document of suppliers as players and nations as teams, landed, read with its schema and joined again."""
+    """Upstream documents of suppliers as players, in pages, and of nations as teams: landed, read as variants and joined again."""
     path = _temporary(spark, "bootstrap")
-    elements = domain.table(spark, sf_dir, "supplier").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("first_name"), F.concat(F.lit("of "), F.col("s_nationkey").cast("string")).alias("second_name"), F.col("s_nationkey").alias("team"))).alias("elements"))
-    names = domain.teams(spark, sf_dir).agg(F.collect_list(F.struct("id", "name", "short_name")).alias("teams"))
-    elements.join(names).coalesce(1).write.json(path)  # the source has one document
-    document = readers.bootstrap(spark, path)
-    rows = readers.players(document).join(readers.teams(document).select(F.col("id").alias("team"), F.col("name").alias("team_name")), "team")
+    elements = domain.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_name AS first_name", "concat('of ', s_nationkey) AS second_name", "s_nationkey AS team")
+    landed.write_pages(elements, f"{path}/elements", "elements", F.expr("id div 50"))
+    landed.write_pages(domain.teams(spark, sf_dir), f"{path}/teams", "teams", F.expr("id div 10"))
+    documents = landed.documents(spark, f"{path}/*")
+    rows = landed.players(documents).join(landed.teams(documents).select(F.col("id").alias("team"), F.col("name").alias("team_name")), "team")
     return rows.select(F.col("id").cast("int").alias("id"), F.concat_ws(" ", "first_name", "second_name").alias("name"), "team", "team_name")
 
 
 @query(with_(FIXTURES) + "SELECT ord AS id, event, team_h, team_a, team_h_difficulty, team_a_difficulty FROM fixtures")
 def fixtures_json(spark, sf_dir):
-    """A landed array of fixtures for each gameweek, read back."""
+    """Landed pages of fixtures in folders by gameweek, read back as variants."""
     path = _temporary(spark, "fixtures")
-    rows = domain.fixtures(spark, sf_dir)
-    arrays = rows.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("id", "team_h", "team_a", "team_h_difficulty", "team_a_difficulty", "event"))).alias("rows"))
-    arrays.repartition(38, "event").select("event", F.to_json("rows").alias("value")).write.partitionBy("event").text(path)
-    found = readers.fixtures(spark, path)
-    return found.select("id", "event", "team_h", "team_a", "team_h_difficulty", "team_a_difficulty")
+    rows = domain.fixtures(spark, sf_dir).selectExpr("id", "team_h", "team_a", "team_h_difficulty", "team_a_difficulty", "event", "event AS week")
+    landed.write_pages(rows, path, "fixtures", F.expr("id div 8000"), ["week"])
+    return landed.fixtures(landed.documents(spark, path)).select("id", "event", "team_h", "team_a", "team_h_difficulty", "team_a_difficulty")
+
+
+@query("""SELECT CAST(coalesce(min(o_orderkey) FILTER (WHERE o_orderstatus = 'O'), 1) AS INTEGER) AS current_event,
+       CAST(coalesce(min(o_orderkey) FILTER (WHERE o_orderstatus = 'O'), max(o_orderkey), 1) AS INTEGER) AS gameweek, count(*) AS n_events FROM orders""")
+def landed_current_event(spark, sf_dir):
+    """Pages of events, of which each names its first current one: the first page's counts, and so does the first current event."""
+    path = _temporary(spark, "events")
+    rows = domain.table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey AS int) AS id", "o_orderstatus = 'O' AS is_current")
+    landed.write_pages(rows, path, "events", F.expr("id div 500"), current_event=F.min(F.when(F.col("is_current"), F.col("id"))))
+    documents = landed.documents(spark, path)
+    events = landed.events(documents)
+    found = landed.current_event(documents).withColumnRenamed("gameweek", "current_event")
+    return found.join(readers.current_gameweek(events)).join(events.agg(F.count("*").alias("n_events")))  # one row each
+
+
+LIVE_COLUMNS = ", ".join(gameweeks.NAMES)
+
+
+def _landed_weeks(spark: SparkSession, sf_dir: str) -> str:
+    """Live statistics as documents of at most 500 players in folders by gameweek."""
+    path = _temporary(spark, "live")
+    stats = F.struct(*[F.col("points" if c == "total_points" else c).alias(c) for c in gameweeks.STATISTICS])
+    rows = domain.live(spark, sf_dir).select("gameweek", F.col("player_id").alias("id"), stats.alias("stats"), F.col("gameweek").alias("week"))
+    landed.write_pages(rows.select("id", "stats", "gameweek"), path, "elements", F.expr("id div 500"), ["gameweek"])
+    return path
+
+
+@query(with_(LIVE) + f"SELECT player_id, gameweek, {LIVE_COLUMNS} FROM live WHERE gameweek BETWEEN 10 AND 12 OR gameweek = 20")
+def live_gameweeks(spark, sf_dir):
+    """All 25 columns of four landed gameweeks; the files of the others aren't opened."""
+    path = _landed_weeks(spark, sf_dir)
+    return gameweeks.read_weeks(spark, path, "gameweek BETWEEN 10 AND 12").unionByName(gameweeks.read_weeks(spark, path, "gameweek = 20"))
+
+
+@query(with_(LIVE) + f"SELECT player_id, gameweek, {LIVE_COLUMNS} FROM live")
+def live_documents(spark, sf_dir):
+    """All 25 columns of all landed gameweeks, from documents that name their week."""
+    path = _temporary(spark, "live")
+    stats = F.struct(*[F.col("points" if c == "total_points" else c).alias(c) for c in gameweeks.STATISTICS])
+    rows = domain.live(spark, sf_dir).select(F.col("player_id").alias("id"), stats.alias("stats"), "gameweek", F.col("gameweek").alias("week"))
+    landed.write_pages(rows, path, "elements", F.expr("id div 500"), ["week"], gameweek=F.first("gameweek"))
+    return landed.live(landed.documents(spark, path))
+
+
+INCREMENTAL = ["points_avg_3", "points_avg_10", "form_5gw", "points_trend", "minutes_std_5", "price_change_3gw"]
+
+
+@query(with_(*PANEL_SQL) + f"""SELECT player_id, gameweek, {half_up_sql('avg(points) OVER w3', 6)} AS points_avg_3, {half_up_sql('avg(points) OVER w10', 6)} AS points_avg_10, {half_up_sql('avg(points) OVER w5', 6)} AS form_5gw,
+    {trend_sql('points')}, {half_up_sql('coalesce(stddev_samp(minutes) OVER w5, 0)', 3)} AS minutes_std_5, {half_up_sql('price - first_value(price) OVER w3', 6)} AS price_change_3gw FROM panel
+    WINDOW w3 AS (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w5 AS (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+           w10 AS (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+def panel_incremental(spark, sf_dir):
+    """Features of the panel stored in three increments, the last of one gameweek: those of one build."""
+    path = _temporary(spark, "incremental")
+    rows = domain.panel(spark, sf_dir)
+    for part in ("gameweek <= 12", "gameweek BETWEEN 13 AND 27", "gameweek > 27"):
+        incremental.add_weeks(rows.where(part), path)
+    found = incremental.read_features(spark, path)
+    digits = {"points_trend": None, "minutes_std_5": 3}
+    return found.select("player_id", "gameweek", *[(F.col(c) if c in digits and digits[c] is None else rounding.half_up(F.col(c), digits.get(c, 6))).alias(c) for c in INCREMENTAL])
 
 
 #: Where the forest of a session and folder is kept: one fit serves all three queries.
