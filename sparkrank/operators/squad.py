@@ -80,14 +80,21 @@ def scored_slots(slots: DataFrame, players: DataFrame, weights: Mapping[str, flo
     return rows.withColumn("label", scoring.label(F.col("score"), F.col("status"))).drop("status")
 
 
-def totals(slots: DataFrame, players: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
-    """Per squad the starting players' total score and flagged players; their total over all known slots as mean."""
-    rows = scored_slots(slots, players, weights)
+def _sums() -> list[Column]:
+    """Aggregates of a squad's scored slots: cents (whole hundredths have no rounding noise), flagged, n and bank_left."""
     starting = F.col("section") == "xi"
-    cents = F.round(F.col("score") * 100).cast("long")  # sums of whole hundredths have no rounding noise
-    sums = rows.groupBy("squad_id").agg(F.sum(F.when(starting, cents).otherwise(0)).alias("cents"), F.count_if(starting & (F.col("label") != "perfect")).alias("flagged"), F.count("*").alias("n"), F.max("bank").alias("bank_left"))
+    cents = F.round(F.col("score") * 100).cast("long")
+    return [F.sum(F.when(starting, cents).otherwise(0)).alias("cents"), F.count_if(starting & (F.col("label") != "perfect")).alias("flagged"), F.count("*").alias("n"), F.max("bank").alias("bank_left")]
+
+
+def _totals() -> list[Column | str]:
     total = F.col("cents") / 100
-    return sums.select("squad_id", total.alias("total_score"), half_up(total / F.col("n")).alias("average_score"), "flagged", "bank_left")
+    return ["squad_id", total.alias("total_score"), half_up(total / F.col("n")).alias("average_score"), "flagged", "bank_left"]
+
+
+def totals(slots: DataFrame, players: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
+    """Per squad the starting players' total score and flagged players; their total over all known slots as mean."""
+    return scored_slots(slots, players, weights).groupBy("squad_id").agg(*_sums()).select(*_totals())
 
 
 def analyse(slots: DataFrame, players: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
@@ -97,7 +104,7 @@ def analyse(slots: DataFrame, players: DataFrame, weights: Mapping[str, float] =
     some = rows.join(found.withColumn("section", F.lit("xi")), ["squad_id", "section", "slot_no"], "left")
     none = F.array().cast("array<struct<rank:int,id:bigint,name:string,price:double,delta:double>>")
     entry = F.struct(F.when(F.col("section") == "xi", 0).otherwise(1).alias("part"), "slot_no", "section", "id", "name", "pos", "price", "score", "label", F.coalesce("suggestions", none).alias("suggestions"))
-    return totals(slots, players, weights).join(some.groupBy("squad_id").agg(F.sort_array(F.collect_list(entry)).alias("results")), "squad_id")
+    return some.groupBy("squad_id").agg(*_sums(), F.sort_array(F.collect_list(entry)).alias("results")).select(*_totals(), "results")
 
 
 # Editing keeps at most 11 starting and 4 bench slots, and no player twice.
