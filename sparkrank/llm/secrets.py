@@ -3,8 +3,8 @@
 Texts are scanned whole (null: empty) as their UTF-8 bytes, so only ASCII letters fold their case; offsets are
 code points, ends exclusive. Base kinds, leftmost and non-overlapping within their kind: assign, access and hex;
 a match that fails its length rule is dropped but has used up its text. Further kinds need more than a
-pattern: github, npm and similar tokens carry a CRC-32 in base 62, jwt a header that decodes to JSON with an
-algorithm, and pem a closed private key block. Keywords can't announce hex runs, so their pattern reads the whole
+pattern: github, npm and similar tokens carry a CRC-32 in base 62, jwt a header of at most JWT_HEADER characters that decodes to JSON
+with an algorithm, wherever in a run of its characters it begins, and pem a closed private key block. Keywords can't announce hex runs, so their pattern reads the whole
 text. No part of a text is walked more than a few times, whatever it holds. Rows are scanned one by one: repeated
 rows give equal results.
 """
@@ -51,8 +51,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-JWT = re.compile(r"(eyJ[0-9A-Za-z_-]++)\.eyJ[0-9A-Za-z_-]++\.[0-9A-Za-z_-]++")
 JWT_PART = re.compile(r"[0-9A-Za-z_-]++")
+JWT_REST = re.compile(r"\.eyJ[0-9A-Za-z_-]++\.[0-9A-Za-z_-]++")
+#: Characters of a token's header at most.
+JWT_HEADER = 4096
 PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z]++ )*?PRIVATE KEY)-----")
 PEM_END = re.compile(r"-----END ((?:[A-Z]++ )*?PRIVATE KEY)-----")
 PEM_BODY = re.compile(r"[0-9A-Za-z+/=\s:,-]*+")
@@ -73,10 +75,10 @@ def _checksum(m: re.Match) -> bool:
     return base62_crc32(m[1]) == m[2]
 
 
-def _header(m: re.Match) -> bool:
+def _header(part: str) -> bool:
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (ValueError, TypeError):
+        return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
@@ -85,10 +87,27 @@ RULES: dict[str, tuple[re.Pattern, Callable[[re.Match], bool]]] = {
     "access": (ACCESS, lambda m: m.end() - m.start() >= 16),
     "github": (GITHUB, _checksum),
     "npm": (NPM, _checksum),
-    "jwt": (JWT, _header),
 }
 
 
+class _Tokens:
+    """JSON web tokens of a text. Starts come in order; a run of token characters and what follows it are walked once."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.run, self.rest = text, 0, None
+
+    def end(self, start: int) -> int | None:
+        """Where the token whose header begins at `start` ends. The header may begin within a run: every place that could be one comes."""
+        if not self.text.startswith("eyJ", start):
+            return None
+        if start >= self.run:
+            self.run = JWT_PART.match(self.text, start).end()
+            self.rest = JWT_REST.match(self.text, self.run)
+        if self.rest and self.run - start <= JWT_HEADER and _header(self.text[start : self.run]):
+            return self.rest.end()
+        return None
+
+
 class _Blocks:
     """Private key blocks of a text: a begin mark, characters of a body only, and the first end mark of the same kind."""
 
@@ -122,13 +141,13 @@ def automaton() -> ahocorasick.Automaton:
 def find(raw: bytes, words: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """Spans in bytes, by start, then kind as listed in KINDS."""
     text = raw.decode("latin-1")
-    spans, free, blocks = [], dict.fromkeys(KINDS, 0), _Blocks(text)
+    spans, free, ends = [], dict.fromkeys(KINDS, 0), {"pem": _Blocks(text), "jwt": _Tokens(text)}
     hits = sorted((end + 1 - size, kind) for end, (size, kind) in words.iter(raw.lower().decode("latin-1")))
     for start, kind in hits:
         if start < free[kind]:
             continue
-        if kind == "pem":
-            if end := blocks.end(start):
+        if kind in ends:
+            if end := ends[kind].end(start):
                 free[kind] = end
                 spans.append((start, end, kind))
             continue
@@ -137,8 +156,6 @@ def find(raw: bytes, words: ahocorasick.Automaton) -> list[tuple[int, int, str]]
             free[kind] = m.end()
             if holds(m):
                 spans.append((start, m.end(), kind))
-        elif kind == "jwt" and (m := JWT_PART.match(text, start)):
-            free[kind] = m.end()  # no part of this run is followed by what a token needs
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 

@@ -67,10 +67,20 @@ def _crc62(body):
 def _alg(part):
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
+def _tokens(text):
+    """Web tokens, the header tried at every place."""
+    free = 0
+    for i in range(len(text)):
+        m = i >= free and re.compile(r"(eyJ[0-9A-Za-z_-]+)\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+", re.A).match(text, i)
+        if m and len(m[1]) <= 4096 and _alg(m[1]):
+            free = m.end()
+            yield i, free
+
+
 def all_secrets(text):
     """Spans of all kinds, the added ones by their whole patterns tried at every place."""
     text = text or ""
@@ -78,10 +88,10 @@ def all_secrets(text):
     rules = [
         ("github", r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", lambda m: _crc62(m[1]) == m[2]),
         ("npm", r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", lambda m: _crc62(m[1]) == m[2]),
-        ("jwt", r"(eyJ[0-9A-Za-z_-]+)\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+", lambda m: _alg(m[1])),
         ("pem", r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----[0-9A-Za-z+/=\s:,-]*?-----END \1-----", lambda m: True),
     ]
     found = [(int(x.split(":")[1]), order.index(x.split(":")[0]), x) for x in secrets(text)]
+    found += [(a, order.index("jwt"), f"jwt:{a}:{b}") for a, b in _tokens(text)]
     for kind, pattern, holds in rules:
         found += [(m.start(), order.index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text, re.A) if holds(m)]
     return [x for _, _, x in sorted(found)]

@@ -64,7 +64,7 @@ def test_redaction_leaves_no_secret(spark, sf_dir):
 BODY = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
 HEAD = urlsafe_b64encode(json.dumps({"alg": "none"}).encode()).decode().rstrip("=")
 MARKS = ["-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "MIIB\n", "é", "!", " ", "-", "A ", "-----BEGIN ", "-----"]
-TOKENS = [f"ghp_{BODY}{secrets.base62_crc32(BODY)}", f"npm_{BODY}{secrets.base62_crc32(BODY)}", f"gho_{BODY}000000", HEAD, ".eyJ9", ".sig", "eyJ", ".", "x", "_", "eyJub3Q", " "]
+TOKENS = [f"ghp_{BODY}{secrets.base62_crc32(BODY)}", f"npm_{BODY}{secrets.base62_crc32(BODY)}", f"gho_{BODY}000000", HEAD, ".eyJ9", ".sig", "eyJ", ".", "x", "_", "eyJub3Q", " ", "eyj", "EYJ", "keyJWT-", "keyjson_"]
 
 
 @settings(max_examples=500, deadline=None)
@@ -75,6 +75,23 @@ def test_added_kinds_by_brute_force(text):
     assert [f"{k}:{a}:{b}" for a, b, k in found] == brute.all_secrets(text)
 
 
+def test_tokens_behind_other_marks():
+    token = f"{HEAD}.eyJ9.sig"
+    for before in ("keyjson_", "keyJWT-", "EYJ", "eyJ", "eyJub3Q.", "x.eyJub3Q.eyJub3Q ", "eyJhbGciOiJub25lIg."):
+        raw = f"{before}{token} {token}".encode()
+        assert [raw[a:b].decode() for a, b, k in secrets.find(raw, secrets.automaton()) if k == "jwt"] == [token, token], before
+    long = urlsafe_b64encode(json.dumps({"alg": "none", "x": "y" * 4000}).encode()).decode().rstrip("=")
+    assert not secrets.find(f"{long}.eyJ9.sig".encode(), secrets.automaton())
+
+
+def test_hostile_token_runs_end():
+    deep = urlsafe_b64encode(b'{"a":' * 900).decode().rstrip("=")
+    for run in ("eyJ" * 300_000 + ".eyJa.b", ("eyJ" * 1300 + ".eyJa.b ") * 100, "eyJ" * 1000 + (".eyJ" + "eyJ" * 300) * 300, (deep + ".eyJa.b ") * 100):
+        began = time.perf_counter()
+        secrets.find(run.encode(), secrets.automaton())
+        assert time.perf_counter() - began < 10
+
+
 @pytest.mark.parametrize("unit", ["eyJ", "-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN A ", "eyJa.", "eyJa.eyJb", "password ", "token=", "AKIA", "ghp_", "deadbeef" * 3 + " ", "A " * 20 + "-----BEGIN "])
 def test_hostile_texts_end(unit):
     raw = (unit * (1_000_000 // len(unit))).encode()
