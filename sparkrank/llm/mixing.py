@@ -13,7 +13,7 @@ of documents. The plan is for sources that can be listed, MOST_PATTERNS sets at
 refused, not cut: group them first. The order of a pattern's documents is never sorted in one task: hash slices are summed first, and
 only the slice at the border is ordered row by row.
 
-Sizes count words of the text; a null text has size 0, is never taken and makes no source. A null source is a source of
+Sizes count words of the text; a text without words (or null) has size 0, is never taken and makes no source. A null source is a source of
 its own. With equal inputs and seed the result is equal.
 """
 
@@ -176,7 +176,7 @@ def with_passes(rows: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     A row's place in the seeded order says whether it is before the border, so rows stay where they are.
     """
     more = F.coalesce(_slice(seed) <= F.col("border"), F.lit(False)) | F.coalesce(_key(seed) <= F.col("last"), F.lit(False))
-    return _with_plan(rows, plan).withColumn("passes", (F.col("whole") + more.cast("int")).cast("int")).drop("whole", "border", "last")
+    return _with_plan(rows, plan).withColumn("passes", F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(0).cast("int")).drop("whole", "border", "last")
 
 
 def mix(documents: DataFrame, total: float | None = None, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, seed: int = 0) -> DataFrame:

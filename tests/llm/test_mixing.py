@@ -77,6 +77,14 @@ def test_kept_rows_are_repeated(spark):
     assert (counts[counts.index < 4] == 3).all()
 
 
+def test_texts_without_words_are_never_taken(spark):
+    texts = ["w " * 10, None, "", " \n"]
+    docs = spark.createDataFrame([(i, texts[i % 4], "a" if i < 8 else None if i < 12 else "b", 20) for i in range(80)], "doc_id long, text string, source string, n_chars long")
+    kept = mixing.keep_taken(docs).collect()
+    assert {r["text"] for r in kept} == {texts[0]} and {r["source"] for r in kept} == {"a", None, "b"}
+    assert mixing.keep_taken(docs.where("text IS NULL")).count() == 0
+
+
 def test_too_many_patterns_are_refused(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_PATTERNS", 3)
     rows = spark.range(8).selectExpr("id AS doc_id", "5L AS size", "array(cast(id % 4 AS string)) AS memberships")
