@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -18,3 +18,100 @@ def search(players: DataFrame, name: str, limit: int = 5) -> DataFrame:
 
 def by_name(players: DataFrame, name: str) -> DataFrame:
     return search(players, name, 1)
+
+
+# Search of many names at once
+#
+# Names and asked names are compared once for each pair of distinct normalised strings that an index brings together; no other
+# pair can have a similarity above 0:
+#
+# - Equal, containing or sharing words: each of these puts some word of the asked name inside a word of the name. (A name that
+#   contains the asked one contains its first word between two spaces or ends at most, so within a word.) The word, or
+#   its first three letters, is then a gram of the name's word, and words meet by that gram.
+# - Close by edits: 20 points ask for an edit distance d with 2 d < L, L the longer length. Put a mark at both ends; the
+#   marks are kept. Of the L + 2 characters of the longer string at least L + 2 - d are kept, and d edits part them into
+#   at most d + 1 runs that stand together in both strings. A run of k characters holds k - 1 pairs, so the strings share at
+#   least L + 2 - d - (d + 1) = L + 1 - 2 d >= 2 pairs of characters, counted with repeats, and the lengths differ by d at most. Pairs
+#   are numbered by their occurrence, so that shared ones can be counted by a join.
+#
+# - An empty word, as of an asked name that ends with a mark behind a space, lies within every name. All names that share
+#   no other word are then alike, but for an asked name that is empty or a space itself, which others contain or equal. So only the first
+#   `limit` players can come in without another word, the first with a space in their names, and the names that are empty or a space.
+#
+# Edits give 40 points at most, and only where no word is shared. So the pairs are only asked for an asked name that
+# hasn't `limit` names of 40 points or more from the words.
+
+MARK_START, MARK_END = "^", "$"
+
+
+def _grams(word: Column, n: int) -> Column:
+    """The distinct substrings of n letters."""
+    last = F.length(word) - n + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(word, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def _word_pairs(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(q, n) of distinct strings where a word of q lies within a word of n."""
+    q_words = asked.select("q", F.explode(F.array_distinct(F.split("q", " "))).alias("q_word")).where("q_word <> ''")
+    n_words = names.select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("n_word"))
+    keys = q_words.select("q_word").distinct().withColumn("gram", F.substring("q_word", 1, 3))
+    inside = n_words.select("n_word").distinct().withColumn("gram", F.explode(F.concat(*[_grams(F.col("n_word"), k) for k in (1, 2, 3)])))
+    matched = keys.join(inside, "gram").where(F.contains("n_word", F.col("q_word"))).select("q_word", "n_word")
+    return q_words.join(matched, "q_word").join(n_words, "n_word").select("q", "n").distinct()
+
+
+def _blank_pairs(asked: DataFrame, named: DataFrame, limit: int) -> DataFrame:
+    """(q, n) for asked names of which a word is empty, with the few names that can come in without another shared word."""
+    first = lambda df: df.orderBy("ord", "id").limit(limit).select("n")
+    few = first(named).unionByName(first(named.where(F.contains("n", F.lit(" "))))).unionByName(named.where("n IN ('', ' ')").select("n").distinct())
+    held = few.agg(F.collect_set("n").alias("few"))  # one row of 2 limit + 2 names at most
+    return asked.join(F.broadcast(held)).select("q", F.explode("few").alias("n"))
+
+
+def _close_pairs(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(q, n) of distinct strings that share two pairs of characters and whose lengths allow under half as many edits."""
+
+    def pairs(df: DataFrame, name: str) -> DataFrame:
+        marked = F.concat(F.lit(MARK_START), F.col(name), F.lit(MARK_END))
+        every = F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.substring(marked, i, F.lit(2)))
+        rows = df.select(name, F.length(name).alias(f"{name}_length"), F.explode(every).alias("pair"))
+        nth = F.row_number().over(Window.partitionBy(name, "pair").orderBy(F.lit(1)))
+        return rows.withColumn("nth", nth)
+
+    longer = F.greatest("q_length", "n_length")
+    met = pairs(asked, "q").join(pairs(names, "n"), ["pair", "nth"]).where(2 * F.abs(F.col("q_length") - F.col("n_length")) < longer)
+    return met.groupBy("q", "n").agg(F.count("*").alias("shared")).where("shared >= 2").select("q", "n")
+
+
+def _ranked(rows: DataFrame, limit: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "ord", "id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= limit).select("q", "rank", "id", "ord", "name", "similarity")
+
+
+def _best(found: DataFrame, firsts: DataFrame, limit: int) -> DataFrame:
+    """The `limit` best players of each q among its similar names; so many degrees of similarity hold that many players at least."""
+    degree = F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("similarity")))
+    return _ranked(found.withColumn("degree", degree).where(F.col("degree") <= limit).join(firsts, "n"), limit)
+
+
+def search_many(players: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
+    """For each row of asked (asked_id, name) what `search` finds among players for its name: asked_id, rank, id, name, similarity.
+
+    Names are those of 1 to 100 characters; rows with others have no results. The index is described above; similarities are exact.
+    """
+    rows = asked.where(F.length("name").between(1, 100)).select("asked_id", text.normalise(F.col("name")).alias("q"))
+    questions = rows.select("q").distinct()
+    named = players.select("id", "ord", "name", text.normalise(F.col("name")).alias("n"))
+    first = F.row_number().over(Window.partitionBy("n").orderBy("ord", "id"))
+    firsts = named.withColumn("_nth", first).where(F.col("_nth") <= limit).drop("_nth")  # more of one name never count
+    names = firsts.select("n").distinct()
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("similarity", text.similarity(F.col("q"), F.col("n"))).where("similarity > 0")
+
+    blank = F.array_contains(F.split("q", " "), "")
+    by_words = _best(similar(_word_pairs(questions, names).unionByName(_blank_pairs(questions.where(blank), named, limit)).distinct()), firsts, limit)
+    enough = by_words.where("similarity >= 40").groupBy("q").count().where(F.col("count") >= limit).select("q")
+    by_edits = _best(similar(_close_pairs(questions.where(~blank).join(enough, "q", "left_anti"), names)), firsts, limit)
+    found = _ranked(by_words.unionByName(by_edits).dropDuplicates(["q", "id"]), limit)
+    return rows.join(found, "q").select("asked_id", "rank", "id", "name", "similarity")

@@ -333,6 +333,38 @@ for _name, (_asked, _limit) in SEARCHES.items():
     QUERIES[_name], SQL[_name] = _search(_asked, _limit), search_sql(_asked, _limit)
 
 
+NORMAL = "regexp_replace(regexp_replace(strip_accents(trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')"
+
+
+def search_many_sql(asked: str, names: str, limit: int) -> str:
+    """asked: asked_id, name; names: id, ord, name."""
+    return f"""q AS (SELECT asked_id, {NORMAL.replace('{x}', 'name')} AS q FROM ({asked}) WHERE length(name) BETWEEN 1 AND 100),
+n AS (SELECT id, ord, name, {NORMAL.replace('{x}', 'name')} AS n FROM ({names})),
+w AS (SELECT q, n, len(list_filter(string_split(q, ' '), lambda a: len(list_filter(string_split(n, ' '), lambda b: contains(b, a))) > 0)) AS shared,
+             greatest(length(q), length(n)) AS longest FROM (SELECT DISTINCT q FROM q), (SELECT DISTINCT n FROM n)),
+s AS (SELECT q, n, CAST(CASE WHEN n = q THEN 100 WHEN contains(n, q) THEN 80 WHEN shared > 0 THEN CAST(shared AS DOUBLE) / len(string_split(q, ' ')) * 60
+             WHEN CAST(longest - levenshtein(q, n) AS DOUBLE) / longest * 40 > 20 THEN CAST(longest - levenshtein(q, n) AS DOUBLE) / longest * 40 ELSE 0 END AS DOUBLE) AS similarity FROM w),
+r AS (SELECT q, id, name, similarity, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, ord, id) AS rank FROM s JOIN n USING (n) WHERE similarity > 0)
+SELECT asked_id, CAST(rank AS INTEGER) AS rank, id, name, similarity FROM q JOIN r USING (q) WHERE rank <= {limit}"""
+
+
+@query(with_(*enriched_sql(), search_many_sql("SELECT c_custkey AS asked_id, left(p_name, c_custkey % 5 + 1) || substr(p_name, CAST(c_custkey % 5 + 3 AS INTEGER)) AS name FROM customer JOIN part ON p_partkey = c_custkey % 200", "SELECT id, ord, name FROM enriched", 5)))
+def search_many(spark, sf_dir):
+    """Every customer asks for a part's name and leaves out a letter."""
+    customers = domain.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("asked_id"), (F.col("c_custkey") % 200).alias("p_partkey"))
+    garbled = F.expr("concat(left(p_name, cast(asked_id % 5 AS int) + 1), substr(p_name, cast(asked_id % 5 AS int) + 3))")
+    asked = customers.join(domain.table(spark, sf_dir, "part"), "p_partkey").select("asked_id", garbled.alias("name"))
+    return search.search_many(domain.enriched(spark, sf_dir), asked)
+
+
+@query("WITH " + search_many_sql("SELECT doc_id AS asked_id, substr(text, CAST(doc_id % 17 + 2 AS INTEGER), 24) AS name FROM documents", "SELECT doc_id AS id, doc_id AS ord, left(text, 30) AS name FROM documents", 3))
+def search_many_heads(spark, sf_dir):
+    """Every document asks for part of its beginning among the beginnings of all documents."""
+    docs = domain.table(spark, sf_dir, "documents")
+    heads = docs.selectExpr("doc_id AS id", "doc_id AS ord", "left(text, 30) AS name")
+    return search.search_many(heads, docs.selectExpr("doc_id AS asked_id", "substr(text, cast(doc_id % 17 AS int) + 2, 24) AS name"), 3)
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for every player: own position, up to 2 more than the own price, without the next of the position."""
     rows = domain.players(spark, sf_dir).withColumn("position", enrich.position("element_type"))
