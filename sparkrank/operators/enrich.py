@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import number
@@ -10,9 +10,9 @@ from ..functions.rounding import number
 ENRICHED = ["id", "ord", "name", "team_id", "team_short", "pos", "price", "form", "status", "xg90", "xa90", "exp_min", "next3_ease", "avg_points", "value", "ownership"]
 
 
-def position(code: str, default: str | None = "MID"):
+def position(code: str | Column, default: str | None = "MID"):
     """GK, DEF, MID, FWD for 1 to 4."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(["GK", "DEF", "MID", "FWD"], 1) for x in (k, v)]), F.col(code).cast("int")), F.lit(default))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(["GK", "DEF", "MID", "FWD"], 1) for x in (k, v)]), (F.col(code) if isinstance(code, str) else code).cast("int")), F.lit(default))
 
 
 def fixture_sides(fixtures: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formatting, rounding, scoring, text
-from ..operators import constants, enrich, features, filters, incremental, model, panel, search, select, squad, stats, suggest
+from ..operators import constants, edits, enrich, features, filters, incremental, model, panel, requests, search, select, squad, stats, suggest
 from ..operators.constants import DEFAULT_WEIGHTS, PRESETS, STRATEGIES
 from ..sources import gameweeks, landed, mock, readers
 from . import domain
@@ -856,6 +856,110 @@ def panel_incremental(spark, sf_dir):
     return found.select("player_id", "gameweek", *[(F.col(c) if c in digits and digits[c] is None else rounding.half_up(F.col(c), digits.get(c, 6))).alias(c) for c in INCREMENTAL])
 
 
+# the bodies of requests made of events: each rule is broken by some
+BODIES = """bodies AS (
+    SELECT event_id, kind, CASE kind
+        WHEN 'analyze' THEN '{"squad": {"startingXI": [' || array_to_string(list_transform(range(0, 11 - CAST(e % 3 = 0 AS INTEGER)), lambda i: '{"id": ' || (e + i) % 7 || ', "pos": "' || ['GK', 'DEF', 'MID', 'FWD', 'XX'][CAST((e + i) % 5 + 1 AS INTEGER)] || '", "price": ' || (3 * e + i) % 170 // 10 || '.' || (3 * e + i) % 10 || '}'), ', ')
+            || '], "bench": [' || array_to_string(list_transform(range(0, 4 - CAST(e % 4 = 0 AS INTEGER)), lambda i: '{"id": ' || e % 5 + i || ', "pos": "MID", "price": 5}'), ', ') || '], "bank": ' || e % 120 || '}, "weights": {"form": ' || e % 13 // 10 || '.' || e % 13 % 10 || '}}'
+        WHEN 'suggestion' THEN '{"playerId": ' || CASE WHEN e % 11 = 0 THEN '"7"' ELSE e % 4 || '.' || e % 2 * 5 END || ', "position": "' || ['GK', 'def'][CAST(e % 2 + 1 AS INTEGER)] || '", "maxPrice": ' || e % 17 || ', "excludeIds": [' || e % 3 || ', ' || (e + 1) % 3 || ']' || CASE WHEN e % 7 > 0 THEN ', "limit": ' || e % 12 ELSE '' END || '}'
+        WHEN 'generate' THEN '{' || CASE WHEN e % 6 > 0 THEN '"strategy": "' || ['ai', 'value', 'best'][CAST(e % 3 + 1 AS INTEGER)] || '", ' ELSE '' END || '"budget": ' || 70 + e % 40 || '}'
+        WHEN 'search' THEN '{"name": "' || repeat('x', CAST(e % 110 AS INTEGER)) || '"}' ELSE '[]' END AS body
+    FROM (SELECT event_id, event_id // 5 AS e, ['analyze', 'suggestion', 'generate', 'search', 'none'][CAST(event_id % 5 + 1 AS INTEGER)] AS kind FROM events)
+)"""
+
+
+@query("WITH " + BODIES + """, b AS (SELECT event_id, kind, CAST(body AS JSON) AS j FROM bodies),
+slots AS (
+    SELECT event_id, 'squad.' || part || '.' || i AS path, json_extract(j, '$.squad.' || part || '[' || i || ']') AS v
+    FROM b, (VALUES ('startingXI'), ('bench')) p(part), range(11) r(i) WHERE kind = 'analyze' AND i < json_array_length(j, '$.squad.' || part)
+), numbers AS (
+    SELECT event_id, path || '.id' AS path, v->'id' AS v, 0 AS above, NULL AS low, NULL AS high, true AS whole, false AS optional FROM slots
+    UNION ALL SELECT event_id, path || '.price', v->'price', 0, NULL, 15, false, false FROM slots
+    UNION ALL SELECT event_id, 'squad.bank', j->'squad'->'bank', NULL, 0, 100, false, false FROM b WHERE kind = 'analyze'
+    UNION ALL SELECT event_id, 'weights.form', j->'weights'->'form', NULL, 0, 1, false, true FROM b WHERE kind = 'analyze'
+    UNION ALL SELECT event_id, 'playerId', j->'playerId', 0, NULL, NULL, true, false FROM b WHERE kind = 'suggestion'
+    UNION ALL SELECT event_id, 'maxPrice', j->'maxPrice', 0, NULL, 15, false, false FROM b WHERE kind = 'suggestion'
+    UNION ALL SELECT event_id, 'excludeIds.' || i, json_extract(j, '$.excludeIds[' || i || ']'), 0, NULL, NULL, true, false FROM b, range(2) r(i) WHERE kind = 'suggestion'
+    UNION ALL SELECT event_id, 'limit', j->'limit', NULL, 1, 10, true, true FROM b WHERE kind = 'suggestion'
+    UNION ALL SELECT event_id, 'budget', j->'budget', NULL, 80, 100, false, true FROM b WHERE kind = 'generate'
+), typed AS (
+    SELECT *, CASE WHEN v IS NULL AND NOT optional THEN 'required' WHEN json_type(v) NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'not a number' END AS wrong FROM numbers
+), valued AS (SELECT *, CAST(v AS DOUBLE) AS x FROM typed WHERE wrong IS NULL AND v IS NOT NULL),
+known AS (
+    SELECT event_id, path || '.pos' AS path, v->>'pos' AS v, ['GK', 'DEF', 'MID', 'FWD'] AS allowed FROM slots
+    UNION ALL SELECT event_id, 'position', j->>'position', ['GK', 'DEF', 'MID', 'FWD'] FROM b WHERE kind = 'suggestion'
+    UNION ALL SELECT event_id, 'strategy', j->>'strategy', ['balanced', 'premium', 'value', 'differential', 'form', 'template', 'setforget', 'wildcard', 'ai'] FROM b WHERE kind = 'generate'
+)
+SELECT event_id, path, wrong AS error FROM typed WHERE wrong IS NOT NULL
+UNION ALL SELECT event_id, path, 'not whole' FROM valued WHERE whole AND x <> floor(x)
+UNION ALL SELECT event_id, path, 'not over ' || above FROM valued WHERE x <= above
+UNION ALL SELECT event_id, path, 'under ' || low FROM valued WHERE x < low
+UNION ALL SELECT event_id, path, 'over ' || high FROM valued WHERE x > high
+UNION ALL SELECT event_id, path, CASE WHEN v IS NULL THEN 'required' ELSE 'unknown' END FROM known WHERE v IS NULL OR NOT list_contains(allowed, v)
+UNION ALL SELECT event_id, 'squad.' || part, 'not ' || n || ' entries' FROM b, (VALUES ('startingXI', 11), ('bench', 4)) p(part, n) WHERE kind = 'analyze' AND json_array_length(j, '$.squad.' || part) <> n
+UNION ALL SELECT event_id, 'name', CASE WHEN length(j->>'name') = 0 THEN 'under 1 characters' ELSE 'over 100 characters' END FROM b WHERE kind = 'search' AND length(j->>'name') NOT BETWEEN 1 AND 100
+UNION ALL SELECT event_id, '', 'not an object' FROM b WHERE kind = 'none'""")
+def request_errors(spark, sf_dir):
+    """What is wrong with the requests that events stand for."""
+    price = "concat((3 * e + i) % 170 div 10, '.', (3 * e + i) % 10)"
+    slot = f"""concat('{{"id": ', (e + i) % 7, ', "pos": "', element_at(array('GK', 'DEF', 'MID', 'FWD', 'XX'), cast((e + i) % 5 AS int) + 1), '", "price": ', {price}, '}}')"""
+    place = """concat('{"id": ', e % 5 + i, ', "pos": "MID", "price": 5}')"""
+    listed = lambda entry, n: f"array_join(transform(sequence(0, {n} - 1), i -> {entry}), ', ')"
+    made = {
+        "analyze": f"""concat('{{"squad": {{"startingXI": [', {listed(slot, 'if(e % 3 = 0, 10, 11)')}, '], "bench": [', {listed(place, 'if(e % 4 = 0, 3, 4)')}, '], "bank": ', e % 120, '}}, "weights": {{"form": ', e % 13 div 10, '.', e % 13 % 10, '}}}}')""",
+        "suggestion": """concat('{"playerId": ', if(e % 11 = 0, '"7"', concat(e % 4, '.', e % 2 * 5)), ', "position": "', if(e % 2 = 0, 'GK', 'def'), '", "maxPrice": ', e % 17, ', "excludeIds": [', e % 3, ', ', (e + 1) % 3, ']', if(e % 7 > 0, concat(', "limit": ', e % 12), ''), '}')""",
+        "generate": """concat('{', if(e % 6 > 0, concat('"strategy": "', element_at(array('ai', 'value', 'best'), cast(e % 3 AS int) + 1), '", '), ''), '"budget": ', 70 + e % 40, '}')""",
+        "search": """concat('{"name": "', repeat('x', cast(e % 110 AS int)), '"}')""",
+    }
+    kinds = "element_at(array('analyze', 'suggestion', 'generate', 'search', 'none'), cast(event_id % 5 AS int) + 1)"
+    rows = domain.table(spark, sf_dir, "events").selectExpr("event_id", "event_id div 5 AS e", f"{kinds} AS kind")
+    rows = rows.selectExpr("event_id", "kind", "CASE " + " ".join(f"WHEN kind = '{k}' THEN {body}" for k, body in made.items()) + " ELSE '[]' END AS body")
+    return requests.request_errors(rows).select("event_id", F.explode("errors").alias("e")).select("event_id", "e.path", "e.error")
+
+
+# adds to the starting eleven and to the bench, removals, moves to the bench and back, by the type of event
+EDITS = """edits AS (
+    SELECT user_id AS squad_id, event_id AS edit_id, CASE event_type WHEN 'signup' THEN 'add_xi' WHEN 'purchase' THEN 'add_bench' WHEN 'error' THEN 'remove' WHEN 'click' THEN 'to_bench' ELSE 'to_xi' END AS kind,
+           event_id % 23 + 1 AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+)"""
+
+
+@query("WITH RECURSIVE " + EDITS + """, walk AS (
+    SELECT DISTINCT squad_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS edit_id, CAST([] AS BIGINT[]) AS xi, CAST([] AS BIGINT[]) AS bench, '' AS outcome FROM edits
+    UNION ALL
+    SELECT squad_id, n, edit_id,
+           CASE WHEN outcome <> 'done' THEN xi WHEN kind IN ('add_xi', 'to_xi') THEN list_append(xi, id) WHEN kind IN ('remove', 'to_bench') THEN list_filter(xi, lambda x: x <> id) ELSE xi END,
+           CASE WHEN outcome <> 'done' THEN bench WHEN kind IN ('add_bench', 'to_bench') THEN list_append(bench, id) WHEN kind IN ('remove', 'to_xi') THEN list_filter(bench, lambda x: x <> id) ELSE bench END, outcome
+    FROM (SELECT w.squad_id, e.n, e.edit_id, e.kind, e.id, xi, bench, CASE
+              WHEN kind = 'to_bench' AND NOT list_contains(xi, id) OR kind = 'to_xi' AND NOT list_contains(bench, id) OR kind = 'remove' AND NOT list_contains(xi, id) AND NOT list_contains(bench, id) THEN 'not there'
+              WHEN kind IN ('add_xi', 'to_xi') AND len(xi) >= 11 OR kind IN ('add_bench', 'to_bench') AND len(bench) >= 4 THEN 'full'
+              WHEN kind IN ('add_xi', 'add_bench') AND (list_contains(xi, id) OR list_contains(bench, id)) THEN 'already in' ELSE 'done' END AS outcome
+          FROM walk w JOIN edits e ON e.squad_id = w.squad_id AND e.n = w.n + 1)
+)
+SELECT squad_id, edit_id, outcome FROM walk WHERE n > 0""")
+def squad_edits(spark, sf_dir):
+    """What becomes of each edit of every user's log."""
+    logs, _ = _edited(spark, sf_dir)
+    return logs.select("squad_id", "edit_id", "outcome")
+
+
+@query(SQL["squad_edits"].rsplit("SELECT squad_id, edit_id, outcome", 1)[0] + """, last AS (SELECT squad_id, xi, bench FROM walk QUALIFY row_number() OVER (PARTITION BY squad_id ORDER BY n DESC) = 1),
+held AS (
+    SELECT squad_id, 'xi' AS section, unnest(xi) AS id, generate_subscripts(xi, 1) AS place FROM last UNION ALL SELECT squad_id, 'bench', unnest(bench), generate_subscripts(bench, 1) FROM last
+)
+SELECT squad_id, section, CAST(row_number() OVER (PARTITION BY squad_id, section ORDER BY id % 4, place) AS INTEGER) AS slot_no, id FROM held""")
+def squads_after_edits(spark, sf_dir):
+    """Every user's squad after all edits of the log, in the order of positions."""
+    _, slots = _edited(spark, sf_dir)
+    return slots.select("squad_id", "section", "slot_no", "id")
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    kinds = "element_at(map('signup', 'add_xi', 'purchase', 'add_bench', 'error', 'remove', 'click', 'to_bench', 'view', 'to_xi'), event_type) AS kind"
+    rows = domain.table(spark, sf_dir, "events").selectExpr("user_id AS squad_id", "event_id AS edit_id", kinds, "event_id % 23 + 1 AS id")
+    return edits.apply_edits(rows.withColumn("pos", enrich.position(F.col("id") % 4 + 1)).withColumn("price", F.lit(5.0)))
+
+
 #: Where the forest of a session and folder is kept: one fit serves all three queries.
 _FORESTS: dict[tuple[str, str], str] = {}
 
