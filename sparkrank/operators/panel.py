@@ -40,3 +40,18 @@ def split_gameweeks(panel_: DataFrame, share: float = 0.8) -> DataFrame:
     numbered = weeks.select("gameweek", place.alias("place"))
     total = numbered.agg(F.count("*").alias("n"))
     return numbered.join(F.broadcast(total)).select("gameweek", "place", (F.col("place") <= F.floor(F.col("n") * F.lit(share))).alias("train"))  # one row
+
+
+def time_folds(panel_: DataFrame, folds: int = 5) -> DataFrame:
+    """Expanding folds over the gameweeks in order: fold (from 1), gameweek and whether it trains.
+
+    The test weeks of the folds follow each other, weeks // (folds + 1) of them each, up to the last; all weeks before them train. Fewer weeks
+    than folds + 1 are an error.
+    """
+    weeks = sorted(r["gameweek"] for r in panel_.select("gameweek").distinct().collect())  # as few as there are gameweeks
+    size = len(weeks) // (folds + 1)
+    if not size:
+        raise ValueError(f"{len(weeks)} gameweeks are too few for {folds} folds")
+    begins = [len(weeks) - (folds - k) * size for k in range(folds)]
+    rows = [(k + 1, w, i < begin) for k, begin in enumerate(begins) for i, w in enumerate(weeks[: begin + size])]
+    return panel_.sparkSession.createDataFrame(rows, "fold int, gameweek int, train boolean")

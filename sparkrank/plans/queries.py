@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formatting, rounding, scoring, text
-from ..operators import constants, edits, enrich, features, filters, incremental, model, panel, requests, search, select, squad, stats, suggest
+from ..operators import constants, edits, enrich, features, filters, incremental, model, model_store, panel, requests, search, select, squad, stats, suggest
 from ..operators.constants import DEFAULT_WEIGHTS, PRESETS, STRATEGIES
-from ..sources import gameweeks, landed, mock, readers
+from ..sources import gameweeks, landed, mock, readers, versions
 from . import domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -743,12 +744,24 @@ def event_times(spark, sf_dir):
     return domain.table(spark, sf_dir, "events").select("event_id", formatting.iso_time(ts).alias("time"), formatting.stamped_name("panel", ts).alias("name"))
 
 
-def _temporary(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share; only a local session that has none gets one here."""
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share; only a local session that has none gets one here."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='sparkrank-')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkrank-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base
+
+
+def _temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the application ends."""
+    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 @query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, points, minutes, name, price, is_home FROM panel")
@@ -960,34 +973,61 @@ def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return edits.apply_edits(rows.withColumn("pos", enrich.position(F.col("id") % 4 + 1)).withColumn("price", F.lit(5.0)))
 
 
-#: Where the forest of a session and folder is kept: one fit serves all three queries.
-_FORESTS: dict[tuple[str, str], str] = {}
+@query(with_(*enriched_sql()) + "SELECT * FROM enriched")
+def players_published(spark, sf_dir):
+    """The enriched players kept as a table: the second read finds what the first one built."""
+    kept = versions.PublishedTable(spark, _temporary(spark, "players"))
+    inputs = [domain.table(spark, sf_dir, name) for name in ("part", "nation", "orders", "lineitem")]
+    kept.read(inputs, lambda: domain.enriched(spark, sf_dir))
+
+    def again():
+        raise AssertionError("nothing has changed")
+
+    return kept.read(inputs, again)
 
 
 def _forest(spark: SparkSession, sf_dir: str):
-    """The full forest, fitted and saved on first use, then loaded."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FORESTS:
-        path = _temporary(spark, "forest")
-        model.save(model.train(domain.panel(spark, sf_dir))[0], path)
-        _FORESTS[key] = path
-    return model.load(_FORESTS[key])
+    """The full forest and its features, from the store; fitted and published where there is none of these tables as they are now."""
+    inputs = [domain.table(spark, sf_dir, name) for name in ("part", "orders", "lineitem")]
+    made_of = versions.fingerprint(*inputs)
+    path = f"{_shared(spark)}/forests-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    found = model_store.load(spark, path, made_of=made_of)
+    if not found:
+        rows = domain.panel(spark, sf_dir)
+        fitted = model.train(rows)[0]
+        model_store.publish(spark, path, fitted, features.feature_columns(features.time_features(rows)), made_of)
+        found = model_store.load(spark, path, made_of=made_of)
+    return found
 
 
 @query()
 def rf_predict(spark, sf_dir):
-    return model.predict(_forest(spark, sf_dir), domain.panel(spark, sf_dir), 20)
+    return model.predict(_forest(spark, sf_dir).model, domain.panel(spark, sf_dir), 20)
 
 
 @query()
 def rf_metrics(spark, sf_dir):
-    return model.metrics(_forest(spark, sf_dir).transform(model.training_rows(domain.panel(spark, sf_dir)).where("NOT train")))
+    return model.metrics(_forest(spark, sf_dir).model.transform(model.training_rows(domain.panel(spark, sf_dir)).where("NOT train")))
 
 
 @query()
 def rf_importance(spark, sf_dir):
-    columns = features.feature_columns(model.training_rows(domain.panel(spark, sf_dir)))
-    return model.importance(_forest(spark, sf_dir), columns, spark)
+    found = _forest(spark, sf_dir)
+    return model.importance(found.model, found.features, spark)
+
+
+@query(with_(*PANEL_SQL) + """, rows_ AS (SELECT gameweek FROM (SELECT gameweek, lead(points) OVER (PARTITION BY player_id ORDER BY gameweek) AS y FROM panel) WHERE y IS NOT NULL),
+weeks AS (SELECT gameweek, row_number() OVER (ORDER BY gameweek) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT gameweek FROM rows_))
+SELECT CAST(fold AS INTEGER) AS fold, gameweek, place <= n - (6 - fold) * (n // 6) AS train FROM weeks, range(1, 6) f(fold) WHERE place <= n - (5 - fold) * (n // 6)""")
+def time_folds(spark, sf_dir):
+    """Five expanding folds over the gameweeks that have a target."""
+    return panel.time_folds(features.target(domain.panel(spark, sf_dir)).where("next_gameweek_points IS NOT NULL"))
+
+
+@query()
+def rf_folds(spark, sf_dir):
+    """Metrics of five expanding folds, by forests of 20 trees of depth 6."""
+    return model.fold_metrics(domain.panel(spark, sf_dir), trees=20, depth=6)
 
 
 @query(with_(*PREDICTION_SQL) + f"SELECT avg(e * e) AS mse, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, {half_up_sql('1 - avg(e * e) / var_pop(y)', 6)} AS r2 FROM (SELECT y, y - CAST(now_cost AS BIGINT) AS e FROM (SELECT *, CAST(round(predicted_points * 10) AS BIGINT) AS y FROM predictions) JOIN players ON id = player_id)")
