@@ -108,13 +108,15 @@ def enriched_sql(gameweek: int = 1) -> list[str]:
     return [PLAYERS, FIXTURES, EASE.replace("{gameweek}", str(gameweek)), ADVANCED, ENRICHED]
 
 
+METRIC_SQL = {
+    "form": "least(form * 2, 10)", "xg90": "least(xg90 * 20, 10)", "xa90": "least(xa90 * 25, 10)", "exp_min": "exp_min / 90 * 10", "next3_ease": "(6 - next3_ease) * 2",
+    "avg_points": "least(avg_points * CAST(0.5 AS DOUBLE), 10)", "value": "least(value * 2, 10)", "ownership": "ownership / 10",
+}
+
+
 def score_sql(w: dict[str, float] | None = None) -> str:
     """The score of weights, or of the columns w_<metric>."""
-    parts = {
-        "form": "least(form * 2, 10)", "xg90": "least(xg90 * 20, 10)", "xa90": "least(xa90 * 25, 10)", "exp_min": "exp_min / 90 * 10", "next3_ease": "(6 - next3_ease) * 2",
-        "avg_points": "least(avg_points * CAST(0.5 AS DOUBLE), 10)", "value": "least(value * 2, 10)", "ownership": "ownership / 10",
-    }
-    total = " + ".join(f"{expr} * " + (f"CAST({w.get(m, 0.0)!r} AS DOUBLE)" if w is not None else f"w_{m}") for m, expr in parts.items())
+    total = " + ".join(f"{expr} * " + (f"CAST({w.get(m, 0.0)!r} AS DOUBLE)" if w is not None else f"w_{m}") for m, expr in METRIC_SQL.items())
     return f"floor(({total}) * 100 + CAST(0.5 AS DOUBLE)) / 100"
 
 
@@ -257,34 +259,41 @@ def preset_scores(spark, sf_dir):
     return stats.scored_by_sets(domain.enriched(spark, sf_dir), PRESETS, "preset").select("id", "preset", "score")
 
 
-@query(literal_sql("""
+PRESET_ROWS = """
     ('Balanced Approach', 'Well-rounded team focusing on consistent performers across all positions', 15, 15, 15, 20, 15, 15, 5, 0),
     ('Premium Heavy', 'Invest heavily in proven premium players with guaranteed minutes', 10, 20, 20, 25, 10, 10, 2, 3),
     ('Value Optimized', 'Maximum points per million - focus on budget enablers and differentials', 15, 15, 15, 15, 10, 10, 20, 0),
     ('Form & Fixtures', 'Players in hot form with favorable upcoming fixture runs', 25, 15, 10, 15, 25, 5, 3, 2),
-    ('Set & Forget', 'Stable team with minimal transfers - focus on season-long consistency', 5, 15, 15, 30, 5, 25, 3, 2)""", more=", description"))
+    ('Set & Forget', 'Stable team with minimal transfers - focus on season-long consistency', 5, 15, 15, 30, 5, 25, 3, 2)"""
+
+
+@query(with_(*enriched_sql(), f"sets AS ({literal_sql(PRESET_ROWS, more=', description')})") + f"""SELECT name, any_value(description) AS description, {', '.join(f'any_value(w_{m}) AS w_{m}' for m in scoring.METRICS)},
+    count(*) AS n_players, count(*) FILTER (WHERE score >= 6) AS n_good, max(score) AS best_score FROM (SELECT sets.*, {score_sql()} AS score FROM enriched, sets) GROUP BY name""")
 def presets(spark, sf_dir):
-    return constants.presets_frame(spark)
+    """The presets, and how all players fare under each."""
+    return constants.presets_frame(spark).join(stats.summed_up(domain.enriched(spark, sf_dir), PRESETS, "preset").withColumnRenamed("preset", "name"), "name")
 
 
-@query(literal_sql("('default', 20, 15, 15, 15, 10, 15, 5, 5), ('ai', 25, 20, 20, 15, 10, 5, 3, 2)"))
+@query(with_(*enriched_sql(), "sets AS (" + literal_sql("('default', 20, 15, 15, 15, 10, 15, 5, 5), ('ai', 25, 20, 20, 15, 10, 5, 3, 2)") + ")") + f"SELECT enriched.id, sets.name AS weights, {score_sql()} AS score FROM enriched, sets")
 def default_weights(spark, sf_dir):
-    return constants.weights_frame(spark, {"default": DEFAULT_WEIGHTS, "ai": constants.AI_WEIGHTS}, "name")
+    """All players by the default and by the model's weights."""
+    sets = {"default": DEFAULT_WEIGHTS, "ai": constants.AI_WEIGHTS}
+    return stats.scored_by_sets(domain.enriched(spark, sf_dir), sets, "weights").select("id", "weights", "score")
 
 
-@query("WITH " + "sets AS (" + literal_sql(STRATEGY_ROWS) + "), ranked AS (SELECT name, metric, weight, row_number() OVER (PARTITION BY name ORDER BY weight DESC, place) AS rank FROM (" + " UNION ALL ".join(f"SELECT name, '{m}' AS metric, {i} AS place, w_{m} AS weight FROM sets" for i, m in enumerate(scoring.METRICS)) + ")) SELECT name, CAST(rank AS INTEGER) AS rank, metric, weight FROM ranked WHERE rank <= 3")
+@query(with_(*enriched_sql(), STRATEGY_SETS, "sums AS (SELECT " + ", ".join(f"CAST(sum(CAST(floor(({expr}) * 10000 + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS BIGINT) AS s_{m}" for m, expr in METRIC_SQL.items()) + " FROM enriched)") + "SELECT strategy, CAST(rank AS INTEGER) AS rank, metric, weight, contribution FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY contribution DESC, place) AS rank FROM (" + " UNION ALL ".join(f"SELECT strategy, {i} AS place, '{m}' AS metric, w_{m} AS weight, s_{m} * w_{m} / 10000 AS contribution FROM sets, sums" for i, m in enumerate(scoring.METRICS)) + ")) WHERE rank <= 3")
 def top_weights(spark, sf_dir):
-    sets = constants.weights_frame(spark, STRATEGIES, "name")
-    entries = F.sort_array(F.array(*[F.struct((-F.col(f"w_{m}")).alias("k"), F.lit(i).alias("i"), F.lit(m).alias("metric"), F.col(f"w_{m}").alias("weight")) for i, m in enumerate(scoring.METRICS)]))
-    rows = sets.select("name", F.posexplode(F.slice(entries, 1, 3)).alias("p", "e"))
-    return rows.select("name", (F.col("p") + 1).alias("rank"), "e.metric", "e.weight")
+    """The three metrics of each strategy that add most to all players' scores."""
+    return stats.top_contributions(domain.enriched(spark, sf_dir), STRATEGIES)
 
 
-@query("""SELECT formation, pos, CAST(substr(places, i, 1) AS INTEGER) AS starting, [2, 5, 5, 3][i] AS total
-FROM (VALUES ('3-4-3', '1343'), ('3-5-2', '1352'), ('4-3-3', '1433'), ('4-4-2', '1442'), ('4-5-1', '1451'), ('5-3-2', '1532'), ('5-4-1', '1541')) f(formation, places),
-     (VALUES (1, 'GK'), (2, 'DEF'), (3, 'MID'), (4, 'FWD')) p(i, pos)""")
+@query(with_(PLAYERS) + """SELECT formation, f.pos AS pos, CAST(substr(places, i, 1) AS INTEGER) AS starting, [2, 5, 5, 3][i] AS total, coalesce(n_available, 0) AS n_available
+FROM (SELECT * FROM (VALUES ('3-4-3', '1343'), ('3-5-2', '1352'), ('4-3-3', '1433'), ('4-4-2', '1442'), ('4-5-1', '1451'), ('5-3-2', '1532'), ('5-4-1', '1541')) f(formation, places),
+     (VALUES (1, 'GK'), (2, 'DEF'), (3, 'MID'), (4, 'FWD')) p(i, pos)) f LEFT JOIN (SELECT pos, count(*) AS n_available FROM players WHERE status = 'a' GROUP BY pos) a ON a.pos = f.pos""")
 def formations(spark, sf_dir):
-    return constants.formations_frame(spark)
+    """The places of each formation, and how many available players there are for them."""
+    rows = domain.players(spark, sf_dir).where("status = 'a'").groupBy(enrich.position("element_type").alias("pos")).agg(F.count("*").alias("n_available"))
+    return constants.formations_frame(spark).join(rows, "pos", "left").withColumn("n_available", F.coalesce("n_available", F.lit(0)))
 
 
 CUSTOM = dict(zip(scoring.METRICS, (0.6, 0.2, 0.2, 0.4, 0.1, 0.3, 0.1, 0.1), strict=True))
