@@ -36,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words whose ids a worker keeps; beyond, it begins anew.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 250_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
