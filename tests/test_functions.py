@@ -152,10 +152,10 @@ def test_requests_are_checked():
 
 
 @pytest.mark.parametrize("name", ["rf_predict", "rf_metrics", "rf_importance"])
-def test_registered_forests_have_the_full_size(spark, sf_dir, monkeypatch, name):
+def test_registered_forests_have_the_full_size(spark, sf_dir, monkeypatch, name, tmp_path):
     asked, own = [], model.pipeline
     monkeypatch.setattr(model, "pipeline", lambda columns, trees, depth: asked.append((trees, depth)) or own(columns, 2, 2))
-    monkeypatch.setattr(queries, "_FORESTS", {})
+    monkeypatch.setattr(queries, "_shared", lambda spark: str(tmp_path))  # a store of its own
     queries.QUERIES[name](spark, sf_dir)
     queries.QUERIES[name](spark, sf_dir)  # trained once
     assert asked == [(200, 10)]
