@@ -11,17 +11,18 @@ from ..functions import scoring
 from ..functions.rounding import half_up
 from .constants import DEFAULT_WEIGHTS
 
-#: Candidates up to which their table goes to all tasks; beyond, each position's requests are dealt out over SALTS parts.
-BROADCAST_ROWS, SALTS = 50_000, 64
+#: Parts that the requests or slots of one key are dealt over when they get its list.
+KEY_PARTS = 8
 REQUEST = "request_id long, player_id long, position string, max_price double, exclude_ids array<long>"
 
 
 def suggest(players: DataFrame, requests: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS, limit: int = 5) -> DataFrame:
     """For each request its best available candidates of the position within the price, and their gain in score.
 
-    Of the players of one position and price a request takes at most `limit`, and passes over at most its own and the
-    excluded ones. So only so many of each price meet the requests: a table bounded by prices, however many players
-    there are. It is counted, and broadcast while it is small. A request for an unknown player has no rows.
+    Requests of equal position and price have one list: the best candidates, so many more than `limit` as a request may have to
+    pass over (its own player and the excluded ones). So a list is made once for each position and price that is asked for, of
+    candidates of which no price has more than a list holds: tables bounded by prices, however many players or requests there
+    are. Requests then take from their list. A request for an unknown player has no rows.
     """
     if not 1 <= limit <= 10:
         raise ValueError("a limit is 1 to 10")
@@ -29,25 +30,23 @@ def suggest(players: DataFrame, requests: DataFrame, weights: Mapping[str, float
     current = scored.select(F.col("id").alias("player_id"), F.col("score").alias("current_score"))
     asked = requests.withColumn("exclude_ids", F.coalesce("exclude_ids", F.array().cast("array<long>"))).join(current, "player_id")
     excluded = requests.agg(F.max(F.size(F.coalesce("exclude_ids", F.array().cast("array<long>"))))).first()[0] or 0
-    in_price = F.row_number().over(Window.partitionBy("pos", "price").orderBy(F.desc("score"), "ord", "id"))
-    best = scored.where("status = 'a'").withColumn("in_price", in_price).where(F.col("in_price") <= limit + excluded + 1)
-    fits = (F.col("position") == F.col("pos")) & (F.col("price") <= F.col("max_price")) & (F.col("id") != F.col("player_id"))
-    if best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = asked.join(F.broadcast(best), fits)
-    else:  # a request meets its position's candidates in one of many parts, each of which has them all
-        dealt = asked.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(SALTS)))
-        parts = best.withColumn("position", F.col("pos")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = dealt.join(parts, ["position", "part"]).where(fits)
-    open_ = joined.where(~F.array_contains("exclude_ids", F.col("id")))
-    rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "ord", "id"))
-    top = open_.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return top.select("request_id", "player_id", "rank", "id", "name", "team_short", "price", "score", half_up(F.col("score") - F.col("current_score")).alias("delta"))
+    k = limit + excluded + 1
+    best_first = [F.desc("score"), F.col("ord"), F.col("id")]
+    in_price = F.row_number().over(Window.partitionBy("pos", "price").orderBy(*best_first))
+    best = scored.where("status = 'a'").withColumn("in_price", in_price).where(F.col("in_price") <= k).select("id", "ord", "name", "team_short", "pos", "price", "score")
+    keys = ["position", "max_price"]
+    met = requests.select(*keys).distinct().join(best, (F.col("position") == F.col("pos")) & (F.col("price") <= F.col("max_price")))
+    listed = met.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*best_first))).where(F.col("place") <= k)
+    lists = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "id", "name", "team_short", "price", "score"))).alias("found"))
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(KEY_PARTS)).cast("int"))
+    given = dealt.join(lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(KEY_PARTS - 1)))), [*keys, "part"])
+    open_ = F.filter("found", lambda c: (c["id"] != F.col("player_id")) & ~F.array_contains("exclude_ids", c["id"]))
+    top = given.select("request_id", "player_id", "current_score", F.posexplode(F.slice(open_, 1, limit)).alias("at", "c"))
+    return top.select("request_id", "player_id", (F.col("at") + 1).alias("rank"), "c.id", "c.name", "c.team_short", "c.price", "c.score", half_up(F.col("c.score") - F.col("current_score")).alias("delta"))
 
 
 #: Prices in tenths have so many bits (up to 6553.5).
 PRICE_BITS = 16
-#: Parts that the slots of one key are dealt over when they get its list.
-KEY_PARTS = 8
 
 
 def slot_suggestions(slots: DataFrame, players: DataFrame, weights: Mapping[str, float] = DEFAULT_WEIGHTS, band: float = 1.5, limit: int = 5) -> DataFrame:

@@ -207,14 +207,6 @@ def test_panels_are_saved_under_names_that_sort_by_time(spark, tmp_path):
     assert path.endswith("panel_20240131_120500.csv") and spark.read.option("header", True).csv(path).count() == 3
 
 
-def test_many_candidates_give_the_same_suggestions(spark, sf_dir, monkeypatch):
-    rows = domain.enriched(spark, sf_dir)
-    asked = rows.selectExpr("id AS request_id", "id AS player_id", "pos AS position", "price + 2 AS max_price", "array(id + 4) AS exclude_ids")
-    few = sorted(map(tuple, suggest.suggest(rows, asked).collect()))
-    monkeypatch.setattr(suggest, "BROADCAST_ROWS", 10)
-    assert sorted(map(tuple, suggest.suggest(rows, asked).collect())) == few
-
-
 def test_no_snapshot_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.latest_snapshot(spark, str(tmp_path), "teams_")

@@ -69,3 +69,27 @@ def test_edge_of_the_band_by_doubles(spark):
     for row in sorted(suggest.slot_suggestions(df, players, {"form": 1.0}).collect(), key=lambda x: x["rank"]):
         found.setdefault((row["squad_id"], 1), []).append(row["id"])
     assert found == every_pair(slots, scored, 1.5, 5)
+
+
+@pytest.mark.parametrize("limit", [1, 4, 10])
+def test_requests_equal_every_pair(spark, limit):
+    """Requests that share a list, with excluded players at its head, ties, unknown players and null lists."""
+    r = random.Random(limit)
+    weights = {"form": 1.0}
+    rows = [(i, r.randrange(20), f"p{i}", "T", r.choice(["GK", "DEF"]), r.choice([4.0, 4.5, 5.1, 9.9]), r.randrange(0, 9) / 2, r.choice("aaai")) for i in range(120)]
+    players = players_of(spark, rows)
+    scored = [p.asDict() for p in players.withColumn("score", scoring.score(weights)).collect()]
+    asked = [(q, r.randrange(125), r.choice(["GK", "DEF", "FWD"]), r.choice([3.9, 4.5, 5.0, 10.0]), r.choice([None, [], r.sample(range(120), 12)])) for q in range(80)]
+    found = {}
+    for x in sorted(suggest.suggest(players, spark.createDataFrame(asked, suggest.REQUEST), weights, limit).collect(), key=lambda x: x["rank"]):
+        found.setdefault(x["request_id"], []).append((x["rank"], x["id"], x["delta"]))
+    expected = {}
+    for q, player, pos, price, excluded in asked:
+        now = next((p for p in scored if p["id"] == player), None)
+        fits = [p for p in scored if now and p["pos"] == pos and p["price"] <= price and p["status"] == "a" and p["id"] != player and p["id"] not in (excluded or [])]
+        fits.sort(key=lambda p: (-p["score"], p["ord"], p["id"]))
+        if fits:
+            expected[q] = [(n, p["id"], pytest.approx(p["score"] - now["score"])) for n, p in enumerate(fits[:limit], 1)]
+    assert found == expected
+    with pytest.raises(ValueError):
+        suggest.suggest(players, spark.createDataFrame(asked, suggest.REQUEST), weights, 11)
