@@ -582,6 +582,14 @@ def prediction_report(spark, sf_dir):
     return select.report(domain.predictions(spark, sf_dir))
 
 
+@query("SELECT line, count(*) AS n FROM (" + SQL["prediction_report"] + ") GROUP BY line")
+def report_file(spark, sf_dir):
+    """The lines of the report as a text file has them."""
+    path = _temporary(spark, "report")
+    readers.save_report(select.report(domain.predictions(spark, sf_dir)), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 @query(with_(*PREDICTION_SQL) + "SELECT player_id + 1000000 * (player_id % 2) AS player_id, predicted_points, CASE WHEN player_id % 2 = 1 THEN 'Player ' || (player_id + 1000000) ELSE p.name END AS name, CASE WHEN player_id % 2 = 1 THEN 'Unknown' ELSE coalesce(n_name, 'Unknown') END AS team_name FROM predictions r JOIN players p ON p.id = player_id LEFT JOIN nation ON p.team = n_nationkey")
 def predictions_named(spark, sf_dir):
     rows = domain.predictions(spark, sf_dir).selectExpr("player_id + 1000000 * (player_id % 2) AS player_id", "predicted_points")

@@ -88,6 +88,11 @@ def latest_snapshot(spark: SparkSession, folder: str, prefix: str) -> str:
     return f"{folder}/{found[-1]}"
 
 
+def save_report(report: DataFrame, path: str) -> None:
+    """Writes a report's lines as one text file, sections after each other by name; a report has some 30 lines."""
+    report.orderBy("section", "rank").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
 def refresh(*frames: DataFrame) -> None:
     """Drops what is kept of the frames, so that the next action reads anew."""
     for df in frames:

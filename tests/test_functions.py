@@ -207,6 +207,13 @@ def test_panels_are_saved_under_names_that_sort_by_time(spark, tmp_path):
     assert path.endswith("panel_20240131_120500.csv") and spark.read.option("header", True).csv(path).count() == 3
 
 
+def test_report_files_keep_the_order(spark, tmp_path):
+    rows = [("position 2", 1, "c"), ("all", 2, "b"), ("all", 1, "a"), ("position 2", 2, "d")]
+    readers.save_report(spark.createDataFrame(rows, "section string, rank int, line string").repartition(4), f"{tmp_path}/r")
+    (file,) = [f for f in (tmp_path / "r").iterdir() if f.name.startswith("part-")]
+    assert file.read_text() == "a\nb\nc\nd\n"
+
+
 def test_no_snapshot_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.latest_snapshot(spark, str(tmp_path), "teams_")
