@@ -773,12 +773,13 @@ def _shared(spark: SparkSession) -> str:
 
 
 def _temporary(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, which goes when the application ends."""
-    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there goes when the application's process ends."""
     context = spark.sparkContext
-    at = context._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    at = context._jvm.org.apache.hadoop.fs.Path(f"{_shared(spark)}/{name}-{uuid.uuid4().hex}")
+    store = at.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(at)  # only what exists can be marked
+    store.deleteOnExit(at)
+    return f"{at.toString()}/data"
 
 
 @query(with_(*PANEL_SQL) + "SELECT player_id, gameweek, points, minutes, name, price, is_home FROM panel")

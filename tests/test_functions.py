@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkrank.functions import formatting, rounding, scoring, text
-from sparkrank.operators import features, filters, model, search, squad, suggest
+from sparkrank.operators import features, filters, model, search, squad
 from sparkrank.operators.constants import DEFAULT_WEIGHTS, PRESETS, STRATEGIES
 from sparkrank.plans import domain, queries
 from sparkrank.sources import readers
