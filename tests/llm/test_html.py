@@ -112,13 +112,52 @@ def test_head_and_body_may_be_left_out_or_end_early(text, expected):
     assert main_text(text) == expected
 
 
-@pytest.mark.parametrize("text", ["<div>" * 20000 + "x", "<p><b>x" * 20000, '<a "' * 20000, "<" * 100000, "<!--" * 20000, "</div>" * 20000, "<li>" * 20000, "<p><button>" + "<div>" * 200_000, "<div>" * 200_000, "<table><tr><td>" + "<div><tr>" * 60_000, "<p class=sidebar>" * 60_000, "<div class=sidebar>" * 60_000 + "x"])
+@pytest.mark.parametrize("text", ["<div>" * 20000 + "x", "<p><b>x" * 20000, '<a "' * 20000, "<" * 100000, "<!--" * 20000, "</div>" * 20000, "<li>" * 20000, "<p><button>" + "<div>" * 200_000, "<div>" * 200_000, "<table><tr><td>" + "<div><tr>" * 60_000, "<p class=sidebar>" * 60_000, "<div class=sidebar>" * 60_000 + "x", "<form>" * 60_000 + "x", "<li class=author><time>" * 60_000, "<article>" + "<h2>replies</h2><ol><li class=author><time>x<li class=author><time>x</ol>" * 20_000, "<blockquote><footer>" * 60_000])
 def test_hostile_pages_end(text):
     began = time.perf_counter()
     main_text(text)
     assert time.perf_counter() - began < 10
 
 
+LONG = "".join(f"<p>{P}</p>" for _ in range(4))
+LONG_TEXT = " ".join([P] * 4)
+SAID = "".join(f"<li><span class=author>Reader {i}</span> <time>May {i}</time><p>{P}</p></li>" for i in range(1, 9))
+
+
+@pytest.mark.parametrize(
+    "body,expected",
+    [
+        (f"<form action=/page><input type=hidden name=state><nav>menu</nav><article><h1>Head</h1>{LONG}</article><footer>foot</footer></form>", f"Head {LONG_TEXT}"),
+        (f"<form id=aspnetForm><main><h1>Head</h1>{LONG}</main></form>", f"Head {LONG_TEXT}"),
+        (f"<form><div class=content><h1>Head</h1>{LONG}</div></form>", f"Head {LONG_TEXT}"),
+        (f"<article>{LONG}<form><p>Write to us</p><input name=x></form></article>", LONG_TEXT),
+        (f"<article><div class='article-header'><h1>Head</h1><p>lead</p></div>{LONG}<div class='section-header'><h2>Part</h2></div><p>x</p></article>", f"Head lead {LONG_TEXT} Part x"),
+        (f"<div class=page><div class='post-header'><h1>Head</h1></div>{LONG}</div>", f"Head {LONG_TEXT}"),
+        (f"<div class=site-header><h2>Site</h2></div><div class=page><h1>Head</h1>{LONG}</div>", f"Head {LONG_TEXT}"),
+        (f"<article><div class=hero-banner><h1>Head</h1></div>{LONG}<div class=ad-banner><h3>Buy</h3></div></article>", f"Head {LONG_TEXT}"),
+        (f"<article>{LONG}<section class=discussion><h2>Discussion</h2><p>{P}</p></section></article>", f"{LONG_TEXT} Discussion {P}"),
+        (f"<article>{LONG}<section class=discussion><h2>3 comments</h2><p>{P}</p></section></article>", LONG_TEXT),
+        (f"<article>{LONG}<section class=discussion><h2>Discussion</h2><div class=comment><p>{P}</p></div></section></article>", LONG_TEXT),
+        (f"<article>{LONG}<p>Press <label>Start</label> now.</p></article>", f"{LONG_TEXT} Press Start now."),
+        (f"<article>{LONG}<p><label>Name <input></label></p><div><label for=q>Find</label></div></article>", LONG_TEXT),
+        (f"<article>{LONG}<blockquote><p>Words.</p><footer>Someone</footer></blockquote><footer>foot</footer></article>", f"{LONG_TEXT} Words. Someone"),
+        (f"<div class=post><div class=a><div>{LONG}</div></div><div>closing words</div></div><div class=x>else</div>", f"{LONG_TEXT} closing words"),
+        (f"<div class=wrap><nav>menu</nav><div class=a><div>{LONG}</div></div><div>We use small files.</div></div>", LONG_TEXT),
+        (f"<article>{LONG}<ol class=thread><li><p>{P}</p></li></ol></article>", LONG_TEXT),
+        (f"<article>{LONG}<h3>8 replies</h3><ol class=x>{SAID}</ol></article>", LONG_TEXT),
+        (f"<div class=post>{LONG}<ul>{SAID}</ul></div>", LONG_TEXT),
+        (f"<article>{LONG}<ol class=references><li><span class=author>A</span> 1999</li><li><span class=author>B</span> 2001</li></ol></article>", f"{LONG_TEXT} A 1999 B 2001"),
+    ],
+)
+def test_wrapped_articles_stay_whole(body, expected):
+    assert main_text(page(body)) == expected
+
+
+def test_lists_of_signed_articles_are_no_thread():
+    posts = "".join(f"<article><h2>Post {i}</h2><span class=author>A</span> <time>May</time><p>{P}</p></article>" for i in range(3))
+    assert main_text(page(f"<main><h1>All</h1><div>{posts}</div></main>")) == " ".join(["All"] + [f"Post {i} A May {P}" for i in range(3)])
+
+
 def well_formed(seed):
     """A random page without anything that is dropped."""
     r = random.Random(seed)
