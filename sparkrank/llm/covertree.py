@@ -12,7 +12,8 @@ own, keyed by cell and block. Within such a pair the same bounds prune pairs of
 score, best bound first, and pairs of leaves are scored by one matrix product. Scores are integers below 2**53 and exact in
 doubles. Vectors without any structure can't be pruned: then every pair is scored, in blocks.
 
-Equal vectors are searched once, with their k + 1 least ids: more can't be in any result. Ties go to the smaller id,
+Equal vectors are searched once, with their k + 1 least ids: more can't be in any result. Queries of a vector that many
+share meet its results in parts. Ties go to the smaller id,
 a query never finds its own row, and with fewer candidates all are returned. Vectors that are null or hold null or
 non-finite components take no part; shorter vectors end in zeros. Rows repeated with the same vec_id are one
 row if their vectors are equal, else each takes part. Only pivots and a few figures for each are collected.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, dealt
 
 PIVOTS, BLOCK, GROUP, LEAF, QUERY_LEAF = 1024, 2048, 1024, 96, 16
 #: Centres that gather hardly a row after which a node's other rows count as loose, if they outnumber those that do.
@@ -289,7 +290,9 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, column: str = "em
     sample = data.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(pivots).collect()  # bounded
     centres = np.array([r[0] for r in sample], float).reshape(len(sample), width)
     data = checkpoint(_cells(data, centres, ["rep", "vec", "ids"]))
-    owners = checkpoint(asked.join(data.select("rep", "vec", "cell"), "vec"))  # a row for each query
+    n_asked = asked.count()
+    held = data.select("rep", "vec", "cell").join(asked.groupBy("vec").agg(F.count("*").alias("n")), "vec")
+    owners = checkpoint(dealt(asked, held, ["vec"], n_asked, "vec_id"))  # a row for each query
     queries = checkpoint(owners.groupBy("rep").agg(F.first("vec").alias("vec"), F.first("cell").alias("cell")))
     n = len(centres)
     figures = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("reach"), F.max("angle").alias("angle"), F.max("norm").alias("largest")).collect()  # a row for each pivot
@@ -315,6 +318,9 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, column: str = "em
     more = searched(checkpoint(_reaching(known, centres, cells)))
 
     hits = seeds.unionAll(more).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n")
-    pairs = owners.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).join(hits, "query").where("query_id <> vec_id")
+    lists = hits.groupBy("query").agg(F.collect_list(F.struct("vec_id", "score")).alias("best"))  # k + 1 at most
+    lists = lists.join(owners.groupBy(F.col("rep").alias("query")).agg(F.count("*").alias("n")), "query")
+    each = dealt(owners.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")), lists, ["query"], n_asked, "query_id")
+    pairs = each.select("query_id", F.inline("best")).where("query_id <> vec_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
