@@ -12,9 +12,13 @@ shingles end after one. Equal registers estimate the probability Jaccard.
    largest id), so a group of n texts gives 2n pairs. Exact figures decide each pair: it links at a probability or
    plain Jaccard of `least` or more. A representative's text is dealt out where many pairs need it.
 3. Links are merged to components. In a bucket that still holds several components, the texts outside its largest
-   one are held against all others, so no link between different texts is lost to the representatives. Buckets with
-   the same largest component are compared together, so bands that hold the same texts cost no more than one: blocks
-   of texts meet blocks of texts, and a task compares two blocks as a whole and returns links only.
+   one are held against all others, so no link between different texts is lost to the representatives. Two texts that
+   link have at least the share `least` of either's shingles, or of their weight, in common, so under any one order of all shingles
+   both hold the first common one before what is left falls below that share. With rare shingles first these prefixes
+   leave out what a bucket's texts share anyhow, like a site's boilerplate: only texts of a bucket whose prefixes share
+   a shingle across components are compared. Groups with the same largest component are compared together: blocks
+   of texts meet blocks of texts, and a task compares two blocks as a whole and returns links only. The order comes
+   from `SLOTS` counters; it decides about speed, never about results.
 
 Each document's class_id is the least doc_id of its component. Null, empty and blank texts link to nothing. A text of
 fewer than five words is one shingle. Rows repeated with the same doc_id count once; rows of a null doc_id take
@@ -29,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, dealt, map_texts
+from .common import Scratch, dealt, map_texts, passes
 from .textscan import content, mix, scan, shingles
 
 WORDS, LEAST = 5, 0.8
@@ -40,6 +45,8 @@ REGISTERS = BANDS * ROWS
 BLOCK, MEETS = 256, 500_000
 #: Pairs of two blocks that share a shingle from which on it is a column of a matrix, and columns of a matrix.
 OFTEN, COLUMNS = 128, 1024
+#: Counters of how many texts hold a shingle; their sums are all that the driver sees of them.
+SLOTS = 1 << 20
 _U = np.uint64
 
 
@@ -211,7 +218,43 @@ def _filled(shape: tuple[int, int], rows: np.ndarray, columns: np.ndarray, value
     return out
 
 
-def _block_pairs(least: float):
+def _slot(value: np.ndarray) -> np.ndarray:
+    return (mix(value) % _U(SLOTS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for part in passes(batches, "text"):
+        total += np.bincount(_slot(shingles(scan(part.column("text")), WORDS)[1]), minlength=SLOTS)
+    held = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(held), pa.array(total[held])], names=["slot", "n"])
+
+
+def prefixes(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, often: np.ndarray, n: int, least: float) -> np.ndarray:
+    """Places of the shingles that n texts' prefixes hold, rare ones first: those from which on the share `least` of the text is left."""
+    order = np.lexsort((value, often, owner))
+    own, w = owner[order], weight[order]
+    size, total = np.bincount(own, minlength=n), np.bincount(own, w, n)
+    first = np.cumsum(size) - size
+    sums = np.concatenate([[0.0], np.cumsum(w)])
+    left, left_weight = size[own] - (np.arange(len(own)) - first[own]), total[own] - (sums[:-1] - sums[first[own]])
+    return order[(left >= (least - 1e-9) * size[own]) | (left_weight >= (least - 1e-9) * total[own])]
+
+
+def _prefix_rows(counts: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in passes(batches, "text"):
+            owner, value, count = shingles(scan(part.column("text")), WORDS)
+            often = counts[_slot(value)]
+            held = prefixes(owner, value, weighed(count), often, part.num_rows, least)
+            held = held[often[held] > 1]  # others are no other text's
+            at = pa.array(owner[held])
+            yield pa.record_batch([*[part.column(c).take(at) for c in ("doc_id", "root", "mains")], pa.array(value[held].view(np.int64))], names=["doc_id", "root", "mains", "shingle"])
+
+    return run
+
+
+def _block_pairs(least: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple] = set()
@@ -225,7 +268,7 @@ def _block_pairs(least: float):
                             seen.add(many[j]["root"])
                             found.add(tuple(sorted((x["doc_id"], many[j]["doc_id"]))))
             a, b = zip(*sorted(found), strict=True) if found else ((), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.record_batch([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
     return run
 
@@ -280,13 +323,36 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     return edges.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node").unionAll(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
+def _meeting(mixed: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """main, doc_id and root of the texts whose prefixes share a shingle across components, in a bucket of the same largest one.
+
+    mixed: main, doc_id and root of the texts of buckets of several components. main is here the largest component that
+    holds the shingle.
+    """
+    own = mixed.groupBy("doc_id").agg(F.min("root").alias("root"), F.collect_set("main").alias("mains"))  # a few of its buckets'
+    rows = own.join(texts, "doc_id")
+    found = rows.select("text").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    kinds = dict(own.dtypes)
+    each = rows.mapInArrow(_prefix_rows(counts, least), f"doc_id {kinds['doc_id']}, root {kinds['root']}, mains {kinds['mains']}, shingle long")
+    each = scratch.save(each.select("doc_id", "root", F.explode("mains").alias("main"), "shingle").select("doc_id", "root", F.xxhash64("main", "shingle").alias("key")))
+    several = scratch.save(each.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n"))
+    total = several.agg(F.sum("n")).first()[0] or 0
+    held = scratch.save(dealt(each, several, ["key"], total, "doc_id"))
+    sizes = held.groupBy("key", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("n")).select("key", F.col("top.root").alias("main"), "n")
+    return dealt(held, largest, ["key"], total, "doc_id").groupBy("main", "doc_id").agg(F.min("root").alias("root"))
+
+
 def _across(mixed: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """Links across components: of every largest component the texts outside it, in blocks, against blocks of all."""
-    every = scratch.save(mixed.groupBy("main", "doc_id").agg(F.min("root").alias("root")))
+    every = scratch.save(_meeting(mixed, texts, least, scratch))
     blocks_of = lambda condition: F.ceil(F.count_if(condition) / BLOCK).cast("int")
     outside = F.col("root") != F.col("main")
     sizes = scratch.save(every.groupBy("main").agg(blocks_of(outside).alias("rows"), blocks_of(F.lit(True)).alias("columns"), F.count("*").alias("n")))
     held = dealt(every, sizes, ["main"], every.count(), "doc_id").join(texts, "doc_id")
+    kind = dict(every.dtypes)["doc_id"]
 
     def blocks(rows: DataFrame, own: str, other: str, name: str) -> DataFrame:
         """Each block once for every block that it meets, so that hot components spread over the tasks."""
@@ -295,7 +361,7 @@ def _across(mixed: DataFrame, texts: DataFrame, least: float, scratch: Scratch)
         return made.select("main", f"at_{own}", name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"at_{other}"))
 
     both = blocks(held.where(outside), "rows", "columns", "few").join(blocks(held, "columns", "rows", "many"), ["main", "at_rows", "at_columns"]).select("few", "many")
-    return both.mapInArrow(_block_pairs(least), "a long, b long").distinct()
+    return both.mapInArrow(_block_pairs(least, to_arrow_type(every.schema["doc_id"].dataType)), f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:

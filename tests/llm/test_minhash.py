@@ -104,6 +104,55 @@ def test_blocks_of_repeating_texts_find_what_pairs_find(monkeypatch):
     assert np.array_equal(links, expected)
 
 
+def test_texts_that_link_share_a_shingle_of_their_prefixes():
+    r = random.Random(4)
+    hot = story(9, 60)
+    texts = [" ".join([changed(hot, k % 9, k)] + [" ".join(hot.split(" ")[3:12])] * r.randrange(6)) for k in range(60)] + ["one", "two words", ""]
+    owner, value, count = textscan.shingles(textscan.scan(pa.array(texts)), minhash.WORDS)
+    sets = minhash._sets(pa.array(texts))
+    for kinds in (1, 2, 7, 1 << 16):  # whatever the counters say
+        often = value % np.uint64(kinds)
+        held = minhash.prefixes(owner, value, minhash.weighed(count), often, len(texts), 0.8)
+        heads = [set(value[held[owner[held] == i]].tolist()) for i in range(len(texts))]
+        assert sum(map(len, heads)) < 0.7 * len(value)
+        for i in range(len(texts)):
+            for j in range(i):
+                if max(minhash.similarities(sets[i], sets[j])) >= 0.8:
+                    assert heads[i] & heads[j]
+
+
+def test_shared_boilerplate_costs_no_comparisons(spark):
+    shared = story(77, 300)
+    texts = {k: f"{story(5000 + k, 120)} {shared}" for k in range(600)}
+    texts |= {10_000 + k: changed(texts[k], 3, k) for k in range(0, 600, 20)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(rows).collect()}
+    assert found == {k: k - 10_000 if k >= 10_000 else k for k in texts}
+    # all of one bucket, of as many components: none meets another that shares the boilerplate only
+    scratch = Scratch(spark, "test")
+    mixed = spark.createDataFrame([(0, k, k) for k in texts], "main long, doc_id long, root long")
+    meeting = minhash._meeting(mixed, rows, 0.8, scratch).collect()
+    assert {r["doc_id"] for r in meeting} == {k for k in texts if k >= 10_000 or k % 20 == 0}
+    links = {tuple(r) for r in minhash._across(mixed, rows, 0.8, scratch).collect()}
+    assert links == {(k - 10_000, k) for k in texts if k >= 10_000}
+    scratch.close()
+
+
+def test_ids_of_any_kind_in_blocks(spark):
+    hot = story(500, 150)
+    texts = {f"d{k:03}": changed(hot, k % 9, 7000 + k) for k in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    mixed = spark.createDataFrame([("d000", k, k) for k in texts], "main string, doc_id string, root string")
+    scratch = Scratch(spark, "test")
+    links = {tuple(r) for r in minhash._across(mixed, rows, 0.8, scratch).collect()}
+    names, sets = list(texts), minhash._sets(pa.array(list(texts.values())))
+    near = {(a, b) for i, a in enumerate(names) for j, b in enumerate(names) if a < b and max(minhash.similarities(sets[i], sets[j])) >= 0.8}
+    assert links and links <= near
+    joined = lambda pairs: {r["node"]: r["root"] for r in minhash.components(spark.createDataFrame(sorted(pairs), "a string, b string"), scratch).collect()}
+    assert joined(links) == joined(near)
+    scratch.close()
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     found = {r["node"]: r["root"] for r in minhash.components(edges, Scratch(spark, "test")).collect()}
