@@ -6,12 +6,10 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkrank.llm import bradley_terry, minhash, mixing, secrets, sp_tokens
-from sparkrank.llm.common import remove, shared_folder, table
+from sparkrank.llm.common import remove, table, temporary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. Each stage's table goes when the next one is written; the last stage reads the one that is left."""
-    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    folder, before = temporary(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

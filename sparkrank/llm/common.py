@@ -39,11 +39,21 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; what a query leaves there goes when the application's process ends."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    store = at.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(at)  # only what exists can be marked
+    store.deleteOnExit(at)
+    return at.toString()
+
+
 class Scratch:
     """Tables written to a folder of their own under the shared one; they cut lineage and go one by one, or at the end all."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, temporary(spark, name)
         self.saved: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bradley_terry, chat, covertree, filter_audit, html_extract, minhash, mixing, quality_rules, repair, secrets, sp_tokens, toxicity, warc
-from .common import shared_folder, table
+from .common import table, temporary
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{temporary(spark, 'warc')}/archives"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(warc.archive_lines(spark, path))
 
