@@ -82,17 +82,23 @@ def remove(spark: SparkSession, path: str) -> None:
 PARTS = 1024
 
 
-def dealt(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, by: str | Column, how: str = "inner") -> DataFrame:
+def dealt(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, by: str | Column, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """rows joined to the one group of their keys, hot groups in parts, so that no task gets most of one.
 
     groups: a row for each key, with `n`, how many rows have it; total: the sum of n. Groups of over a 1024th of all
-    rows are hot: there are fewer than 1024, which bounds what is broadcast, and each is repeated once for
-    each of its parts. A row's part follows from its column or hash `by`.
+    rows are hot: there are fewer than 1024, whose hashed keys the expression of a row's parts names, so rows of other keys
+    pass through no further join; each is repeated once for each of its parts. A row's part follows from its column or hash `by`.
+    sizes: the keys and `n` alone, where groups cost more; they are read at once.
     """
     parts = F.ceil(F.col("n") * PARTS / F.lit(max(total, 1))).cast("int")
-    hot = groups.where(F.col("n") * PARTS > total).select(*keys, parts.alias("_parts"))
-    dealt_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
-    number = F.when(F.col("n") * PARTS > total, parts).otherwise(1)
+    hot = (groups if sizes is None else sizes).where(F.col("n") * PARTS > total).select(F.xxhash64(*keys).alias("key"), parts.alias("parts")).collect()
+    levels: dict[int, list[int]] = {}  # parts are rounded up to powers of two
+    for row in hot:
+        levels.setdefault(1 << (row["parts"] - 1).bit_length(), []).append(row["key"])
+    number = F.lit(1)
+    for level, found in sorted(levels.items()):  # of equal hashes the larger group decides, on both sides alike
+        number = F.when(F.xxhash64(*keys).isin(found), level).otherwise(number)
+    dealt_rows = rows.withColumn("_part", F.pmod(F.xxhash64(by), number))
     dealt_groups = groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), number.cast("long") - 1))).drop("n")
     return dealt_rows.join(dealt_groups, [*keys, "_part"], how).drop("_part")
 

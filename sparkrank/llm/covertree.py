@@ -291,8 +291,9 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, column: str = "em
     centres = np.array([r[0] for r in sample], float).reshape(len(sample), width)
     data = checkpoint(_cells(data, centres, ["rep", "vec", "ids"]))
     n_asked = asked.count()
-    held = data.select("rep", "vec", "cell").join(asked.groupBy("vec").agg(F.count("*").alias("n")), "vec")
-    owners = checkpoint(dealt(asked, held, ["vec"], n_asked, "vec_id"))  # a row for each query
+    sizes = asked.groupBy("vec").agg(F.count("*").alias("n"))
+    held = data.select("rep", "vec", "cell").join(sizes, "vec")
+    owners = checkpoint(dealt(asked, held, ["vec"], n_asked, "vec_id", sizes=sizes))  # a row for each query
     queries = checkpoint(owners.groupBy("rep").agg(F.first("vec").alias("vec"), F.first("cell").alias("cell")))
     n = len(centres)
     figures = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("reach"), F.max("angle").alias("angle"), F.max("norm").alias("largest")).collect()  # a row for each pivot
@@ -319,8 +320,9 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, column: str = "em
 
     hits = seeds.unionAll(more).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1).drop("n")
     lists = hits.groupBy("query").agg(F.collect_list(F.struct("vec_id", "score")).alias("best"))  # k + 1 at most
-    lists = lists.join(owners.groupBy(F.col("rep").alias("query")).agg(F.count("*").alias("n")), "query")
-    each = dealt(owners.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")), lists, ["query"], n_asked, "query_id")
+    sizes = owners.groupBy(F.col("rep").alias("query")).agg(F.count("*").alias("n"))
+    lists = lists.join(sizes, "query")
+    each = dealt(owners.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")), lists, ["query"], n_asked, "query_id", sizes=sizes)
     pairs = each.select("query_id", F.inline("best")).where("query_id <> vec_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -289,7 +289,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     of = lambda id_: texts.select(F.col("doc_id").alias(id_), F.col("text").alias(f"text_{id_}"))
     many = pairs.groupBy("rep").agg(F.count("*").alias("n"))
     total = pairs.count()
-    both = dealt(pairs.join(of("member"), "member"), many.join(of("rep"), "rep"), ["rep"], total, "member")
+    both = dealt(pairs.join(of("member"), "member"), many.join(of("rep"), "rep"), ["rep"], total, "member", sizes=many)
     both = both.select(F.col("member").alias("a"), F.col("rep").alias("b"), F.col("text_member").alias("text_a"), F.col("text_rep").alias("text_b"))
     kind = dict(pairs.dtypes)["member"]
     found = both.mapInArrow(_pair_similarity, f"a {kind}, b {kind}, probability_jaccard double, jaccard double")
@@ -310,14 +310,14 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     while now[0]:
         # large star: all larger neighbours point to the least neighbour
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = scratch.save(dealt(both, least, ["u"], 2 * now[0], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        nearest = scratch.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+        large = scratch.save(dealt(both, nearest, ["u"], 2 * now[0], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: a node and its smaller neighbours point to the least of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = dealt(large, least, ["u"], large.count(), "v").where("v <> m").select(F.col("v"), F.col("m").alias("u")).unionAll(least.select(F.col("u").alias("v"), F.col("m").alias("u")))
         edges, old = scratch.save(small.where("u <> v").distinct()), edges
         now, before = state(edges), now
-        scratch.drop(old, large)
+        scratch.drop(old, nearest, large, least)
         if now == before:
             break
     return edges.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node").unionAll(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
@@ -341,7 +341,7 @@ def _meeting(mixed: DataFrame, texts: DataFrame, least: float, scratch: Scratch)
     total = several.agg(F.sum("n")).first()[0] or 0
     held = scratch.save(dealt(each, several, ["key"], total, "doc_id"))
     sizes = held.groupBy("key", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("n")).select("key", F.col("top.root").alias("main"), "n")
+    largest = scratch.save(sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("n")).select("key", F.col("top.root").alias("main"), "n"))
     return dealt(held, largest, ["key"], total, "doc_id").groupBy("main", "doc_id").agg(F.min("root").alias("root"))
 
 
@@ -401,8 +401,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         if more.take(1):
             roots = scratch.save(components(links.select("a", "b").unionAll(more), scratch))
 
-    firsts = copied.groupBy(F.col("first").alias("node")).agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class_id"), "n")
-    joined = dealt(copied.select("doc_id", F.col("first").alias("node")), firsts, ["node"], total, "doc_id").select("doc_id", "class_id")
+    copies_of = copied.groupBy(F.col("first").alias("node")).agg(F.count("*").alias("n"))
+    firsts = copies_of.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("class_id"), "n")
+    joined = dealt(copied.select("doc_id", F.col("first").alias("node")), firsts, ["node"], total, "doc_id", sizes=copies_of).select("doc_id", "class_id")
     own = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
     alone = base.select("doc_id", F.col("doc_id").alias("class_id"))
     found = kept.save(alone.unionAll(joined).unionAll(own).groupBy("doc_id").agg(F.min("class_id").alias("class_id")))  # a class's id is its least

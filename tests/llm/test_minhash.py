@@ -198,3 +198,18 @@ def test_hot_groups_are_dealt_out(spark):
     assert "_part" in plan
     largest = dealt(rows.limit(30_000), groups.where("k = 0"), ["k"], 30_000, "doc_id").groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).count().agg(F.max("count")).first()[0]
     assert largest < 100
+
+
+def test_dealing_out_joins_once(spark):
+    """Rows of keys that have no group pass through no join beside the one with the groups, which drops them."""
+    from pyspark.sql import functions as F
+
+    from sparkrank.llm.common import dealt
+
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "if(id < 30000, 0, id) AS k")
+    groups = spark.createDataFrame([(0, 30_000, 5), (40_000, 1, 6)], "k long, n long, low long")
+    found = dealt(rows, groups, ["k"], 30_001, "doc_id")
+    assert found.count() == 30_001 and found.groupBy("low").count().orderBy("low").collect() == [(5, 30_000), (6, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    kept = dealt(rows, groups.drop("low").withColumn("low", F.lit(1)), ["k"], 30_001, "doc_id", "left")
+    assert kept.count() == 60_000 and kept.where("low = 1").count() == 30_001
