@@ -25,7 +25,7 @@ def write_pages(rows: DataFrame, path: str, array: str, page: Column, folders: l
     names = [c for c in rows.columns if c not in (folders or [])]
     pages = rows.groupBy(page.alias("_page"), *(folders or [])).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_rows"), *[c.alias(k) for k, c in more.items()])
     document = F.to_json(F.struct(F.col("_page").alias("page"), F.col("_rows").alias(array), *more))
-    writer = pages.select(*(folders or []), document.alias("value")).write
+    writer = pages.select(*(folders or []), document.alias("value")).write.option("compression", "gzip")  # names repeat in every row
     (writer.partitionBy(*folders) if folders else writer).text(path)
 
 

@@ -101,3 +101,11 @@ def test_a_failed_try_is_repeated(weeks, monkeypatch):
     calls.clear()
     reader.skip = True
     assert list(reader.read(part)) == []
+
+
+def test_pages_are_compressed(spark, tmp_path):
+    rows = spark.range(3_000).selectExpr("id", "named_struct('goals_scored', id % 3, 'expected_goals', id / 7.0D) AS stats")
+    landed.write_pages(rows, str(tmp_path / "pages"), "elements", F.expr("id div 500"))
+    files = [f for f in (tmp_path / "pages").iterdir() if f.name.startswith("part-")]
+    raw = landed.documents(spark, str(tmp_path / "pages")).selectExpr("sum(length(to_json(doc))) AS n").first()["n"]
+    assert files and sum(f.stat().st_size for f in files) < raw / 3
