@@ -8,7 +8,7 @@ n_distinct_words.
 
 A text fails the base rules when it has under 10 words, or when over a fifth of its words lie in repeated
 windows. The forest judges the rest. It grows on rows labelled good, its random splits range over all labelled rows, so
-rows that few splits isolate are anomalous; labelled rows of both kinds set the cut, and at least `least_kept`
+rows that few splits isolate are anomalous; all labelled rows of both kinds set the cut, and at least `least_kept`
 of the good ones stay. Without
 labelled rows of both kinds there is no cut, and only the base rules hold. Rates don't depend on length,
 so long or short texts are no anomalies as such. Repeated rows are judged one by one, alike. Of contradicting labels of a document
@@ -17,6 +17,7 @@ the better one counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Scratch, map_texts
 from .textscan import statistics
 
 STATISTICS = ["n_words", "word_chars", "n_chars", "n_symbols", "n_upper", "n_lower", "n_digits", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words"]
-#: Labelled rows that fit the forest and its cut at most.
+#: Labelled rows that fit the classifier of `bradley_terry` at most.
 SAMPLE_ROWS = 20_000
+#: Steps that anomalies are rounded up to where the cut is looked for: what the driver gets of all labelled rows.
+STEPS = 1 << 16
 
 
 def rule_statistics(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -45,19 +48,26 @@ def rule_statistics(docs: DataFrame, columns: list[str] | None = None) -> DataFr
     return map_texts(docs, [*columns, "text"], "text", run, schema)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, quality and text of at most `most` labelled documents, those of least hash.
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, quality and text of all labelled documents, or of at most `most`, those of least hash.
 
     One row for each, however often labels or documents repeat it: the better label and the least text.
     """
-    picked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most `most` narrow rows
+    picked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    if most is not None:
+        picked = F.broadcast(picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # at most `most` narrow rows
+    rows = docs.select("doc_id", "text").join(picked, "doc_id")
     return rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
-def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS):
-    """Statistics and `quality` of at most `most` labelled documents, in pandas."""
-    return rule_statistics(labelled_texts(docs, labels, most), ["doc_id", "quality"]).toPandas().sort_values("doc_id", ignore_index=True)
+def labelled_statistics(docs: DataFrame, labels: DataFrame):
+    """Statistics and `quality` of all labelled documents, in pandas: for tables whose labelled rows a driver holds."""
+    return labelled_rules(docs, labels).toPandas().sort_values("doc_id", ignore_index=True)
+
+
+def labelled_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, quality and the rule statistics of all labelled documents."""
+    return rule_statistics(labelled_texts(docs, labels), ["doc_id", "quality"])
 
 
 def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
@@ -143,26 +153,58 @@ class Forest:
         return 2.0 ** (-total / len(self.column) / max(float(usual_path(self.sample)), 1e-9))
 
     def calibrate(self, x: np.ndarray, good: np.ndarray, least_kept: float) -> None:
-        """The cut with most good rows kept plus bad rows dropped, raised until `least_kept` of the good ones stay."""
-        score = self.anomaly(x)
-        if good.all() or not good.any():
+        """The cut from rows at hand."""
+        at, index = np.unique(self.anomaly(x), return_inverse=True)
+        self.cut_between(at, np.bincount(index[good], minlength=len(at)), np.bincount(index[~good], minlength=len(at)), least_kept)
+
+    def cut_between(self, at: np.ndarray, good: np.ndarray, bad: np.ndarray, least_kept: float) -> None:
+        """The cut with most good rows kept plus bad rows dropped, raised until `least_kept` of the good ones stay.
+
+        good, bad: how many rows have each anomaly of `at`, which ascends.
+        """
+        if not good.sum() or not bad.sum():
             return
-        at, kept, bad = np.unique(score), np.sort(score[good]), np.sort(score[~good])
-        gain = np.searchsorted(kept, at, "right") / len(kept) - np.searchsorted(bad, at, "right") / len(bad)
-        self.cut = float(max(at[len(at) - 1 - gain[::-1].argmax()], np.quantile(kept, least_kept)))
-
-
-def fit_forest(docs: DataFrame, labels: DataFrame, least_kept: float = 0.995, most: int = SAMPLE_ROWS, trees: int = 200, sample: int = 256) -> Forest | None:
-    """A forest over rows labelled good, with split ranges and cut from all labelled rows, at most `most` of them."""
-    rows = labelled_statistics(docs, labels, most)
-    rows = rows[~base_failed(rows["n_words"].to_numpy(), rows["n_repeat_words"].to_numpy())]
-    good = rows["quality"].to_numpy() == 1
-    if not good.any():
-        return None
-    x = forest_columns({k: rows[k].to_numpy() for k in STATISTICS})
-    forest = Forest.fit(x[good], (x.min(0), x.max(0)), trees, sample)
-    forest.calibrate(x, good, least_kept)
-    return forest
+        kept = np.cumsum(good) / good.sum()
+        gain = kept - np.cumsum(bad) / bad.sum()
+        self.cut = float(max(at[len(at) - 1 - gain[::-1].argmax()], at[np.searchsorted(kept, least_kept)]))
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, least_kept: float = 0.995, trees: int = 200, sample: int = 256) -> Forest | None:
+    """A forest over rows labelled good, with split ranges and cut from all labelled rows.
+
+    A tree is grown on `sample` rows, as isolation forests are, drawn from as many good rows of least hash as all trees take; the
+    ranges and the counts behind the cut are aggregates over every labelled row.
+    """
+    scratch = Scratch(docs.sparkSession, "rules")
+    try:
+        rows = scratch.save(labelled_rules(docs, labels).where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words"))  # as base_failed
+        columns = [f"x{k}" for k in range(5)]
+        kind = dict(rows.dtypes)["doc_id"]
+
+        def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = forest_columns({k: batch.column(k).to_numpy() for k in STATISTICS})
+                yield pa.record_batch([batch.column("doc_id"), batch.column("quality"), *[pa.array(c) for c in x.T]], names=["doc_id", "quality", *columns])
+
+        rates_of = scratch.save(rows.mapInArrow(rated, f"doc_id {kind}, quality int, " + ", ".join(f"{c} double" for c in columns)))
+        box = rates_of.agg(*[F.min(c) for c in columns], *[F.max(c) for c in columns]).first()
+        usual = rates_of.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(trees * sample).select("doc_id", *columns).toPandas()
+        if not len(usual):
+            return None
+        usual = usual.sort_values("doc_id", ignore_index=True)
+        forest = Forest.fit(usual[columns].to_numpy(), (np.array(box[:5]), np.array(box[5:])), trees, sample)
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                step = np.ceil(forest.anomaly(np.column_stack([batch.column(c).to_numpy() for c in columns])) * STEPS)
+                yield pa.record_batch([batch.column("quality"), pa.array(step.astype(np.int64))], names=["quality", "step"])
+
+        counts = rates_of.mapInArrow(scored, "quality int, step long").groupBy("step").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
+        counts = counts.toPandas().sort_values("step")  # a row for each step at most
+        forest.cut_between(counts["step"].to_numpy() / STEPS, counts["good"].to_numpy(), counts["bad"].to_numpy(), least_kept)
+        return forest
+    finally:
+        scratch.close()
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -201,3 +201,20 @@ def test_a_very_long_text_takes_a_bounded_multiple_of_memory():
         "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(text))\n"
     )
     assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 40
+
+
+def test_every_labelled_row_sets_the_cut(spark):
+    """The cut and the ranges are those of all labelled rows, more than 20,000 of them too."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "if(id % 3 = 0, array_join(transform(sequence(1, 12 + id % 7), i -> concat('w', i * id, repeat('!#', cast(id % 4 as int)))), ' '), concat('one two three four five six seven eight nine ten ', repeat('!', id % 11), ' ', id)) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 > 0 AS int) AS quality")
+    forest = quality_rules.fit_forest(docs, labels, trees=20)
+    rows = quality_rules.labelled_statistics(docs, labels)
+    assert len(rows) == 30_000
+    rows = rows[~quality_rules.base_failed(rows["n_words"].to_numpy(), rows["n_repeat_words"].to_numpy())]
+    good = rows["quality"].to_numpy() == 1
+    anomaly = forest.anomaly(quality_rules.forest_columns({k: rows[k].to_numpy() for k in quality_rules.STATISTICS}))
+    assert (anomaly[good] <= forest.cut).mean() >= 0.995
+    step = np.ceil(anomaly * quality_rules.STEPS) / quality_rules.STEPS
+    value = lambda cut: (step[good] <= cut).mean() - (step[~good] <= cut).mean()
+    assert (~good).sum() > 5_000
+    assert value(forest.cut) >= max(value(c) for c in np.unique(step) if (step[good] <= c).mean() >= 0.995) - 1e-12
