@@ -67,48 +67,69 @@ def _entry(v: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f"$.{name}", kind)
 
 
+def _bound(v: Column, then) -> Column:
+    """then(v) with v evaluated once, however often then uses it."""
+    return F.get(F.transform(F.array(v), then), F.lit(0))
+
+
 def _kind(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BIGINT and so on; VOID for null, null for what is missing."""
+    """STRING, BIGINT and so on; VOID for null, null for what is missing. Of lists and objects it walks through every entry: `_is_object` and a cast to an array don't."""
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
+
+
 def _issues(path: Column, *rules: tuple[Column, str]) -> Column:
     """The errors whose condition holds."""
     return F.filter(F.array(*[F.when(broken, F.struct(path.alias("path"), F.lit(error).alias("error"))) for broken, error in rules]), lambda e: e.isNotNull())
 
 
-def _typed(v: Column, path: Column, kinds: tuple[str, ...], name: str, then: Column, optional: bool = False) -> Column:
-    """Errors of a value that must be of some kinds: `required`, the wrong kind, or else those of `then`."""
-    none = F.array().cast(ERRORS)
-    missing = v.isNull() if optional else v.isNull() | (_kind(v) == "VOID")
-    return F.when(missing, none if optional else _issues(path, (F.lit(True), "required"))).when(~_kind(v).isin(*kinds), _issues(path, (F.lit(True), f"not {name}"))).otherwise(then)
+def _needed(v: Column, path: Column, then: Column, optional: bool = False) -> Column:
+    """`required` for a value that is missing or null, unless it is optional and missing; or else `then`."""
+    missing = v.isNull() if optional else v.isNull() | F.is_variant_null(v)
+    return F.when(missing, F.array().cast(ERRORS) if optional else _issues(path, (F.lit(True), "required"))).otherwise(then)
+
+
+def _typed(v: Column, path: Column, kinds: tuple[str, ...], name: str, then, optional: bool = False) -> Column:
+    """Errors of a value that must be of some kinds: `required`, the wrong kind, or else those of then(value)."""
+    wrong = _issues(path, (F.lit(True), f"not {name}"))
+    return _bound(v, lambda x: _needed(x, path, F.when(~_kind(x).isin(*kinds), wrong).otherwise(then(x)), optional))
 
 
 def _number(v: Column, path: Column, low: float | None = None, high: float | None = None, above: float | None = None, whole: bool = False, optional: bool = False) -> Column:
-    x = F.try_variant_get(v, "$", "double")
-    rules = [(x != F.floor(x), "not whole")] if whole else []
-    rules += [(x <= above, f"not over {above}")] if above is not None else []
-    rules += [(x < low, f"under {low}")] if low is not None else []
-    rules += [(x > high, f"over {high}")] if high is not None else []
-    return _typed(v, path, ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "a number", _issues(path, *rules), optional)
+    def ranged(x: Column) -> Column:
+        rules = [(x != F.floor(x), "not whole")] if whole else []
+        rules += [(x <= above, f"not over {above}")] if above is not None else []
+        rules += [(x < low, f"under {low}")] if low is not None else []
+        rules += [(x > high, f"over {high}")] if high is not None else []
+        return _issues(path, *rules)
+
+    return _typed(v, path, ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "a number", lambda e: _bound(F.try_variant_get(e, "$", "double"), ranged), optional)
 
 
 def _choice(v: Column, path: Column, known: list[str]) -> Column:
-    return _typed(v, path, ("STRING",), "a text", _issues(path, (~F.try_variant_get(v, "$", "string").isin(*known), "unknown")))
+    return _typed(v, path, ("STRING",), "a text", lambda e: _issues(path, (~F.try_variant_get(e, "$", "string").isin(*known), "unknown")))
 
 
 def _list(v: Column, path: Column, each, length: int | None = None, optional: bool = False) -> Column:
     """Errors of an array: its length, then those of its entries by each(entry, path)."""
-    entries = F.try_variant_get(v, "$", "array<variant>")
-    own = _issues(path, (F.size(entries) != length, f"not {length} entries")) if length is not None else F.array().cast(ERRORS)
-    inner = F.flatten(F.transform(entries, lambda e, i: each(e, F.concat(path, F.lit("."), i.cast("string")))))
-    return _typed(v, path, ("ARRAY",), "a list", F.concat(own, inner), optional)
+    wrong = _issues(path, (F.lit(True), "not a list"))
+
+    def listed(entries: Column) -> Column:
+        own = _issues(path, (F.size(entries) != length, f"not {length} entries")) if length is not None else F.array().cast(ERRORS)
+        inner = F.flatten(F.transform(entries, lambda e, i: each(e, F.concat(path, F.lit("."), i.cast("string")))))
+        return F.when(entries.isNull(), wrong).otherwise(F.concat(own, inner))
+
+    return _bound(v, lambda x: _needed(x, path, _bound(F.try_variant_get(x, "$", "array<variant>"), listed), optional))
 
 
 def _object(v: Column, path: Column, entries, optional: bool = False) -> Column:
     """Errors of an object: those of its entries, a function of (object, path of an entry by its name)."""
     at = lambda name: F.concat(path, F.lit(f".{name}"))
-    return _typed(v, path, ("OBJECT",), "an object", F.concat(*entries(v, at)), optional)
+    wrong = _issues(path, (F.lit(True), "not an object"))
+    return _bound(v, lambda x: _needed(x, path, F.when(~_is_object(x), wrong).otherwise(F.concat(*entries(x, at))), optional))
 
 
 def _weight_entries(metrics):
@@ -135,8 +156,8 @@ def _wish(id_name: str):
 
 
 def _text(v: Column, path: Column) -> Column:
-    size = F.length(F.try_variant_get(v, "$", "string"))
-    return _typed(v, path, ("STRING",), "a text", _issues(path, (size < 1, "under 1 characters"), (size > 100, "over 100 characters")))
+    sized = lambda n: _issues(path, (n < 1, "under 1 characters"), (n > 100, "over 100 characters"))
+    return _typed(v, path, ("STRING",), "a text", lambda e: sized(F.length(F.try_variant_get(e, "$", "string"))))
 
 
 #: The checks of each kind of request: functions of (body, path of an entry by its name).
@@ -159,5 +180,5 @@ def request_errors(requests: DataFrame, body: str = "body", kind: str = "kind")
     errors = _issues(F.lit("kind"), (F.lit(True), "unknown"))
     for name, entries in KINDS.items():
         errors = F.when(F.col(kind) == name, F.concat(*entries(F.col("_body"), at))).otherwise(errors)
-    whole = F.when(F.col("_body").isNull() | (_kind(F.col("_body")) != "OBJECT"), _issues(F.lit(""), (F.lit(True), "not an object"))).otherwise(errors)
+    whole = F.when(~_is_object(F.col("_body")), _issues(F.lit(""), (F.lit(True), "not an object"))).otherwise(errors)
     return read.withColumn("errors", whole).drop("_body")

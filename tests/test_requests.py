@@ -61,3 +61,19 @@ def test_errors_of_a_body(found, i):
 
 def test_bodies_that_are_none(found):
     assert found[100] == found[101] == [" not an object"] and found[102] == ["kind unknown"]
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def test_checks_of_events_are_made_once_and_in_many_tasks(spark, sf_dir):
+    from sparkrank.plans import queries
+
+    nodes = [str(node).split("\n")[0] for node in _nodes(queries.QUERIES["request_errors"](spark, sf_dir)._jdf.queryExecution().optimizedPlan())]
+    checking = [i for i, node in enumerate(nodes) if "try_variant_get" in node]
+    assert len(checking) == 1 and nodes[checking[0]].startswith("Project")
+    assert [node for node in nodes[checking[0] :] if node.startswith("Repartition")]
