@@ -1,7 +1,7 @@
 """The feature panel kept up to date by gameweeks, instead of built anew for each.
 
     path/features/gameweek=<n>   the panel's rows and their rolling features
-    path/tail/upto=<n>           each player's last nine rows up to that gameweek
+    path/tail/upto=<n>           each player's last nine rows up to that gameweek, of the columns that rolling features look at
 
 The widest rolling feature looks at ten rows, so the last nine are all that new rows need of what was before. New weeks are read
 with the tail before them, never with the features of old weeks; only the folders of the new weeks are written, by Spark's dynamic
@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .features import SPANS, time_features
+from .features import ROLLED, SPANS, time_features
 
 #: Rows before a row that its features look at.
 TAIL_ROWS = max(SPANS) - 1
+#: What these features look at.
+TAIL_COLUMNS = ["player_id", "gameweek", *ROLLED, "price", "selected_by_percent"]
 #: Tails kept: a correction can go back so many increments.
 KEPT_TAILS = 5
 
@@ -61,13 +63,17 @@ def add_weeks(panel: DataFrame, path: str) -> tuple[int, int] | None:
     old = [w for w in stored_weeks(spark, path) if w < weeks[0]]
     if old and (not before or before[-1] < old[-1]):
         raise ValueError(f"there is no tail up to week {old[-1]}: give all weeks after {before[-1] if before else old[0] - 1}")
-    rows = panel
+    rows, schema = panel, panel.select(*[c for c in TAIL_COLUMNS if c in panel.columns]).schema
     if before:
-        rows = spark.read.schema(panel.schema).parquet(f"{path}/tail/upto={before[-1]}").unionByName(panel)
+        last = spark.read.schema(schema).parquet(f"{path}/tail/upto={before[-1]}")
+        rows = panel.unionByName(last, allowMissingColumns=True)  # the others' columns are null in rows that aren't kept
     made = time_features(rows).where(F.col("gameweek") >= weeks[0])
     made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("gameweek").parquet(f"{path}/features")
+    # what was written is read again, as the panel may be long in the making
+    new = spark.read.schema(schema).option("basePath", f"{path}/features").parquet(*[f"{path}/features/gameweek={w}" for w in weeks]).select(*schema.names)
+    stored = new.unionByName(last) if before else new
     nth = F.row_number().over(Window.partitionBy("player_id").orderBy(F.desc("gameweek")))
-    tail = rows.withColumn("_nth", nth).where(F.col("_nth") <= TAIL_ROWS).drop("_nth")
+    tail = stored.withColumn("_nth", nth).where(F.col("_nth") <= TAIL_ROWS).drop("_nth")
     tail.write.mode("overwrite").parquet(f"{path}/tail/upto={weeks[-1]}")
     for gone in [n for n in _numbers(spark, f"{path}/tail", "upto=") if n > weeks[-1]] + sorted(n for n in tails if n < weeks[-1])[: -KEPT_TAILS + 1]:
         _delete(spark, f"{path}/tail/upto={gone}")

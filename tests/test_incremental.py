@@ -60,3 +60,37 @@ def test_tails_hold_nine_rows_and_old_ones_go(spark, rows, tmp_path):
     tail = spark.read.parquet(f"{path}/tail/upto=12").groupBy("player_id").count().collect()
     assert max(r["count"] for r in tail) == 9
     assert collected(incremental.read_features(spark, path)) == collected(time_features(rows.where("gameweek <= 12")))
+
+
+def test_the_panel_is_made_once_for_its_weeks_and_once_for_its_rows(spark, rows, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    path, part = str(tmp_path / "panel"), rows.where("gameweek <= 10")
+    incremental.add_weeks(part.mapInArrow(counted, rows.schema), path)
+    assert made.value == 2 * part.count()
+    last = {}
+    for r in sorted(part.collect(), key=lambda r: (r["player_id"], -r["gameweek"])):
+        last.setdefault(r["player_id"], []).append(r)
+    expected = spark.createDataFrame([r for of in last.values() for r in of[:9]], rows.schema)
+    assert collected(spark.read.schema(rows.schema).parquet(f"{path}/tail/upto=10")) == collected(expected)
+
+
+def test_features_of_the_panel_shuffle_lineitem_once(spark, sf_dir):
+    from sparkrank.plans import domain
+
+    plan = time_features(domain.panel(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.split("\n") if "Exchange hashpartitioning(l_partkey" in line or "Exchange hashpartitioning(player_id" in line]) == 1
+    assert "SortAggregate" not in plan
+
+
+def test_partitions_by_player_follow_the_rows(spark, sf_dir, monkeypatch):
+    from sparkrank.plans import domain
+
+    monkeypatch.setattr(domain, "LINES", 1000)
+    n = domain.table(spark, sf_dir, "lineitem").count()
+    assert domain.live(spark, sf_dir).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-n // 1000)) > 4
